@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, mixing, neighbours, pii, tokens
+from lodestone.llm import decontaminate, hmm, language, line_dedup, mixing, neighbours, pii, set_join, suffix_dedup, tokens
 from lodestone.llm.common import table
 
 #: Words that DuckDB's patterns need: white space, and a line's ends.
@@ -34,11 +34,43 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neighbours.vectors(table(spark, sf_dir, "embeddings"))
     return neighbours.nearest(rows.filter(F.col("id") % 20 == 0), rows, 20)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    samples = language.learn(docs.filter(remainder(3) != 1))
+    found = language.predict(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    gone = F.col("n_bytes") - F.length("kept")
+    return cut.select("doc_id", "n_bytes", gone.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -51,12 +83,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
+    "op3_set_join": op3_set_join,
+    "op4_decontaminate": op4_decontaminate,
     "op5_neighbours": op5_neighbours,
+    "op6_language": op6_language,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_hmm": op8_hmm,
     "op9_tokens": op9_tokens,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        bw AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w
+               FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS t(i) WHERE len(ws) > 0),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM d, sizes, unnest(range(1, len(ws) - n + 2)) AS t(i) WHERE len(ws) >= n),
+        hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.w = bw.w),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op5_neighbours": """
         WITH v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
