@@ -153,5 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", union.alias("n_hit"), "items", "h")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark."""
+    hit = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h")).distinct()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("c_row"), F.col("doc_id").alias("c_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c_hash"))
+    return own.join(hit, F.col("c_doc").eqNullSafe(F.col("c_id")) & (F.col("c_hash") == F.col("c_h")), "left_anti").select("c_row.*")
+
+
 def _one(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts

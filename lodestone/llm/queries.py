@@ -35,7 +35,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return set_join.similar_groups(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def _bitmap(v: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """(doc_id, cls, n, head, bits) of each row; head: the first shingles, one more than a list key needs."""
+    """(doc_id, h, cls, n, head, bits) of each row; head: the first shingles, one more than a list key needs."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
@@ -135,9 +135,9 @@ def _sets(docs: DataFrame, rule: Rule, levels) -> DataFrame:
             take = rule.beginning(n, 2)
             at = np.repeat(first[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
             bits = [_bitmap(v[a:b]) if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(cls), pa.array(n), lists(v[at].view(np.int64), take, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "cls", "n", "head", "bits"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "h"), pa.array(cls), pa.array(n), lists(v[at].view(np.int64), take, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "h", "cls", "n", "head", "bits"])
 
-    return docs.mapInArrow(make, "doc_id long, cls long, n long, head array<long>, bits binary")
+    return docs.mapInArrow(make, "doc_id long, h long, cls long, n long, head array<long>, bits binary")
 
 
 def boundary(sizes: dict[int, int], scanned: float, rule: Rule) -> int:
@@ -358,15 +358,17 @@ def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame
 
 
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, label, h) for each row of ``docs``.
 
     Two documents link when intersection * den >= num * union of their sets of distinct ``words``-word shingles (A-Z in
     lower case). component_id: the smallest doc_id reachable by links, the row's own included. Null text and text without
     words have the empty set and link with nothing. Rows that repeat a text link with each other; a null doc_id counts
     only where a component has no other. Shingles and sets are known by hashes of 58 and 64 bits.
+    label: a number of the component, null for the empty set; h: the text's hash.
     """
     spark, rule = docs.sparkSession, Rule(words, num, den)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     levels = spark.sparkContext.broadcast(_levels(own, rule))
     rows = save(_sets(own, rule, levels), "sets")
     classes = save(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits")), "classes")
@@ -396,5 +398,20 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
 
     of = classes.select("cls", "low").join(labels, F.col("cls") == F.col("v"), "left").select(F.col("cls").alias("c"), F.coalesce("label", "cls").alias("label"), "low")
     lows = of.groupBy(F.col("label").alias("l")).agg(F.min("low").alias("component_id"))
-    of = of.join(lows, F.col("label") == F.col("l")).select("c", "component_id")
-    return rows.select("doc_id", "cls", "n").join(of, F.col("cls") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = of.join(lows, F.col("label") == F.col("l")).select("c", "component_id", "label")
+    rows = rows.select("doc_id", "h", "cls", "n").join(of, F.col("cls") == F.col("c"), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label", "h")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, then of the smallest hash of the text.
+
+    Rows without words all stay. Rows alike in doc_id and text count as one row if they have words.
+    """
+    groups = similar_groups(docs, words, num, den).filter(F.col("label").isNotNull())
+    best = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k_best"))
+    best = best.select(F.col("k_best.doc_id").alias("k_id"), F.col("k_best.h").alias("k_h")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("k_row"), F.col("doc_id").alias("k_doc"), F.xxhash64(text).alias("k_hash"), text.rlike(r"[^\x20\x09-\x0D]").alias("k_words"))
+    kept = own.filter("k_words").join(best, F.col("k_doc").eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_h"))).dropDuplicates(["k_doc", "k_hash"])
+    return kept.select("k_row.*").unionByName(own.filter("not k_words").select("k_row.*"))
