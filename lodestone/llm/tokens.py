@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,19 @@ class Encoder:
     """
 
     #: Remembered pieces; beyond it the memory starts anew.
-    MOST = 1_200_000
-    _SLOTS = 1 << 22
+    MOST = 1_000_000
+    _SLOTS = 1 << 21
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: First bytes of white space other than the plain one, and of special tokens.
+        self.rare = np.zeros(256, bool)
+        self.rare[[9, 11, 12, 13, 0xC2, 0xE1, 0xE2, 0xE3, *(x[0] for x in self.special)]] = True
         line = self.whole(["\n", "a", " b", ","])
         if len(line[0]) != 1 or not np.array_equal(self.whole(["a\n b\n,"])[0], np.concatenate([line[1], line[0], line[2], line[0], line[3]])):
             raise ValueError("the tokenizer does not cut at newlines")
@@ -59,17 +64,20 @@ class Encoder:
 
     def odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts must be encoded whole."""
-        n = len(data)
-        one, two, three = data, np.append(data[1:], 0)[:n], np.append(data[2:], [0, 0])[:n]
-        plain = (one == 10) | (one == 32)
-        bad = (one >= 9) & (one <= 13) & (one != 10) | plain & ((two == 10) | (two == 32))
-        bad |= (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) & (three == 0x80)
-        bad |= (one == 0xE2) & ((two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F))
-        bad |= (one == 0xE3) & (two == 0x80) & (three == 0x80)
-        for s in self.special:
-            bad |= (one == s[0]) & (two == s[-1]) if len(s) > 1 else one == s[0]
+        plain = (data == 10) | (data == 32)
+        hit = np.flatnonzero(plain[1:] & plain[:-1])
+        look = np.flatnonzero(self.rare[data])
+        if len(look):
+            ends = np.append(data, [0, 0])
+            one, two, three = data[look], ends[look + 1], ends[look + 2]
+            bad = (one >= 9) & (one <= 13)
+            bad |= (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) & (three == 0x80)
+            bad |= (one == 0xE2) & ((two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F))
+            bad |= (one == 0xE3) & (two == 0x80) & (three == 0x80)
+            for s in self.special:
+                bad |= (one == s[0]) & (two == s[-1]) if len(s) > 1 else one == s[0]
+            hit = np.append(hit, look[bad])
         out = np.zeros(len(offsets) - 1, bool)
-        hit = np.flatnonzero(bad)
         out[np.searchsorted(offsets, hit, side="right") - 1] = True
         full = np.flatnonzero(np.diff(offsets))
         out[full] |= plain[offsets[full]] | plain[offsets[full + 1] - 1]
@@ -88,17 +96,26 @@ class Encoder:
         return out
 
     def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        lines = [p[1:] if p[0] == "\n" else p for p in pieces]
-        ids: list[np.ndarray] = []
-        for k in range(0, len(lines), 2000):
-            every = self.whole(["\n".join(lines[k : k + 2000])])[0]
-            ids += np.split(every, np.flatnonzero(every == self.newline))
-            ids[-len(lines[k : k + 2000]) + 1 :] = [x[1:] for x in ids[-len(lines[k : k + 2000]) + 1 :]] if len(lines[k : k + 2000]) > 1 else []
-        ids = [np.append(np.uint32(self.newline), x) if p[0] == "\n" else x for p, x in zip(pieces, ids, strict=True)]
-        size = np.array([len(x) for x in ids])
-        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.concatenate([self.ids, *ids]).astype(np.uint32)
+        led = np.array([p[0] == "\n" for p in pieces])
+        # Letters, after a space or not, are one word to the pattern, so the tokenizer need not apply it.
+        word = np.array([(p[1:] if p[0] in " \n" else p).isalpha() and max(p) < "\u0250" for p in pieces])
+        parts, first, size, ahead = [self.ids], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.ids)
+        of = np.flatnonzero(word)
+        ids = [e.ids for e in self.plain.encode_batch_fast([pieces[k].lstrip("\n") for k in of.tolist()], add_special_tokens=False)]
+        size[of] = [len(x) + 1 for x in ids]
+        first[of] = ahead + np.cumsum(size[of]) - size[of]
+        parts.append(np.fromiter(chain.from_iterable(chain((self.newline,), x) for x in ids), np.uint32, int(size[of].sum())))
+        ahead += len(parts[-1])
+        # The others are one text, a newline before each: what stands between two newline ids is a piece's ids.
+        of = np.flatnonzero(~word)
+        if len(of):
+            every = self.whole(["".join([p if p[0] == "\n" else "\n" + p for p in map(pieces.__getitem__, of.tolist())])])[0]
+            cut = np.flatnonzero(every == self.newline)
+            first[of], size[of] = ahead + cut, np.diff(np.append(cut, len(every)))
+            parts.append(every)
+        # every piece has a newline id before it, which belongs to those that begin with one
+        self.ids = np.concatenate(parts)
+        self.first, self.size = np.append(self.first, first + ~led), np.append(self.size, size - ~led)
         number, left, slot = np.arange(self.n, self.n + len(h)), np.arange(len(h)), (h & np.uint64(self._SLOTS - 1)).astype(np.int64)
         while len(left):
             free = self.keys[slot] == 0
