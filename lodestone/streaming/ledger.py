@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """``events`` with a watermark; times without a zone are in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def deduplicated(events: DataFrame, time: str = "ts", key: str = "usage_event_id", late: str = "1 hour") -> DataFrame:
     """Each event once, as long as its copies come within ``late`` of each other; state is dropped behind the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return _timed(events, time, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_usage(events: DataFrame, by: list[str], time: str = "ts", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(window_start, by, n_events, total) in tumbling windows; late rows within the watermark still count."""
-    counts = events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
+    counts = _timed(events, time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
     return counts.select(F.col("window.start").alias("window_start"), *by, "n_events", "total")
 
 
 def sessions(events: DataFrame, by: str, time: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(by, session_start, session_end, n_events): runs of events that are at most ``gap`` apart."""
-    counts = events.withWatermark(time, late).groupBy(by, F.session_window(time, gap)).agg(F.count("*").alias("n_events"))
+    counts = _timed(events, time, late).groupBy(by, F.session_window(time, gap)).agg(F.count("*").alias("n_events"))
     return counts.select(by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
