@@ -53,20 +53,26 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def cores(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the cores of all windows, and the cores' hashes."""
-    n = len(data) - CORE + 1
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(data))
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any byte range follows."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)], out=total[1:])
+    return total
+
+
+def cores(total: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the cores of all windows, and the cores' hashes; total: as _sums() gives it."""
+    size = len(total) - 1
+    n = size - CORE + 1
+    if size < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    down = powers(size)[1]
     h = mix((total[CORE:] - total[:n]) * down[:n]) | np.uint64(1)
     least = _sliding(h, SPAN, np.minimum)
     # a window must lie in one text; 0 is below every hash, so it picks nothing
     starts = np.arange(len(least))
     cut = offsets[1:-1]
-    inside = np.zeros(len(data) + 1, np.int32)
+    inside = np.zeros(size + 1, np.int32)
     np.add.at(inside, np.maximum(cut - LENGTH + 1, 0), 1)
     np.add.at(inside, cut, -1)
     least[np.cumsum(inside)[starts] > 0] = 0
@@ -75,29 +81,37 @@ def cores(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, h[at]
 
 
-def _sides(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sides(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each core place: its text, and start and end of the bytes around its core, up to SIDE on each side."""
     text = np.searchsorted(offsets, at, side="right") - 1
     low, high = np.maximum(at - SIDE, offsets[text]), np.minimum(at + CORE + SIDE, offsets[text + 1])
     return text, low, at, at + CORE, high
 
 
-def _around(data: np.ndarray, low: np.ndarray, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _around(total: np.ndarray, low: np.ndarray, at: np.ndarray, high: np.ndarray) -> np.ndarray:
     """A hash of the core and the bytes around it, and where the core stands among them."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    down = powers(len(total) - 1)[1]
     return mix(mix((total[high] - total[low]) * down[low]) + (at - low).astype(np.uint64) * _LEFT + (high - low).astype(np.uint64) * _RIGHT)
 
 
 def _count_cores(docs: DataFrame) -> DataFrame:
+    """(core, n, m) of the cores that occur again; m: at least the number of their different surroundings.
+
+    m counts equal surroundings once a batch, so copies hardly add to it.
+    """
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
-            _, h = cores(*flat(column(batch, "text")))
+            data, offsets = flat(column(batch, "text"))
+            total = _sums(data)
+            at, h = cores(total, offsets)
+            _, low, _, _, high = _sides(offsets, at)
             keys, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["core", "n"])
+            _, first = np.unique(_around(total, low, at, high), return_index=True)
+            m = np.bincount(np.searchsorted(keys, h[first]), minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], names=["core", "n", "m"])
 
-    return docs.select("text").mapInArrow(count, "core long, n int").groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
+    return docs.select("text").mapInArrow(count, "core long, n int, m int").groupBy("core").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1")
 
 
 def _filter(repeated: DataFrame) -> np.ndarray:
@@ -123,13 +137,14 @@ def _contexts(docs: DataFrame, bits) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
             data, offsets = flat(column(batch, "text"))
-            at, h = cores(data, offsets)
+            total = _sums(data)
+            at, h = cores(total, offsets)
             keep = _passes(bits.value, h)
             at, h = at[keep], h[keep]
             if not len(at):
                 continue
-            _, low, at, end, high = _sides(data, offsets, at)
-            around, first, n = np.unique(_around(data, low, at, high), return_index=True, return_counts=True)
+            _, low, at, end, high = _sides(offsets, at)
+            around, first, n = np.unique(_around(total, low, at, high), return_index=True, return_counts=True)
             raw = data.tobytes()
             left = [raw[a:b] for a, b in zip(low[first].tolist(), at[first].tolist(), strict=True)]
             right = [raw[a:b] for a, b in zip(end[first].tolist(), high[first].tolist(), strict=True)]
@@ -194,9 +209,8 @@ def _windows(contexts: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (around[1:] != around[:-1])))
             n = np.add.reduceat(column(rows, "n").to_numpy(), first)
             core, around = core[first], around[first]
-            # a core with one surrounding that occurs once is alone
-            alone = np.repeat(np.diff(np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core))), np.diff(np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core)))) == 1
-            keep = ~(alone & (n == 1))
+            own = np.diff(np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core)))
+            keep = ~((np.repeat(own, own) == 1) & (n == 1))  # a core with one surrounding that occurs once is alone
             take = pa.array(first[keep])
             out = _sorted(core[keep], around[keep], n[keep], column(rows, "left").take(take), column(rows, "right").take(take))
             return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))], names=["core", "around", "most", "least"])
@@ -251,8 +265,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     repeated = save(_count_cores(long), "cores")
     bits = spark.sparkContext.broadcast(_filter(repeated))
     contexts = _contexts(long, bits)
-    hot = repeated.filter(F.col("n") > HOT).select(F.col("core").alias("hot"))
-    if hot.head(1):  # at most HOT surroundings a core are certain for all others
+    hot = repeated.filter(F.col("m") > HOT).select(F.col("core").alias("hot"))
+    if hot.head(1):
         found = _windows(contexts.join(hot, F.col("core") == F.col("hot"), "left_anti")).unionByName(_hot_windows(contexts.join(hot, F.col("core") == F.col("hot"), "left_semi")))
     else:
         found = _windows(contexts)
@@ -260,11 +274,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
             data, offsets = flat(column(batch, "text"))
-            at, h = cores(data, offsets)
+            total = _sums(data)
+            at, h = cores(total, offsets)
             keep = _passes(bits.value, h)
             at, h = at[keep], h[keep]
-            text, low, at, _, high = _sides(data, offsets, at)
-            around = _around(data, low, at, high)
+            text, low, at, _, high = _sides(offsets, at)
+            around = _around(total, low, at, high)
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id").take(pa.array(text)), column(batch, "h").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(at - offsets[text])], names=["doc_id", "h", "p_core", "p_around", "at"]
             )
