@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     if n_blocks == 1:
         n_hit = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
         return parts[0].select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "h")
-    pair = F.transform(F.sequence(F.lit(0), F.size("runs") / 2 - 1), lambda i: F.struct(F.element_at("runs", (2 * i + 1).cast("int")).alias("a"), F.element_at("runs", (2 * i + 2).cast("int")).alias("z")))
+    pair = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct(F.element_at("runs", (2 * i + 1).cast("int")).alias("a"), F.element_at("runs", (2 * i + 2).cast("int")).alias("z")))
     none = F.array().cast("array<struct<a:bigint,z:bigint>>")
     every = reduce(DataFrame.unionByName, parts).withColumn("pairs", F.when(F.size("runs") > 0, pair).otherwise(none))
     merged = every.groupBy("doc_id", "h", "n_words").agg(F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n_blocks).cast("int").alias("copies"))

@@ -83,14 +83,14 @@ class Automaton:
     def phrases(self, grid: np.ndarray) -> np.ndarray:
         """Phrases that each row of ``grid`` is cut into; rows hold symbols, and 256 behind their end."""
         coded = self.code[grid].T.copy()
-        table, start = self.table.ravel(), self.table[0]
+        table, start, behind = self.table.ravel(), self.table[0], self.code[256]
         state, count = np.zeros(grid.shape[0], np.int64), np.zeros(grid.shape[0], np.int64)
         for c in coded:
             to = table[state * self.width + c]
             none = to == 0
-            count += none
+            count += (none | (state == 0)) & (c != behind)  # a phrase begins; an unknown symbol is one of its own
             state = np.where(none, start[c], to)
-        return count + 1  # the phrase that the first symbol began
+        return count
 
 
 def score(samples: dict[str, np.ndarray]) -> tuple[list[str], list[Automaton]]:
@@ -112,12 +112,15 @@ def learn(docs: DataFrame, lang: str = "lang") -> dict[str, np.ndarray]:
     first = own.select("label", order.alias("order")).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
     most = first.groupBy("label").agg(F.max("order").alias("most"))  # one row a language
     rows = own.withColumn("order", order).join(F.broadcast(most.withColumnRenamed("label", "l")), (F.col("label") == F.col("l")) & (F.col("order") <= F.col("most")))
+    # rows alike in doc_id share their place in the order, so the bound is set again
+    again = F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))
+    rows = rows.select("label", "order", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("again", again).filter(F.col("again") <= SAMPLE_DOCS)
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.select("label", "order", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toLocalIterator():
+    for r in rows.select("label", "order", "text").toLocalIterator():
         texts.setdefault(r["label"], []).append((r["order"], r["text"]))
     out = {}
     for label, own_texts in texts.items():
-        raw = np.frombuffer(" ".join(t for _, t in sorted(own_texts)[:SAMPLE_DOCS]).encode(), np.uint8)
+        raw = np.frombuffer(" ".join(t for _, t in sorted(own_texts)).encode(), np.uint8)
         out[label] = symbols(raw, np.array([0, len(raw)]))[0][: min(SAMPLE_SYMBOLS, ALL_SYMBOLS // len(texts))]
     return out
 
@@ -130,9 +133,9 @@ def predict(docs: DataFrame, samples: dict[str, np.ndarray]) -> DataFrame:
     0 for ``und``. Rows that repeat, or have a null doc_id, are rows like others.
     """
     held = docs.sparkSession.sparkContext.broadcast(samples)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
-    # what the mapper reads stands last and goes again
-    rows = docs.select("*", F.coalesce("text", F.lit("")).alias("_of"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    # the row as one column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.coalesce("text", F.lit("")).alias("of"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    schema = rows.select("whole", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tuple((n, x.tobytes()) for n, x in sorted(held.value.items())))
@@ -140,8 +143,8 @@ def predict(docs: DataFrame, samples: dict[str, np.ndarray]) -> DataFrame:
             _built.clear()
             _built[key] = score(held.value)
         names, automata = _built[key]
-        for batch in in_rows(batches, "_of"):
-            s, offsets = symbols(*flat(column(batch, "_of")))
+        for batch in in_rows(batches, "of"):
+            s, offsets = symbols(*flat(column(batch, "of")))
             size = np.diff(offsets)
             n = -(-size // STRETCH)
             of = np.repeat(np.arange(len(size)), n)
@@ -154,10 +157,9 @@ def predict(docs: DataFrame, samples: dict[str, np.ndarray]) -> DataFrame:
                 bits[:, k] = np.bincount(of, weights=a.phrases(grid) if len(of) else None, minlength=len(size)) * a.bits / np.maximum(size, 1)
             best = bits.argmin(1)
             two = np.sort(bits, axis=1)[:, :2]
-            known = column(batch, "_letters").to_numpy(zero_copy_only=False) & bool(automata)
+            known = column(batch, "letters").to_numpy(zero_copy_only=False) & bool(automata)
             margin = np.where(np.isinf(two[:, 1]), 1.0, 1 - two[:, 0] / np.where(two[:, 1] > 0, two[:, 1], 1))
             pred = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            out = batch.select(range(batch.num_columns - 2))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(margin, 0, 1), 0.0))], names=[*out.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "whole"), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(margin, 0, 1), 0.0))], names=["whole", "lang_pred", "lang_score"])
 
-    return rows.mapInArrow(parse, schema)
+    return rows.mapInArrow(parse, schema).select("whole.*", "lang_pred", "lang_score")
