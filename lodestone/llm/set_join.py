@@ -12,8 +12,9 @@ Equal sets are one class, so copies cost nothing. What links classes is found wi
 in every list, classes that are known to be connected need no comparison, and comparisons of others go out as a forest.
 
 1. Every member of a list is compared with the list's first class.
-2. Lists with classes that are still apart are scanned. Parity bitmaps (the bits of two sets differ in no more places
-   than their members) drop nearly all pairs that are not similar; of the others a spanning forest leaves the list.
+2. Lists with classes that are still apart are scanned; the pairs of short lists are joined. Sizes and parity bitmaps
+   (the bits of two sets differ in no more places than their members) drop nearly all pairs that are not similar; of the
+   others a spanning forest leaves a long list.
 3. Forest edges are checked on the sets themselves, exactly. Lists with an edge that failed are scanned again, without it.
 """
 
@@ -33,8 +34,10 @@ from lodestone.operators.components import components
 
 #: Bits of the buckets whose loads tell rare from frequent shingles, and chunks in which their counts are summed.
 BUCKET_BITS, CHUNKS = 18, 64
-#: Largest set that may be small, members of a list that one task scans together, members of one comparison group.
-MOST_SMALL, LIST, GROUP = 256, 4096, 1000
+#: Largest set that may be small, members of a list whose pairs are joined, of one that a task scans, of a comparison group.
+MOST_SMALL, SHORT, LIST, GROUP = 256, 16, 4096, 1000
+#: Members of a list that are compared with all others at once.
+AT_ONCE = 32
 #: Bits of the fixed-size filter of the classes whose sets a pass needs.
 FILTER_BITS = 1 << 24
 _LEVEL = 58
@@ -56,7 +59,7 @@ class Rule:
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, sorted within it, and the texts' offsets in them.
+    """The shingle hashes of each text as they occur, and the texts' offsets in them.
 
     A text with fewer words, but not none, has the sequence of all its words as its one shingle.
     """
@@ -68,14 +71,11 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     whole = text[: len(g)] == text[words - 1 :] if len(g) else np.zeros(0, bool)
     of, g = text[: len(g)][whole], g[whole]
     size = np.diff(first)
-    for k in range(1, words):
-        short = np.flatnonzero(size == k)
-        if len(short):
-            of, g = np.append(of, short), np.append(g, chained(h, k)[first[short]] + np.uint64(k))
-    order = np.lexsort((g, of))
-    of, g = of[order], g[order]
-    new = np.append(True, (of[1:] != of[:-1]) | (g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-    of, g = of[new], g[new]
+    short = np.flatnonzero((size > 0) & (size < words))
+    if len(short):
+        more = np.concatenate([chained(h[first[k] : first[k + 1]], int(size[k])) + np.uint64(size[k]) for k in short.tolist()])
+        order = np.argsort(np.append(of, short), kind="stable")
+        of, g = np.append(of, short)[order], np.append(g, more)[order]
     return g, np.searchsorted(of, np.arange(n + 1))
 
 
@@ -99,11 +99,15 @@ def _levels(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def _ordered(texts: pa.Array, rule: Rule, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle ids in the order of all sets, sorted within each text, and the texts' offsets."""
+    """Distinct shingle ids in the order of all sets, sorted within each text, and the texts' offsets."""
     g, first = shingles(texts, rule.words)
     v = (levels[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(_LEVEL)) | (mix(g) >> np.uint64(64 - _LEVEL))
-    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return v[np.lexsort((v, of))], first
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        v[a:b].sort()
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    new[first[:-1][first[:-1] < len(v)]] = True
+    return v[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def _classes_of(v: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -115,8 +119,8 @@ def _classes_of(v: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def bitmap_size(n: int) -> int:
-    """Bits of a set's parity bitmap: a power of two, at least 256 and twice its size."""
-    return max(256, 1 << (2 * n - 1).bit_length())
+    """Bits of a set's parity bitmap: a power of two, at least 256 and its size."""
+    return max(256, 1 << (n - 1).bit_length())
 
 
 def _bitmap(v: np.ndarray) -> bytes:
@@ -192,39 +196,39 @@ class _Bitmaps:
             place[of] = np.arange(len(of))
             self.folded[size] = place, np.stack([_near(bits[k], size) for k in of.tolist()]).view(np.uint64)
 
-    def near(self, k: int, rows: np.ndarray) -> np.ndarray:
-        """Which of the members ``rows`` may be similar to member k."""
-        n, m, rule = int(self.n[k]), self.n[rows], self.rule
-        rows = rows[np.minimum(n, m) * rule.den >= rule.num * np.maximum(n, m)]
-        out = []
-        for size, (place, grid) in self.folded.items():
-            if size <= self.size[k]:
-                own = rows[self.size[rows] == size] if size < self.size[k] else rows[self.size[rows] >= size]
-                differ = np.bitwise_count(grid[place[own]] ^ grid[place[k]]).sum(1)
-                out.append(own[differ <= n + self.n[own] - 2 * rule.overlap(n, self.n[own])])
-        return np.concatenate(out)
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs may be similar."""
+        out, least = np.zeros(len(i), bool), np.minimum(self.size[i], self.size[j])
+        most = self.n[i] + self.n[j] - 2 * self.rule.overlap(self.n[i], self.n[j])
+        for size in np.unique(least).tolist():
+            place, grid = self.folded[size]
+            of = np.flatnonzero(least == size)
+            for at in range(0, len(of), 1 + 4_000_000 // size):
+                k = of[at : at + 1 + 4_000_000 // size]
+                out[k] = np.bitwise_count(grid[place[i[k]]] ^ grid[place[j[k]]]).sum(1) <= most[k]
+        return out
 
 
-def _scan(members: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
+def _scan(members: dict[str, np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of one list that may be similar, are apart, and have not failed yet."""
-    members = members.drop_duplicates("cls").sort_values("cls")
-    cls, label, n = members["cls"].tolist(), members["label"].to_numpy().copy(), members["n"].to_numpy()
-    bits = _Bitmaps(rule, n, [np.frombuffer(x, np.uint8) for x in members["bits"]])
-    failed = [set(x) if x is not None else set() for x in members["failed"]]
-    side = members["side"].to_numpy()  # of a list in blocks, a task compares two blocks; 0 and 1, or 2 in both
-    edges, waiting, seen = [], list(range(len(cls)))[::-1], np.zeros(len(cls), bool)
-    while waiting:
-        k = waiting.pop()
-        if seen[k]:
-            continue
-        seen[k] = True
-        rows = np.flatnonzero((label != label[k]) & ((side == 2) | (side != side[k])))
-        if not len(rows):
-            continue
-        for r in bits.near(k, rows).tolist():
-            if label[r] != label[k] and cls[r] not in failed[k] and cls[k] not in failed[r]:
-                edges.append((cls[k], cls[r]))
-                label[label == label[r]] = label[k]
+    order = np.argsort(members["n"], kind="stable")
+    cls, label, n, side, bits, failed = (members[c][order] for c in ("cls", "label", "n", "side", "bits", "failed"))
+    label, maps = label.copy(), _Bitmaps(rule, n, [np.frombuffer(x, np.uint8) for x in bits])
+    high = np.searchsorted(n * rule.num, n * rule.den, side="right")  # the sets from here on are too large
+    edges = []
+    for at in range(0, len(cls), AT_ONCE):
+        own = np.arange(at, min(len(cls), at + AT_ONCE))
+        count = high[own] - own - 1
+        i = np.repeat(own, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        # of a list in blocks, a task compares two blocks: sides 0 and 1, or 2 with all
+        apart = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        i, j = i[apart], j[apart]
+        near = maps.near(i, j)
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            if label[x] != label[y] and cls[y] not in (failed[x] or ()) and cls[x] not in (failed[y] or ()):
+                edges.append((int(cls[x]), int(cls[y])))
+                label[label == label[y]] = label[x]
     return edges
 
 
@@ -236,7 +240,22 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
     else:
         rows = rows.withColumn("label", F.col("cls"))
     apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low <> high").select("k", "m")
-    rows = rows.join(apart, F.col("key") == F.col("k")).drop("k")
+    rows = rows.join(apart, F.col("key") == F.col("k")).drop("k").join(classes.select(F.col("cls").alias("c"), "n"), F.col("cls") == F.col("c")).drop("c")
+    rows = save(rows, "apart")
+    short = rows.filter(F.col("m") <= SHORT).drop("m")
+    a, b = (short.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "label", "n"))) for s in "ab")
+    similar = (F.least("a_n", "b_n") * rule.den >= F.greatest("a_n", "b_n") * rule.num) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_label") != F.col("b_label"))
+    pairs = a.join(b, "key").filter(similar).select("key", F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+    if failed is not None:
+        pairs = pairs.join(failed, ["a", "b"], "left_anti")
+    pairs = save(pairs, "pairs")  # at most SHORT / 2 a member
+    kept = _filtered(pairs.select("a", "b").distinct(), classes, rule)
+    return pairs.join(kept, ["a", "b"], "left_semi").select("key", "a", "b").unionByName(_scanned(rows.filter(F.col("m") > SHORT), classes, failed, rule))
+
+
+def _scanned(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, rule: Rule) -> DataFrame:
+    """(key, a, b) from the lists of ``rows`` (key, cls, label, n, m), each read as a whole, or in blocks."""
+    rows = rows.drop("n")
     own = classes.select(F.col("cls").alias("c"), "n", "bits")
     if failed is not None:
         not_again = failed.select(F.col("a").alias("f"), "b").union(failed.select(F.col("b").alias("f"), F.col("a").alias("b"))).groupBy("f").agg(F.collect_set("b").alias("failed"))
@@ -256,13 +275,11 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
         wait: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            keys, a, b = [], [], []
-            for (key, _, _), members in rows.to_pandas().groupby(["key", "i", "j"], sort=False):
-                for x, y in _scan(members, rule):
-                    keys.append(key)
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], names=["key", "a", "b"])
+            whole = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("bits", "failed")}
+            whole |= {c: np.array([*rows.column(c).to_pylist(), None], object)[:-1] for c in ("bits", "failed")}
+            new = np.flatnonzero(np.append(True, (whole["key"][1:] != whole["key"][:-1]) | (whole["i"][1:] != whole["i"][:-1]) | (whole["j"][1:] != whole["j"][:-1])))
+            found = [(whole["key"][x], *edge) for x, y in zip(new.tolist(), [*new[1:].tolist(), rows.num_rows], strict=True) for edge in _scan({c: v[x:y] for c, v in whole.items()}, rule)]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([min(f[1:]) for f in found], pa.int64()), pa.array([max(f[1:]) for f in found], pa.int64())], names=["key", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -287,9 +304,11 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
 
 def _filtered(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps allow."""
-    a, b = (classes.select(F.col("cls").alias(f"{s}_c"), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in "ab")
+    a, b = (classes.select(F.col("cls").alias(f"{s}_c"), F.col("n").alias(f"{s}_n")) for s in "ab")
     rows = pairs.join(a, F.col("a") == F.col("a_c")).join(b, F.col("b") == F.col("b_c"))
     rows = rows.filter(F.least("a_n", "b_n") * rule.den >= F.greatest("a_n", "b_n") * rule.num)
+    a, b = (classes.select(F.col("cls").alias(f"{s}_k"), F.col("bits").alias(f"{s}_bits")) for s in "ab")
+    rows = rows.join(a, F.col("a") == F.col("a_k")).join(b, F.col("b") == F.col("b_k"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
