@@ -92,3 +92,11 @@ SAFE_ANSWERS = {
     "POLICY_FUTURE_PREDICTION_FORBIDDEN": "본 시스템은 향후 주가를 예측할 수 없습니다.",
     "POLICY_PROMPT_INJECTION_DETECTED": "요청하신 내용은 처리할 수 없습니다.",
 }
+#: What a parser's warning means: code, classification, whether text is lost, what retrieval and facts may do.
+WARNING_POLICY = (
+    ("unknown_section_depth", "STRUCTURE_UNCERTAINTY", False, "ALLOW_WITH_WARNING", "ALLOW_IF_EVIDENCE_DOES_NOT_DEPEND_ON_SECTION_DEPTH"),
+    ("table_merged_cell_ignored", "INFORMATIONAL_MISNAMED", False, "ALLOW", "ALLOW_WITH_RAW_ROW_TRACE"),
+    ("table_shape_mismatch", "TABLE_ALIGNMENT_UNCERTAINTY", False, "ALLOW_WITH_WARNING", "REQUIRE_HEADER_VALUE_ALIGNMENT_VALIDATION"),
+    ("table_metadata_uncertain", "METADATA_UNCERTAINTY", False, "ALLOW_WITH_WARNING", "REQUIRE_EXPLICIT_SCOPE_PERIOD_UNIT_EVIDENCE"),
+    ("parse_failed", "CONTENT_LOSS_RISK", True, "DENY_IF_EMPTY_OR_FALLBACK", "DENY_AUTOMATIC_PROMOTION"),
+)

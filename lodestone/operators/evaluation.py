@@ -103,3 +103,24 @@ def citation_codes(citations: DataFrame, evidence: DataFrame, blocks: DataFrame)
     code = code.when(F.sha2("quote", 256) != F.col("quote_sha256"), "QUOTE_HASH_MISMATCH").when(~F.col("verification_status").eqNullSafe("VERIFIED"), "EVIDENCE_NOT_VERIFIED")
     code = code.when(F.col("b_doc").isNull(), "LOCATOR_NOT_FOUND").when(~F.col("b_text").contains(F.col("quote")), "QUOTE_NOT_IN_BLOCK").otherwise("OK")
     return rows.select("evidence_id", code.alias("code"))
+
+
+def allocation(queue: DataFrame, bucket: str, split: str, targets: DataFrame) -> DataFrame:
+    """(bucket, split, n, target, missing) of every target (bucket, split, target) and of every pair in the queue."""
+    counts = queue.groupBy(F.col(bucket).alias("bucket"), F.col(split).alias("split")).agg(F.count("*").alias("n"))
+    rows = targets.join(counts, ["bucket", "split"], "full_outer")
+    n, target = F.coalesce("n", F.lit(0)), F.coalesce("target", F.lit(0))
+    return rows.select("bucket", "split", n.alias("n"), target.cast("long").alias("target"), (target - n).cast("long").alias("missing"))
+
+
+def adopt(baseline: Column, candidate: Column, gain: float = 0.02) -> Column:
+    """Whether a chunk strategy may replace the baseline: its recall or gain measure is higher by two points or more."""
+    return F.round(candidate - baseline, 9) >= gain
+
+
+def ndcg(results: DataFrame, relevant: DataFrame, query_key: str, key: str, k: int = 10, digits: int = 6) -> DataFrame:
+    """(query, ndcg) at k with relevance 0 or 1."""
+    hits = results.filter(F.col("rank") <= k).join(relevant.select(query_key, key).distinct(), [query_key, key], "left_semi").groupBy(query_key).agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    every = relevant.groupBy(query_key).agg(F.least(F.count_distinct(key), F.lit(k)).cast("int").alias("n"))
+    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return every.join(hits, query_key, "left").select(query_key, F.round(F.coalesce("dcg", F.lit(0.0)) / best, digits).alias("ndcg"))

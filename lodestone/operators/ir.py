@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import stable_id
+from lodestone.functions.vocabulary import WARNING_POLICY
 
 
 def file_format(content_format: Column, path: Column) -> Column:
@@ -97,3 +98,11 @@ def coverage(documents: DataFrame) -> DataFrame:
         .otherwise("PARTIAL_PARSE_FAILURE")
     )
     return documents.select("document_id", state.alias("coverage_state"), reason.alias("reason"))
+
+
+def warning_policies(documents: DataFrame) -> DataFrame:
+    """(document_id, code, classification, text_loss, retrieval_policy, fact_policy) of each distinct warning; unknown codes
+    have no policy."""
+    policy = documents.sparkSession.createDataFrame(list(WARNING_POLICY), "p_code string, classification string, text_loss boolean, retrieval_policy string, fact_policy string")
+    rows = documents.select("document_id", F.explode("warnings").alias("w")).select("document_id", F.col("w.code").alias("code")).distinct()
+    return rows.join(F.broadcast(policy), F.col("code") == F.col("p_code"), "left").drop("p_code")

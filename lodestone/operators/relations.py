@@ -107,3 +107,31 @@ def most_exposed(chained: DataFrame, split: str, exposure: tuple[str, ...] = ("D
     """(chain_id, split): a whole chain goes to the most exposed split that one of its documents is in."""
     rank = F.array_position(F.array(*(F.lit(s) for s in exposure)), F.col(split))
     return chained.groupBy("chain_id").agg(F.min_by(F.col(split), F.when(rank > 0, rank)).alias("split"))
+
+
+def recommendations(candidates: DataFrame, documents: DataFrame, coverage: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row for each relation candidate with its source, coverage, target and status; always pending.
+
+    candidates: (relation_id, relation_type, source_id, identity_status, candidates: array of ids). Sources must have a
+    document and a coverage row, or the query fails. A matched reference goes before the candidates.
+    """
+    d = documents.select(F.col("doc_id").alias("d_id"), F.col("report_name").alias("source_name"), F.col("is_correction").alias("d_correction"))
+    c = coverage.select(F.col("document_id").alias("c_id"), "coverage_state", "reason")
+    r = refs.select(F.col("doc_id").alias("r_id"), F.col("status").alias("reference"), F.when(F.col("status") == "MATCHED_IN_CORPUS", F.try_element_at("targets", F.lit(1))).alias("explicit"))
+    amended = candidates.filter("relation_type = 'AMENDS'").select(F.col("source_id").alias("a_id")).distinct()
+    rows = candidates.join(d, F.col("source_id") == F.col("d_id"), "left").join(c, F.col("source_id") == F.col("c_id"), "left").join(r, F.col("source_id") == F.col("r_id"), "left")
+    rows = rows.withColumn("checked", F.when(F.col("d_id").isNull() | F.col("c_id").isNull(), F.raise_error(F.concat(F.col("source_id").cast("string"), F.lit(": source document or coverage missing")))).otherwise(F.lit(True))).filter("checked")
+    rows = rows.withColumn("candidates", merged_candidates(F.col("explicit"), F.col("candidates"))).withColumn("target_id", F.try_element_at("candidates", F.lit(1)))
+    t = documents.select(F.col("doc_id").alias("t_id"), F.col("report_name").alias("target_name"), F.col("is_correction").alias("t_correction"))
+    rows = rows.join(t, F.col("target_id") == F.col("t_id"), "left").join(amended, F.col("target_id") == F.col("a_id"), "left")
+    open_ = F.coalesce(F.col("t_correction") & F.col("a_id").isNotNull(), F.lit(False))
+    n = F.size("candidates")
+    status = F.when(F.col("relation_type") == "AMENDS", amends_status(F.col("coverage_state"), F.col("reference"), n)).otherwise(terminates_status(F.col("coverage_state"), F.col("identity_status"), open_))
+    return rows.select("relation_id", "relation_type", "source_id", "source_name", "coverage_state", "reason", F.when(~status.startswith("NO_TARGET"), F.col("target_id")).alias("target_id"), "target_name", n.alias("n_candidates"), F.slice("candidates", 1, 5).alias("first_candidates"), status.alias("machine_status"), F.lit("PENDING").alias("review_status"))
+
+
+def termination_evidence(rows: DataFrame, most: int = 10) -> DataFrame:
+    """(document_id, quotes): the first rows of a document that name a termination, in its order."""
+    hits = rows.filter(F.col("text").contains("해지"))
+    ranked = top_per(hits, ["document_id"], ["position"], most)
+    return ranked.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("q")).select("document_id", F.transform("q", lambda x: x["text"]).alias("quotes"))

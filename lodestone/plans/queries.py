@@ -642,3 +642,63 @@ def usage_windows(read):
 
     rows = windowed_usage(read("events"), ["event_type"])
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.round("total", 4).alias("total"))
+
+
+@query("""
+    WITH t AS (SELECT doc_id % 3 AS b, CASE WHEN doc_id % 10 < 5 THEN 'DEV_TUNE' WHEN doc_id % 10 < 7 THEN 'DEV_CHECK' ELSE 'HOLDOUT' END AS split FROM documents)
+    SELECT CAST(b AS VARCHAR) AS bucket, split, count(*) AS n, 100::BIGINT AS target, 100 - count(*) AS missing FROM t GROUP BY ALL
+""")
+def split_allocation(read):
+    docs = read("documents")
+    part = F.col("doc_id") % 10
+    queue = docs.select((F.col("doc_id") % 3).cast("string").alias("b"), F.when(part < 5, "DEV_TUNE").when(part < 7, "DEV_CHECK").otherwise("HOLDOUT").alias("split"))
+    targets = queue.sparkSession.createDataFrame([(str(b), s, 100) for b in range(3) for s in ("DEV_TUNE", "DEV_CHECK", "HOLDOUT")], "bucket string, split string, target int")
+    return evaluation.allocation(queue, "b", "split", targets)
+
+
+@query(f"""
+    WITH {_BM25}, rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))),
+    dcg AS (SELECT item_id, sum(1 / log2(rank + 1)) AS d FROM r JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
+    best AS (SELECT item_id, sum(1 / log2(i + 1)) AS b FROM (SELECT item_id, least(count(*), 10) AS n FROM rel GROUP BY item_id), unnest(range(1, n + 1)) AS t(i) GROUP BY item_id)
+    SELECT item_id, round(coalesce(d, 0) / b, 6) AS ndcg FROM best LEFT JOIN dcg USING (item_id)
+""")
+def retrieval_ndcg(read):
+    return evaluation.ndcg(bm25_topk(read), quote_containment(read), "item_id", "doc_id")
+
+
+def _filings(read):
+    """Documents as parsed filings: every line a paragraph, lines with bars a table row, the first line a title."""
+    lines = F.split("text", "\n", -1)
+    node = F.transform(
+        lines,
+        lambda x, i: F.struct(
+            F.when(i == 0, "section").otherwise("paragraph").alias("kind"),
+            F.concat(F.lit("n"), i.cast("string")).alias("node_id"),
+            F.when(i == 0, x).alias("title_text"),
+            F.when(i > 0, x).alias("text"),
+            F.array(F.concat(F.lit("S"), F.floor(i / 8).cast("string"))).alias("section_hierarchy"),
+            F.lit(None).cast("array<array<string>>").alias("normalized_rows"),
+            F.struct(F.lit("main.xml").alias("rel_path")).alias("source"),
+        ),
+    )
+    return read("documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.when(F.col("doc_id") % 2 == 0, "periodic").otherwise("exchange").alias("doc_group"), F.when(F.col("doc_id") % 11 == 0, "fallback").otherwise("structured").alias("tier"), node.alias("nodes"))
+
+
+@query()
+def chunk_profile(read):
+    """Chunks and tokens of the three strategies, with the ratio to fixed windows."""
+    filings, report = _filings(read), None
+    for config in (chunking.FIXED, chunking.SECTIONS, chunking.TREE):
+        rows = chunking.chunks(filings, config).filter("retrieval_eligible")
+        part = rows.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count_distinct("content_sha256").alias("n_distinct")).withColumn("strategy", F.lit(config["strategy"]))
+        report = part if report is None else report.unionByName(part)
+    return profile.ratio_to_baseline(report, "strategy", "n_chunks", "fixed-token")
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n FROM documents WHERE doc_id % 11 <> 0)
+    SELECT 'fixed-token' AS strategy, CAST(sum(CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 448.0) + 1 END) AS BIGINT) AS n_chunks, CAST(sum(CASE WHEN n <= 512 THEN n ELSE n + 64 * ceil((n - 512) / 448.0) END) AS BIGINT) AS n_tokens FROM t
+""")
+def fixed_chunk_totals(read):
+    rows = chunking.chunks(_filings(read), chunking.FIXED).filter("retrieval_eligible")
+    return rows.agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).select(F.lit("fixed-token").alias("strategy"), "n_chunks", "n_tokens")

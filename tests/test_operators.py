@@ -263,3 +263,29 @@ def test_grid_and_keys(spark):
     d = spark.createDataFrame([(1, "x"), (1, "x"), (9, "y")], "e int, g string")
     assert rows(coverage.grid(a, "e", d, "g", d), "e", "g", "n_documents", "coverage_state")[0] == (1, "x", 2, "PRESENT")
     assert rows(coverage.unknown_keys(d, "e", a, "e"), "e") == [(9,)]
+
+
+def test_recommendations(spark):
+    docs = spark.createDataFrame([(1, "a", False), (2, "b", True), (3, "c", False)], "doc_id int, report_name string, is_correction boolean")
+    cover = spark.createDataFrame([(1, "PRESENT", "x"), (2, "PRESENT", "x"), (3, "PARSE_FAILED", "y")], "document_id int, coverage_state string, reason string")
+    refs = spark.createDataFrame([(2, "MATCHED_IN_CORPUS", [1])], "doc_id int, status string, targets array<int>")
+    cands = spark.createDataFrame(
+        [("r1", "AMENDS", 2, None, [3, 1]), ("r2", "TERMINATES", 1, "HIGH_CONFIDENCE_REVIEW", [2]), ("r3", "AMENDS", 3, None, []), ("r4", "TERMINATES", 1, "NO_TARGET_IN_MANIFEST_CANDIDATES", [])],
+        "relation_id string, relation_type string, source_id int, identity_status string, candidates array<int>",
+    )
+    out = relations.recommendations(cands, docs, cover, refs)
+    assert rows(out, "relation_id", "target_id", "n_candidates", "machine_status") == [
+        ("r1", 1, 2, "READY_FOR_HUMAN_REVIEW"),
+        ("r2", 2, 1, "BLOCKED_UNTIL_TARGET_AMENDS_REVIEW"),
+        ("r3", None, 0, "PARSE_BLOCKED"),
+        ("r4", None, 0, "NO_TARGET_CANDIDATE_REVIEW"),
+    ]
+    with pytest.raises(Exception, match="source document or coverage missing"):
+        relations.recommendations(cands, docs.filter("doc_id <> 1"), cover, refs).collect()
+    text = spark.createDataFrame([("d", 2, "계약 해지"), ("d", 1, "해지 사유"), ("d", 3, "other")], "document_id string, position int, text string")
+    assert rows(relations.termination_evidence(text), "quotes") == [(["해지 사유", "계약 해지"],)]
+
+
+def test_warning_policies(spark):
+    d = spark.createDataFrame([("d", [("a", "parse_failed", "error", "m"), ("a", "parse_failed", "error", "m"), ("a", "new", "info", "m")])], f"document_id string, warnings array<{WARN}>")
+    assert rows(ir.warning_policies(d), "code", "retrieval_policy") == [("new", None), ("parse_failed", "DENY_IF_EMPTY_OR_FALLBACK")]
