@@ -20,8 +20,8 @@ from lodestone.llm.common import save
 BLOCK_WORDS = 64
 #: Times that a document's words may be taken at most.
 MOST_REPEATS = 3
-#: Rows of one stretch of the schedule or of a source's documents, within which a window runs.
-STRETCH = 20_000
+#: Slots of one stretch of the schedule, and documents in one bucket (about), within which a window runs.
+STRETCH, BUCKET = 20_000, 4_000
 #: The golden ratio in 31 bits; odd, so 2**31 slots visit every point once.
 _GOLDEN, _ONE = 1327217885, 1 << 31
 RESULT = ["doc_id", "size", "source_size", "target", "taken", "h"]
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, block_words: int =
         return rows.withColumn("taken", F.lit(0).cast("long")).select(*RESULT)
 
     times = block_uses(spark, per, want, block_words)
-    n_buckets = max(1, rows.count() // STRETCH)
+    n_buckets = max(1, rows.count() // BUCKET)
     at = _placed(rows.filter("size > 0"), "k", F.pmod(F.col("h"), F.lit(n_buckets)), ["h", "doc_id", "size"], "size", "at")
     blocks = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     first = F.col("block") * block_words
