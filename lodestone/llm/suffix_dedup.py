@@ -13,7 +13,7 @@ repeated windows. So that a pass need not move a row for every byte, digits are
    the two windows is covered, since all windows around a place hold its core.
 
 Rows of one core whose surroundings are equal count as one before they move. Cores with more than HOT different
-surroundings are sorted by Spark instead, one row for each d.
+surroundings (they may be fewer; copies in different batches count again) are sorted by Spark instead, a row for each d.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ SPAN = LENGTH - CORE + 1
 SIDE = LENGTH - CORE
 #: Bits of the filter of repeated cores that goes to the tasks; a fuller filter lets more through, never less.
 FILTER_BITS = 1 << 27
+#: The same for cores that one task should not sort; what it lets through besides is sorted the other way, to the same end.
+HOT_BITS = 1 << 20
 #: Different surroundings of one core that one task sorts at most, and rows that it sorts at once.
-HOT, ROWS = 20_000, 4096
+HOT, ROWS = 50_000, 4096
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -114,32 +116,34 @@ def _count_cores(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "core long, n int, m int").groupBy("core").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1")
 
 
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS of the repeated cores: of fixed size, however many they are."""
-    place = F.shiftrightunsigned(F.col("core"), 64 - (FILTER_BITS.bit_length() - 1))
-    words = repeated.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(core, {64 - (FILTER_BITS.bit_length() - 1)}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+def _filter(cores_: DataFrame, n_bits: int) -> np.ndarray:
+    """A bitmap of n_bits (a power of two) of the cores: of fixed size, however many they are."""
+    shift = 65 - n_bits.bit_length()
+    place = F.shiftrightunsigned("core", shift)
+    words = cores_.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(core, {shift}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(n_bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))
+    place = h >> np.uint64(65 - (64 * len(bits)).bit_length())
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
 _CONTEXT = "core long, around long, n int, left binary, right binary"
 
 
-def _contexts(docs: DataFrame, bits) -> DataFrame:
-    """Cores that may repeat, with the bytes around them: one row for equal ones of a batch."""
+def _contexts(docs: DataFrame, bits, hot: bool) -> DataFrame:
+    """Cores that may repeat, with the bytes around them: one row for equal ones of a batch. bits: the two filters;
+    hot: of the cores that pass the second one, or of the others."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
             data, offsets = flat(column(batch, "text"))
             total = _sums(data)
             at, h = cores(total, offsets)
-            keep = _passes(bits.value, h)
+            keep = _passes(bits.value[0], h) & (_passes(bits.value[1], h) == hot)
             at, h = at[keep], h[keep]
             if not len(at):
                 continue
@@ -159,38 +163,44 @@ def _prefixes(column_: pa.Array, from_end: bool, base: np.uint64) -> tuple[np.nd
     """Hashes of the first 0 to SIDE bytes of each row (of the last ones, read backwards, if from_end), and the rows' sizes."""
     data, offsets = flat(column_)
     size = np.diff(offsets)
-    step = np.arange(SIDE)
-    place = (offsets[1:, None] - 1 - step) if from_end else (offsets[:-1, None] + step)
-    ok = step < size[:, None]
-    grid = np.where(ok, data[np.clip(place, 0, max(0, len(data) - 1))].astype(np.uint64) + np.uint64(1) if len(data) else np.uint64(0), np.uint64(0))
-    weight = np.cumprod(np.full(SIDE, base, np.uint64), dtype=np.uint64)
     out = np.zeros((len(size), SIDE + 1), np.uint64)
-    np.cumsum(grid * weight, axis=1, out=out[:, 1:])
+    weight, data = np.uint64(1), np.append(data, 0)
+    for k in range(SIDE):
+        weight = np.multiply(weight, base, dtype=np.uint64)
+        place = (offsets[1:] - 1 - k) if from_end else (offsets[:-1] + k)
+        byte = data[np.clip(place, 0, len(data) - 1)].astype(np.uint64) + np.uint64(1)
+        out[:, k + 1] = out[:, k] + np.where(k < size, byte * weight, np.uint64(0))
     return out, size
 
 
-def _keys(core: np.ndarray, left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and d, the hash of the window with d bytes before the core, and whether the row has them."""
-    before, n_before = _prefixes(left, True, _LEFT)
-    behind, n_behind = _prefixes(right, False, _RIGHT)
-    d = np.arange(SPAN)
-    keys = mix(mix(before + core[:, None]) + behind[:, ::-1] + d.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return keys, (d <= n_before[:, None]) & (SIDE - d <= n_behind[:, None])
+class _Around:
+    """The windows around the cores of some rows, by the number d of bytes before the core."""
+
+    def __init__(self, core: np.ndarray, left: pa.Array, right: pa.Array) -> None:
+        self.core = core
+        self.before, self.n_before = _prefixes(left, True, _LEFT)
+        self.behind, self.n_behind = _prefixes(right, False, _RIGHT)
+
+    def keys(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that have a window with d bytes before the core, and the hashes of these windows."""
+        rows = np.flatnonzero((d <= self.n_before) & (SIDE - d <= self.n_behind))
+        return rows, mix(mix(self.before[rows, d] + self.core[rows]) + self.behind[rows, SIDE - d] + np.uint64(d) * np.uint64(0xD6E8FEB86659FD93 >> 8))
 
 
 def _sorted(core: np.ndarray, around: np.ndarray, n: np.ndarray, left: pa.Array, right: pa.Array) -> tuple[np.ndarray, ...]:
     """(core, around, most, least) of the rows of which some window occurs again; rows hold all of their cores."""
-    keys, ok = _keys(core, left, right)
-    again = ok & (n > 1)[:, None]  # equal surroundings: all their windows
+    windows = _Around(core, left, right)
+    most, least = np.full(len(core), -1), np.full(len(core), SPAN)
     for d in range(SPAN):
-        rows = np.flatnonzero(ok[:, d])
-        order = rows[np.argsort(keys[rows, d], kind="stable")]
-        same = keys[order[1:], d] == keys[order[:-1], d]
-        again[order[1:][same], d] = True
-        again[order[:-1][same], d] = True
-    hit = again.any(1)
-    most = SPAN - 1 - again[hit][:, ::-1].argmax(1)
-    return core[hit], around[hit], most, again[hit].argmax(1)
+        rows, keys = windows.keys(d)
+        order = np.argsort(keys, kind="stable")
+        same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+        again = n[rows] > 1  # equal surroundings: all their windows
+        again[order[same]] = again[order[same + 1]] = True
+        most[rows[again]] = d
+        least[rows[again]] = np.minimum(least[rows[again]], d)
+    hit = most >= 0
+    return core[hit], around[hit], most[hit], least[hit]
 
 
 _WINDOWS = "core long, around long, most int, least int"
@@ -241,12 +251,14 @@ def _hot_windows(contexts: DataFrame) -> DataFrame:
     once = contexts.groupBy("core", "around").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                keys, ok = _keys(column(batch, "core").to_numpy().view(np.uint64), column(batch, "left"), column(batch, "right"))
-                row, d = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(column(batch, c).to_numpy()[row]) for c in ("core", "around", "n")] + [pa.array(d.astype(np.int32)), pa.array(keys[row, d].view(np.int64))], names=["core", "around", "n", "d", "key"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            core, around, n = (column(batch, c).to_numpy() for c in ("core", "around", "n"))
+            windows = _Around(core.view(np.uint64), column(batch, "left"), column(batch, "right"))
+            for d in range(SPAN):
+                row, keys = windows.keys(d)
+                yield pa.RecordBatch.from_arrays([pa.array(core[row]), pa.array(around[row]), pa.array(n[row]), pa.array(np.full(len(row), d, np.int32)), pa.array(keys.view(np.int64))], names=["core", "around", "n", "d", "key"])
 
     rows = once.mapInArrow(spread, "core long, around long, n long, d int, key long")
     again = rows.groupBy("d", "key").agg(F.sum("n").alias("m")).filter("m > 1").withColumnsRenamed({"d": "a_d", "key": "a_key"})
@@ -263,20 +275,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     long = own.filter(F.octet_length("text") >= LENGTH)
     repeated = save(_count_cores(long), "cores")
-    bits = spark.sparkContext.broadcast(_filter(repeated))
-    contexts = _contexts(long, bits)
-    hot = repeated.filter(F.col("m") > HOT).select(F.col("core").alias("hot"))
+    hot = repeated.filter(F.col("m") > HOT)
+    bits = spark.sparkContext.broadcast((_filter(repeated, FILTER_BITS), _filter(hot, HOT_BITS)))
+    found = _windows(_contexts(long, bits, False))
     if hot.head(1):
-        found = _windows(contexts.join(hot, F.col("core") == F.col("hot"), "left_anti")).unionByName(_hot_windows(contexts.join(hot, F.col("core") == F.col("hot"), "left_semi")))
-    else:
-        found = _windows(contexts)
+        found = found.unionByName(_hot_windows(_contexts(long, bits, True)))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
             data, offsets = flat(column(batch, "text"))
             total = _sums(data)
             at, h = cores(total, offsets)
-            keep = _passes(bits.value, h)
+            keep = _passes(bits.value[0], h)
             at, h = at[keep], h[keep]
             text, low, at, _, high = _sides(offsets, at)
             around = _around(total, low, at, high)
