@@ -318,7 +318,7 @@ def plain_removed(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [50_000, 1])
 def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = np.random.default_rng(4)
