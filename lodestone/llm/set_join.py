@@ -15,7 +15,8 @@ in every list, classes that are known to be connected need no comparison, and co
 2. Lists with classes that are still apart are scanned; the pairs of short lists are joined. Sizes and parity bitmaps
    (the bits of two sets differ in no more places than their members) drop nearly all pairs that are not similar; of the
    others a spanning forest leaves a long list.
-3. Forest edges are checked on the sets themselves, exactly. Lists with an edge that failed are scanned again, without it.
+3. Forest edges are checked on the sets themselves, exactly. Lists with an edge that failed are scanned again, without it
+   and with eight times as many pairs for an edge, so that the rounds are few.
 """
 
 from __future__ import annotations
@@ -209,13 +210,14 @@ class _Bitmaps:
         return out
 
 
-def _scan(members: dict[str, np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of one list that may be similar, are apart, and have not failed yet."""
+def _scan(members: dict[str, np.ndarray], rule: Rule, each: int) -> list[tuple[int, int]]:
+    """Pairs of one list that may be similar, are apart, and have not failed yet: a spanning forest of their components,
+    with up to ``each`` pairs for an edge."""
     order = np.argsort(members["n"], kind="stable")
     cls, label, n, side, bits, failed = (members[c][order] for c in ("cls", "label", "n", "side", "bits", "failed"))
     label, maps = label.copy(), _Bitmaps(rule, n, [np.frombuffer(x, np.uint8) for x in bits])
     high = np.searchsorted(n * rule.num, n * rule.den, side="right")  # the sets from here on are too large
-    edges = []
+    edges, found = [], {}
     for at in range(0, len(cls), AT_ONCE):
         own = np.arange(at, min(len(cls), at + AT_ONCE))
         count = high[own] - own - 1
@@ -228,11 +230,14 @@ def _scan(members: dict[str, np.ndarray], rule: Rule) -> list[tuple[int, int]]:
         for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
             if label[x] != label[y] and cls[y] not in (failed[x] or ()) and cls[x] not in (failed[y] or ()):
                 edges.append((int(cls[x]), int(cls[y])))
-                label[label == label[y]] = label[x]
+                ends = (min(label[x], label[y]), max(label[x], label[y]))
+                found[ends] = found.get(ends, 0) + 1
+                if found[ends] >= each:
+                    label[label == label[y]] = label[x]
     return edges
 
 
-def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, failed: DataFrame | None, rule: Rule) -> DataFrame:
+def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, failed: DataFrame | None, rule: Rule, each: int) -> DataFrame:
     """(key, a, b): what the scans of all lists with classes that are apart leave to be checked."""
     rows = entries
     if labels is not None:
@@ -250,10 +255,10 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
         pairs = pairs.join(failed, ["a", "b"], "left_anti")
     pairs = save(pairs, "pairs")  # at most SHORT / 2 a member
     kept = _filtered(pairs.select("a", "b").distinct(), classes, rule)
-    return pairs.join(kept, ["a", "b"], "left_semi").select("key", "a", "b").unionByName(_scanned(rows.filter(F.col("m") > SHORT), classes, failed, rule))
+    return pairs.join(kept, ["a", "b"], "left_semi").select("key", "a", "b").unionByName(_scanned(rows.filter(F.col("m") > SHORT), classes, failed, rule, each))
 
 
-def _scanned(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, rule: Rule) -> DataFrame:
+def _scanned(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, rule: Rule, each: int) -> DataFrame:
     """(key, a, b) from the lists of ``rows`` (key, cls, label, n, m), each read as a whole, or in blocks."""
     rows = rows.drop("n")
     own = classes.select(F.col("cls").alias("c"), "n", "bits")
@@ -278,7 +283,7 @@ def _scanned(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, rule
             whole = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("bits", "failed")}
             whole |= {c: np.array([*rows.column(c).to_pylist(), None], object)[:-1] for c in ("bits", "failed")}
             new = np.flatnonzero(np.append(True, (whole["key"][1:] != whole["key"][:-1]) | (whole["i"][1:] != whole["i"][:-1]) | (whole["j"][1:] != whole["j"][:-1])))
-            found = [(whole["key"][x], *edge) for x, y in zip(new.tolist(), [*new[1:].tolist(), rows.num_rows], strict=True) for edge in _scan({c: v[x:y] for c, v in whole.items()}, rule)]
+            found = [(whole["key"][x], *edge) for x, y in zip(new.tolist(), [*new[1:].tolist(), rows.num_rows], strict=True) for edge in _scan({c: v[x:y] for c, v in whole.items()}, rule, each)]
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([min(f[1:]) for f in found], pa.int64()), pa.array([max(f[1:]) for f in found], pa.int64())], names=["key", "a", "b"])
 
         for batch in batches:
@@ -400,9 +405,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
     stars = entries.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     checked = _checked(save(_filtered(stars, classes, rule), "pairs"), own, rule, levels)
     links, failed, keys = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b"), entries.select("key", "cls")
-    labels = components(links)
+    labels, each = components(links), 1
     while True:
-        forest = save(_forest(keys, classes, labels, failed, rule), "forest")
+        forest = save(_forest(keys, classes, labels, failed, rule, each), "forest")
         if not forest.head(1):
             break
         checked = _checked(save(forest.select("a", "b").distinct(), "pairs"), own, rule, levels)
@@ -413,7 +418,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
             break
         failed = failed.union(wrong)
         again = forest.join(wrong, ["a", "b"], "left_semi").select(F.col("key").alias("k")).distinct()
-        keys = save(keys.join(again, F.col("key") == F.col("k"), "left_semi"), "keys")
+        keys, each = save(keys.join(again, F.col("key") == F.col("k"), "left_semi"), "keys"), 8 * each
 
     of = classes.select("cls", "low").join(labels, F.col("cls") == F.col("v"), "left").select(F.col("cls").alias("c"), F.coalesce("label", "cls").alias("label"), "low")
     lows = of.groupBy(F.col("label").alias("l")).agg(F.min("low").alias("component_id"))
