@@ -17,14 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The files go when the driver ends.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, whose files go when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
