@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column
+from lodestone.sources.shared import folder
 
 #: Query vectors in one block, those of them in one tile, and candidates in one tile.
 BLOCK, ROWS, TILE = 8192, 512, 1024
 #: Numbers in one block's vectors at most: the size bound of what is broadcast.
 BLOCK_NUMBERS = 8_000_000
+#: Blocks in one job; more blocks are written job by job, so that no plan grows with the queries.
+WAVE = 16
 
 
 def vectors(df: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -106,28 +109,38 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame
 
     Both tables are (id, v) as vectors() makes them. A candidate with the query's own id does not count, nor do
     vectors of another length than the query's. Queries without candidates give no row; fewer than k candidates give
-    all of them. A repeated id counts as often as it occurs among the candidates, and once among the queries.
+    all of them. A repeated id counts as often as it occurs among the candidates, and once among the queries, with
+    its smallest vector.
     """
     spark = candidates.sparkSession
-    queries = queries.dropDuplicates(["id"])
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     size = max(1, min(BLOCK, BLOCK_NUMBERS // max(1, width or 1)))
     n_blocks = max(1, -(-n // size))
-    parts = []
-    for b in range(n_blocks):  # each block is one pass over the candidates; its size does not grow with the data
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
-        held = spark.sparkContext.broadcast([(ids, x) for batch in rows.to_batches() for ids, x in _matrix(batch)])
 
-        def tiles(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            blocks = [Rows(i[at : at + ROWS], x[at : at + ROWS], k) for i, x in held.value for at in range(0, len(i), ROWS)]
+    def best(parts: list[DataFrame]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return reduce(DataFrame.unionByName, parts).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def block(b: int) -> DataFrame:  # one pass over the candidates
+        table = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
+        held = spark.sparkContext.broadcast([(ids, x) for batch in table.to_batches() for ids, x in _matrix(batch)])
+
+        def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [Rows(i[at : at + ROWS], x[at : at + ROWS], k) for i, x in held.value for at in range(0, len(i), ROWS)]
             for batch in batches:
                 for ids, x in _matrix(batch):
                     for at in range(0, len(ids), TILE):
-                        for block in blocks:
-                            if block.x.shape[1] == x.shape[1]:
-                                block.meet(ids[at : at + TILE], x[at : at + TILE])
-            yield from (block.rows() for block in blocks)
-
-        parts.append(candidates.mapInArrow(tiles, "query_id long, vec_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        for own in rows:
+                            if own.x.shape[1] == x.shape[1]:
+                                own.meet(ids[at : at + TILE], x[at : at + TILE])
+            yield from (own.rows() for own in rows)
+
+        return candidates.mapInArrow(tiles, "query_id long, vec_id long, score double")
+
+    if n_blocks <= WAVE:
+        return best([block(b) for b in range(n_blocks)])
+    path = folder(spark, "nearest")
+    for first in range(0, n_blocks, WAVE):
+        best([block(b) for b in range(first, min(first + WAVE, n_blocks))]).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -235,8 +235,10 @@ def test_clean(spark, docs, rows):
 # 5. neighbours
 
 
-def test_nearest(spark, monkeypatch):
+@pytest.mark.parametrize("wave", [16, 2])
+def test_nearest(spark, monkeypatch, wave):
     monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "WAVE", wave)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 8)).astype(np.float32)
     x[40] = x[41] = x[42]
