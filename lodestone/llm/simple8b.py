@@ -51,7 +51,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         other = most[count - have]
         most[count] = m = most[have].copy()
         np.maximum(m[:, :-have], other[:, have:], out=m[:, :-have])
-        np.copyto(best, np.uint8(selector), where=m <= bits)
+        usable = m <= bits
+        if not usable.any():  # then no longer stretch has smaller numbers
+            break
+        np.copyto(best, np.uint8(selector), where=usable)
     # follow each block from word to word, all blocks together
     left = np.full(n_blocks, BLOCK)
     if n_blocks:

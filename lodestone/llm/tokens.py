@@ -36,8 +36,8 @@ class Encoder:
     """
 
     #: Remembered pieces; beyond it the memory starts anew.
-    MOST = 1_000_000
-    _SLOTS = 1 << 21
+    MOST = 1_500_000
+    _SLOTS = 1 << 22
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
