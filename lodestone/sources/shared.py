@@ -30,3 +30,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done; it does so when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
