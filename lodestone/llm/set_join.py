@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import column, flat, in_rows, lists, save
 from lodestone.llm.words import NOT_SPACE, bounds, chained, first_of_text, hashes, mix
 from lodestone.operators.components import components
+from lodestone.sources.shared import tidy
 
 #: Bits of the buckets whose loads tell rare from frequent shingles, and chunks in which their counts are summed.
 BUCKET_BITS, CHUNKS = 18, 64
@@ -247,6 +248,7 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
     apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low <> high").select("k", "m")
     rows = rows.join(apart, F.col("key") == F.col("k")).drop("k").join(classes.select(F.col("cls").alias("c"), "n"), F.col("cls") == F.col("c")).drop("c")
     rows = save(rows, "apart")
+    tidy(rows.sparkSession)
     short = rows.filter(F.col("m") <= SHORT).drop("m")
     a, b = (short.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "label", "n"))) for s in "ab")
     similar = (F.least("a_n", "b_n") * rule.den >= F.greatest("a_n", "b_n") * rule.num) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_label") != F.col("b_label"))
@@ -396,11 +398,13 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
     levels = spark.sparkContext.broadcast(_levels(own, rule))
     rows = save(_sets(own, rule, levels), "sets")
     classes = save(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits")), "classes")
+    tidy(spark)
     sizes = {r["n"]: r["m"] for r in classes.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
     seen = classes.groupBy(F.col("head")[0]).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
     entries = _keys(classes, rule, boundary(sizes, float(seen or 1), rule))
     shared = entries.groupBy(F.col("key").alias("k")).agg(F.min("cls").alias("hub"), F.max("cls").alias("high")).filter("hub <> high").select("k", "hub")
     entries = save(entries.join(shared, F.col("key") == F.col("k")).select("key", "cls", "hub"), "entries")
+    tidy(spark)
 
     stars = entries.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     checked = _checked(save(_filtered(stars, classes, rule), "pairs"), own, rule, levels)
@@ -408,6 +412,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
     labels, each = components(links), 1
     while True:
         forest = save(_forest(keys, classes, labels, failed, rule, each), "forest")
+        tidy(spark)
         if not forest.head(1):
             break
         checked = _checked(save(forest.select("a", "b").distinct(), "pairs"), own, rule, levels)
