@@ -8,8 +8,8 @@ repeated windows. So that a pass need not move a row for every byte, digits are
    have their cores at equal places, so only core places (about two in SPAN) are rows, each for all windows around it.
    The first digit is the core; cores that occur once in the whole corpus leave.
 2. The second digit is the d bytes before the core and the third the LENGTH - CORE - d bytes behind it, for every d up to
-   SPAN - 1. Cores that are left move once, with the bytes around them, to the task of their core, which makes these
-   passes. For each place it remembers the largest and the smallest d whose window occurs again: everything between
+   SPAN - 1. Cores that are left move once to the task of their core, which makes these passes; the bytes around them
+   move only if they differ. For each place it remembers the largest and the smallest d whose window occurs again: everything between
    the two windows is covered, since all windows around a place hold its core.
 
 Rows of one core whose surroundings are equal count as one before they move. Cores with more than HOT different
@@ -36,6 +36,8 @@ SIDE = LENGTH - CORE
 FILTER_BITS = 1 << 27
 #: The same for cores that one task should not sort; what it lets through besides is sorted the other way, to the same end.
 HOT_BITS = 1 << 20
+#: The same for cores with several surroundings; only these move with the bytes around them.
+SEVERAL_BITS = 1 << 25
 #: Different surroundings of one core that one task sorts at most, and rows that it sorts at once.
 HOT, ROWS = 50_000, 4096
 _LEFT, _RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -97,7 +99,8 @@ def _around(total: np.ndarray, low: np.ndarray, at: np.ndarray, high: np.ndarray
 
 
 def _count_cores(docs: DataFrame) -> DataFrame:
-    """(core, n, m) of the cores that occur again; m: at least the number of their different surroundings.
+    """(core, n, m, low, high) of the cores that occur again; m: at least the number of their different surroundings, of
+    which low and high are the smallest and the largest hash.
 
     m counts equal surroundings once a batch, so copies hardly add to it.
     """
@@ -109,11 +112,17 @@ def _count_cores(docs: DataFrame) -> DataFrame:
             at, h = cores(total, offsets)
             _, low, _, _, high = _sides(offsets, at)
             keys, n = np.unique(h, return_counts=True)
-            _, first = np.unique(_around(total, low, at, high), return_index=True)
-            m = np.bincount(np.searchsorted(keys, h[first]), minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], names=["core", "n", "m"])
+            around, first = np.unique(_around(total, low, at, high).view(np.int64), return_index=True)
+            of = np.searchsorted(keys, h[first])
+            order = np.argsort(of, kind="stable")  # by core, then by surrounding
+            around, of = around[order], of[order]
+            ends = np.searchsorted(of, np.arange(len(keys) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), pa.array(around[ends[:-1]]), pa.array(around[ends[1:] - 1])], names=["core", "n", "m", "low", "high"]
+            )
 
-    return docs.select("text").mapInArrow(count, "core long, n int, m int").groupBy("core").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1")
+    counts = docs.select("text").mapInArrow(count, "core long, n int, m int, low long, high long").groupBy("core")
+    return counts.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1")
 
 
 def _filter(cores_: DataFrame, n_bits: int) -> np.ndarray:
@@ -131,12 +140,15 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-_CONTEXT = "core long, around long, n int, left binary, right binary"
+_CONTEXT = "core long, around long, n int, before int, behind int, left binary, right binary"
 
 
 def _contexts(docs: DataFrame, bits, hot: bool) -> DataFrame:
-    """Cores that may repeat, with the bytes around them: one row for equal ones of a batch. bits: the two filters;
-    hot: of the cores that pass the second one, or of the others."""
+    """Cores that may repeat: one row for those of a batch with equal surroundings, with how many bytes stand around them.
+
+    bits: the filters; hot: of the cores that pass the second one, or of the others. The bytes themselves are in rows of
+    cores that pass the third one: a core with one surrounding needs none.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches, "text"):
@@ -150,10 +162,14 @@ def _contexts(docs: DataFrame, bits, hot: bool) -> DataFrame:
             _, low, at, end, high = _sides(offsets, at)
             around, first, n = np.unique(_around(total, low, at, high), return_index=True, return_counts=True)
             raw = data.tobytes()
-            left = [raw[a:b] for a, b in zip(low[first].tolist(), at[first].tolist(), strict=True)]
-            right = [raw[a:b] for a, b in zip(end[first].tolist(), high[first].tolist(), strict=True)]
+            low, at, end, high = low[first], at[first], end[first], high[first]
+            several = _passes(bits.value[2], h[first])
+            left = [raw[a:b] if x else b"" for a, b, x in zip(low.tolist(), at.tolist(), several.tolist(), strict=True)]
+            right = [raw[a:b] if x else b"" for a, b, x in zip(end.tolist(), high.tolist(), several.tolist(), strict=True)]
+            sizes = [pa.array((at - low).astype(np.int32)), pa.array((high - end).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(around.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["core", "around", "n", "left", "right"]
+                [pa.array(h[first].view(np.int64)), pa.array(around.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32)), *sizes, pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["core", "around", "n", "before", "behind", "left", "right"],
             )
 
     return docs.select("text").mapInArrow(cut, _CONTEXT)
@@ -220,9 +236,13 @@ def _windows(contexts: DataFrame) -> DataFrame:
             n = np.add.reduceat(column(rows, "n").to_numpy(), first)
             core, around = core[first], around[first]
             own = np.diff(np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core)))
-            keep = ~((np.repeat(own, own) == 1) & (n == 1))  # a core with one surrounding that occurs once is alone
-            take = pa.array(first[keep])
-            out = _sorted(core[keep], around[keep], n[keep], column(rows, "left").take(take), column(rows, "right").take(take))
+            single = np.repeat(own, own) == 1
+            take = pa.array(first[~single])
+            out = _sorted(core[~single], around[~single], n[~single], column(rows, "left").take(take), column(rows, "right").take(take))
+            # a core with one surrounding: all windows that it has room for, if it occurs again
+            before, behind = (np.minimum(column(rows, c).to_numpy()[first], SIDE) for c in ("before", "behind"))
+            again = single & (n > 1) & (before + behind >= SIDE)
+            out = [np.concatenate([x, y[again]]) for x, y in zip(out, (core, around, before, SIDE - behind), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64)), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))], names=["core", "around", "most", "least"])
 
         def joined() -> pa.RecordBatch:
@@ -275,8 +295,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     long = own.filter(F.octet_length("text") >= LENGTH)
     repeated = save(_count_cores(long), "cores")
-    hot = repeated.filter(F.col("m") > HOT)
-    bits = spark.sparkContext.broadcast((_filter(repeated, FILTER_BITS), _filter(hot, HOT_BITS)))
+    hot, several = repeated.filter(F.col("m") > HOT), repeated.filter("low <> high")
+    bits = spark.sparkContext.broadcast((_filter(repeated, FILTER_BITS), _filter(hot, HOT_BITS), _filter(several.unionByName(hot), SEVERAL_BITS)))
     found = _windows(_contexts(long, bits, False))
     if hot.head(1):
         found = found.unionByName(_hot_windows(_contexts(long, bits, True)))
