@@ -126,17 +126,20 @@ def _count_cores(docs: DataFrame) -> DataFrame:
 
 
 def _filter(cores_: DataFrame, n_bits: int) -> np.ndarray:
-    """A bitmap of n_bits (a power of two) of the cores: of fixed size, however many they are."""
-    shift = 65 - n_bits.bit_length()
-    place = F.shiftrightunsigned("core", shift)
-    words = cores_.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(core, {shift}) & 63 as int))")).alias("bits")).toArrow()
+    """A bitmap of n_bits (a power of two) of the cores: of fixed size, however many they are.
+
+    A core's place is its low bits without the last, which is always set: cores are minima, so their top bits are mostly 0.
+    """
+    place = F.shiftrightunsigned("core", 1).bitwiseAND(F.lit(n_bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = cores_.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(n_bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(65 - (64 * len(bits)).bit_length())
+    place = (h >> np.uint64(1)) & np.uint64(64 * len(bits) - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -146,8 +149,8 @@ _CONTEXT = "core long, around long, n int, before int, behind int, left binary,
 def _contexts(docs: DataFrame, bits, hot: bool) -> DataFrame:
     """Cores that may repeat: one row for those of a batch with equal surroundings, with how many bytes stand around them.
 
-    bits: the filters; hot: of the cores that pass the second one, or of the others. The bytes themselves are in rows of
-    cores that pass the third one: a core with one surrounding needs none.
+    bits: the filters; hot: of the cores that pass the second one, or of the others. The bytes themselves are in all rows
+    of the former and in rows of cores that pass the third filter: elsewhere a core with one surrounding needs none.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def _contexts(docs: DataFrame, bits, hot: bool) -> DataFrame:
             around, first, n = np.unique(_around(total, low, at, high), return_index=True, return_counts=True)
             raw = data.tobytes()
             low, at, end, high = low[first], at[first], end[first], high[first]
-            several = _passes(bits.value[2], h[first])
+            several = _passes(bits.value[2], h[first]) | hot
             left = [raw[a:b] if x else b"" for a, b, x in zip(low.tolist(), at.tolist(), several.tolist(), strict=True)]
             right = [raw[a:b] if x else b"" for a, b, x in zip(end.tolist(), high.tolist(), several.tolist(), strict=True)]
             sizes = [pa.array((at - low).astype(np.int32)), pa.array((high - end).astype(np.int32))]

@@ -336,6 +336,28 @@ def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, hot):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_repeated_bytes_beside_hot_cores(spark, monkeypatch):
+    """Exact copies whose cores share places in the filter of hot cores."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT_BITS", 64)
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdef "), n))
+    shared = text(500)
+    made = [(k, text(50) + shared + text(50)) for k in range(6)]  # hot: the cores' surroundings differ
+    made += [(100 + k, t) for k in range(40) for t in [text(700)] * 2]  # one surrounding a core
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], bytes(r["kept"]), r["n_bytes"], len(r["spans"]) // 2) for r in suffix_dedup.dedup_bytes(df).collect()]
+    want = plain_removed([t for _, t in made], 400)
+    assert multiset(got) == multiset((d, *w) for (d, _), w in zip(made, want, strict=True))
+
+
+def test_places_in_the_filter_are_even():
+    """Cores are minima of many hashes; a filter of as many bits as cores holds about 63 % of its places, not a few."""
+    h = np.random.default_rng(6).integers(0, 1 << 64, (4096, 200), np.uint64).min(1) | np.uint64(1)
+    used = sum(bool(suffix_dedup._passes(np.array([1 << b if w == k else 0 for k in range(64)], np.uint64), h).any()) for w in range(64) for b in range(64))
+    assert used > 2400
+
+
 # 8. language model
 
 
