@@ -631,7 +631,7 @@ def answerability(read):
 
 @query(r"""SELECT page_id, sha256(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_sha256, regexp_replace(url, '(?i)(token|secret)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g') AS safe_url FROM pages""")
 def escape_and_redact(read):
-    return read("pages").select("page_id", F.sha2(markup.escape_html(F.left("html", F.lit(500))), 256).alias("escaped_sha256"), text.redact(F.col("url")).alias("safe_url"))
+    return read("pages").select("page_id", F.sha2(markup.escape_html(F.col("html")), 256).alias("escaped_sha256"), text.redact(F.col("url")).alias("safe_url"))
 
 
 @query("""

@@ -1,6 +1,8 @@
 """Operators on small fixtures, and every query against its SQL on the smallest tables."""
 
 import datetime
+import hashlib
+import html
 import os
 
 import duckdb
@@ -46,6 +48,14 @@ def test_query_equals_sql(spark, tables, name):
     assert mine == theirs
 
 
+def test_whole_pages_are_escaped(spark, tmp_path):
+    page = "<p>" + "a" * 600 + '</p><a href="x">R&D</a>'
+    spark.createDataFrame([(1, "http://x/?token=abc", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = plans.QUERIES["escape_and_redact"](spark, str(tmp_path)).first()
+    assert got["escaped_sha256"] == hashlib.sha256(html.escape(page, quote=True).encode()).hexdigest()
+    assert got["safe_url"] == "http://x/?token=[REDACTED]"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
