@@ -56,6 +56,17 @@ def test_whole_pages_are_escaped(spark, tmp_path):
     assert got["safe_url"] == "http://x/?token=[REDACTED]"
 
 
+def test_whole_quotes_are_looked_for(spark, tmp_path):
+    item = "the company shall pay the remaining amount by the end of the quarter"
+    docs = [(1, f"first {item} last"), (2, f"{item[:45]} and nothing else"), (3, f"{item[:50]} another remainder"), (4, "nothing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, item), (8, f"{item[:45]} which no document has")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path))
+    assert rows(run("quote_containment"), "item_id", "doc_id") == [(7, 1)]
+    assert run("retrieval_metrics").first()["n_queries"] == 1
+    assert rows(run("retrieval_ndcg"), "item_id", "ndcg") == [(7, 1.0)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
