@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from lodestone.functions.text import tokens
 from lodestone.functions.vocabulary import METHOD_PARTS
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Vectors in one block of a dense search, and numbers in them, at most.
+BLOCK, BLOCK_NUMBERS = 2048, 1_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,13 +47,80 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
+def _packed(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Blocks of vectors of a bounded size, one a row, without a shuffle: (name_keys, name_sizes, name_data), numbers as bytes.
+
+    Vectors that are null, empty or hold a null have size 0. Rows without a key are left out.
+    """
+    whole = F.when(~F.exists(value, lambda x: x.isNull()), F.col(value).cast("array<double>"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), whole.alias("v"))
+    names = [f"{name}_keys", f"{name}_sizes", f"{name}_data"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, v = batch.column(0).to_numpy(), batch.column(1)
+            sizes = v.value_lengths().fill_null(0).to_numpy().astype(np.int32)
+            data, ends = v.flatten().to_numpy(), np.append(0, np.cumsum(sizes, dtype=np.int64))
+            n = max(1, min(BLOCK, BLOCK_NUMBERS // max(1, int(sizes.max(initial=0)))))
+            for a in range(0, len(keys), n):
+                z = min(a + n, len(keys))
+                row = (keys[a:z], sizes[a:z], data[ends[a] : ends[z]])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=names)
+
+    return rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+
+
+_NULL, _NAN, _SAME = -2.0, 2.0, -3.0  # stand for scores; a cosine lies between
+
+
+def _scores(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], digits: int) -> np.ndarray:
+    """Rounded cosines of two blocks, (keys, sizes, data) each, by query and candidate."""
+    out = np.full((len(q[0]), len(c[0])), _NULL)
+    for d in np.intersect1d(q[1], c[1]):
+        if not d:
+            continue
+        at = [np.flatnonzero(x[1] == d) for x in (q, c)]
+        a, b = (x[2][np.repeat(x[1] == d, x[1])].reshape(-1, d) for x in (q, c))
+        with np.errstate(all="ignore"):
+            norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+            s = (a @ b.T) / norms
+            s = np.sign(s) * np.floor(np.abs(s) * 10**digits + 0.5) / 10**digits
+        s[np.isnan(s)] = _NAN
+        s[norms == 0] = _NULL
+        out[np.ix_(*at)] = s
+    out[q[0][:, None] == c[0]] = _SAME
+    return out
+
+
 def dense(vectors: DataFrame, key: str, value: str, queries: DataFrame, query_key: str, query_value: str, k: int, digits: int = 6) -> DataFrame:
-    """(query, key, rank, score) by cosine. ``queries`` is a stated set of a few hundred vectors at most and is broadcast;
-    for more, neighbours of the training-data operators go block by block."""
-    q = queries.select(F.col(query_key).alias("q"), F.col(query_value).alias("qv"))
-    rows = vectors.select(key, value).join(F.broadcast(q), F.col(key) != F.col("q")).withColumn("score", F.round(cosine(F.col("qv"), F.col(value)), digits))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc_nulls_last(), key))
-    return rows.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), key, "rank", "score")
+    """(query, key, rank, score) by cosine, exactly, for any number of queries; keys are whole numbers.
+
+    Every block of queries meets every block of vectors; a pair of blocks gives the k best of each query, which are ranked
+    together. No block is larger than a bound, and none is collected.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(6)), strict=True):
+                x = [np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, (np.int64, np.int32, np.float64) * 2, strict=True)]
+                s = _scores(tuple(x[:3]), tuple(x[3:]), digits)
+                order = np.argsort(x[3], kind="stable")  # so that the first of equal scores has the smaller key
+                s, keys = s[:, order], x[3][order]
+                keep = s > _SAME
+                if s.shape[1] > k:
+                    least = np.partition(s, -k, axis=1)[:, -k, None]
+                    above, ties = s > least, s == least
+                    keep &= above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+                r, c = np.nonzero(keep)
+                found = np.where(s[r, c] == _NAN, np.nan, s[r, c])
+                yield pa.RecordBatch.from_arrays([pa.array(x[0][r]), pa.array(keys[c]), pa.array(found, mask=found == _NULL)], names=["q", "c", "score"])
+
+    pairs = _packed(queries, query_key, query_value, "q").crossJoin(_packed(vectors, key, value, "c"))
+    rows = pairs.mapInArrow(best, "q long, c long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc_nulls_last(), "c"))
+    kinds = {query_key: queries.schema[query_key].dataType, key: vectors.schema[key].dataType}
+    ranked = rows.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").cast(kinds[query_key]).alias(query_key), F.col("c").cast(kinds[key]).alias(key), "rank", "score")
 
 
 def rrf(lists: list[DataFrame], query_key: str, key: str, k: int, constant: int = RRF_K, digits: int = 6) -> DataFrame:

@@ -438,7 +438,7 @@ def policy_guard(read):
 """)
 def dense_topk(read):
     v = read("embeddings")
-    return retrieval.dense(v, "vec_id", "embedding", v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")), "query_id", "e", 10)
+    return retrieval.dense(v, "vec_id", "embedding", v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")), "query_id", "e", 10)
 
 
 _BM25 = f"""

@@ -67,6 +67,28 @@ def test_whole_quotes_are_looked_for(spark, tmp_path):
     assert rows(run("retrieval_ndcg"), "item_id", "ndcg") == [(7, 1.0)]
 
 
+def test_every_vector_is_searched(spark, tables, tmp_path):
+    got = rows(plans.QUERIES["dense_topk"](spark, SF), "query_id", "rank", "vec_id", "score")
+    every = plans.ORACLE_SQL["dense_topk"].replace("WHERE vec_id < 10", "")
+    want = tables.sql(f"SELECT query_id, rank, vec_id, score FROM ({every})").fetchall()
+    assert [[normal(v) for v in r] for r in got] == [[normal(v) for v in r] for r in sorted(want, key=repr)]
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_dense_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    made = [(i, [float(i % 4), 1.0, float(-i)]) for i in range(12)] + [(20, None), (21, []), (22, [0.0, 0.0, 0.0]), (23, [1.0, None, 2.0]), (24, [1.0, 2.0]), (25, [2.0, 4.0]), (30, [0.0, 2.0, 0.0]), (31, [0.0, 4.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(2)
+    q = v.select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
+    pairs = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(retrieval.cosine(F.col("e"), F.col("embedding")), 6).alias("score"))
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r["q"], []).append((r["score"] is None, -(r["score"] or 0.0), r["vec_id"]))
+    want = sorted((k, i + 1, x[2], None if x[0] else 0.0 - x[1]) for k, xs in want.items() for i, x in enumerate(sorted(xs)[:5]))
+    got = retrieval.dense(v, "vec_id", "embedding", q, "q", "e", 5).collect()
+    assert sorted(((r["q"], r["rank"], r["vec_id"], r["score"]) for r in got), key=lambda r: r[:3]) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
