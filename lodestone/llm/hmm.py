@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import column, flat, in_rows, lists, save
 from lodestone.llm.words import NOT_SPACE, bounds, first_of_text, hashes, mix
 
-STATES, MOST_FREQUENT, CLASSES, ROUNDS = 8, 1024, 1024, 2
-#: Tokens (about) and rounds of the start, which breaks the symmetry of the states before all texts are counted.
-START_TOKENS, START_ROUNDS = 400_000, 20
+#: Every round counts all training texts.
+STATES, MOST_FREQUENT, CLASSES, ROUNDS = 8, 1024, 1024, 22
 #: Tokens' worth of class weights that each state's emissions are smoothed by.
 PRIOR = 1000
 #: Chance that a state stays, before training.
@@ -227,17 +226,13 @@ def _expected(model: Model, raw: pa.Array) -> np.ndarray:
 def train(coded: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows of ``coded`` that are not held out; counts of a fixed number are summed by Spark.
 
-    It starts from a model of about START_TOKENS tokens' texts, chosen by a hash; then each round counts every text.
+    Each round counts every text, from the first on.
     """
     spark, model = coded.sparkSession, Model.first(weights)
     texts = coded.filter(~F.col("held_out"))
     total = texts.agg(F.sum("n_tokens")).first()[0]
     if not total:
         return model
-    share = max(1, total // START_TOKENS)
-    sample = texts.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("codes").toArrow()
-    for _ in range(START_ROUNDS if sample.num_rows else 0):
-        model = model.better(_expected(model, pa.concat_arrays(sample.column("codes").chunks)), weights)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((model.start, model.step, model.emit))
 

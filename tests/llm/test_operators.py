@@ -385,6 +385,15 @@ def test_hmm_with_a_small_head(docs, monkeypatch):
     assert key(small) == whole and all(math.isfinite(r["score"]) for r in small)
 
 
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    """Every round of the training counts all texts, whatever numbers their rows get."""
+    monkeypatch.setattr(hmm, "START_TOKENS", 2000, raising=False)
+    key = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in hmm.score(df, F.col("doc_id") % 5 == 1).collect())
+    one, other = key(docs.coalesce(1)), key(docs.repartition(5, "doc_id"))
+    assert [x[:2] for x in one] == [x[:2] for x in other]
+    assert [x[2] for x in one] == pytest.approx([x[2] for x in other], rel=1e-6)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(0)
     k, m = hmm.STATES, 5
