@@ -14,15 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.sources.shared import save, shared_dir
 
-__all__ = ["column", "flat", "in_rows", "lists", "save", "shared_dir", "table"]
+__all__ = ["column", "flat", "in_rows", "lists", "save", "shared_dir", "small_batches", "table"]
 
-#: Rows in one Arrow batch. Texts are long, so batches stay well below Spark's default of 10,000 rows.
-BATCH_ROWS = 1024
+#: Rows and bytes in one Arrow batch. Texts are long, so batches stay well below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read by Spark alone."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that a Python worker holds little at a time; a longer row stands alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the input tables, read by Spark alone. The session's Arrow batches are small from then on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
