@@ -1,6 +1,6 @@
 """Token ids: text through a public tokenizer into Simple-8b files, and back.
 
-The files are rows of a Parquet table (part, seq, n_ids, file), so they can stand in any store that Spark writes to and
+The files are rows of a Parquet table (part, seq, before, n_ids, file), so they can stand in any store that Spark writes to and
 a lost executor's half-written ones never count; ``file`` is a whole file of simple8b.py.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,9 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: First bytes of white space other than the plain one, and of special tokens.
         self.rare = np.zeros(256, bool)
@@ -95,26 +93,20 @@ class Encoder:
             left, slot = left[more], (slot[more] + 1) & (self._SLOTS - 1)
         return out
 
-    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        led = np.array([p[0] == "\n" for p in pieces])
-        # Letters, after a space or not, are one word to the pattern, so the tokenizer need not apply it.
-        word = np.array([(p[1:] if p[0] in " \n" else p).isalpha() and max(p) < "\u0250" for p in pieces])
-        parts, first, size, ahead = [self.ids], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.ids)
-        of = np.flatnonzero(word)
-        ids = [e.ids for e in self.plain.encode_batch_fast([pieces[k].lstrip("\n") for k in of.tolist()], add_special_tokens=False)]
-        size[of] = [len(x) + 1 for x in ids]
-        first[of] = ahead + np.cumsum(size[of]) - size[of]
-        parts.append(np.fromiter(chain.from_iterable(chain((self.newline,), x) for x in ids), np.uint32, int(size[of].sum())))
-        ahead += len(parts[-1])
-        # The others are one text, a newline before each: what stands between two newline ids is a piece's ids.
-        of = np.flatnonzero(~word)
-        if len(of):
-            every = self.whole(["".join([p if p[0] == "\n" else "\n" + p for p in map(pieces.__getitem__, of.tolist())])])[0]
-            cut = np.flatnonzero(every == self.newline)
-            first[of], size[of] = ahead + cut, np.diff(np.append(cut, len(every)))
-            parts.append(every)
-        # every piece has a newline id before it, which belongs to those that begin with one
-        self.ids = np.concatenate(parts)
+    def _learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Remember the pieces data[start:end], whose hashes are h: they are one text to the tokenizer, a newline before
+        each that has none, so what stands between two newline ids is a piece's ids."""
+        led = data[start] == 10
+        size = end - start + ~led
+        ahead = np.cumsum(size)
+        inside = np.arange(ahead[-1]) - np.repeat(ahead - size, size)
+        joined = data[np.maximum(np.repeat(start - ~led, size) + inside, 0)]
+        joined[(ahead - size)[~led]] = 10
+        every = self.whole([joined.tobytes().decode()])[0]
+        cut = np.flatnonzero(every == self.newline)
+        first, size = len(self.ids) + cut, np.diff(np.append(cut, len(every)))
+        self.ids = np.concatenate([self.ids, every])
+        # the newline id belongs to those pieces that begin with one
         self.first, self.size = np.append(self.first, first + ~led), np.append(self.size, size - ~led)
         number, left, slot = np.arange(self.n, self.n + len(h)), np.arange(len(h)), (h & np.uint64(self._SLOTS - 1)).astype(np.int64)
         while len(left):
@@ -144,8 +136,7 @@ class Encoder:
         at = self._find(h)
         if len(new := np.flatnonzero(at < 0)):
             fresh, where = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
-            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[new[where]].tolist(), end[new[where]].tolist(), strict=True)])
+            self._learn(fresh, data, start[new[where]], end[new[where]])
             at[new] = self._find(h[new])
         size = self.size[at]
         ahead = np.cumsum(size)
@@ -159,23 +150,44 @@ class Encoder:
         return ids, counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder for ``path``, which remembers pieces from one task to the next."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+#: Bytes of text that one task encodes, about.
+TASK_BYTES = 64_000_000
+#: Parts whose places are broadcast at most, 16 bytes each.
+BROADCAST_PARTS = 1_000_000
+
+
 def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """Encode ``docs`` in ascending doc_id order into files, and return the table of files (part, seq, n_ids, file).
+    """Encode ``docs`` in ascending doc_id order into files, and return the table of files (part, seq, before, n_ids, file).
 
+    before: the ids of the part's files before it.
     Null text is empty, so it has the end id alone. Null ids come first; rows alike in doc_id come in the order of
     their text's hash. An empty table gives no file.
     """
     text = F.coalesce("text", F.lit(""))
-    n = max(1, docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", text.alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # the hash of the text besides: rows that share an id, or have none, are no single task
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, before, size = encoder_of(tokenizer), TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
 
         def done() -> pa.RecordBatch:
             doc_ids, counts, ids = [d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": len(ids), "file": simple8b.dump(doc_ids, counts, ids)}], schema=_FILES)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": len(ids), "file": simple8b.dump(doc_ids, counts, ids)}], schema=_FILES)
 
         for batch in in_rows(batches, "text", 2_500_000):
             ids, counts = encoder.encode(column(batch, "text"))
@@ -184,24 +196,26 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             size += len(ids)
             if size >= FILE_IDS:
                 yield done()
-                seq, size, held = seq + 1, 0, []
+                seq, before, size, held = seq + 1, before + size, 0, []
         if held:
             yield done()
 
-    return save(rows.mapInArrow(files, "part int, seq int, n_ids long, file binary"), "files")
+    return save(rows.mapInArrow(files, "part int, seq int, before long, n_ids long, file binary"), "files")
 
 
-_FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("file", pa.binary())])
+_FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("file", pa.binary())])
 
 
 def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; start counts the ids of all before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; start counts the ids of all before it.
+
+    The files move only if there are more than BROADCAST_PARTS parts.
+    """
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = files.select("part", "seq", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    places = places.join(F.broadcast(parts), F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("ahead") + F.col("inside")).alias("start"))
-    placed = files.join(places, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("start", "file")
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    small = parts.count() <= BROADCAST_PARTS
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    placed = files.join(F.broadcast(parts) if small else parts, F.col("part") == F.col("p")).select((F.col("ahead") + F.col("before")).alias("start"), "file")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
