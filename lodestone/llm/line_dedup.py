@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import column, save
 
 #: Characters taken off both ends of a line before it is compared.
-BLANK = r"[\x20\x09-\x0D]"
+BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,8 +27,8 @@ class Cuckoo:
     """A cuckoo filter: buckets of four 16-bit fingerprints, two possible buckets for a key.
 
     Keys are 64-bit hashes. ``insert`` places many keys at once: what does not fit into its first bucket tries the
-    second, then fingerprints are moved as in the sequential filter; keys that find no place after ``MOVES`` rounds
-    double the table. ``contains`` has no false negatives. ``delete`` takes out one fingerprint a key, so it is only
+    second, then fingerprints are moved as in the sequential filter; fingerprints that find no place after ``MOVES``
+    rounds are kept apart, exactly, in ``extra``. ``contains`` has no false negatives. ``delete`` takes out one fingerprint a key, so it is only
     for keys that were inserted.
     """
 
@@ -112,8 +112,9 @@ class Cuckoo:
 
 
 def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", ""), UPPER, LOWER)
+    """The line without blanks at its ends, A-Z lower-cased; ``lower`` does just that where all is ASCII."""
+    key = F.btrim(line, F.lit(BLANK))
+    return F.when(F.length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
 
 
 def lines(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -148,8 +149,10 @@ class LineIndex:
 
     #: Keys in one shard's filter when it is built; the filters have room for twice as many.
     SHARD_KEYS = 500_000
-    #: Filters of at most so many bytes are broadcast; beyond it lines go to the exact table unfiltered.
+    #: Filters of at most so many bytes are broadcast; beyond it lines and filters meet by shard.
     BROADCAST_BYTES = 64_000_000
+    #: Tasks that the lines of one shard are dealt to then, each with a copy of the shard's filter.
+    COPIES = 16
 
     def __init__(self, refs: DataFrame, least: int, twice: DataFrame | None = None, filters: DataFrame | None = None, n_built: int | None = None) -> None:
         self.refs, self.least = refs, least
@@ -160,7 +163,12 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, least: int = 10) -> LineIndex:
-        return cls(_counted(lines(docs, least).withColumn("n", F.lit(1)), "refs"), least)
+        return cls.of_lines(lines(docs, least), least)
+
+    @classmethod
+    def of_lines(cls, rows: DataFrame, least: int) -> LineIndex:
+        """The index of the documents that ``rows`` of lines() came from."""
+        return cls(_counted(rows.withColumn("n", F.lit(1)), "refs"), least)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -198,7 +206,7 @@ class LineIndex:
         """``rows`` of lines() whose key may be in ``twice``: all that are, and few others."""
         size = self.filters.agg(F.sum(F.length("cuckoo"))).first()[0] or 0
         if size > self.BROADCAST_BYTES:
-            return rows
+            return self._shared_by_shard(rows)
         n_shards = self.n_shards
         held = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cuckoo"]) for r in self.filters.collect()})
 
@@ -214,11 +222,46 @@ class LineIndex:
 
         return rows.mapInArrow(test, rows.schema)
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """``docs`` as (doc_id, text, n_lines, n_dropped) without the lines that a smaller doc_id of the index holds too."""
+    def _shared_by_shard(self, rows: DataFrame) -> DataFrame:
+        """As shared(), for filters of any total size: each shard's lines follow a copy of its filter through a task.
+
+        A task holds one filter and one batch of lines at a time, and a hot key's lines go to COPIES tasks.
+        """
+        shard, copy = F.pmod("k2", F.lit(self.n_shards)).cast("int"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(self.COPIES)).cast("int")
+        own = [F.col(c) for c in rows.columns]
+        sent = rows.select(shard.alias("of_shard"), copy.alias("copy"), F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("cuckoo"), *own)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        every = F.explode(F.sequence(F.lit(0), F.lit(self.COPIES - 1))).alias("copy")
+        sent = sent.unionByName(self.filters.select(F.col("shard").alias("of_shard"), every, F.lit(0).alias("turn"), "cuckoo", *none))
+        sent = sent.repartition("of_shard", "copy").sortWithinPartitions("of_shard", "copy", "turn")
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, cuckoo = -1, None
+            for batch in batches:
+                shard_, turn, k1 = (column(batch, c) for c in ("of_shard", "turn", "k1"))
+                shard_, keep = shard_.to_numpy(), np.zeros(batch.num_rows, bool)
+                k1 = k1.fill_null(0).to_numpy().view(np.uint64)
+                cuts = np.flatnonzero(np.append(True, shard_[1:] != shard_[:-1])).tolist()
+                for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                    filters = np.flatnonzero(turn.to_numpy()[a:b] == 0)
+                    if len(filters):
+                        now, cuckoo = shard_[a], Cuckoo.loads(column(batch, "cuckoo")[a + int(filters[0])].as_py())
+                    if cuckoo is not None and now == shard_[a]:
+                        keep[a:b] = cuckoo.contains(k1[a:b])
+                    keep[a:b][filters] = False
+                yield batch.filter(pa.array(keep)).select([f.name for f in rows_schema])
+
+        rows_schema = rows.schema
+        return sent.mapInArrow(test, rows_schema)
+
+    def dedup(self, docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+        """``docs`` as (doc_id, text, n_lines, n_dropped) without the lines that a smaller doc_id of the index holds too.
+
+        found: lines() of ``docs``, if they are there already.
+        """
         text = F.coalesce("text", F.lit(""))
         own = docs.select("doc_id", F.xxhash64(text).alias("h"), F.split(text, "\n", -1).alias("lines"))
-        rows = self.shared(lines(docs, self.least))
+        rows = self.shared(lines(docs, self.least) if found is None else found)
         # One row for a key and many for its lines: Spark splits a hot key's side of this join.
         gone = (
             rows.join(self.twice.withColumnsRenamed({"k1": "j1", "k2": "j2"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")))
@@ -242,4 +285,5 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     ``least`` code points never count. Rows that repeat a doc_id are one document and keep the same lines. Documents
     with a null doc_id are one document behind all others. An empty table gives an empty table.
     """
-    return LineIndex.build(docs, least).dedup(docs)
+    found = save(lines(docs, least), "lines")
+    return LineIndex.of_lines(found, least).dedup(docs, found)
