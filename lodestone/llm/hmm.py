@@ -6,8 +6,10 @@ over the whole text; the smoothed unigram counts give the probability of each to
 the model's probability of the text.
 
 Counts come from all training texts: unigram counts by one aggregation, and Baum-Welch counts, a fixed number of them,
-summed over partitions once an iteration. Words are known by 64-bit hashes. Their counts reach the texts in two ways:
-HEAD of the commonest are broadcast, a fixed bound; the rest is joined.
+summed over partitions once a step. Training is incremental: the texts are dealt to SLICES by a hash, each step renews the
+counts of one slice under the present model, and the next model follows from the latest counts of all slices (Neal and
+Hinton's incremental variant, whose steps are as sound as whole rounds). Words are known by 64-bit hashes. Their counts
+reach the texts in two ways: up to HEAD of the commonest are broadcast, a fixed bound; the rest is joined.
 """
 
 from __future__ import annotations
@@ -16,23 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, flat, in_rows, lists, save
 from lodestone.llm.words import NOT_SPACE, bounds, first_of_text, hashes, mix
 
-#: Every round counts all training texts.
-STATES, MOST_FREQUENT, CLASSES, ROUNDS = 8, 1024, 1024, 22
+#: A sweep counts every training text once, slice by slice.
+STATES, MOST_FREQUENT, CLASSES, SLICES, SWEEPS = 8, 1024, 1024, 4, 5
 #: Tokens' worth of class weights that each state's emissions are smoothed by.
 PRIOR = 1000
 #: Chance that a state stays, before training.
 STAY = 0.97
 N_CLASSES = MOST_FREQUENT + CLASSES
-#: Words whose counts are broadcast, 16 bytes each.
+#: Words whose counts are broadcast at most, 16 bytes each.
 HEAD = 1 << 20
-#: Tokens of one training sequence: longer texts are cut for training, never for scoring.
-STRETCH = 256
+#: Bands of counts a power of two, and parts of one band, by which the head is chosen.
+BANDS, PARTS = 16, 1024
+#: Tokens that training counts together, and tokens on both sides that it reads besides for their context: each token and
+#: each step of a text counts once, however long the text is. Scoring never cuts.
+STRETCH, AROUND = 256, 64
+#: Stretches that training counts at once.
+COLUMNS = 4096
 #: Tokens held at once by the forward recursion.
 HELD = 3_000_000
 END = np.uint64(0x5EED0FE4D0F7E875)
@@ -77,29 +84,40 @@ class Counts:
     def __init__(self, docs: DataFrame) -> None:
         self.table = save(_word_counts(docs), "counts")
         self.n, self.v = (x or 0 for x in self.table.agg(F.sum("c"), F.count("*")).first())
-        # the smallest count of which at most HEAD words have it or more
-        sizes = self.table.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.col("c").desc()).collect()
-        self.least, held = 1 << 62, 0
-        for r in sizes:  # at most 65,536 rows
-            if (held := held + r["count"]) > HEAD:
-                break
-            self.least = r["c"]
-        head = self.table.filter(F.col("c") >= self.least).toArrow()
+        top = self.table.orderBy(F.col("c").desc(), "w").limit(MOST_FREQUENT).collect()
+        self.top, order = np.unique(np.array([r["w"] for r in top], np.int64).view(np.uint64), return_index=True)
+        self.top_counts = np.array([r["c"] for r in top], float)[order]
+        head = self.table.filter(self._in_head([r["w"] for r in top])).toArrow()
         w, c = head.column("w").to_numpy().view(np.uint64), head.column("c").to_numpy()
         order = np.argsort(w)
         self.words, self.counts = w[order], c[order]
-        top = np.lexsort((self.words, -self.counts))[:MOST_FREQUENT]
-        self.top = np.sort(self.words[top])
         # class totals of the smoothed counts, each class with one unseen word
         rows = self.table.withColumn("k", F.pmod("w", F.lit(CLASSES))).groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
         self.total, types = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in rows:
             self.total[r["k"]], types[r["k"]] = r["c"], r["v"]
         k = np.mod(self.top.view(np.int64), CLASSES)
-        np.subtract.at(self.total, k, self.counts[np.searchsorted(self.words, self.top)])
+        np.subtract.at(self.total, k, self.top_counts)
         np.subtract.at(types, k, 1)
         self.total += SMOOTH * (types + 1)
-        self.top_counts = self.counts[np.searchsorted(self.words, self.top)].astype(float)
+
+    def _in_head(self, top: list[int]) -> Column:
+        """Whether a row of the table is of the head: the highest bands of counts, and of the band that does not fit whole
+        as many of PARTS parts by hash as fit; ``top`` besides. Kept as ``head``."""
+        band = F.floor(F.log2("c") * BANDS).cast("int")
+        part = F.pmod(F.xxhash64("w"), F.lit(PARTS)).cast("int")
+        room, least, parts = HEAD, 0, 0
+        for r in self.table.groupBy(band.alias("band")).count().orderBy(F.col("band").desc()).collect():  # at most 64 * BANDS rows
+            if r["count"] > room:
+                least = r["band"] + 1
+                for p in self.table.filter(band == r["band"]).groupBy(part.alias("part")).count().orderBy("part").collect():
+                    if (room := room - p["count"]) < 0:
+                        break
+                    parts = p["part"] + 1
+                break
+            room -= r["count"]
+        self.head = (band >= least) | ((band == least - 1) & (part < parts)) | F.col("w").isin(top)
+        return self.head
 
     def small(self) -> dict:
         """What a task needs, of bounded size."""
@@ -111,7 +129,7 @@ class Counts:
 
 
 def _coded(docs: DataFrame, counts: Counts) -> DataFrame:
-    """Each row of (row, doc_id, held_out, text) with its tokens' classes, and what the head knows of their counts.
+    """Each row of (row, doc_id, held_out, slice, text) with its tokens' classes, and what the head knows of their counts.
 
     codes: 16-bit classes. base: sum of log10(count + 0.5) over tokens in the head; inside: of those log10 of the
     probability within the class; rest: hashes of the tokens that the head does not know.
@@ -138,13 +156,13 @@ def _coded(docs: DataFrame, counts: Counts) -> DataFrame:
             rest = ~head[back]
             raw = codes[back].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [column(batch, c) for c in ("row", "doc_id", "held_out")]
+                [column(batch, c) for c in ("row", "doc_id", "held_out", "slice")]
                 + [pa.array(size), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array([raw[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())]
                 + [lists(w[rest].view(np.int64), np.bincount(of[rest], minlength=len(size)), pa.int64())],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_head", "base", "inside", "codes", "rest"],
+                names=["row", "doc_id", "held_out", "slice", "n_tokens", "n_head", "base", "inside", "codes", "rest"],
             )
 
-    return docs.mapInArrow(code, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, inside double, codes binary, rest array<long>")
+    return docs.mapInArrow(code, "row long, doc_id long, held_out boolean, slice int, n_tokens long, n_head long, base double, inside double, codes binary, rest array<long>")
 
 
 class Model:
@@ -161,30 +179,34 @@ class Model:
         step = np.full((STATES, STATES), (1 - STAY) / STATES) + STAY * np.eye(STATES)
         return cls(np.full(STATES, 1 / STATES), step, emit / emit.sum(1, keepdims=True))
 
-    def counts(self, obs: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Expected counts (start, steps, emissions, flat) of sequences: obs has a column each, sizes fall."""
-        steps, emit = obs.shape[0], np.ascontiguousarray(self.emit.T)
-        alive = np.searchsorted(-size, -np.arange(steps), side="left")  # sequences longer than t
-        alpha, scale = np.zeros((steps, obs.shape[1], STATES)), np.ones((steps, obs.shape[1]))
-        for t in range(steps):
-            n = alive[t]
-            a = (np.broadcast_to(self.start, (n, STATES)) if t == 0 else alpha[t - 1, :n] @ self.step) * emit[obs[t, :n]]
-            scale[t, :n] = a.sum(1)
-            alpha[t, :n] = a / scale[t, :n, None]
-        beta = np.ones((obs.shape[1], STATES))
+    def expected(self, obs: np.ndarray, size: np.ndarray, pre: np.ndarray, core: np.ndarray) -> np.ndarray:
+        """Expected counts (start, steps, emissions, flat) of sequences: obs has a column each, sizes fall.
+
+        Of each sequence the tokens pre to pre + core count, and the steps that lead to them; the others are context.
+        """
+        steps, n_all = obs.shape
+        emit, step = np.ascontiguousarray(self.emit.T, np.float32), self.step.astype(np.float32)
+        alive = np.searchsorted(-size, -np.arange(steps), side="left").tolist()  # sequences longer than t
+        place = np.arange(steps)[:, None]
+        inside = (place >= pre) & (place < pre + core)
+        alpha, scale = np.zeros((steps, n_all, STATES), np.float32), np.ones((steps, n_all, 1), np.float32)
+        a = np.where((pre == 0)[:, None], self.start, 1 / STATES).astype(np.float32)
+        for t, n in enumerate(alive):
+            a = (a[:n] if t == 0 else a[:n] @ step) * emit[obs[t, :n]]
+            scale[t, :n, 0] = a.sum(1)
+            a = alpha[t, :n] = a / scale[t, :n]
+        beta, back = np.ones((n_all, STATES), np.float32), np.ascontiguousarray(step.T)
         pairs, emitted = np.zeros((STATES, STATES)), np.zeros((N_CLASSES, STATES))
-        gamma = alpha.copy()
         for t in range(steps - 1, 0, -1):
             n = alive[t]
-            ahead = emit[obs[t, :n]] * beta[:n] / scale[t, :n, None]
-            pairs += alpha[t - 1, :n].T @ ahead
-            beta[:n] = ahead @ self.step.T
-            gamma[t - 1, :n] *= beta[:n]
-        live = np.arange(obs.shape[1])[None, :] < alive[:, None]
-        seen, g = obs[live], gamma[live]
+            ahead = emit[obs[t, :n]] * beta[:n] / scale[t, :n]
+            pairs += alpha[t - 1, :n].T @ (ahead * inside[t, :n, None])
+            beta[:n] = ahead @ back
+            alpha[t - 1, :n] *= beta[:n]  # from here on the chance of each state
+        seen, g = obs[inside], alpha[inside]
         for k in range(STATES):
             emitted[:, k] = np.bincount(seen, weights=g[:, k], minlength=N_CLASSES)
-        return np.concatenate([gamma[0].sum(0), (pairs * self.step).ravel(), emitted.T.ravel()])
+        return np.concatenate([alpha[0][pre == 0].sum(0, dtype=float), (pairs * self.step).ravel(), emitted.T.ravel()])
 
     def better(self, counts: np.ndarray, weights: np.ndarray) -> Model:
         """The model of the summed counts, smoothed by the class weights so that nothing is impossible."""
@@ -211,29 +233,30 @@ class Model:
 
 
 def _expected(model: Model, raw: pa.Array) -> np.ndarray:
-    """Expected counts of texts given as 16-bit classes, cut into stretches."""
+    """Expected counts of texts given as 16-bit classes, stretch by stretch with the tokens around."""
     data, offsets = flat(raw)
-    codes, offsets = np.frombuffer(data.tobytes(), "<u2").astype(np.int64), offsets // 2
+    codes, offsets = np.append(np.frombuffer(data.tobytes(), "<u2"), 0).astype(np.int64), offsets // 2
     n = -(-np.diff(offsets) // STRETCH)
     of = np.repeat(np.arange(len(n)), n)
-    first = offsets[:-1][of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-    size = np.minimum(STRETCH, offsets[1:][of] - first)
+    begin = offsets[:-1][of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    core = np.minimum(STRETCH, offsets[1:][of] - begin)
+    pre = np.minimum(AROUND, begin - offsets[:-1][of])
+    size = pre + core + np.minimum(AROUND, offsets[1:][of] - begin - core)
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    return model.counts(np.append(codes, 0)[np.minimum(first + np.arange(size[0])[:, None], len(codes))], size)
-
+    total = np.zeros(STATES + STATES**2 + STATES * N_CLASSES)
+    for a in range(0, len(order), COLUMNS):
+        at = order[a : a + COLUMNS]
+        place = (begin - pre)[at] + np.arange(size[at[0]])[:, None]
+        total += model.expected(codes[np.minimum(place, len(codes) - 1)], size[at], pre[at], core[at])
+    return total
 
-def train(coded: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``coded`` that are not held out; counts of a fixed number are summed by Spark.
 
-    Each round counts every text, from the first on.
-    """
+def train(coded: DataFrame, weights: np.ndarray, sweeps: int = SWEEPS) -> Model:
+    """Incremental Baum-Welch over all rows of ``coded`` whose slice is not negative; Spark sums a fixed number of counts."""
     spark, model = coded.sparkSession, Model.first(weights)
-    texts = coded.filter(~F.col("held_out"))
-    total = texts.agg(F.sum("n_tokens")).first()[0]
-    if not total:
-        return model
-    for _ in range(rounds):
+    n = STATES + STATES**2 + STATES * N_CLASSES
+    latest: dict[int, np.ndarray] = {}
+    for step in range(sweeps * SLICES):
         held = spark.sparkContext.broadcast((model.start, model.step, model.emit))
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -244,10 +267,14 @@ def train(coded: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
 
-        rows = texts.select("codes").mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-        counts = np.zeros(STATES + STATES**2 + STATES * N_CLASSES)
+        texts = coded.filter(F.col("slice") == step % SLICES).select("codes")
+        rows = texts.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        counts = np.zeros(n)
         counts[rows.column("i").to_numpy()] = rows.column("x").to_numpy()
-        model = model.better(counts, weights)
+        latest[step % SLICES] = counts
+        total = sum(latest.values())
+        if total.any():
+            model = model.better(total, weights)
     return model
 
 
@@ -263,11 +290,12 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = Counts(own.filter(~F.col("held_out")))
     n, v = counts.n, counts.v
-    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    coded = save(_coded(rows, counts), "coded")
+    part = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES))).cast("int")
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", part.alias("slice"), "text")
+    coded = save(_coded(rows, counts), "coded", "slice")
     # the tail of the vocabulary: one row for each word of a text, joined with the counts
     tail = coded.select("row", F.explode("rest").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
-    known = counts.table.filter(F.col("c") < counts.least).select(F.col("w").alias("t_w"), "c")
+    known = counts.table.filter(~counts.head).select(F.col("w").alias("t_w"), "c")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
     classes = spark.createDataFrame([(k, float(x)) for k, x in enumerate(np.log10(counts.total))], "b int, total double")  # CLASSES rows
     bucket = F.col("total")
@@ -277,8 +305,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         .groupBy(F.col("row").alias("t_row"))
         .agg(F.sum(F.col("times") * log_c).alias("t_base"), F.sum(F.col("times") * (log_c - bucket)).alias("t_inside"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("t_known"))
     )
-    weights = counts.class_weights()
-    model = train(coded, weights)
+    model = train(coded, counts.class_weights())
     held = spark.sparkContext.broadcast((model.start, model.step, model.emit))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
