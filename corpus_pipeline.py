@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, mixing, set_join, tokens
-from lodestone.llm.common import save, table
+from lodestone.llm.common import save, small_batches, table
 from lodestone.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.predict(docs, language.learn(docs)).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
