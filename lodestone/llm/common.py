@@ -6,6 +6,8 @@ extra columns of the input never clash with working columns.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.sources.shared import save, shared_dir
 
-__all__ = ["column", "flat", "in_rows", "lists", "save", "shared_dir", "small_batches", "table"]
+__all__ = ["column", "flat", "in_rows", "lists", "release", "save", "shared_dir", "small_batches", "table"]
+
+_libc = ctypes.CDLL(ctypes.util.find_library("c"))
+_libc = _libc if hasattr(_libc, "malloc_trim") else None
 
 #: Rows and bytes in one Arrow batch. Texts are long, so batches stay well below Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 1024, "16m"
+BATCH_ROWS, BATCH_BYTES = 1024, "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,7 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_rows(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that is free back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def in_rows(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most_bytes`` bytes in each; one longer text stays whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -43,6 +55,7 @@ def in_rows(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4_
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

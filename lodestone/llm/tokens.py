@@ -35,8 +35,8 @@ class Encoder:
     """
 
     #: Remembered pieces; beyond it the memory starts anew.
-    MOST = 1_500_000
-    _SLOTS = 1 << 22
+    MOST = 600_000
+    _SLOTS = 1 << 21
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,7 +189,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             doc_ids, counts, ids = [d for x in held for d in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": len(ids), "file": simple8b.dump(doc_ids, counts, ids)}], schema=_FILES)
 
-        for batch in in_rows(batches, "text", 2_500_000):
+        for batch in in_rows(batches, "text", 1_500_000):
             ids, counts = encoder.encode(column(batch, "text"))
             ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
             held.append((column(batch, "doc_id").to_pylist(), counts, ids))
