@@ -2,8 +2,9 @@
 
 For each language a suffix automaton of labelled text knows every substring of it. A text is cut, from left to right,
 into the longest phrases that the automaton knows; the fewer phrases a symbol, times the bits of a place in the labelled
-text, the closer the text is to the language (the cross-entropy estimate of Ziv and Merhav). Texts are parsed in
-stretches of a fixed length, all stretches of a batch at once: one numpy step moves every stretch by one symbol.
+text, the closer the text is to the language (the cross-entropy estimate of Ziv and Merhav). One numpy step moves many
+stretches of text by one symbol each; where a stretch began inside a phrase of the one before, its first phrases are
+parsed again from the state that the one before ended in, until both parses agree. The count is that of the whole text.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, flat, in_rows
+from lodestone.llm.common import column, flat, release
 
-#: Bound of the labelled sample: documents a language, code points of each, symbols of a language and of all languages together.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 2000, 40_000, 400_000
-#: Symbols in one stretch.
-STRETCH = 256
+#: Bound of the labelled sample: so many rows in all, dealt evenly to the languages, each whole and at most so long (in
+#: code points; longer rows are not sampled), at least one row a language.
+SAMPLE_ROWS, SAMPLE_LONGEST = 96, 4000
+#: Languages at most.
+LABELS = 1024
+#: Symbols in one stretch, and stretches parsed together.
+STRETCH, TOGETHER = 256, 2048
 UNKNOWN = "und"
 
 #: Bytes to symbols: a-z are 1 to 26, every other ASCII byte is the separator 0, bytes above 127 are themselves.
@@ -35,11 +39,16 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     keep[offsets[:-1][offsets[:-1] < len(s)]] = True
-    return s[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return s[keep], np.searchsorted(np.flatnonzero(keep), offsets)
 
 
 class Automaton:
-    """The suffix automaton of one symbol sequence as a table: next state by state and symbol; 0 is the start and stands for none."""
+    """The suffix automaton of one symbol sequence as a table of steps.
+
+    A state is known by the place of its row in the table. A step, at a row's place plus a symbol's code, is twice the next
+    state, and one more if the symbol begins a phrase: because no known phrase goes on with it, or in the start state 0,
+    which also stands for "after an unknown symbol".
+    """
 
     def __init__(self, text: np.ndarray) -> None:
         step: list[dict[int, int]] = [{}]
@@ -68,29 +77,69 @@ class Automaton:
                         p = link[p]
             last = now
         known = np.unique(text)
-        self.code = np.full(257, len(known), np.int64)  # unknown symbols share a column without any step
+        behind = len(known) + 1
+        self.code = np.full(256, len(known), np.intp)  # unknown symbols share a column without any step
         self.code[known] = np.arange(len(known))
-        self.width = len(known) + 2
-        self.code[256] = len(known) + 1  # behind the end of a stretch: to the last state, which stays
-        end = len(step)
-        self.table = np.zeros((end + 1, self.width), np.int32)
+        width, end = len(known) + 2, len(step)
+        table = np.zeros((end + 1, width), np.int32)
         for state, steps in enumerate(step):
             for c, to in steps.items():
-                self.table[state, self.code[c]] = to
-        self.table[:, self.code[256]] = end
+                table[state, self.code[c]] = to
+        begins = table == 0
+        table = np.where(begins, table[0], table) * width * 2 + (begins | (np.arange(end + 1) == 0)[:, None])
+        table[:, behind] = end * width * 2  # behind the end of a text: to the last state, which stays
+        self.table, self.behind = table.astype(np.int32).ravel(), behind
         self.bits = np.log2(max(2, len(text)))
 
-    def phrases(self, grid: np.ndarray) -> np.ndarray:
-        """Phrases that each row of ``grid`` is cut into; rows hold symbols, and 256 behind their end."""
-        coded = self.code[grid].T.copy()
-        table, start, behind = self.table.ravel(), self.table[0], self.code[256]
-        state, count = np.zeros(grid.shape[0], np.int64), np.zeros(grid.shape[0], np.int64)
-        for c in coded:
-            to = table[state * self.width + c]
-            none = to == 0
-            count += (none | (state == 0)) & (c != behind)  # a phrase begins; an unknown symbol is one of its own
-            state = np.where(none, start[c], to)
-        return count
+    def _parse(self, grid: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The steps that each column of ``grid`` takes, entered in ``state``."""
+        trace, at = np.empty(grid.shape, np.int32), state.copy()
+        for t in range(len(grid)):
+            at += grid[t]
+            np.take(self.table, at, out=trace[t], mode="clip")
+            np.right_shift(trace[t], 1, out=at)
+        return trace
+
+    def _again(self, grid: np.ndarray, state: np.ndarray, trace: np.ndarray) -> None:
+        """Take the steps anew, entered in ``state``, in ``trace``, as far as they differ."""
+        live = np.arange(grid.shape[1])
+        for t in range(len(grid)):
+            step, old = self.table[state + grid[t, live]], trace[t, live]
+            trace[t, live] = step
+            differ = (step ^ old) > 1
+            live, state = live[differ], (step[differ] >> 1).astype(np.intp)
+            if not len(live):
+                break
+
+    def phrases(self, symbols_: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Phrases that each text is cut into; texts one after another in ``symbols_``."""
+        size = np.diff(offsets)
+        n = -(-size // STRETCH)
+        of = np.repeat(np.arange(len(size)), n)
+        first = offsets[:-1][of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        head = first == offsets[:-1][of]
+        out, ended = np.zeros(len(size), np.int64), 0
+        for a in range(0, len(of), TOGETHER):
+            z = min(a + TOGETHER, len(of))
+            place = first[a:z] + np.arange(STRETCH)[:, None]
+            grid = np.where(place < offsets[1:][of[a:z]], self.code[symbols_[np.minimum(place, len(symbols_) - 1)]], self.behind)
+            entry = np.zeros(z - a, np.intp)
+            entry[0] = 0 if head[a] else ended
+            trace = self._parse(grid, entry)
+            # a text's next stretch is entered in the state that the one before ends in; few stretches then end in another
+            due = np.flatnonzero(~head[a + 1 : z]) + 1
+            while len(due):
+                now = (trace[-1, due - 1] >> 1).astype(np.intp)
+                due, now = due[now != entry[due]], now[now != entry[due]]
+                part, entry[due] = trace[:, due], now
+                self._again(grid[:, due], now, part)
+                moved = due[(part[-1] ^ trace[-1, due]) > 1] + 1 if len(due) else due
+                trace[:, due] = part
+                due = moved[moved < z - a]
+                due = due[~head[a + due]]
+            ended = int(trace[-1, -1]) >> 1
+            np.add.at(out, of[a:z], (trace & 1).sum(0))
+        return out
 
 
 def score(samples: dict[str, np.ndarray]) -> tuple[list[str], list[Automaton]]:
@@ -104,24 +153,26 @@ _built: dict[int, tuple[list[str], list[Automaton]]] = {}
 def learn(docs: DataFrame, lang: str = "lang") -> dict[str, np.ndarray]:
     """The labelled sample: symbols of each language, from rows with text and label, by the order of a hash of doc_id.
 
-    Bounded by SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS and ALL_SYMBOLS, whatever the size of ``docs``.
+    Bounded by SAMPLE_ROWS and SAMPLE_LONGEST, whatever the size of ``docs``; more than LABELS labels are an error.
     """
-    own = docs.select("doc_id", F.col(lang).alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("order"))
-    first = own.select("label", order.alias("order")).withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
-    most = first.groupBy("label").agg(F.max("order").alias("most"))  # one row a language
-    rows = own.withColumn("order", order).join(F.broadcast(most.withColumnRenamed("label", "l")), (F.col("label") == F.col("l")) & (F.col("order") <= F.col("most")))
-    # rows alike in doc_id share their place in the order, so the bound is set again
-    again = F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))
-    rows = rows.select("label", "order", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("again", again).filter(F.col("again") <= SAMPLE_DOCS)
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.select("label", "order", "text").toLocalIterator():
-        texts.setdefault(r["label"], []).append((r["order"], r["text"]))
+    own = docs.select("doc_id", F.col(lang).alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_LONGEST))
+    own = own.select("label", F.xxhash64(F.lit("sample"), "doc_id").alias("order"), F.xxhash64("text").alias("h"), "text")
+    n = own.select("label").distinct().limit(LABELS + 1).count()
+    if n > LABELS:
+        raise ValueError(f"more than {LABELS} languages")
+    each = max(1, SAMPLE_ROWS // max(1, n))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "h"))
+    first = own.select("label", "order", "h").withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
+    # the texts of those rows alone; rows alike in doc_id and text are one
+    rows = own.join(F.broadcast(first.distinct().withColumnsRenamed({"label": "l", "order": "o", "h": "g"})), (F.col("label") == F.col("l")) & (F.col("order") == F.col("o")) & (F.col("h") == F.col("g")))
+    rows = rows.select("label", "order", "h", "text").dropDuplicates(["label", "order", "h"])
+    texts: dict[str, list[tuple[int, int, str]]] = {}
+    for r in rows.toLocalIterator():
+        texts.setdefault(r["label"], []).append((r["order"], r["h"], r["text"]))
     out = {}
     for label, own_texts in texts.items():
-        raw = np.frombuffer(" ".join(t for _, t in sorted(own_texts)).encode(), np.uint8)
-        out[label] = symbols(raw, np.array([0, len(raw)]))[0][: min(SAMPLE_SYMBOLS, ALL_SYMBOLS // len(texts))]
+        raw = np.frombuffer(" ".join(t for _, _, t in sorted(own_texts)).encode(), np.uint8)
+        out[label] = symbols(raw, np.array([0, len(raw)]))[0]
     return out
 
 
@@ -134,8 +185,9 @@ def predict(docs: DataFrame, samples: dict[str, np.ndarray]) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(samples)
     # the row as one column, so that no name of its columns can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.coalesce("text", F.lit("")).alias("of"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = rows.select("whole", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    at = docs.columns.index("text")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tuple((n, x.tobytes()) for n, x in sorted(held.value.items())))
@@ -143,23 +195,19 @@ def predict(docs: DataFrame, samples: dict[str, np.ndarray]) -> DataFrame:
             _built.clear()
             _built[key] = score(held.value)
         names, automata = _built[key]
-        for batch in in_rows(batches, "of"):
-            s, offsets = symbols(*flat(column(batch, "of")))
+        for batch in batches:
+            text = column(batch, "whole").field(at)
+            s, offsets = symbols(*flat(text))
             size = np.diff(offsets)
-            n = -(-size // STRETCH)
-            of = np.repeat(np.arange(len(size)), n)
-            first = np.concatenate([np.arange(k) for k in n]) if len(of) else of
-            first = offsets[:-1][of] + first * STRETCH
-            place = first[:, None] + np.arange(STRETCH)
-            grid = np.where(place < offsets[1:][of][:, None], np.append(s, 0).astype(np.int16)[np.minimum(place, len(s))], 256)
             bits = np.full((len(size), max(2, len(automata))), np.inf)
             for k, a in enumerate(automata):
-                bits[:, k] = np.bincount(of, weights=a.phrases(grid) if len(of) else None, minlength=len(size)) * a.bits / np.maximum(size, 1)
+                bits[:, k] = a.phrases(s, offsets) * a.bits / np.maximum(size, 1)
             best = bits.argmin(1)
             two = np.sort(bits, axis=1)[:, :2]
             known = column(batch, "letters").to_numpy(zero_copy_only=False) & bool(automata)
             margin = np.where(np.isinf(two[:, 1]), 1.0, 1 - two[:, 0] / np.where(two[:, 1] > 0, two[:, 1], 1))
             pred = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "whole"), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(margin, 0, 1), 0.0))], names=["whole", "lang_pred", "lang_score"])
+        release()
 
     return rows.mapInArrow(parse, schema).select("whole.*", "lang_pred", "lang_score")
