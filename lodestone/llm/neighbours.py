@@ -2,12 +2,14 @@
 
 Queries go out in blocks of a fixed size; each block meets the candidates in tiles. A vector x is kept as s * c with c
 of whole numbers from -127 to 127, and e = |x - s c|. Then |q.x - s_q s_x (c_q.c_x)| <= |q| e_x + e_q |s_x c_x|, so a
-tile of whole-number products gives lower and upper bounds of all products at once. Only pairs whose upper bound
-reaches the k-th best exact product so far are computed in double precision.
+tile of whole-number products gives lower and upper bounds of all products at once. (The tile's whole numbers pass
+through float registers that hold them exactly: numpy has no fast integer product.) Only pairs whose upper bound reaches
+the k-th best exact product so far are computed in double precision, and a heap a query keeps the k best of them.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,7 +39,7 @@ def vectors(df: DataFrame, key: str = "vec_id", value: str = "embedding") -> Dat
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes (whole numbers up to 127), scale, norm of what the codes stand for, and the error's norm, by row."""
     scale = np.abs(x).max(1) / 127
-    codes = np.rint(x / scale[:, None])
+    codes = np.nan_to_num(np.rint(x / scale[:, None]))  # a scale too small to divide by
     back = codes * scale[:, None]
     return codes.astype(np.int8), scale, np.sqrt((back * back).sum(1)), np.sqrt(((x - back) ** 2).sum(1))
 
@@ -57,9 +59,11 @@ class Rows:
         self.ids, self.x, self.k = ids, x, k
         self.codes, self.scale, self.back, self.err = quantised(x)
         self.norm = np.sqrt((x * x).sum(1))
-        self.score = np.full((len(ids), k), -np.inf)
-        self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
+        #: Of each query, its best (score, -id) with the worst on top, and that score once there are k.
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.floor = np.full(len(ids), -np.inf)
 
+    @np.errstate(over="ignore", invalid="ignore", divide="ignore")
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
         codes, scale, back, err = quantised(x)
         # Whole-number products up to 127 * 127 * d are exact in float32 below 2**24, and in float64 at any length here.
@@ -68,30 +72,32 @@ class Rows:
         near = near.astype(np.float64) * self.scale[:, None] * scale[None, :]
         bound = self.norm[:, None] * err[None, :] + self.err[:, None] * back[None, :]
         bound = bound * (1 + 1e-9) + 1e-12 * (1 + np.abs(near))
-        near[self.ids[:, None] == ids[None, :]] = -np.inf
         # k-th best lower bound of this tile, or the k-th best product so far, whichever is higher
-        low = near - bound
-        floor = self.score[:, -1]
-        if len(ids) >= self.k:
-            floor = np.maximum(floor, -np.partition(-low, self.k - 1, axis=1)[:, self.k - 1])
-        q, c = np.nonzero((near + bound >= floor[:, None]) & np.isfinite(near))
-        if not len(q):
-            return
-        exact = np.concatenate([product(self.x[q[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(q), 65536)])
-        own = np.flatnonzero(np.bincount(q, minlength=len(self.ids)))
-        q = np.concatenate([q, np.repeat(own, self.k)])
-        score = np.concatenate([exact, self.score[own].ravel()])
-        cand = np.concatenate([ids[c], self.best[own].ravel()])
-        order = np.lexsort((cand, -score, q))
-        q, score, cand = q[order], score[order], cand[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        top = rank < self.k
-        self.score[q[top], rank[top]] = score[top]
-        self.best[q[top], rank[top]] = cand[top]
+        low, floor = near - bound, self.floor
+        other = self.ids[:, None] != ids[None, :]
+        if len(ids) > self.k:  # one of them may be the query itself
+            sure = np.where(other & np.isfinite(low), low, -np.inf)
+            floor = np.maximum(floor, -np.partition(-sure, self.k - 1, axis=1)[:, self.k - 1])
+        # what overflows has no bound, so it survives
+        q, c = np.nonzero(~(near + bound < floor[:, None]) & other)
+        for i in range(0, len(q), 65536):
+            exact = product(self.x[q[i : i + 65536]], x[c[i : i + 65536]])
+            self._merge(q[i : i + 65536].tolist(), exact, ids[c[i : i + 65536]].tolist())
+
+    def _merge(self, q: list[int], score: np.ndarray, ids: list[int]) -> None:
+        for row, x, i in zip(q, np.where(np.isnan(score), -np.inf, score).tolist(), ids, strict=True):
+            heap = self.heaps[row]
+            if len(heap) < self.k:
+                heapq.heappush(heap, (x, -i))
+            elif (x, -i) > heap[0]:
+                heapq.heapreplace(heap, (x, -i))
+            if len(heap) == self.k:
+                self.floor[row] = heap[0][0]
 
     def rows(self) -> pa.RecordBatch:
-        q, r = np.nonzero(np.isfinite(self.score))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.best[q, r]), pa.array(self.score[q, r])], names=["query_id", "vec_id", "score"])
+        of = np.repeat(self.ids, [len(h) for h in self.heaps])
+        score, ids = [x for h in self.heaps for x, _ in h], [-i for h in self.heaps for _, i in h]
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,7 +116,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame
     Both tables are (id, v) as vectors() makes them. A candidate with the query's own id does not count, nor do
     vectors of another length than the query's. Queries without candidates give no row; fewer than k candidates give
     all of them. A repeated id counts as often as it occurs among the candidates, and once among the queries, with
-    its smallest vector.
+    its smallest vector. Products that overflow are infinite; those that have no value (infinite terms of both signs) are
+    -infinity.
     """
     spark = candidates.sparkSession
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
