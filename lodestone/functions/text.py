@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lodestone.functions import vocabulary
+
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -161,8 +163,7 @@ def linear_row(cells: Column) -> Column:
 def auxiliary_row(text: Column) -> Column:
     """Whether a table row only names a unit, a date or a place to go to."""
     t = canonical_text(text)
-    named = t.rlike(r"(?i)^(?:(?:전기말|전분기|당기말|당분기)\s*\|\s*)?\(?\s*(?:작성기준일|기준일|단위)\s*:")
-    return t.rlike(r"^☞\s*본문\s*위치로\s*이동$") | (named & ~t.rlike(r"[가-힣A-Za-z]{3,}\s*\|\s*[-+]?\d[\d,.]*"))
+    return t.rlike(vocabulary.AUXILIARY_PLACE) | (t.rlike(vocabulary.AUXILIARY_UNIT) & ~t.rlike(vocabulary.FIGURE))
 
 
 def common_prefix(paths: Column) -> Column:

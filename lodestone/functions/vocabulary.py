@@ -100,3 +100,8 @@ WARNING_POLICY = (
     ("table_metadata_uncertain", "METADATA_UNCERTAINTY", False, "ALLOW_WITH_WARNING", "REQUIRE_EXPLICIT_SCOPE_PERIOD_UNIT_EVIDENCE"),
     ("parse_failed", "CONTENT_LOSS_RISK", True, "DENY_IF_EMPTY_OR_FALLBACK", "DENY_AUTOMATIC_PROMOTION"),
 )
+
+#: Table rows that only name a place to go to, or a unit or date (unless a figure stands in them).
+AUXILIARY_PLACE = r"^☞\s*본문\s*위치로\s*이동$"
+AUXILIARY_UNIT = r"(?i)^(?:(?:전기말|전분기|당기말|당분기)\s*\|\s*)?\(?\s*(?:작성기준일|기준일|단위)\s*:"
+FIGURE = r"[가-힣A-Za-z]{3,}\s*\|\s*[-+]?\d[\d,.]*"

@@ -1,21 +1,22 @@
-"""Chunks: token windows as plain DataFrame operations, and whole chunking strategies document by document.
+"""Chunks: segments, token windows and packs as set operations over all documents at once.
 
-A document is one row with its nodes, so a strategy needs no shuffle: it is a function of one row, run in Arrow batches.
+A segment is a title, a paragraph or a table row. A strategy says which segments belong together (by file, by file and
+section, by table) and how a group of them becomes chunks: token windows, whose numbers follow from running sums of
+tokens, or greedy packs, which one sorted pass numbers. Pieces of segments are then grouped into chunks, and a chunk's
+parent is found among the packs that its segments lie in, else by section path, else by file.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from hashlib import sha256
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import n_tokens
+from lodestone.functions.text import TOKEN, auxiliary_row, linear_row, n_tokens
+from lodestone.sources.shared import save
 
 #: Parameters of the strategies: fixed values of the source format.
 FIXED = {"id": "fixed-token-512-o64.v0.1.0", "strategy": "fixed-token", "max_tokens": 512, "overlap": 64}
@@ -38,219 +39,266 @@ def token_windows(df: DataFrame, key: str, text: str, most: int = 512, overlap:
     return rows.select(key, F.col("window").cast("int").alias("window"), start.cast("int").alias("token_start"), F.least(start + most, F.col("n")).cast("int").alias("token_end"))
 
 
-def pack(df: DataFrame, key: str, order: str, n: str, most: int, most_segments: int) -> DataFrame:
-    """(key, order, n, pack, windows): segments put greedily into packs of at most ``most`` tokens and ``most_segments``.
+def pack(df: DataFrame, by: list[str], order: list[str], n: str, most: int, most_segments: int, name: str = "pack") -> DataFrame:
+    """``df`` with two more columns: the number of each row's pack in its group (``name``), and how many packs it takes (``name``_windows).
 
-    A longer segment closes the pack and becomes ``windows`` packs of its own, of which ``pack`` is the first. The
-    segments of one document are one array: packing is sequential within it.
+    Rows of a group, in order, fill packs of at most ``most`` tokens and ``most_segments`` rows. A row with more tokens
+    closes the pack before it and becomes packs of its own, of which ``name`` is the first. One sorted pass: a task holds
+    a batch and the state of the open pack, however large a group is.
     """
-    segments = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(n).cast("long").alias("n")))).alias("segments"))
-    out = "array<struct<order:bigint,n:bigint,pack:bigint,windows:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("count"), F.array().cast(out).alias("done"))
-
-    def place(state: Column, s: Column) -> Column:
-        long = s["n"] > most
-        full = (state["count"] > 0) & (long | (state["tokens"] + s["n"] > most) | (state["count"] >= most_segments))
-        at = state["pack"] + full.cast("long")
-        windows = F.when(long, F.ceil(s["n"] / F.lit(float(most))).cast("long")).otherwise(F.lit(1).cast("long"))
-        entry = F.struct(s["order"].cast("long").alias("order"), s["n"].alias("n"), at.alias("pack"), windows.alias("windows"))
-        return F.struct(
-            F.when(long, at + windows).otherwise(at).alias("pack"),
-            F.when(long, 0).when(full, s["n"]).otherwise(state["tokens"] + s["n"]).cast("long").alias("tokens"),
-            F.when(long, 0).when(full, 1).otherwise(state["count"] + 1).cast("long").alias("count"),
-            F.concat(state["done"], F.array(entry)).alias("done"),
-        )
-
-    packed = segments.select(key, F.explode(F.aggregate("segments", zero, place)["done"]).alias("p"))
-    return packed.select(key, F.col("p.order").alias(order), F.col("p.n").alias(n), "p.pack", "p.windows")
-
-
-_WORD = None
-
-
-def _token_spans(text: str) -> list[tuple[int, int]]:
-    global _WORD
-    if _WORD is None:
-        import regex
-
-        _WORD = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
-    return [m.span() for m in _WORD.finditer(text)]
-
-
-@dataclass
-class Segment:
-    """A section's title, a paragraph, or one table row, with its place."""
-
-    kind: str
-    text: str
-    node: str
-    path: tuple[str, ...]
-    file: str
-    position: int
-    row: int | None = None
-
-
-@dataclass
-class Chunk:
-    kind: str
-    role: str
-    text: str
-    parts: list[Segment] = field(default_factory=list)
-    parent: int | None = None
-
-
-def segments(nodes: list[dict]) -> list[Segment]:
-    """The segments of a document in its order: titles, paragraphs, and table rows as `cell | cell`; blank ones are left out."""
-    out = []
-    for position, node in enumerate(nodes):
-        path, source = tuple(node.get("section_hierarchy") or ()), node.get("source") or {}
-        place = {"node": node["node_id"], "path": path, "file": source.get("rel_path") or "", "position": position}
-        if node["kind"] == "table":
-            for row, cells in enumerate(node.get("normalized_rows") or ()):
-                cells = [(c or "").strip() for c in cells]
-                if any(cells):
-                    out.append(Segment("row", " | ".join(cells), row=row, **place))
-        else:
-            text = (node.get("title_text") if node["kind"] == "section" else node.get("text")) or ""
-            if text.strip():
-                out.append(Segment(node["kind"], text, **place))
-    return out
-
-
-def windows(parts: list[Segment], most: int, overlap: int) -> list[tuple[str, list[Segment]]]:
-    """Token windows over the segments joined by newlines, each with the segments that it touches."""
-    ends, text = [], ""
-    for s in parts:
-        start = len(text) + bool(text)
-        text = text + "\n" * bool(text) + s.text
-        ends.append((start, len(text), s))
-    spans, out = _token_spans(text), []
-    for first in range(0, len(spans), max(1, most - overlap)):
-        low, high = spans[first][0], spans[min(len(spans), first + most) - 1][1]
-        out.append((text[low:high].strip(), [s for a, z, s in ends if z > low and a < high]))
-        if first + most >= len(spans):
-            break
-    return out
-
-
-def packs(parts: list[Segment], most: int, most_segments: int) -> list[tuple[str, list[Segment]]]:
-    """Greedy packs in order; a segment longer than a pack is cut into windows without overlap."""
-    out, held, size = [], [], 0
-    for s in [*parts, None]:
-        n = len(_token_spans(s.text)) if s else 0
-        if held and (s is None or n > most or size + n > most or len(held) >= most_segments):
-            out.append(("\n".join(x.text for x in held), held))
-            held, size = [], 0
-        if s and n > most:
-            out += windows([s], most, 0)
-        elif s:
-            held, size = [*held, s], size + n
-    return out
-
-
-def grouped(parts: list[Segment], by) -> list[list[Segment]]:
-    """Segments by a key of theirs: all of one key together, not only neighbours; groups in the order of their first."""
-    groups: dict = {}
-    for s in parts:
-        groups.setdefault(by(s), []).append(s)
-    return list(groups.values())
-
-
-_UNIT = re.compile(r"^(?:(?:전기말|전분기|당기말|당분기)\s*\|\s*)?\(?\s*(?:작성기준일|기준일|단위)\s*:", re.I)
-_FIGURE = re.compile(r"[가-힣A-Za-z]{3,}\s*\|\s*[-+]?\d[\d,.]*")
-_PARENT = {"periodic": "SECTION_PARENT", "holding": "HOLDING_STATUS_PARENT"}
-
-
-def auxiliary(text: str) -> bool:
-    """Whether a row only names a unit, a date, or a place to go to."""
-    t = " ".join(unicodedata.normalize("NFKC", text).split())
-    return bool(re.match(r"^☞\s*본문\s*위치로\s*이동$", t)) or bool(_UNIT.match(t)) and not _FIGURE.search(t)
-
-
-def _parent_of(parts: list[Segment], parents: list[tuple[int, Chunk]]) -> int | None:
-    """The first parent that shares a segment, else the first of the same section path, else of the same file."""
-    own = {(s.node, s.row) for s in parts}
-    tests = (
-        lambda c: any((s.node, s.row) in own or (s.row is None and s.node in {x.node for x in parts}) for s in c.parts),
-        lambda c: bool(c.parts) and c.parts[0].path == parts[0].path,
-        lambda c: bool(c.parts) and c.parts[0].file == parts[0].file,
+    rows = df.withColumn("_group", F.xxhash64(*by)).repartition("_group").sortWithinPartitions("_group", *order)
+    schema = rows.withColumns({name: F.lit(0).cast("long"), f"{name}_windows": F.lit(0).cast("long")}).schema
+    names = schema.names
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at, used, held = None, 0, 0, 0  # the open pack: its number, tokens and rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, size = (batch.column(names.index(c)).to_numpy() for c in ("_group", n))
+            size = size.astype(np.int64)
+            long, total = size > most, np.concatenate([[0], np.cumsum(size)])
+            packs, windows = np.zeros(len(size), np.int64), np.maximum(1, -(-size // most))
+            edges = np.append(np.flatnonzero((key[1:] != key[:-1]) | long[1:] | long[:-1]) + 1, len(size))
+            i = 0
+            while i < len(size):
+                if key[i] != group:
+                    group, at, used, held = key[i], 0, 0, 0
+                if long[i]:
+                    packs[i] = at + (held > 0)
+                    at, used, held, i = int(packs[i] + windows[i]), 0, 0, i + 1
+                    continue
+                edge = int(edges[np.searchsorted(edges, i, side="right")])
+                j = min(edge, i + most_segments - held, int(np.searchsorted(total, total[i] + most - used, side="right")) - 1)
+                packs[i:j] = at
+                used, held, i = used + int(total[j] - total[i]), held + j - i, j
+                if i < edge:
+                    at, used, held = at + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs), pa.array(np.where(long, windows, 1))], names=names)
+
+    return rows.mapInArrow(fill, schema).drop("_group")
+
+
+def segments(documents: DataFrame) -> DataFrame:
+    """(document_id, doc_group, tier, position, row, kind, text, n, node_id, path, file) of documents (document_id, doc_group, tier, nodes).
+
+    Table rows are `cell | cell` and have a row number; blank segments are left out. position: the node's.
+    """
+    nodes = documents.select("document_id", "doc_group", "tier", F.posexplode("nodes").alias("position", "node"))
+    one = lambda row, text: F.struct(row.cast("int").alias("row"), text.alias("text"))
+    own = F.when(F.col("node.kind") == "section", F.col("node.title_text")).otherwise(F.col("node.text"))
+    parts = F.when(F.col("node.kind") == "table", F.transform("node.normalized_rows", lambda cells, i: one(i, linear_row(cells)))).otherwise(F.array(one(F.lit(None), own)))
+    kind = F.when(F.col("node.kind") == "table", "row").otherwise(F.col("node.kind"))
+    path, file = F.coalesce("node.section_hierarchy", F.array().cast("array<string>")), F.coalesce("node.source.rel_path", F.lit(""))
+    rows = nodes.select("document_id", "doc_group", "tier", "position", F.explode(parts).alias("part"), kind.alias("kind"), F.col("node.node_id").alias("node_id"), path.alias("path"), file.alias("file"))
+    rows = rows.filter(F.col("part.text").rlike(r"(?U)\S"))
+    return rows.select("document_id", "doc_group", "tier", "position", F.col("part.row").alias("row"), "kind", F.col("part.text").alias("text"), n_tokens(F.col("part.text")).alias("n"), "node_id", "path", "file")
+
+
+_PLACE = ["position", "row"]
+
+
+def _led(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the place of the first segment of their group, by which groups are ordered."""
+    return rows.withColumn("first", F.min(F.struct(*_PLACE)).over(Window.partitionBy("document_id", *by)))
+
+
+def _cut(rows: DataFrame, pieces: Column) -> DataFrame:
+    """A row for each of ``pieces``, an array of (no, a, z): the segment's tokens a to z in the chunk of that number."""
+    rows = rows.withColumn("pieces", pieces)
+    partial = F.exists("pieces", lambda p: (p["a"] > 0) | (p["z"] < F.col("n")))
+    rows = rows.withColumn("tokens", F.when(partial, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).withColumn("gaps", F.when(partial, F.split("text", TOKEN, -1)))
+    rows = rows.withColumn("spaced", F.zip_with("gaps", "tokens", lambda g, t: F.concat(g, t)))
+
+    def text(p: Column) -> Column:
+        tail = F.array_join(F.slice("spaced", p["a"] + 2, p["z"] - p["a"] - 1), "")
+        return F.when((p["a"] == 0) & (p["z"] == F.col("n")), F.col("text")).otherwise(F.concat(F.get("tokens", p["a"]), tail))
+
+    made = F.transform("pieces", lambda p: F.struct(p["no"].alias("no"), (p["z"] - p["a"]).alias("n"), text(p).alias("text")))
+    rows = rows.withColumn("made", made).drop("pieces", "tokens", "gaps", "spaced")
+    return rows.select(*[c for c in rows.columns if c not in ("made", "text", "n")], F.explode("made").alias("m")).select("*", "m.no", "m.n", "m.text").drop("m")
+
+
+def windows(rows: DataFrame, by: list[str], most: int, overlap: int) -> DataFrame:
+    """The pieces of each group's token windows: rows with ``first``, ``no`` (the window's number), the piece's text and tokens."""
+    step = max(1, most - overlap)
+    group = Window.partitionBy("document_id", *by)
+    rows = _led(rows, by).withColumn("total", F.sum("n").over(group))
+    rows = rows.withColumn("before", F.sum("n").over(group.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    low = F.greatest(F.lit(0), F.floor((F.col("before") - most) / F.lit(float(step))) + 1)
+    high = F.least(window_count(F.col("total"), most, overlap) - 1, F.floor((F.col("before") + F.col("n") - 1) / F.lit(float(step))))
+    place = lambda w: F.struct(w.alias("no"), F.greatest(F.lit(0), w * step - F.col("before")).cast("int").alias("a"), F.least(F.col("n"), w * step + most - F.col("before")).cast("int").alias("z"))
+    return _cut(rows, F.transform(F.sequence(low.cast("long"), high.cast("long")), place)).drop("total", "before")
+
+
+def pack_pieces(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The pieces of packs that pack() has numbered; a segment that takes several packs is cut without overlap."""
+    place = lambda k: F.struct((F.col(name) + k).alias("no"), (k * most).cast("int").alias("a"), F.least(F.col("n"), (k + 1) * most).cast("int").alias("z"))
+    return _cut(rows, F.transform(F.sequence(F.lit(0).cast("long"), F.col(f"{name}_windows") - 1), place))
+
+
+#: Chunks of a document are ordered by stage (parents, children, tables), group, half (whole tables, then their rows), number.
+_ORDER = ["stage", "first", "half", "no"]
+
+
+def _key(stage: int, first: Column, half: int, no: Column) -> Column:
+    return F.struct(F.lit(stage).alias("stage"), first.alias("first"), F.lit(half).alias("half"), no.cast("long").alias("no"))
+
+
+def _assembled(pieces: DataFrame, stage: int, half: int, kind: Column, role: Column, parent: Column | None = None) -> DataFrame:
+    """Chunks of the pieces that share a group and a number; parent: the key of the chunk that a piece's segment lies in."""
+    none = F.lit(None).cast("struct<stage:int,first:struct<position:int,row:int>,half:int,no:bigint>")
+    piece = F.struct(*_PLACE, "text", "node_id", "file", "path")
+    rows = pieces.groupBy("document_id", "doc_group", "tier", "first", "no").agg(
+        F.array_sort(F.collect_list(piece)).alias("parts"),
+        F.sum("n").cast("int").alias("n_tokens"),
+        F.min("path").alias("low"),
+        F.max("path").alias("high"),
+        F.min(none if parent is None else parent).alias("parent"),
     )
-    return next((k for test in tests for k, c in parents if test(c)), None)
+    # all paths begin as the smallest and the largest of them both do
+    same = F.filter(F.sequence(F.lit(0), F.size("low")), lambda k: (k <= F.size("high")) & (F.slice("low", F.lit(1), k) == F.slice("high", F.lit(1), k)))
+    text = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"), r"(?U)^\s+|\s+$", "")
+    rows = rows.withColumn("raw_text", text).withColumn("section_path", F.slice("low", F.lit(1), F.array_max(same)))
+    span = F.array_distinct(F.transform("parts", lambda p: F.struct(p["node_id"].alias("node_id"), p["file"].alias("file"), p["row"].alias("row_start"), p["row"].alias("row_end"))))
+    rows = rows.withColumn("source_spans", span).filter("raw_text <> ''")
+    return rows.select("document_id", "doc_group", "tier", F.lit(stage).alias("stage"), "first", F.lit(half).alias("half"), F.col("no").cast("long").alias("no"), kind.alias("chunk_type"), role.alias("index_role"), "raw_text", "n_tokens", "section_path", "source_spans", "parent")
+
+
+def _tree(rows: DataFrame, config: dict) -> DataFrame:
+    periodic = F.col("doc_group") == "periodic"
+    prose = _led(rows.filter("kind <> 'row'").withColumn("within", F.when(periodic, F.col("path"))), ["file", "within"])
+    prose = pack(prose, ["document_id", "file", "within"], _PLACE, "n", config["parent_tokens"], config["parent_segments"], "top").withColumnRenamed("first", "top_first")
+    kind = F.when(periodic, "SECTION_PARENT").when(F.col("doc_group") == "holding", "HOLDING_STATUS_PARENT").otherwise("EVENT_PARENT")
+    tops = _assembled(pack_pieces(prose.withColumnRenamed("top_first", "first"), "top", config["parent_tokens"]), 0, 0, kind, F.lit("CONTEXT_ONLY"))
+    paragraphs = _led(prose.filter("kind <> 'section'"), ["file", "path"])
+    paragraphs = pack(paragraphs, ["document_id", "file", "path"], _PLACE, "n", config["child_tokens"], config["child_segments"])
+    children = _assembled(pack_pieces(paragraphs, "pack", config["child_tokens"]), 1, 0, F.when(periodic, "PARAGRAPH_CHILD").otherwise("FIELD_GROUP_CHILD"), F.lit("RETRIEVAL"), _key(0, F.col("top_first"), 0, F.col("top")))
+    table = pack(_led(rows.filter("kind = 'row'"), ["node_id"]), ["document_id", "node_id"], _PLACE, "n", config["parent_tokens"], config["parent_segments"], "whole")
+    wholes = _assembled(pack_pieces(table, "whole", config["parent_tokens"]), 2, 0, F.lit("TABLE_WHOLE"), F.lit("CONTEXT_ONLY"))
+    lines = pack_pieces(pack(table, ["document_id", "node_id"], _PLACE, "n", config["row_tokens"], config["rows"]), "pack", config["row_tokens"])
+    lines = _assembled(lines, 2, 1, F.lit("TABLE_ROW"), F.when(auxiliary_row(F.col("raw_text")), "CONTEXT_ONLY").otherwise("RETRIEVAL"), _key(2, F.col("first"), 0, F.col("whole")))
+    return tops.unionByName(children).unionByName(wholes).unionByName(lines)
+
+
+def _parents(made: DataFrame) -> DataFrame:
+    """``made`` with parent_chunk_id: of the parent by segments, else of the first top chunk of the same section path, else of
+    the first one that shares a file. Only whole tables need the latter two."""
+    key = F.struct("stage", "first", "half", "no")
+    tops = made.filter("stage = 0").select("document_id", key.alias("key"), "section_path", F.array_distinct(F.transform("source_spans", lambda s: s["file"])).alias("files"))
+    by_path = tops.groupBy(F.col("document_id").alias("p_doc"), F.col("section_path").alias("p_path")).agg(F.min("key").alias("by_path"))
+    by_file = tops.select(F.col("document_id").alias("f_doc"), "key", F.explode("files").alias("f_file")).groupBy("f_doc", "f_file").agg(F.min("key").alias("by_file"))
+    lost = made.filter("stage = 2 and half = 0").select("document_id", "chunk_index", "section_path", F.get(F.transform("source_spans", lambda s: s["file"]), F.lit(0)).alias("file"))
+    lost = lost.join(by_path, (F.col("document_id") == F.col("p_doc")) & (F.col("section_path") == F.col("p_path")), "left").join(by_file, (F.col("document_id") == F.col("f_doc")) & (F.col("file") == F.col("f_file")), "left")
+    lost = lost.select(F.col("document_id").alias("l_doc"), F.col("chunk_index").alias("l_index"), F.coalesce("by_path", "by_file").alias("found"))
+    rows = made.join(lost, (F.col("document_id") == F.col("l_doc")) & (F.col("chunk_index") == F.col("l_index")), "left").withColumn("parent", F.coalesce("parent", "found"))
+    ids = made.filter("index_role = 'CONTEXT_ONLY'").select(F.col("document_id").alias("i_doc"), key.alias("i_key"), F.col("chunk_id").alias("parent_chunk_id"))
+    return rows.join(ids, (F.col("document_id") == F.col("i_doc")) & (F.col("parent") == F.col("i_key")), "left")
+
+
+def _optional(documents: DataFrame, name: str, kind: str = "string") -> Column:
+    return (F.col(name) if name in documents.columns else F.lit(None)).cast(kind)
+
+
+def embed_text(company: Column, report: Column, kind: Column, path: Column, raw: Column) -> Column:
+    """The text that is embedded: the company, report, chunk type and section that are known, an empty line, the chunk."""
+    line = lambda name, x: F.concat(F.lit(f"{name}: "), x)
+    section = F.when(F.size(path) > 0, F.array_join(path, " > "))
+    return F.concat(F.concat_ws("\n", line("기업", company), line("문서", report), line("청크유형", kind), line("섹션", section)), F.lit("\n\n"), raw)
+
+
+def eligibility(documents: DataFrame) -> DataFrame:
+    """(document_id, may_find, may_fact, warning_codes): whether a document's chunks may be found, and facts be read from them.
+
+    The fallback tier and documents without nodes are out; facts need a document without PDF and without parse failure.
+    Columns warnings (code) and source_files (content_format) count if they are there.
+    """
+    codes = F.array_sort(F.array_distinct(F.transform("warnings", lambda w: w["code"]))) if "warnings" in documents.columns else F.array().cast("array<string>")
+    pdf = F.exists("source_files", lambda f: f["content_format"] == "pdf") if "source_files" in documents.columns else F.lit(False)
+    whole = (F.coalesce("tier", F.lit("fallback")) != "fallback") & (F.size(F.coalesce("nodes", F.array().cast(documents.schema["nodes"].dataType))) > 0)
+    rows = documents.select("document_id", whole.alias("may_find"), F.coalesce(codes, F.array().cast("array<string>")).alias("warning_codes"), F.coalesce(pdf, F.lit(False)).alias("pdf"))
+    return rows.select("document_id", "may_find", (F.col("may_find") & ~F.col("pdf") & ~F.array_contains("warning_codes", "parse_failed")).alias("may_fact"), "warning_codes")
 
 
-def chunk_document(nodes: list[dict], group: str, tier: str, config: dict = TREE) -> list[Chunk]:
-    """The chunks of one document in their order. Documents of the fallback tier have audit chunks only."""
-    parts = segments(nodes)
-    if not parts:
-        return []
-    if tier == "fallback":
-        return [Chunk("DOCUMENT_FALLBACK", "AUDIT_ONLY", t, p) for t, p in windows(parts, 512, 0)]
-    if config["strategy"] != "hierarchical":
-        flat = config["strategy"] == "fixed-token"
-        by = (lambda s: s.file) if flat else (lambda s: (s.file, s.path))
-        kind = "FIXED_WINDOW" if flat else "SECTION_FLAT"
-        return [Chunk(kind, "RETRIEVAL", t, p) for g in grouped(parts, by) for t, p in windows(g, config["max_tokens"], config["overlap"])]
-    prose, rows = [s for s in parts if s.kind != "row"], [s for s in parts if s.kind == "row"]
-    out: list[Chunk] = []
-    periodic = group == "periodic"
-    for g in grouped(prose, (lambda s: (s.file, s.path)) if periodic else (lambda s: s.file)):
-        out += [Chunk(_PARENT.get(group, "EVENT_PARENT"), "CONTEXT_ONLY", t, p) for t, p in packs(g, config["parent_tokens"], config["parent_segments"])]
-    tops = list(enumerate(out))
-    for g in grouped([s for s in prose if s.kind != "section"], lambda s: (s.file, s.path)):
-        out += [Chunk("PARAGRAPH_CHILD" if periodic else "FIELD_GROUP_CHILD", "RETRIEVAL", t, p, _parent_of(p, tops)) for t, p in packs(g, config["child_tokens"], config["child_segments"])]
-    for g in grouped(rows, lambda s: (s.position, s.node)):
-        first = len(out)
-        out += [Chunk("TABLE_WHOLE", "CONTEXT_ONLY", t, p, _parent_of(p, tops)) for t, p in packs(g, config["parent_tokens"], config["parent_segments"])]
-        wholes = list(enumerate(out))[first:]
-        for t, p in packs(g, config["row_tokens"], config["rows"]):
-            out.append(Chunk("TABLE_ROW", "CONTEXT_ONLY" if all(auxiliary(s.text) for s in p) else "RETRIEVAL", t, p, _parent_of(p, wholes)))
-    return out
-
-
-CHUNKS = (
-    "document_id string, chunk_id string, chunk_index int, chunk_type string, index_role string, raw_text string, content_sha256 string, n_tokens int, parent_chunk_id string, "
-    "section_path array<string>, source_spans array<struct<node_id:string,file:string,row_start:int,row_end:int>>, retrieval_eligible boolean, fact_eligible boolean"
-)
+def mismatched_documents(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """document_id of parsed documents that the manifest does not have: they must not be chunked."""
+    return documents.select("document_id").join(manifest.select("document_id"), "document_id", "left_anti")
 
 
 def chunks(documents: DataFrame, config: dict = TREE) -> DataFrame:
     """All chunks of documents (document_id, doc_group, tier, nodes), by one strategy.
 
-    Documents without nodes have none. Chunk ids are made of the document, the strategy, the chunk's number and its text.
+    Documents without nodes have none; documents of the fallback tier have audit chunks only, windows over the whole
+    document. Chunk ids are made of the document, the strategy, the chunk's number and its text. Columns listed_name,
+    corp_name, filer_name, report_name, warnings and source_files of ``documents`` are used if they are there.
+    """
+    rows = segments(documents)
+    audit = rows.filter("tier = 'fallback'").withColumn("all", F.lit(0))
+    out = _assembled(windows(audit, ["all"], 512, 0), 0, 0, F.lit("DOCUMENT_FALLBACK"), F.lit("AUDIT_ONLY"))
+    rows = rows.filter("tier is null or tier <> 'fallback'")
+    if config["strategy"] == "hierarchical":
+        out = out.unionByName(_tree(rows, config))
+    else:
+        flat = config["strategy"] == "fixed-token"
+        made = windows(rows, ["file"] if flat else ["file", "path"], config["max_tokens"], config["overlap"])
+        out = out.unionByName(_assembled(made, 0, 0, F.lit("FIXED_WINDOW" if flat else "SECTION_FLAT"), F.lit("RETRIEVAL")))
+    index = F.row_number().over(Window.partitionBy("document_id").orderBy(*_ORDER)) - 1
+    digest = F.sha2("raw_text", 256)
+    out = out.withColumn("chunk_index", index.cast("int")).withColumn("content_sha256", digest)
+    name = F.concat_ws("\0", "document_id", F.lit(config["id"]), F.col("chunk_index").cast("string"), "raw_text")
+    out = out.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.left(F.sha2(name, 256), F.lit(24))))
+    if config["strategy"] == "hierarchical":
+        out = _parents(save(out, "chunks"))
+    else:
+        out = out.withColumn("parent_chunk_id", F.lit(None).cast("string"))
+    company = F.coalesce(*(_optional(documents, c) for c in ("listed_name", "corp_name", "filer_name")))
+    about = eligibility(documents).join(documents.select(F.col("document_id").alias("a_doc"), company.alias("company"), _optional(documents, "report_name").alias("report")), F.col("document_id") == F.col("a_doc"))
+    out = out.join(about.withColumnRenamed("document_id", "e_doc").drop("a_doc"), F.col("document_id") == F.col("e_doc"))
+    embedded = embed_text(F.col("company"), F.col("report"), F.col("chunk_type"), F.col("section_path"), F.col("raw_text"))
+    seen = F.col("index_role") != "CONTEXT_ONLY"
+    out = out.withColumn("embed_text", embedded)
+    return out.select(
+        "document_id", "chunk_id", "chunk_index", "chunk_type", "index_role", "raw_text", "content_sha256", "n_tokens", "parent_chunk_id", "section_path", "source_spans",
+        (F.col("may_find") & seen).alias("retrieval_eligible"), (F.col("may_fact") & seen).alias("fact_eligible"),
+        "embed_text", F.sha2("embed_text", 256).alias("embed_sha256"), n_tokens(F.col("embed_text")).alias("n_embed_tokens"),
+        F.concat(F.lit("duplicate_"), F.left("content_sha256", F.lit(24))).alias("duplicate_group_id"), "warning_codes",
+    )
+
+
+def manifest(chunks_: DataFrame, config: dict = TREE) -> DataFrame:
+    """One row a document: (document_id, chunking_config_id, n_chunks, n_retrieval, n_tokens, chunks_sha256); the hash is of all chunk
+    ids and contents in order."""
+    line = F.struct("chunk_index", F.concat_ws(":", "chunk_id", "content_sha256").alias("of"))
+    rows = chunks_.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count_if("retrieval_eligible").alias("n_retrieval"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(line)).alias("lines"))
+    digest = F.sha2(F.array_join(F.transform("lines", lambda x: x["of"]), "\n"), 256)
+    return rows.select("document_id", F.lit(config["id"]).alias("chunking_config_id"), "n_chunks", "n_retrieval", "n_tokens", digest.alias("chunks_sha256"))
+
+
+def corpus_profile(chunks_: DataFrame) -> DataFrame:
+    """(chunk_type, n_chunks, n_retrieval, n_tokens, n_embed_tokens, n_texts, duplicate_rate, n_embedded) by type, null for all types.
+
+    n_texts: different texts of what may be found; n_embedded: different texts to embed.
     """
+    found = F.col("retrieval_eligible")
+    rows = chunks_.rollup("chunk_type").agg(
+        F.count("*").alias("n_chunks"),
+        F.count_if(found).alias("n_retrieval"),
+        F.coalesce(F.sum(F.when(found, F.col("n_tokens"))), F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.sum(F.when(found, F.col("n_embed_tokens"))), F.lit(0)).alias("n_embed_tokens"),
+        F.count_distinct(F.when(found, F.col("content_sha256"))).alias("n_texts"),
+        F.count_distinct(F.when(found, F.col("embed_sha256"))).alias("n_embedded"),
+    )
+    return rows.withColumn("duplicate_rate", F.round(F.try_divide(F.col("n_retrieval") - F.col("n_texts"), F.col("n_retrieval")), 6))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d in frame.itertuples(index=False):
-                nodes = [] if d.nodes is None else [_plain(n) for n in d.nodes]
-                made = chunk_document(nodes, d.doc_group, d.tier, config)
-                ids = ["chunk_" + sha256("\0".join((d.document_id, config["id"], str(k), c.text)).encode()).hexdigest()[:24] for k, c in enumerate(made)]
-                for k, c in enumerate(made):
-                    whole = c.role != "CONTEXT_ONLY" and d.tier != "fallback"
-                    paths = [s.path for s in c.parts]
-                    shared = paths[0][: next((i for i in range(len(paths[0])) if any(p[: i + 1] != paths[0][: i + 1] for p in paths)), len(paths[0]))] if paths else ()
-                    spans = [{"node_id": g[0].node, "file": g[0].file, "row_start": g[0].row, "row_end": g[-1].row} for g in grouped(c.parts, lambda s: s.node)]
-                    rows.append((d.document_id, ids[k], k, c.kind, c.role, c.text, sha256(c.text.encode()).hexdigest(), len(_token_spans(c.text)), None if c.parent is None else ids[c.parent], list(shared), spans, whole, whole))
-            yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in re.split(r",\s(?=\w+ )", CHUNKS)]).astype({"chunk_index": "int32", "n_tokens": "int32"})
-
-    return documents.select("document_id", "doc_group", "tier", "nodes").mapInPandas(run, CHUNKS)
-
-
-def _plain(x):
-    """Arrow's rows and arrays as plain dicts and lists."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if hasattr(x, "asDict"):
-        return _plain(x.asDict())
-    if hasattr(x, "tolist") and not isinstance(x, str):
-        return [_plain(v) for v in x.tolist()]
-    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+def per_document(chunks_: DataFrame) -> DataFrame:
+    """One row: smallest, lower 50, 90 and 99 percent, and largest number of chunks that may be found of a document."""
+    counts = chunks_.groupBy("document_id").agg(F.count_if("retrieval_eligible").alias("n"))
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)")
+    return counts.agg(F.min("n").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("n").alias("most"))
 
 
 def last_section(df: DataFrame, by: list[str], order: str, section: Column, name: str = "section") -> DataFrame:
     """Each row with the latest section seen so far in its document (as-of, in document order)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(section, ignorenulls=True).over(w))

@@ -381,7 +381,7 @@ def last_section_asof(read):
 """)
 def pack_segments(read):
     rows = read("conversations").select("conv_id", "turn", text.n_tokens(F.col("text")).cast("long").alias("n_tokens"))
-    return chunking.pack(rows, "conv_id", "turn", "n_tokens", 128, 4)
+    return chunking.pack(rows, ["conv_id"], ["turn"], "n_tokens", 128, 4).withColumnRenamed("pack_windows", "windows")
 
 
 @query("""

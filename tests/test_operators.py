@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import html
 import os
+import re
 
 import duckdb
 import pytest
@@ -109,7 +110,8 @@ def test_tree_of_chunks(spark):
     out = chunking.chunks(document(spark, NODES)).orderBy("chunk_index").collect()
     assert [c["chunk_type"] for c in out] == ["SECTION_PARENT", "PARAGRAPH_CHILD", "TABLE_WHOLE", "TABLE_ROW"]
     assert out[3]["parent_chunk_id"] == out[2]["chunk_id"] and out[1]["parent_chunk_id"] == out[0]["chunk_id"]
-    assert [(s["row_start"], s["row_end"]) for s in out[3]["source_spans"]] == [(0, 1)]
+    assert [(s["row_start"], s["row_end"]) for s in out[3]["source_spans"]] == [(0, 0), (1, 1)]
+    assert out[2]["parent_chunk_id"] == out[0]["chunk_id"]  # by section path
     assert [c["retrieval_eligible"] for c in out] == [False, True, False, True]
     assert constraints.chunk_parents(chunking.chunks(document(spark, NODES))).count() == 0
 
@@ -124,14 +126,86 @@ def test_fallback_and_unit_rows(spark):
 
 
 def test_windows_cover_every_token(spark):
+    small = chunking.FIXED | {"max_tokens": 10, "overlap": 3}
     for n in (1, 9, 10, 11, 25, 100):
         text = " ".join(f"w{k}" for k in range(n))
-        parts = chunking.segments([dict(zip(("kind", "node_id", "title_text", "text", "section_hierarchy", "normalized_rows", "header_row_indices", "source"), node("paragraph", "n", text), strict=True)) | {"source": {"rel_path": "a"}}])
-        made = chunking.windows(parts, 10, 3)
+        made = [c["raw_text"] for c in chunking.chunks(document(spark, [node("paragraph", "n", text)]), small).orderBy("chunk_index").collect()]
         got = spark.createDataFrame([(1, text)], "k int, t string")
         plan = chunking.token_windows(got, "k", "t", 10, 3).orderBy("window").collect()
-        assert [" ".join(f"w{k}" for k in range(r["token_start"], r["token_end"])) for r in plan] == [t for t, _ in made]
-        assert set(" ".join(t for t, _ in made).split()) == set(text.split())
+        assert [" ".join(f"w{k}" for k in range(r["token_start"], r["token_end"])) for r in plan] == made
+        assert set(" ".join(made).split()) == set(text.split())
+
+
+def test_windows_over_several_segments(spark):
+    texts = ["a b, c", "  d", "e f g h i j k", "l", "m. n (o) p"]
+    nodes = [node("paragraph", f"n{k}", t, ["I"]) for k, t in enumerate(texts)]
+    whole = "\n".join(texts)
+    spots = [m.span() for m in re.finditer(r"\w+|[^\s\w]", whole)]
+    for most, overlap in ((4, 0), (5, 2), (3, 1), (100, 10)):
+        got = chunking.chunks(document(spark, nodes), chunking.FIXED | {"max_tokens": most, "overlap": overlap}).orderBy("chunk_index").collect()
+        want, at = [], 0
+        while True:
+            end = min(len(spots), at + most)
+            want.append((whole[spots[at][0] : spots[end - 1][1]], end - at))
+            if end == len(spots):
+                break
+            at += most - overlap
+        assert [(c["raw_text"], c["n_tokens"]) for c in got] == want
+
+
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_packs_are_greedy(spark, batch):
+    import random
+
+    rng = random.Random(3)
+    data = [(g, k, rng.choice([0, 1, 2, 3, 5, 9, 25])) for g in range(12) for k in range(rng.choice([1, 5, 40]))]
+    df = spark.createDataFrame(data, "g int, k int, n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {(r["g"], r["k"]): (r["pack"], r["pack_windows"]) for r in chunking.pack(df, ["g"], ["k"], "n", 8, 3).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for g in range(12):
+        at, open_ = 0, []
+        for _, k, n in (r for r in data if r[0] == g):
+            if open_ and (n > 8 or sum(open_) + n > 8 or len(open_) == 3):
+                at, open_ = at + 1, []
+            assert got[g, k] == (at, max(1, -(-n // 8) if n > 8 else 1))
+            at, open_ = (at + -(-n // 8), []) if n > 8 else (at, [*open_, n])
+
+
+def test_long_rows_and_parents_over_paths(spark):
+    long = " ".join(f"w{k}" for k in range(20))
+    nodes = [node("section", "s1", "T", ["I"]), node("paragraph", "a", long, ["I"]), node("paragraph", "b", "x y", ["I", "A"]), node("table", "t", path=["I", "B"], cells=[[f"r{k}", str(k)] for k in range(20)])]
+    small = chunking.TREE | {"parent_tokens": 12, "parent_segments": 3, "child_tokens": 8, "child_segments": 2, "row_tokens": 6, "rows": 4}
+    out = chunking.chunks(document(spark, nodes, group="holding"), small).orderBy("chunk_index").collect()
+    by = {c["chunk_id"]: c for c in out}
+    kinds = [c["chunk_type"] for c in out]
+    assert kinds == sorted(kinds, key=["HOLDING_STATUS_PARENT", "FIELD_GROUP_CHILD", "TABLE_WHOLE", "TABLE_ROW"].index)
+    assert [c["raw_text"] for c in out if c["chunk_type"] == "HOLDING_STATUS_PARENT"] == ["T", " ".join(long.split()[:12]), " ".join(long.split()[12:]), "x y"]
+    assert [(c["raw_text"], by[c["parent_chunk_id"]]["raw_text"][:3]) for c in out if c["chunk_type"] == "FIELD_GROUP_CHILD"] == [(" ".join(long.split()[k : k + 8]), "w0 ") for k in (0, 8, 16)] + [("x y", "x y")]
+    tables = [c for c in out if c["chunk_type"] == "TABLE_WHOLE"]
+    assert all(by[c["parent_chunk_id"]]["raw_text"] == "T" for c in tables)  # no chunk of its path, so the first of its file
+    for c in out:
+        if c["chunk_type"] == "TABLE_ROW":
+            rows = {s["row_start"] for s in c["source_spans"]}
+            first = next(t for t in tables if rows & {s["row_start"] for s in t["source_spans"]})
+            assert c["parent_chunk_id"] == first["chunk_id"] and len(rows) <= 4
+    assert constraints.chunk_parents(chunking.chunks(document(spark, nodes), small)).count() == 0
+
+
+def test_embedded_text_and_eligibility(spark):
+    d = document(spark, NODES).withColumns({"listed_name": F.lit(None).cast("string"), "corp_name": F.lit("가나"), "report_name": F.lit("보고서"), "warnings": F.expr("array(named_struct('code', 'b'), named_struct('code', 'a'), named_struct('code', 'b'))"), "source_files": F.expr("array(named_struct('content_format', 'pdf'))")})
+    out = chunking.chunks(d).orderBy("chunk_index").collect()
+    assert out[1]["embed_text"] == "기업: 가나\n문서: 보고서\n청크유형: PARAGRAPH_CHILD\n섹션: I\n\n매출 1,000원"
+    assert [(c["retrieval_eligible"], c["fact_eligible"]) for c in out] == [(False, False), (True, False), (False, False), (True, False)]
+    assert out[0]["warning_codes"] == ["a", "b"] and out[0]["duplicate_group_id"] == "duplicate_" + out[0]["content_sha256"][:24]
+    assert chunking.chunks(document(spark, NODES)).first()["embed_text"].startswith("청크유형")
+    assert chunking.mismatched_documents(d, d.limit(0)).count() == 1
+    m = chunking.manifest(chunking.chunks(d)).first()
+    assert (m["n_chunks"], m["n_retrieval"]) == (4, 2) and len(m["chunks_sha256"]) == 64
+    total = {r["chunk_type"]: (r["n_chunks"], r["n_retrieval"], r["duplicate_rate"]) for r in chunking.corpus_profile(chunking.chunks(d)).collect()}
+    assert total[None] == (4, 2, 0.0) and total["TABLE_ROW"] == (1, 1, 0.0)
+    assert tuple(chunking.per_document(chunking.chunks(d)).first()) == (2, 2, 2, 2, 2)
 
 
 def test_sections_are_grouped_over_the_whole_document(spark):
