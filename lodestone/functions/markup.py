@@ -14,9 +14,9 @@ UNSAFE = (
     r"""(?i)\s(?:href|src)\s*=\s*(?:"javascript:[^"\n]*"|'javascript:[^'\n]*')""",
 )
 
-#: Filing tags that become one HTML tag: tag, opening, closing.
+#: Filing tags that become one HTML tag: tag, opening, closing. Fixed values.
 TAGS = (
-    ("DOCUMENT", '<main class="filing">', "</main>"),
+    ("DOCUMENT", '<main class="dart-document">', "</main>"),
     ("DOCUMENT-NAME", '<div class="document-name">', "</div>"),
     ("COMPANY-NAME", '<span class="company-name">', "</span>"),
     ("COVER-TITLE", "<h1>", "</h1>"),
@@ -59,6 +59,22 @@ def escape_html(text: Column) -> Column:
     return replaced(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")))
 
 
+def with_head(html: Column, head: str) -> Column:
+    """``head`` at the start of the page's head; before the whole page if it has none."""
+    quoted = head.replace("\\", "\\\\").replace("$", "\\$")
+    return F.when(html.rlike(r"(?i)<head\b[^>]*>"), F.regexp_replace(html, r"(?is)^(.*?<head\b[^>]*>)", "$1" + quoted)).otherwise(F.concat(F.lit(head), html))
+
+
+def source_view(text: Column) -> Column:
+    """A source as it stands, escaped, as one preformatted block."""
+    return F.concat(F.lit("<pre>"), escape_html(text), F.lit("</pre>"))
+
+
+def json_view(text: Column) -> Column:
+    """JSON with line breaks and indents of two, escaped; a text that is no JSON as it stands."""
+    return source_view(F.coalesce(F.to_json(F.try_parse_json(text), {"pretty": "true"}), text))
+
+
 def sniff_format(head: Column, path: Column | None = None) -> Column:
     """PDF, XML, HTML, JSON or TEXT from how the content begins; else from the path's ending; else UNKNOWN."""
     start = F.lower(F.ltrim(F.substring(head, 1, 512)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import parse_date, parse_number
+from lodestone.functions.vocabulary import METRIC_UNITS
 
 
 def planned(raw: Column) -> Column:
@@ -99,3 +100,35 @@ def risk_flags(quote: Column, duplicate: Column, calculated: Column, in_table: C
 
 def risk_level(flags: Column) -> Column:
     return F.when(F.array_contains(flags, "NUMERIC_OR_SYMBOL_ONLY") | F.array_contains(flags, "CALCULATION_INPUT"), "CRITICAL").when(F.size(flags) > 0, "HIGH").otherwise("MEDIUM")
+
+
+def metric_unit(metric: Column) -> Column:
+    """struct(unit, currency, raw_unit, scale) of a metric's values; all null for metrics that are no numbers."""
+    known = F.create_map(*(x for m, unit in METRIC_UNITS.items() for x in (F.lit(m), F.struct(*(F.lit(v).cast(k).alias(n) for (n, k), v in zip(_UNIT_FIELDS, unit, strict=True))))))
+    none = F.struct(*(F.lit(None).cast(k).alias(n) for n, k in _UNIT_FIELDS))
+    return F.coalesce(F.try_element_at(known, metric), none)
+
+
+_UNIT_FIELDS = (("unit", "string"), ("currency", "string"), ("raw_unit", "string"), ("scale", "int"))
+
+
+def ordered_intersection(claimed: Column, verified: Column) -> Column:
+    """What of ``claimed`` is in ``verified``, each once, in the order of ``claimed``."""
+    return F.array_distinct(F.filter(claimed, lambda x: F.coalesce(F.array_contains(verified, x), F.lit(False))))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, whatever their order."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+def natural_key(text: Column) -> Column:
+    """A key that sorts texts without regard to case and accents, and runs of digits as numbers."""
+    plain = F.lower(F.regexp_replace(F.collate(text, "UTF8_BINARY"), r"\p{M}", ""))
+    parts = F.regexp_extract_all(plain, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+
+
+def bounded(n: Column, most: int) -> Column:
+    """Whether a limit may be asked for: a whole number from 1 to ``most`` (100 results of retrieval, 1,000 records)."""
+    return F.coalesce(n.between(1, most) & (n == F.floor(n)), F.lit(False))

@@ -13,6 +13,14 @@ SPLIT_LOCKS = ("PROVISIONAL_UNTIL_CHAIN_CLOSURE", "LOCKED_BY_CHAIN", "LOCKED_BY_
 HOLDOUT_STATES = ("SEALED", "OPENED", "CONSUMED", "DIAGNOSTIC_ONLY")
 RUN_PURPOSES = ("SANDBOX_EXPLORATION", "FLOW_SELECTION", "CRITICAL_REGRESSION_CHECK", "FINAL_HOLDOUT_EVALUATION", "DIAGNOSTIC_ONLY")
 RUN_OUTCOMES = ("SUCCESS", "FAILURE")
+USAGE_KINDS = {"SANDBOX": "SANDBOX", "TUNING": "DEV_TUNE", "CHECKPOINT": "DEV_CHECK", "FINAL_HOLDOUT": "HOLDOUT"}
+PURPOSE_SPLITS = {
+    "SANDBOX_EXPLORATION": ("SANDBOX",),
+    "FLOW_SELECTION": ("DEV_TUNE",),
+    "CRITICAL_REGRESSION_CHECK": ("DEV_CHECK",),
+    "FINAL_HOLDOUT_EVALUATION": ("HOLDOUT",),
+    "DIAGNOSTIC_ONLY": ("HOLDOUT",),
+}
 ANSWERABILITY = ("SUPPORTED", "NOT_FOUND", "WITHHELD", "NOT_APPLICABLE", "UNANSWERABLE", "OUT_OF_SCOPE", "AMBIGUOUS_QUERY", "CONFLICTING_EVIDENCE")
 ROUTES = ("STRUCTURED", "RETRIEVAL", "BOTH", "EARLY_EXIT")
 FACT_COVERAGE_STATES = (
@@ -45,6 +53,8 @@ METRIC_RULES = (
     ("WITHHELD_REASON", "TEXT", "(?:공시)?유보사유$"),
     ("WITHHELD_UNTIL", "DATE", "(?:공시)?유보기한$"),
 )
+#: Unit, currency, unit as written, and scale of the metrics that are numbers.
+METRIC_UNITS = {"CONTRACT_AMOUNT": ("KRW", "KRW", "원", 1), "CONTRACT_SALES_RATIO": ("PERCENT", None, "%", 1)}
 #: Weights of the fields that identify a contract.
 IDENTITY_WEIGHTS = {"CONTRACT_NAME": 0.35, "CONTRACT_COUNTERPARTY": 0.25, "CONTRACT_AMOUNT": 0.20, "CONTRACT_START_DATE": 0.10, "CONTRACT_END_DATE": 0.10}
 #: Subtypes between which a termination is looked for.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ids import stable_id
 from lodestone.functions.text import find_date, normal_label, normal_report_family
-from lodestone.functions.values import value_status
+from lodestone.functions.values import metric_unit, value_status
 from lodestone.functions.vocabulary import METRIC_RULES
 from lodestone.operators.ranking import top_per
 
@@ -47,7 +47,7 @@ def facts(documents: DataFrame, last: bool = True) -> DataFrame:
     reason = F.max((F.col("metric_code") == "WITHHELD_REASON") & ~F.col("value").rlike("^[-–—]?$")).over(Window.partitionBy("document_id"))
     chosen = chosen.withColumn("withheld", reason).withColumn("v", value_status(F.col("value"), F.col("value_type"), F.col("metric_code"), F.col("withheld")))
     fact = stable_id("fact", "document_id", "metric_code", F.col("node_id"), F.col("row_at"))
-    return chosen.select("document_id", "metric_code", "value_type", "v.*", F.when(F.col("n_rules") >= 6, 0.98).otherwise(0.9).alias("confidence"), fact.alias("fact_id"), stable_id("evidence", "document_id", F.col("node_id"), F.col("row_at")).alias("evidence_id"), F.col("value").alias("quote"), "node_id", "row_at")
+    return chosen.select("document_id", "metric_code", "value_type", "v.*", metric_unit(F.col("metric_code")).alias("of_unit"), F.when(F.col("n_rules") >= 6, 0.98).otherwise(0.9).alias("confidence"), fact.alias("fact_id"), stable_id("evidence", "document_id", F.col("node_id"), F.col("row_at")).alias("evidence_id"), F.col("value").alias("quote"), "node_id", "row_at").select("*", "of_unit.*").drop("of_unit")
 
 
 def correction_references(documents: DataFrame) -> DataFrame:

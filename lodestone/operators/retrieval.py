@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import n_tokens, tokens
 from lodestone.functions.vocabulary import METHOD_PARTS
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -17,30 +17,96 @@ K1, B, RRF_K = 1.2, 0.75, 60
 BLOCK, BLOCK_NUMBERS = 2048, 1_000_000
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): one row for each term of a document."""
+#: Rows of a small side that is broadcast at most; beyond it Spark joins by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def postings(docs: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
+    """(key, term, tf, length) for the terms of ``asked`` (term, distinct) alone; others never move."""
     terms = tokens(F.lower(F.coalesce(text, F.lit(""))))
     rows = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return rows.join(checked(asked), "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, digits: int = 6) -> DataFrame:
     """(query, key, rank, score) of the ``k`` best documents of each query by BM25 (k1 1.2, b 0.75).
 
-    Terms are counted once; only those that a query has are joined. Length and number of documents are one row.
+    Only terms that a query has are counted; their number of documents is one row a term, length and number of documents
+    one row in all. Scores of a document's terms are summed before ranks cut them.
     """
-    length = docs.select(F.count("*").alias("n"), F.avg(F.size(tokens(F.lower(F.coalesce(text, F.lit("")))))).alias("mean"))
+    length = docs.select(F.count("*").alias("n"), F.avg(n_tokens(F.lower(F.coalesce(text, F.lit(""))))).alias("mean"))
     q = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(tokens(F.lower(F.coalesce(query_text, F.lit("")))))).alias("term"))
-    asked = postings(docs, key, text).join(q.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(length))
+    found = postings(docs, key, text, q.select("term").distinct())
+    df = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = q.join(weighed.select("term", key, weight.alias("w")), "term").groupBy("q", key).agg(F.round(F.sum("w"), digits).alias("score"))
+    asked = q.join(df, "term")
+    scores = found.join(checked(asked), "term").groupBy("q", key).agg(F.round(F.sum(weight), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), key))
     return scores.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), key, "rank", "score")
 
 
+def containing(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
+    """(quote key, key) of the documents that contain a quote as it stands, found by the quote's rarest inner token.
+
+    A quote of fewer than three tokens has none that must stand whole in the text, so it meets every document; such quotes
+    are few, or the join is by Spark's choice. Empty quotes stand in every text; null ones in none.
+    """
+    inner = quotes.select(F.col(quote_key).alias("q"), F.col(quote).alias("quote"), tokens(F.col(quote)).alias("t")).filter("quote is not null").withColumn("t", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.lit(0), F.size("t") - 2))))
+    terms = inner.filter(F.size("t") > 0).select("q", F.explode("t").alias("term"))
+    words = docs.select(F.col(key).alias("d"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    counts = words.join(checked(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
+    rarest = terms.join(counts, "term").withColumn("r", rank).filter("r = 1").select("q", "term")
+    pairs = words.join(checked(rarest), "term").select("d", "q")
+    held = docs.select(F.col(key).alias("own"), F.col(text).alias("whole"))
+    found = pairs.join(inner.select(F.col("q").alias("i_q"), "quote"), F.col("q") == F.col("i_q")).join(held, F.col("d") == F.col("own")).filter(F.col("whole").contains(F.col("quote"))).select("q", "d")
+    short = inner.filter(F.size("t") == 0).select("q", "quote")
+    if short.head(1):
+        every = held.join(checked(short, 1000), F.col("whole").contains(F.col("quote"))).select("q", F.col("own").alias("d"))
+        found = found.unionByName(every)
+    return found.select(F.col("q").alias(quote_key), F.col("d").alias(key))
+
+
+#: The most results that a request may ask for. Fixed value.
+MOST_RESULTS = 100
+
+
+def request_code(request: dict, pinned: dict) -> str | None:
+    """Why a retrieval request is refused before any search; None if it may run. A check of two small dictionaries."""
+    if any(not request.get(k) for k in ("query_id", "retrieval_method", *pinned)) or request["retrieval_method"] not in METHOD_PARTS:
+        return "RETRIEVER_INVALID_REQUEST"
+    if not isinstance(request.get("top_k"), int) or not 1 <= request["top_k"] <= MOST_RESULTS:
+        return "RETRIEVER_INVALID_REQUEST"
+    return "RETRIEVER_SNAPSHOT_MISMATCH" if any(request[k] != v for k, v in pinned.items()) else None
+
+
+def retrieve(request: dict, pinned: dict, search) -> tuple[str, DataFrame | None]:
+    """(code, results): the envelope around a search, a function of the request that gives (query_id, chunk_id, rank, score).
+
+    The request is checked first; without a search the retriever is unavailable, which is not the same as no results; a
+    search that fails, or results that break a rule of ranked lists, are refused. OK else.
+    """
+    if code := request_code(request, pinned):
+        return code, None
+    if search is None:
+        return "RETRIEVER_UNAVAILABLE", None
+    try:
+        found = search(dict(request))
+    except Exception:  # whatever the search raises is the same refusal
+        return "RETRIEVER_ADAPTER_ERROR", None
+    if not {"query_id", "chunk_id", "rank", "score"} <= set(found.columns) or invariants(found, "query_id", "chunk_id", request["top_k"]).head(1):
+        return "RETRIEVER_INVALID_RESULT", None
+    if found.filter(~F.col("query_id").eqNullSafe(F.lit(request["query_id"]))).head(1):
+        return "RETRIEVER_REQUEST_RESULT_MISMATCH", None
+    return "OK", found
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -62,11 +62,11 @@ def coverage_grid(read):
 
 @query("""
     SELECT o_orderstatus, count(*) AS n_documents, count(DISTINCT o_custkey) AS n_companies, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::BIGINT AS n_corrections,
-           sum(CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 2 = 0) THEN 1 ELSE 0 END)::BIGINT AS n_unknown
+           sum(CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0) THEN 1 ELSE 0 END)::BIGINT AS n_unknown
     FROM orders GROUP BY o_orderstatus
 """)
 def manifest_audit(read):
-    orders, known = read("orders"), read("customer").filter("c_custkey % 2 = 0")
+    orders, known = read("orders"), read("customer").filter("c_acctbal >= 0")
     unknown = coverage.unknown_keys(orders, "o_custkey", known, "c_custkey").groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n_unknown"))
     counts = orders.groupBy("o_orderstatus").agg(F.count("*").alias("n_documents"), F.count_distinct("o_custkey").alias("n_companies"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_corrections"))
     return counts.join(unknown, F.col("o_orderstatus") == F.col("s"), "left").select("o_orderstatus", "n_documents", "n_companies", "n_corrections", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
@@ -385,21 +385,25 @@ def pack_segments(read):
 
 
 @query("""
-    WITH d AS (SELECT doc_id, strpos(text, 'the ') AS a_start, strpos(text, 'the ') + 100 AS a_end, lang FROM documents WHERE strpos(text, 'the ') > 0), b AS (SELECT item_id, length(text) AS b_start, length(text) + 20 AS b_end FROM benchmark)
-    SELECT doc_id, item_id FROM d, b WHERE a_start <= b_end AND b_start <= a_end AND doc_id % 40 = item_id % 40
+    WITH h AS (SELECT doc_id, item_id, d.text AS text, strpos(d.text, b.text) AS a_start, strpos(d.text, b.text) + length(b.text) - 1 AS a_end FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IN (SELECT doc_id FROM h)),
+    s AS (SELECT doc_id, line_no, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) AS BIGINT) AS b_start, length(line) AS n FROM l)
+    SELECT doc_id, item_id, CAST(line_no AS INTEGER) AS line_no FROM h JOIN s USING (doc_id) WHERE n > 0 AND a_start <= b_start + n - 1 AND b_start <= a_end
 """)
 def evidence_overlap(read):
-    at = F.position(F.lit("the "), "text")
-    d = read("documents").select("doc_id", (F.col("doc_id") % 40).alias("node"), at.alias("a_start"), (at + 100).alias("a_end")).filter("a_start > 0")
-    b = read("benchmark").select("item_id", (F.col("item_id") % 40).alias("node"), F.length("text").alias("b_start"), (F.length("text") + 20).alias("b_end"))
-    return retrieval.overlaps(d, b, ["node"]).select("doc_id", "item_id")
+    """The lines of each document that a quote of the benchmark touches."""
+    docs, bench = read("documents").select("doc_id", "text"), read("benchmark").select("item_id", F.col("text").alias("quote"))
+    at = F.position("quote", "text")
+    found = quote_containment(read).join(docs, "doc_id").join(bench, "item_id").select("doc_id", "item_id", at.alias("a_start"), (at + F.length("quote") - 1).alias("a_end"))
+    lines = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    start = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no")) - F.length("line")
+    spans = lines.select("doc_id", "line_no", start.alias("b_start"), (start + F.length("line") - 1).alias("b_end")).filter("b_end >= b_start")
+    return retrieval.overlaps(found, spans, ["doc_id"]).select("doc_id", "item_id", "line_no")
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))")
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_containment(read):
-    quotes = read("benchmark").select("item_id", F.col("text").alias("quote"))
-    rows = read("documents").select("doc_id", "text").join(F.broadcast(quotes), values.quote_resolves(F.col("text"), F.lit(None).cast("array<array<string>>"), F.col("quote")))
-    return rows.select("item_id", "doc_id")
+    return retrieval.containing(read("documents"), "doc_id", "text", read("benchmark"), "item_id", "text")
 
 
 @query("SELECT doc_id, CASE WHEN strpos(text, 'idiot') > 0 THEN substr(text, greatest(strpos(text, 'idiot') - 160, 1), strpos(text, 'idiot') - greatest(strpos(text, 'idiot') - 160, 1) + 165) END AS snippet FROM documents WHERE contains(text, 'idiot')")
@@ -432,22 +436,28 @@ def policy_guard(read):
 
 
 @query("""
-    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS score FROM q, embeddings v WHERE v.vec_id <> query_id),
+    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS score FROM q, embeddings v WHERE v.vec_id <> query_id),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 10
 """)
 def dense_topk(read):
     v = read("embeddings")
-    return retrieval.dense(v, "vec_id", "embedding", v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")), "query_id", "e", 10)
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
+    return retrieval.dense(v, "vec_id", "embedding", asked, "query_id", "e", 10)
 
 
-_BM25 = f"""
-    t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents),
-    l AS (SELECT doc_id, {_N_TOKENS.replace("text", "lower(text)")} AS len FROM documents), g AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark),
-    s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (doc_id), g GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)"""
+def _bm25(of: str, p: str = "") -> str:
+    """SQL of the BM25 ranking r (by item) of the documents' ``of``; p: a prefix of all names."""
+    return f"""
+    {p}t AS (SELECT doc_id, unnest(regexp_extract_all(lower({of}), '{_TOKEN}')) AS term FROM documents),
+    {p}l AS (SELECT doc_id, {_N_TOKENS.replace("text", f"lower({of})")} AS len FROM documents), {p}g AS (SELECT count(*) AS n, avg(len) AS mean FROM {p}l),
+    {p}tf AS (SELECT doc_id, term, count(*) AS tf FROM {p}t GROUP BY ALL), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
+    {p}q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark),
+    {p}s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM {p}q JOIN {p}tf USING (term) JOIN {p}df USING (term) JOIN {p}l USING (doc_id), {p}g GROUP BY ALL),
+    {p}r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {p}s)"""
+
+
+_BM25 = _bm25("text")
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, rank, score FROM r WHERE rank <= 10")
@@ -455,24 +465,21 @@ def bm25_topk(read):
     return retrieval.bm25(read("documents"), "doc_id", "text", read("benchmark"), "item_id", "text", 10)
 
 
-_LENGTHS = "x AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(length(d.text) - length(b.text)), doc_id) AS INTEGER) AS rank FROM documents d, benchmark b)"
-
-
 @query(f"""
-    WITH {_BM25}, {_LENGTHS}, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT item_id, doc_id, rank FROM r WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank FROM x WHERE rank <= 50) GROUP BY ALL),
+    WITH {_BM25}, {_bm25("split_part(text, chr(10), 1)", "x")}, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT item_id, doc_id, rank FROM r WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank FROM xr WHERE rank <= 50) GROUP BY ALL),
     o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f)
     SELECT item_id, doc_id, rank, score FROM o WHERE rank <= 10
 """)
 def hybrid_rrf(read):
+    """Rankings by the whole text and by its first line, fused."""
     docs, bench = read("documents"), read("benchmark")
-    lexical = retrieval.bm25(docs, "doc_id", "text", bench, "item_id", "text", 50)
-    by_length = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(bench.select("item_id", F.length("text").alias("m"))))
-    other = ranking.top_per(by_length, ["item_id"], [F.abs(F.col("n") - F.col("m")), "doc_id"], 50)
-    return retrieval.rrf([lexical, other], "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", "score")
+    first = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    lists = [retrieval.bm25(d, "doc_id", c, bench, "item_id", "text", 50) for d, c in ((docs, "text"), (first, "line"))]
+    return retrieval.rrf(lists, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", "score")
 
 
 @query(f"""
-    WITH {_BM25}, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))),
+    WITH {_BM25}, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     h AS (SELECT item_id, min(rank) AS first FROM (SELECT * FROM r WHERE rank <= 10) JOIN rel USING (item_id, doc_id) GROUP BY item_id)
     SELECT count(*) AS n_queries, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0.0 END), 6) AS mrr_10
     FROM (SELECT DISTINCT item_id FROM rel) LEFT JOIN h USING (item_id)
@@ -610,17 +617,6 @@ def unique_links(read):
     return evaluation.unique_first(read("lineitem"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey", "l_extendedprice"]).select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
 
 
-@query("""
-    SELECT question_id, slot_id, EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = s.question_id AND c.o_orderstatus = 'F' AND c.o_orderkey = s.slot_id) AS grounded
-    FROM (SELECT o_custkey AS question_id, o_orderkey AS slot_id FROM orders WHERE o_orderpriority = '1-URGENT') s
-""")
-def slot_groundedness(read):
-    o, s = read("orders"), F.lit(None).cast("string")
-    slots = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("slot_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("evidence_id"), F.col("o_orderkey").cast("string").alias("document_id"), F.lit("L").alias("locator"), F.lit("q").alias("quote"))
-    contexts = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").cast("string").alias("evidence_id"), F.col("o_orderkey").cast("string").alias("document_id"), F.lit("L").alias("locator"), F.lit("q").alias("quote"))
-    return evaluation.groundedness(slots, contexts).select("question_id", "slot_id", "grounded")
-
-
 @query("""
     WITH b AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'WITHHELD' WHEN bool_or(o_orderstatus = 'O') THEN 'NOT_APPLICABLE' ELSE 'SUPPORTED' END AS answerability FROM b GROUP BY o_custkey
 """)
@@ -629,7 +625,7 @@ def answerability(read):
     return read("orders").groupBy("o_custkey").agg(F.collect_set(status).alias("s")).select("o_custkey", values.answerability(F.col("s")).alias("answerability"))
 
 
-@query(r"""SELECT page_id, sha256(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_sha256, regexp_replace(url, '(?i)(token|secret)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g') AS safe_url FROM pages""")
+@query(r"""SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_sha256, regexp_replace(url, '(?i)(token|secret)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g') AS safe_url FROM pages""")
 def escape_and_redact(read):
     return read("pages").select("page_id", F.sha2(markup.escape_html(F.col("html")), 256).alias("escaped_sha256"), text.redact(F.col("url")).alias("safe_url"))
 
@@ -657,7 +653,7 @@ def split_allocation(read):
 
 
 @query(f"""
-    WITH {_BM25}, rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40))),
+    WITH {_BM25}, rel AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     dcg AS (SELECT item_id, sum(1 / log2(rank + 1)) AS d FROM r JOIN rel USING (item_id, doc_id) WHERE rank <= 10 GROUP BY item_id),
     best AS (SELECT item_id, sum(1 / log2(i + 1)) AS b FROM (SELECT item_id, least(count(*), 10) AS n FROM rel GROUP BY item_id), unnest(range(1, n + 1)) AS t(i) GROUP BY item_id)
     SELECT item_id, round(coalesce(d, 0) / b, 6) AS ndcg FROM best LEFT JOIN dcg USING (item_id)
@@ -695,6 +691,17 @@ def chunk_profile(read):
     return profile.ratio_to_baseline(report, "strategy", "n_chunks", "fixed-token")
 
 
+@query(f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_id % 11 <> 0),
+    g AS (SELECT doc_id, i // 8 AS sec, sum(len(regexp_extract_all(line, '{_TOKEN}'))) AS n FROM l GROUP BY ALL)
+    SELECT 'section-aware-flat' AS strategy, CAST(sum(CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 448.0) + 1 END) AS BIGINT) AS n_chunks,
+           CAST(sum(CASE WHEN n <= 512 THEN n ELSE n + 64 * ceil((n - 512) / 448.0) END) AS BIGINT) AS n_tokens, count(DISTINCT doc_id) FILTER (WHERE n > 0) AS n_documents FROM g
+""")
+def section_chunk_totals(read):
+    rows = chunking.chunks(_filings(read), chunking.SECTIONS).filter("retrieval_eligible")
+    return rows.agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("document_id").alias("n_documents")).select(F.lit("section-aware-flat").alias("strategy"), "n_chunks", "n_tokens", "n_documents")
+
+
 @query(f"""
     WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n FROM documents WHERE doc_id % 11 <> 0)
     SELECT 'fixed-token' AS strategy, CAST(sum(CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 448.0) + 1 END) AS BIGINT) AS n_chunks, CAST(sum(CASE WHEN n <= 512 THEN n ELSE n + 64 * ceil((n - 512) / 448.0) END) AS BIGINT) AS n_tokens FROM t
