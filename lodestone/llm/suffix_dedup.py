@@ -7,13 +7,16 @@ repeated windows. So that a pass need not move a row for every byte, digits are
 1. In every window, the CORE-byte string with the smallest hash among the first SPAN places is its core. Equal windows
    have their cores at equal places, so only core places (about two in SPAN) are rows, each for all windows around it.
    The first digit is the core; cores that occur once in the whole corpus leave.
-2. The second digit is the d bytes before the core and the third the LENGTH - CORE - d bytes behind it, for every d up to
-   SPAN - 1. Cores that are left move once to the task of their core, which makes these passes; the bytes around them
-   move only if they differ. For each place it remembers the largest and the smallest d whose window occurs again: everything between
-   the two windows is covered, since all windows around a place hold its core.
+2. Cores that are left move once to the task of their core, with the bytes around them if those differ. There the bytes
+   behind the core are sorted by passes over eight bytes at a time, and those before it, read backwards, as well; rows
+   that are alone after a pass leave. So the groups at every depth are known, and the windows with d bytes before the
+   core are equal where the groups at depth d before it and at depth LENGTH - CORE - d behind it are. For each place it
+   remembers the largest and the smallest d whose window occurs again: everything between the two windows is covered,
+   since all windows around a place hold its core.
 
 Rows of one core whose surroundings are equal count as one before they move. Cores with more than HOT different
-surroundings (they may be fewer; copies in different batches count again) are sorted by Spark instead, a row for each d.
+surroundings (they may be fewer; copies in different batches count again) are grouped by Spark instead, a row for each d,
+by a hash of the window.
 """
 
 from __future__ import annotations
@@ -206,12 +209,51 @@ class _Around:
         return rows, mix(mix(self.before[rows, d] + self.core[rows]) + self.behind[rows, SIDE - d] + np.uint64(d) * np.uint64(0xD6E8FEB86659FD93 >> 8))
 
 
+#: Bytes that one pass sorts by.
+DIGIT = 8
+
+
+def _ranked(core: np.ndarray, side: pa.Array, from_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of core and ``side`` (read backwards if from_end), how many bytes each has in common with the row
+    before it (-1 where the core is another), and the sides' sizes.
+
+    A most-significant-digit radix sort, SIDE bytes deep: each pass sorts what is still in groups by one more digit.
+    """
+    data, offsets = flat(side)
+    data, size, n = np.append(data, 0), np.diff(offsets), len(core)
+    order = np.argsort(core, kind="stable")
+    tied = np.append(False, core[order[1:]] == core[order[:-1]])  # in one group with the row before
+    common = np.where(tied, SIDE, -1)
+    for first in range(0, SIDE, DIGIT):
+        held = np.flatnonzero(tied | np.append(tied[1:], False))  # others are alone and leave
+        if not len(held):
+            break
+        rows, group = order[held], np.cumsum(~tied[held])
+        place = first + np.arange(DIGIT)
+        at = (offsets[1:][rows][:, None] - 1 - place) if from_end else (offsets[:-1][rows][:, None] + place)
+        digit = np.where(place < size[rows][:, None], data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8).view(">u8").ravel().astype(np.uint64)
+        by = np.lexsort((digit, group))
+        order[held], digit = rows[by], digit[by]
+        split = np.flatnonzero((digit[1:] != digit[:-1]) & (group[1:] == group[:-1])) + 1
+        apart = digit[split] ^ digit[split - 1]
+        alike = sum((apart >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, DIGIT))
+        common[held[split]], tied[held[split]] = first + alike, False
+    both = np.minimum(size[order[1:]], size[order[:-1]])
+    common[1:] = np.where(common[1:] < 0, -1, np.minimum(common[1:], both))
+    return order, common, size
+
+
 def _sorted(core: np.ndarray, around: np.ndarray, n: np.ndarray, left: pa.Array, right: pa.Array) -> tuple[np.ndarray, ...]:
     """(core, around, most, least) of the rows of which some window occurs again; rows hold all of their cores."""
-    windows = _Around(core, left, right)
+    (order_l, common_l, before), (order_r, common_r, behind) = _ranked(core, left, True), _ranked(core, right, False)
     most, least = np.full(len(core), -1), np.full(len(core), SPAN)
+    group_l, group_r = np.empty(len(core), np.int64), np.empty(len(core), np.int64)
     for d in range(SPAN):
-        rows, keys = windows.keys(d)
+        rows = np.flatnonzero((d <= before) & (SIDE - d <= behind))
+        if not len(rows):
+            continue
+        group_l[order_l], group_r[order_r] = np.cumsum(common_l < d), np.cumsum(common_r < SIDE - d)
+        keys = group_l[rows] * (len(core) + 1) + group_r[rows]
         order = np.argsort(keys, kind="stable")
         same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
         again = n[rows] > 1  # equal surroundings: all their windows
