@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     Hashes of 64 bits stand for words and windows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     text = F.coalesce("text", F.lit(""))

@@ -32,6 +32,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_SPACE)), F.lit(0)).cast("long")
 
 
+#: Sources at most: their sums and targets are one row each on the driver, and broadcast.
+SOURCES = 4096
+
+
 def targets(sizes: list[tuple[str | None, int]], weights: list[float] | None = None, most: float = MOST_REPEATS) -> list[float]:
     """Target words of each (source, size), in the order given: shares of all words by weight, at most ``most`` sizes.
 
@@ -74,12 +78,16 @@ def mix(docs: DataFrame, weights: list[float] | None = None, block_words: int =
 
     taken: the words that the schedule takes from the row, repeats counted; at most three times its size. A source's
     rows together take its target, rounded. h: a hash of doc_id and text, by which the documents are shuffled. Null text has no words; null is a source of its own, the last one. Rows
-    without words get taken 0. Repeated rows are rows of their own. An empty table gives an empty table.
+    without words get taken 0. Repeated rows are rows of their own. An empty table gives an empty table. More than SOURCES
+    sources are an error.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = save(docs.select("doc_id", "source", F.xxhash64(F.lit(seed), text, "doc_id").alias("h"), n_words(F.col("text")).alias("size")), "sizes")
-    per = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()
+    if len(sums) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    per = sorted(((r["source"], r["n"]) for r in sums), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     exact = targets(per, weights)
     want = [round(x) for x in exact]
     info = spark.createDataFrame([(k, s, n, t, w) for k, ((s, n), t, w) in enumerate(zip(per, exact, want, strict=True))], "k int, name string, source_size long, target double, want long")
@@ -112,7 +120,7 @@ def schedule(spark, per: list[tuple[str | None, int]], want: list[int], block_wo
     edges[-1] = 2.0
     n = sum(-(-w // block_words) for w in want)
     point = (F.col("slot") % _ONE) * F.lit(_GOLDEN) % _ONE / F.lit(float(_ONE))
-    # the first edge above the point, by binary search over a literal array of one edge a source
+    # the first edge above the point: as many edges as are not, of a literal array of one edge a source
     cut = F.array(*(F.lit(e) for e in edges))
     k = F.aggregate(cut, F.lit(0), lambda acc, e: acc + (e <= F.col("point")).cast("int"))
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("k", k).withColumn("one", F.lit(1))
