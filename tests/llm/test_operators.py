@@ -689,6 +689,90 @@ def test_cuckoo():
     assert tight.contains(keys[:5000]).all()
 
 
+# the queries themselves, over a whole table, against the plain versions
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_op1_is_the_plain_mix(spark, table):
+    out = QUERIES["op1_mixing"](spark, SF).collect()
+    size = Counter()
+    for _, t, s in table:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(names, mixing.targets([(s, size[s]) for s in names]), strict=True))
+    assert multiset((d, len(WORD.findall(t or "")), size[s], round(want[s], 6)) for d, t, s in table) == multiset((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in out)
+    source, taken = {d: s for d, _, s in table}, Counter()
+    for r in out:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(taken[s] == round(want[s]) for s in names)
+    assert multiset(out) == multiset(QUERIES["op1_mixing"](spark, SF).collect())
+
+
+def test_too_many_sources(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs)
+
+
+def test_op2_is_the_plain_search(spark, table):
+    want = []
+    for d, t, _ in table:
+        spans = base_spans(t or "")
+        counts = Counter(k for k, _, _ in spans)
+        text = ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
+        want.append((d, *(counts[k] for k in BASE), hashlib.sha256(text.encode()).hexdigest()))
+    out = QUERIES["op2_pii"](spark, SF).collect()
+    assert multiset(want) == multiset((r["doc_id"], *(r[f"n_{k}"] for k in BASE), r["base_sha256"]) for r in out)
+    for r in out:  # added spans come besides the base ones
+        kept = [x for x in r["spans"].split(",") if x.split(":")[0] in BASE]
+        assert hashlib.sha256(",".join(kept).encode()).hexdigest() == r["base_sha256"]
+
+
+def test_op3_is_the_plain_join(spark, table):
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in QUERIES["op3_set_join"](spark, SF).collect()]
+    assert multiset(got) == multiset(plain_groups([(d, t) for d, t, _ in table], 3, 90, 100))
+
+
+def test_op7_is_the_plain_removal(spark, table):
+    data = [(t or "").encode() for _, t, _ in table]
+    seen = Counter(hash(b[i : i + 400]) for b in data for i in range(len(b) - 399))
+    want = []
+    for (d, _, _), b in zip(table, data, strict=True):
+        mark = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if seen[hash(b[i : i + 400])] > 1:
+                mark[i : i + 400] = b"\1" * 400
+        kept = bytes(c for c, m in zip(b, mark, strict=True) if not m)
+        want.append((d, len(b), sum(mark), sum(1 for i, m in enumerate(mark) if m and not (i and mark[i - 1])), hashlib.sha256(kept).hexdigest()))
+    out = QUERIES["op7_suffix_dedup"](spark, SF).collect()
+    assert multiset(want) == multiset((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out)
+    assert sum(w[2] for w in want) > 0
+
+
+def test_op9_is_the_tokenizer(spark, table):
+    from tokenizers import Tokenizer
+
+    plain, start, want = Tokenizer.from_file(tokenizer_path()), 0, []
+    for d, t, _ in sorted(table):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op9_tokens"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_repeated_benchmark_items(docs, spark):
+    b = spark.read.parquet(f"{SF}/benchmark.parquet")
+    many = b.unionByName(b).unionByName(b)
+    assert multiset(decontaminate.contamination(docs, b).collect()) == multiset(decontaminate.contamination(docs, many, 4000).collect())
+
+
 # the queries and the pipeline
 
 
