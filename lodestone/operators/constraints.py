@@ -214,16 +214,28 @@ def request_result_pair(df: DataFrame) -> DataFrame:
 
 #: CHECK constraints of the relational tables, as conditions that hold; unknown counts as holding. Fixed values.
 CHECKS = {
-    "corpus_snapshot": {"MANIFEST_HASH": "manifest_sha256 RLIKE '^[0-9a-f]{64}$'", "UNIVERSE_HASH": "universe_sha256 RLIKE '^[0-9a-f]{64}$'", "DOCUMENTS": "document_count >= 0"},
-    "company": {"CORP_CODE": "corp_code RLIKE '^[0-9]{8}$'", "STOCK_CODE": "stock_code RLIKE '^[0-9]{6}$'", "FISCAL_MONTH": "fiscal_month BETWEEN 1 AND 12"},
-    "company_alias": {"ALIAS_TYPE": "alias_type IN ('DART_NAME', 'LISTED_NAME', 'STOCK_CODE', 'ENGLISH', 'HISTORICAL', 'MANUAL')"},
-    "document": {"RECEIPT": "receipt_number RLIKE '^[0-9]{14}$'", "BASE_MONTH": "base_month BETWEEN 1 AND 12", "FILES": "declared_file_count > 0", "DOCUMENT_ID": "document_id = concat(doc_group, '_', receipt_number)"},
-    "source_file": {"FORMAT": "detected_format IN ('XML', 'HTML', 'PDF', 'UNKNOWN')", "SIZE": "byte_size >= 0", "HASH": "content_sha256 RLIKE '^[0-9a-f]{64}$'"},
-    "parse_run": {"CHARACTERS": "extracted_char_count >= 0", "WARNINGS": "warning_count >= 0", "ERRORS": "error_count >= 0"},
-    "corpus_coverage": {"STATE": "state IN ('PARSE_FAILED', 'PARTIAL_PARSE_FAILURE', 'PRESENT') OR document_id IS NULL"},
-    "chunk": {"ORDINAL": "ordinal >= 0", "TOKENS": "token_count > 0", "FINGERPRINT": "content_fingerprint RLIKE '^[0-9a-f]{64}$'"},
+    "corpus_snapshots": {"MANIFEST_HASH": "manifest_sha256 RLIKE '^[0-9a-f]{64}$'", "UNIVERSE_HASH": "universe_sha256 RLIKE '^[0-9a-f]{64}$'", "DOCUMENTS": "document_count >= 0"},
+    "companies": {"CORP_CODE": "corp_code RLIKE '^[0-9]{8}$'", "STOCK_CODE": "stock_code RLIKE '^[0-9]{6}$'", "FISCAL_MONTH": "fiscal_month BETWEEN 1 AND 12"},
+    "company_aliases": {"ALIAS_TYPE": "alias_type IN ('DART_NAME', 'LISTED_NAME', 'STOCK_CODE', 'ENGLISH', 'HISTORICAL', 'MANUAL')"},
+    "documents": {"RECEIPT": "receipt_number RLIKE '^[0-9]{14}$'", "BASE_MONTH": "base_month BETWEEN 1 AND 12", "FILES": "declared_file_count > 0", "DOCUMENT_ID": "document_id = concat(doc_group, '_', receipt_number)"},
+    "files": {"FORMAT": "detected_format IN ('XML', 'HTML', 'PDF', 'UNKNOWN')", "SIZE": "byte_size >= 0", "HASH": "content_sha256 RLIKE '^[0-9a-f]{64}$'"},
+    "parse_runs": {"CHARACTERS": "extracted_char_count >= 0", "WARNINGS": "warning_count >= 0", "ERRORS": "error_count >= 0"},
+    "coverage": {"STATE": "state IN ('PARSE_FAILED', 'PARTIAL_PARSE_FAILURE', 'PRESENT') OR document_id IS NULL"},
+    "sections": {"ORDINAL": "ordinal >= 0"},
+    "chunks": {"ORDINAL": "ordinal >= 0", "TOKENS": "token_count > 0", "FINGERPRINT": "content_fingerprint RLIKE '^[0-9a-f]{64}$'"},
+    "document_events": {"RELATION": "relation_type = 'DISCLOSES'", "CONFIDENCE": "confidence BETWEEN 0 AND 1"},
     "evidence": {"QUOTE_HASH": "quote_sha256 RLIKE '^[0-9a-f]{64}$'", "CONFIDENCE": "confidence BETWEEN 0 AND 1"},
-    "document_relation": {"CONFIDENCE": "confidence BETWEEN 0 AND 1", "VERIFIED": "verification_status = 'VERIFIED'", "SELF": "source_document_id <> target_document_id"},
+    "document_relations": {"CONFIDENCE": "confidence BETWEEN 0 AND 1", "VERIFIED": "verification_status = 'VERIFIED'", "SELF": "source_document_id <> target_document_id"},
+    "document_relation_candidates": {"REVIEW": "review_status IN ('PENDING', 'ACCEPTED', 'REJECTED', 'TARGET_OUTSIDE_CORPUS', 'PARSE_BLOCKED')"},
+    "facts": {
+        "RAW_VALUE": "trim(raw_value_text) <> ''",
+        "CONFIDENCE": "confidence BETWEEN 0 AND 1",
+        "DISCLOSED_VALUE": "value_status <> 'DISCLOSED' OR CASE value_type WHEN 'NUMERIC' THEN numeric_value IS NOT NULL WHEN 'TEXT' THEN text_value IS NOT NULL WHEN 'DATE' THEN date_value IS NOT NULL WHEN 'BOOLEAN' THEN boolean_value IS NOT NULL ELSE FALSE END",
+        "WITHHELD_UNTIL": "value_status = 'WITHHELD' OR withheld_until IS NULL",
+    },
+    "fact_coverage_snapshots": {"PAYLOAD_HASH": "payload_sha256 RLIKE '^[0-9a-f]{64}$'"},
+    "fact_coverage_snapshot_slots": {"STATE": f"coverage_state IN {v.FACT_COVERAGE_STATES}", "VERIFIED": "verification_status = 'VERIFIED'", "CONFLICT": "coverage_state <> 'CONFLICTING_VERIFIED_FACTS' OR size(fact_ids) >= 2"},
+    "evaluation_questions": {"VERSION": "schema_version = '0.2.0'", "DIFFICULTY": "difficulty IN ('EASY', 'MEDIUM', 'HARD')", "MODE": "answer_mode IN ('CLOSED', 'OPEN')"},
 }
 
 

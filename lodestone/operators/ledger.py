@@ -11,6 +11,8 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.vocabulary import HOLDOUT_STATES, PURPOSE_SPLITS, SPLIT_LOCKS, SPLITS, USAGE_KINDS
+
 #: Runs of a purpose that one assignment may have.
 BUDGETS = {"DEV_CHECK": 2, "HOLDOUT": 1}
 #: Steps that a sealed holdout question may take.
@@ -53,6 +55,61 @@ def illegal_steps(log: DataFrame, key: str, order: list[str], status: str, allow
     return rows.filter(F.col("before").isNotNull() & ~ok)
 
 
+#: Fields in which all events of a run agree. Fixed values.
+IDENTITY = ("executed_split", "usage_kind", "run_purpose", "configuration_sha256", "git_commit")
+
+
+def gates(requests: DataFrame, log: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """(request_id, code) of every request to use a split: the first rule that forbids it, or OK. Each is judged by itself.
+
+    requests: (request_id, assignment_id, run_id and IDENTITY); log: usage events with these and seq, their order; lifecycle:
+    (assignment_id, assigned_split, split_lock_status, holdout_lifecycle_status). The log is reduced to one row an
+    assignment, one a run, and one in all before it is joined.
+    """
+    official = F.col("executed_split") != "SANDBOX"
+    used = log.groupBy(F.col("assignment_id").alias("u_id")).agg(F.array_sort(F.collect_set(F.when(official, F.col("executed_split")))).alias("splits"))  # three at most
+    runs = log.groupBy(F.col("run_id").alias("r_id")).agg(F.min_by(F.struct(*IDENTITY), "seq").alias("first"))
+    pairs = log.select(F.col("run_id").alias("p_run"), F.col("assignment_id").alias("p_id")).distinct().withColumn("repeated", F.lit(True))
+    final = (F.col("usage_kind") == "FINAL_HOLDOUT") & (F.col("run_purpose") == "FINAL_HOLDOUT_EVALUATION")
+    spent = log.agg(F.count_distinct(F.when(F.col("executed_split") == "DEV_CHECK", F.col("run_id"))).alias("n_checks"), F.count_distinct(F.when(final, F.col("run_id"))).alias("n_finals"))
+    life = lifecycle.withColumnRenamed("assignment_id", "l_id")
+    rows = requests.join(life, F.col("assignment_id") == F.col("l_id"), "left").join(used, F.col("assignment_id") == F.col("u_id"), "left").join(runs, F.col("run_id") == F.col("r_id"), "left")
+    rows = rows.join(pairs, (F.col("run_id") == F.col("p_run")) & (F.col("assignment_id") == F.col("p_id")), "left").crossJoin(F.broadcast(spent))  # one row
+    split, purpose, state, past = F.col("executed_split"), F.col("run_purpose"), F.col("holdout_lifecycle_status"), F.coalesce("splits", F.array().cast("array<string>"))
+    known = lambda c, names: F.coalesce(c.isin(list(names)), F.lit(False))
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    kind_fits, purpose_fits, same = F.lit(False), F.lit(False), F.lit(True)
+    for kind, of in USAGE_KINDS.items():
+        kind_fits |= F.col("usage_kind").eqNullSafe(kind) & split.eqNullSafe(of)
+    for name, of in PURPOSE_SPLITS.items():
+        purpose_fits |= purpose.eqNullSafe(name) & known(split, of)
+    for c in IDENTITY:
+        same &= F.col(f"first.{c}").eqNullSafe(F.col(c))
+    measured, holdout, fresh = split.isin("DEV_CHECK", "HOLDOUT"), split == "HOLDOUT", F.col("first").isNull()
+    invalid = blank("assignment_id") | blank("run_id") | ~kind_fits | F.col("l_id").isNull() | ~known(F.col("assigned_split"), SPLITS) | ~known(F.col("split_lock_status"), SPLIT_LOCKS)
+    provisional = F.col("split_lock_status") == "PROVISIONAL_UNTIL_CHAIN_CLOSURE"
+    ladder = (
+        ("INVALID_USAGE_INPUT", invalid),
+        ("PROVISIONAL_SPLIT_FORBIDS_OFFICIAL_USE", provisional & official),
+        ("ASSIGNED_SPLIT_MISMATCH", ~provisional & (split != F.col("assigned_split"))),
+        ("TUNING_LOCKED_ASSIGNMENT_CANNOT_BE_PROMOTED", measured & F.array_contains(past, "DEV_TUNE")),
+        ("ASSIGNMENT_SPLIT_HISTORY_MISMATCH", official & (F.size(past) > 0) & ~F.array_contains(past, split)),
+        ("DUPLICATE_RUN_ASSIGNMENT", F.col("repeated").isNotNull()),
+        ("RUN_IDENTITY_MISMATCH", ~fresh & ~same),
+        ("RUN_PURPOSE_REQUIRED", measured & ~known(purpose, PURPOSE_SPLITS)),
+        ("RUN_PURPOSE_SPLIT_MISMATCH", measured & ~purpose_fits),
+        ("CANDIDATE_HASH_REQUIRED", measured & ~F.coalesce(F.col("configuration_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))),
+        ("DEV_CHECK_BUDGET_EXHAUSTED", (split == "DEV_CHECK") & fresh & (F.col("n_checks") >= BUDGETS["DEV_CHECK"])),
+        ("INVALID_USAGE_INPUT", holdout & ~known(state, HOLDOUT_STATES)),
+        ("HOLDOUT_SEALED", holdout & (state == "SEALED")),
+        ("HOLDOUT_ALREADY_CONSUMED", holdout & (purpose == "FINAL_HOLDOUT_EVALUATION") & state.isin("CONSUMED", "DIAGNOSTIC_ONLY")),
+        ("HOLDOUT_FINAL_BUDGET_EXHAUSTED", holdout & (purpose == "FINAL_HOLDOUT_EVALUATION") & fresh & (F.col("n_finals") >= BUDGETS["HOLDOUT"])),
+        ("HOLDOUT_DIAGNOSTIC_REQUIRES_DIAGNOSTIC_ONLY_STATE", holdout & (purpose == "DIAGNOSTIC_ONLY") & (state != "DIAGNOSTIC_ONLY")),
+    )
+    code = F.coalesce(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in ladder), F.lit("OK"))
+    return rows.select("request_id", code.alias("code"))
+
+
 def gate(event: dict, log: list[dict], lifecycle: dict) -> str | None:
     """The first rule that forbids an event, None if it may be appended.
 
@@ -60,40 +117,44 @@ def gate(event: dict, log: list[dict], lifecycle: dict) -> str | None:
     """
     needed = ("usage_event_id", "run_id", "assignment_id", "split", "purpose", "config_sha256")
     if any(not event.get(k) for k in needed):
-        return "INVALID_EVENT"
+        return "INVALID_USAGE_INPUT"
     if any(log[k]["previous_log_hash"] != log[k - 1]["event_hash"] for k in range(1, len(log))):
-        return "LOG_CORRUPT"
+        return "LEDGER_CORRUPT"
     if lifecycle.get("assignment_id") != event["assignment_id"]:
-        return "LIFECYCLE_MISMATCH"
+        return "LIFECYCLE_ASSIGNMENT_MISMATCH"
     sandbox = event["split"] == "SANDBOX"
     if lifecycle.get("lock_status") == "PROVISIONAL_UNTIL_CHAIN_CLOSURE" and not sandbox:
-        return "PROVISIONAL_SANDBOX_ONLY"
+        return "PROVISIONAL_SPLIT_FORBIDS_OFFICIAL_USE"
     if lifecycle.get("lock_status") != "PROVISIONAL_UNTIL_CHAIN_CLOSURE" and event["split"] != lifecycle.get("assigned_split"):
-        return "SPLIT_MISMATCH"
+        return "ASSIGNED_SPLIT_MISMATCH"
     past = [e for e in log if e["assignment_id"] == event["assignment_id"]]
     if event["split"] in ("DEV_CHECK", "HOLDOUT") and any(e["split"] == "DEV_TUNE" for e in past):
-        return "DEV_TUNE_HISTORY"
+        return "TUNING_LOCKED_ASSIGNMENT_CANNOT_BE_PROMOTED"
     if any(e["split"] != "SANDBOX" and e["split"] != event["split"] for e in past) and not sandbox:
-        return "SPLIT_HISTORY_MISMATCH"
+        return "ASSIGNMENT_SPLIT_HISTORY_MISMATCH"
     if any(e["run_id"] == event["run_id"] for e in past):
         return "DUPLICATE_RUN_ASSIGNMENT"
     same = next((e for e in log if e["run_id"] == event["run_id"]), None)
     if same and any(same.get(k) != event.get(k) for k in ("split", "purpose", "config_sha256")):
         return "RUN_IDENTITY_MISMATCH"
-    purposes = {"DEV_CHECK": ("FLOW_SELECTION", "CRITICAL_REGRESSION_CHECK"), "HOLDOUT": ("FINAL_HOLDOUT_EVALUATION", "DIAGNOSTIC_ONLY"), "SANDBOX": ("SANDBOX_EXPLORATION",)}
-    if event["purpose"] not in purposes.get(event["split"], (event["purpose"],)):
-        return "PURPOSE_MISMATCH"
+    if event["split"] in ("DEV_CHECK", "HOLDOUT", "SANDBOX") and event["split"] not in PURPOSE_SPLITS.get(event["purpose"], ()):
+        return "RUN_PURPOSE_SPLIT_MISMATCH"
     runs = {e["run_id"] for e in log if e["split"] == event["split"]}
     if event["split"] == "DEV_CHECK" and event["run_id"] not in runs and len(runs) >= BUDGETS["DEV_CHECK"]:
-        return "DEV_CHECK_BUDGET"
+        return "DEV_CHECK_BUDGET_EXHAUSTED"
     if event["split"] == "HOLDOUT":
         state = lifecycle.get("holdout_status")
+        if state not in HOLDOUT_STATES:
+            return "INVALID_USAGE_INPUT"
+        if state == "SEALED":
+            return "HOLDOUT_SEALED"
         if event["purpose"] == "DIAGNOSTIC_ONLY":
-            return None if state in ("CONSUMED", "DIAGNOSTIC_ONLY") else "HOLDOUT_NOT_CONSUMED"
-        if state != "SEALED" and event["run_id"] not in runs:
-            return "HOLDOUT_NOT_SEALED"
-        if len(runs - {event["run_id"]}) >= BUDGETS["HOLDOUT"]:
-            return "HOLDOUT_BUDGET"
+            return None if state == "DIAGNOSTIC_ONLY" else "HOLDOUT_DIAGNOSTIC_REQUIRES_DIAGNOSTIC_ONLY_STATE"
+        if state != "OPENED":
+            return "HOLDOUT_ALREADY_CONSUMED"
+        finals = {e["run_id"] for e in log if e["purpose"] == "FINAL_HOLDOUT_EVALUATION"}
+        if event["run_id"] not in finals and len(finals) >= BUDGETS["HOLDOUT"]:
+            return "HOLDOUT_FINAL_BUDGET_EXHAUSTED"
     return None
 
 

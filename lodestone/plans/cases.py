@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, markup, text, values
-from lodestone.operators import chunking, constraints, evaluation, retrieval, reviews
+from lodestone.operators import chunking, constraints, evaluation, ledger, retrieval, reviews
 from lodestone.plans.queries import query
+from lodestone.sources import schemas
 
 
 def _sql(x) -> str:
@@ -357,7 +358,7 @@ def gold_record_rules(read):
 def table_checks(read):
     rows = [("periodic_20240101000001", "periodic", "20240101000001", 3, 1), ("periodic_1", "periodic", "1", 13, 1), ("exchange_20240101000001", "major", "20240101000001", None, 1)]
     df = read("region").sparkSession.createDataFrame(rows, "document_id string, doc_group string, receipt_number string, base_month int, declared_file_count int")
-    return constraints.checks(df, "document", "document_id").select("rule", "key")
+    return constraints.checks(df, "documents", "document_id").select("rule", "key")
 
 
 _LINKS = Cases("question_id string, slot_name string, evidence_id string, document_id string, file_id string, locator string, row int, column int", [("q1", "a", "e1", "d1", "f1", "L1", None, None), ("q1", "b", "e2", "d1", "f1", "T1", 1, 2), ("q2", "a", "e3", "d1", "f1", "T1", 9, 9), ("q2", "b", "e9", "d1", "f1", "L1", None, None), ("q3", "a", "e1", "d1", "f1", "L2", None, None), ("q3", "b", "e4", "d1", "f1", "L1", None, None), ("q4", "a", "e5", "d1", "f1", "L7", None, None)])
@@ -531,3 +532,44 @@ def retriever_envelope(read):
 
     asked = [(1, ask, found(good)), (2, ask | {"top_k": 101}, found(good)), (3, ask | {"index_snapshot_id": "j"}, found(good)), (4, ask, None), (5, ask, found([("q", "a", 1, 0.5), ("q", "b", 2, 0.9)])), (6, ask, found([("r", "a", 1, 0.9)])), (7, ask, broken)]
     return spark.createDataFrame([(k, retrieval.retrieve(request, pinned, search)[0]) for k, request, search in asked], "id int, code string")
+
+
+@query(expected("rule:VARCHAR key:VARCHAR", [("FACT_ID_NOT_NULL", ""), ("DISCLOSED_VALUE", "f2"), ("WITHHELD_UNTIL", "f3"), ("RAW_VALUE", "f4"), ("FACT_ID_UNIQUE", "f1"), ("SOURCE_DOCUMENT_ID_EXISTS", "f4")]))
+def schema_problems(read):
+    """A table of facts against its schema: null and repeated keys, CHECK rules, references."""
+    spark = read("region").sparkSession
+    rows = [("f1", "DISCLOSED", "10", 10, None, "d1"), ("f1", "DISCLOSED", "10", 10, None, "d1"), ("f2", "DISCLOSED", "x", None, None, "d1"), ("f3", "MISSING", "-", None, "2030-01-01", "d1"), ("f4", "MISSING", " ", None, None, "d9"), (None, "MISSING", "-", None, None, "d1")]
+    given = spark.createDataFrame(rows, "fact_id string, value_status string, raw_value_text string, numeric_value int, withheld_until string, source_document_id string").withColumn("value_type", F.lit("NUMERIC"))
+    fixed = {"scale": "1", "known_at": "2024-01-01 00:00:00"}
+    whole = given.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given.columns else F.lit(None if f.nullable else fixed.get(f.name, "x")).cast(f.dataType).alias(f.name) for f in schemas.schema("facts")))
+    documents = spark.createDataFrame([("d1",)], "document_id string")
+    return schemas.problems(whole, "facts", {"documents": documents}).select("rule", "key")
+
+
+_LOG = Cases(
+    "usage_event_id string, assignment_id string, run_id string, executed_split string, usage_kind string, run_purpose string, configuration_sha256 string, git_commit string, seq int",
+    [("u1", "a_tuned", "r1", "DEV_TUNE", "TUNING", "FLOW_SELECTION", "c" * 64, "g", 1), ("u2", "a_check", "r2", "DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK", "c" * 64, "g", 2), ("u3", "a_check", "r3", "DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK", "c" * 64, "g", 3), ("u4", "a_hold", "r4", "HOLDOUT", "FINAL_HOLDOUT", "FINAL_HOLDOUT_EVALUATION", "c" * 64, "g", 4)],
+)
+_LIFE = Cases(
+    "assignment_id string, assigned_split string, split_lock_status string, holdout_lifecycle_status string",
+    [("a_tuned", "DEV_CHECK", "LOCKED_BY_CHAIN", "SEALED"), ("a_check", "DEV_CHECK", "LOCKED_BY_CHAIN", "SEALED"), ("a_new", "DEV_TUNE", "LOCKED_BY_COVERAGE", "SEALED"), ("a_open", "HOLDOUT", "LOCKED_BY_CHAIN", "OPENED"), ("a_sealed", "HOLDOUT", "LOCKED_BY_CHAIN", "SEALED"), ("a_done", "HOLDOUT", "LOCKED_BY_CHAIN", "CONSUMED"), ("a_diag", "HOLDOUT", "LOCKED_BY_CHAIN", "DIAGNOSTIC_ONLY"), ("a_prov", "DEV_TUNE", "PROVISIONAL_UNTIL_CHAIN_CLOSURE", "SEALED"), ("a_hold", "DEV_TUNE", "LOCKED_BY_CHAIN", "SEALED")],
+)
+
+
+def _requests() -> list[tuple]:
+    check, final, tune = ("DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK"), ("HOLDOUT", "FINAL_HOLDOUT", "FINAL_HOLDOUT_EVALUATION"), ("DEV_TUNE", "TUNING", "FLOW_SELECTION")
+    diagnostic, sha = ("HOLDOUT", "FINAL_HOLDOUT", "DIAGNOSTIC_ONLY"), "c" * 64
+    asked = [
+        ("a_new", "r9", tune, sha, "OK"), ("", "r9", tune, sha, "INVALID_USAGE_INPUT"), ("a_new", "r9", ("DEV_TUNE", "CHECKPOINT", "FLOW_SELECTION"), sha, "INVALID_USAGE_INPUT"), ("a_none", "r9", tune, sha, "INVALID_USAGE_INPUT"),
+        ("a_prov", "r9", tune, sha, "PROVISIONAL_SPLIT_FORBIDS_OFFICIAL_USE"), ("a_prov", "r9", ("SANDBOX", "SANDBOX", "SANDBOX_EXPLORATION"), sha, "OK"), ("a_new", "r9", check, sha, "ASSIGNED_SPLIT_MISMATCH"), ("a_tuned", "r9", check, sha, "TUNING_LOCKED_ASSIGNMENT_CANNOT_BE_PROMOTED"),
+        ("a_hold", "r9", tune, sha, "ASSIGNMENT_SPLIT_HISTORY_MISMATCH"), ("a_check", "r2", check, sha, "DUPLICATE_RUN_ASSIGNMENT"), ("a_new", "r1", tune, "d" * 64, "RUN_IDENTITY_MISMATCH"), ("a_check", "r9", (*check[:2], None), sha, "RUN_PURPOSE_REQUIRED"),
+        ("a_check", "r9", (*check[:2], "FLOW_SELECTION"), sha, "RUN_PURPOSE_SPLIT_MISMATCH"), ("a_check", "r9", check, "x", "CANDIDATE_HASH_REQUIRED"), ("a_check", "r9", check, sha, "DEV_CHECK_BUDGET_EXHAUSTED"), ("a_sealed", "r9", final, sha, "HOLDOUT_SEALED"),
+        ("a_done", "r9", final, sha, "HOLDOUT_ALREADY_CONSUMED"), ("a_open", "r9", final, sha, "HOLDOUT_FINAL_BUDGET_EXHAUSTED"), ("a_open", "r4", final, sha, "OK"), ("a_done", "r9", diagnostic, sha, "HOLDOUT_DIAGNOSTIC_REQUIRES_DIAGNOSTIC_ONLY_STATE"), ("a_diag", "r9", diagnostic, sha, "OK"),
+    ]
+    return [(k, a, r, *how, c, "g", want) for k, (a, r, how, c, want) in enumerate(asked)]
+
+
+@query(expected("request_id:INTEGER code:VARCHAR", [(r[0], r[-1]) for r in _requests()]))
+def usage_gate(read):
+    asked = Cases("request_id int, assignment_id string, run_id string, executed_split string, usage_kind string, run_purpose string, configuration_sha256 string, git_commit string", [r[:-1] for r in _requests()])
+    return ledger.gates(asked(read), _LOG(read), _LIFE(read))

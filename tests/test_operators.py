@@ -274,13 +274,13 @@ def test_components(spark):
 def test_ledger(tmp_path, spark):
     log = ledger.Ledger(str(tmp_path / "log.jsonl"))
     life = {"assignment_id": "a", "lock_status": "LOCKED_BY_CHAIN", "assigned_split": "DEV_CHECK"}
-    event = {"usage_event_id": "e", "run_id": "r1", "assignment_id": "a", "split": "DEV_CHECK", "purpose": "FLOW_SELECTION", "config_sha256": "c"}
+    event = {"usage_event_id": "e", "run_id": "r1", "assignment_id": "a", "split": "DEV_CHECK", "purpose": "CRITICAL_REGRESSION_CHECK", "config_sha256": "c"}
     log.append(event, life)
-    for change, code in (({}, "DUPLICATE_RUN_ASSIGNMENT"), ({"split": "HOLDOUT"}, "SPLIT_MISMATCH"), ({"run_id": ""}, "INVALID_EVENT"), ({"run_id": "r2", "purpose": "DIAGNOSTIC_ONLY"}, "PURPOSE_MISMATCH")):
+    for change, code in (({}, "DUPLICATE_RUN_ASSIGNMENT"), ({"split": "HOLDOUT"}, "ASSIGNED_SPLIT_MISMATCH"), ({"run_id": ""}, "INVALID_USAGE_INPUT"), ({"run_id": "r2", "purpose": "DIAGNOSTIC_ONLY"}, "RUN_PURPOSE_SPLIT_MISMATCH")):
         with pytest.raises(PermissionError, match=code):
             log.append(event | change, life)
     log.append(event | {"run_id": "r2"}, life)
-    with pytest.raises(PermissionError, match="DEV_CHECK_BUDGET"):
+    with pytest.raises(PermissionError, match="DEV_CHECK_BUDGET_EXHAUSTED"):
         log.append(event | {"run_id": "r3"}, life)
     df = spark.read.json(str(tmp_path / "log.jsonl"))
     assert ledger.chain_breaks(df, [], ["run_id"], "previous_log_hash", "event_hash").count() == 0
@@ -298,17 +298,26 @@ def test_scores(spark):
     n = evaluation.numeric_match
     assert one(n(F.lit("RELATIVE"), F.lit(0.0), F.lit(0.1), F.lit(0.5))) == "FAIL"
     assert one(n(F.lit("ABSOLUTE"), F.lit(1.0), F.lit(1.1), F.lit(0.2))) == "PASS"
+    assert one(n(F.lit("EXACT"), F.lit(1.0), F.lit(None).cast("double"), F.lit(0.2))) == "NOT_SCORED"
     assert one(evaluation.object_status(F.array(F.lit("PASS"), F.lit("NOT_SCORED")))) == "FAIL"
     assert one(evaluation.structured_number(F.lit(None).cast("string"), F.lit("12.5"))) == 12.5
     assert one(evaluation.structured_number(F.lit("about 12"), F.lit("12.5"))) is None
     assert one(evaluation.policy_status(F.array(F.lit("a")), F.array(F.lit("b")), F.array(F.lit("a"), F.lit("c")))) == "PASS"
 
 
-def test_citations(spark):
-    c = spark.createDataFrame([("e1", "d", "f", "l", "quote"), ("e2", "d", "f", "l", "other"), ("e9", "d", "f", "l", "quote")], "evidence_id string, document_id string, file_id string, locator string, quote string")
-    e = c.filter("evidence_id <> 'e9'").withColumn("quote_sha256", F.sha2("quote", 256)).withColumn("verification_status", F.lit("VERIFIED"))
-    b = spark.createDataFrame([("d", "l", "a quote here")], "document_id string, locator string, text string")
-    assert rows(evaluation.citation_codes(c, e, b), "evidence_id", "code") == [("e1", "OK"), ("e2", "QUOTE_NOT_IN_BLOCK"), ("e9", "EVIDENCE_NOT_FOUND")]
+def test_citations_without_stores(spark):
+    c = spark.createDataFrame([("e1", "d", "f", "l", "quote")], "evidence_id string, document_id string, file_id string, locator string, quote string").withColumn("quote_sha256", F.sha2("quote", 256))
+    e = c.withColumn("verification_status", F.lit("VERIFIED"))
+    b = spark.createDataFrame([("d", "f", "l", "a quote here")], "document_id string, file_id string, locator string, text string")
+    assert rows(evaluation.citation_codes(c, e, b), "evidence_id", "code") == [("e1", "OK")]
+    assert rows(evaluation.citation_codes(c, None, b), "code") == [("EVIDENCE_STORE_UNAVAILABLE",)] and rows(evaluation.citation_codes(c, e, None), "code") == [("DOCUMENT_STORE_UNAVAILABLE",)]
+
+
+def test_containing_short_and_odd_quotes(spark):
+    docs = spark.createDataFrame([(1, "alpha beta, gamma delta"), (2, "beta"), (3, None), (4, "xalpha beta, gammay")], "d int, t string")
+    quotes = spark.createDataFrame([(1, "alpha beta, gamma"), (2, "bet"), (3, ""), (4, None), (5, "beta gamma delta")], "q int, w string")
+    want = [(q, d) for q, w in ((1, "alpha beta, gamma"), (2, "bet"), (3, ""), (5, "beta gamma delta")) for d, t in ((1, "alpha beta, gamma delta"), (2, "beta"), (4, "xalpha beta, gammay")) if w in t]
+    assert sorted(rows(retrieval.containing(docs, "d", "t", quotes, "q", "w"), "q", "d")) == sorted(want)
 
 
 def test_relations(spark):
