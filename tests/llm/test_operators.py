@@ -792,10 +792,28 @@ def test_pipeline(spark, docs, rows):
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and multiset(r["doc_id"] for r in last.collect()) == multiset(r["doc_id"] for r in df.collect())
 
 
-def test_pipeline_runs(spark):
+def test_pipeline_is_its_plain_stages(spark, table):
+    """run() over a whole table against brute force: what is kept, how often, and the ids of the texts in order."""
     import corpus_pipeline as c
+    from tokenizers import Tokenizer
 
-    assert c.run(spark, "/root/testdata/sf0.001").count() > 0
+    kept = [(d, t) for d, t, _ in table if any(x.isalpha() for x in t or "")]
+    groups = plain_groups(kept, 5, 8, 10)
+    want = {g for _, n, g in groups if n} | {d for d, n, _ in groups if not n}
+    kept = [(d, t) for d, t in kept if d in want]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {x[0] for x in plain_contamination(kept, items) if x[2]}
+    kept = {d: t for d, t in kept if d not in hit}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin(list(kept)))
+    uses = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix(docs).collect() if r["taken"]}
+    plain, start, rows = Tokenizer.from_file(tokenizer_path()), 0, []
+    for d in sorted(kept):
+        ids = np.array([*plain.encode(kept[d], add_special_tokens=False).ids, 2], "<u4")
+        for _ in range(uses.get(d, 0)):
+            rows.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    got = sorted(map(tuple, c.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    assert got == rows and len(rows) > 20
 
 
 @pytest.mark.parametrize("name", ["op4_decontaminate", "op5_neighbours", "op10_line_dedup"])
