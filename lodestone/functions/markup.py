@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import pretty_json
+
 #: What never reaches a reader, as patterns whose matches go.
 UNSAFE = (
     r"(?is)<script\b[^>]*>.*?</script>",
@@ -72,7 +74,7 @@ def source_view(text: Column) -> Column:
 
 def json_view(text: Column) -> Column:
     """JSON with line breaks and indents of two, escaped; a text that is no JSON as it stands."""
-    return source_view(F.coalesce(F.to_json(F.try_parse_json(text), {"pretty": "true"}), text))
+    return source_view(F.coalesce(pretty_json(text), text))
 
 
 def sniff_format(head: Column, path: Column | None = None) -> Column:

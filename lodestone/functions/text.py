@@ -40,6 +40,19 @@ def canonical_json_sha256(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
+@pandas_udf(T.StringType())
+def pretty_json(s: pd.Series) -> pd.Series:
+    """JSON with line breaks and indents of two; null for what is not JSON."""
+
+    def one(x: str) -> str | None:
+        try:
+            return json.dumps(json.loads(x), indent=2, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return s.map(one, na_action="ignore")
+
+
 @pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def token_offsets(s: pd.Series) -> pd.Series:
     """Tokens with their places in code points, end exclusive."""

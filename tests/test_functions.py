@@ -106,7 +106,7 @@ def test_calculator(spark, op, inputs, units, want):
 def test_markup(spark):
     html = """<p onclick="x()">a<SCRIPT>1</SCRIPT><a href="javascript:x">b</a></p>"""
     assert one(spark, markup.sanitize(F.col("x")), x=html) == "<p>a<a>b</a></p>"
-    assert one(spark, markup.xml_to_html(F.col("x")), x='<?xml version="1"?><DOCUMENT><TITLE A="1">t</TITLE><TE WIDTH="5">c</TE></DOCUMENT>') == '<main class="filing"><h2>t</h2><td style="min-width:5px">c</td></main>'
+    assert one(spark, markup.xml_to_html(F.col("x")), x='<?xml version="1"?><DOCUMENT><TITLE A="1">t</TITLE><TE WIDTH="5">c</TE></DOCUMENT>') == '<main class="dart-document"><h2>t</h2><td style="min-width:5px">c</td></main>'
     assert one(spark, markup.sniff_format(F.col("x"), F.col("y")), x="  <!DOCTYPE HTML>", y="a.pdf") == "HTML"
     assert one(spark, markup.sniff_format(F.col("x"), F.col("y")), x="hello", y="a.PDF") == "PDF"
     assert one(spark, markup.fix_charset(F.col("x")), x="charset = EUC-KR") == "charset=utf-8"
@@ -138,3 +138,10 @@ def test_answers_and_quotes(spark):
     assert one(spark, text.linear_row(F.col("x")), x=[" a ", "", "b"]) == "a |  | b"
     assert one(spark, text.auxiliary_row(F.col("x")), x="(단위 : 백만원)") is True
     assert one(spark, text.common_prefix(F.col("x")), x=[["a", "b", "c"], ["a", "b"], ["a", "b", "d"]]) == ["a", "b"]
+
+
+def test_views_and_units(spark):
+    assert one(spark, markup.json_view(F.col("x")), x='{"a":[1,"<b>"]}').startswith("<pre>{\n") and "&lt;b&gt;" in one(spark, markup.json_view(F.col("x")), x='{"a":[1,"<b>"]}')
+    assert one(spark, markup.json_view(F.col("x")), x="no <json>") == "<pre>no &lt;json&gt;</pre>"
+    assert one(spark, values.bounded(F.col("x"), 100), x=100) and not one(spark, values.bounded(F.col("x"), 100), x=101) and not one(spark, values.bounded(F.col("x"), 100), x=0)
+    assert one(spark, values.metric_unit(F.col("x"))["unit"], x="CONTRACT_AMOUNT") == "KRW" and one(spark, values.metric_unit(F.col("x"))["unit"], x="OTHER") is None
