@@ -86,7 +86,7 @@ def _levels(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in in_rows(batches, "text"):
+        for batch in in_rows(batches, "text", 4_000_000):
             g, _ = shingles(column(batch, "text"), rule.words)
             total += np.bincount((g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "load"])
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, rule: Rule, levels) -> DataFrame:
     """(doc_id, h, cls, n, head, bits) of each row; head: the first shingles, one more than a list key needs."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_rows(batches, "text"):
+        for batch in in_rows(batches, "text", 4_000_000):
             v, first = _ordered(column(batch, "text"), rule, levels.value)
             n = np.diff(first)
             cls = _classes_of(v, first)
@@ -347,7 +347,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame
     held = spark.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_rows(batches, "text"):
+        for batch in in_rows(batches, "text", 4_000_000):
             v, first = _ordered(column(batch, "text"), rule, levels.value)
             cls = _classes_of(v, first)
             at = cls.view(np.uint64) >> np.uint64(shift)
@@ -408,6 +408,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
 
     stars = entries.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     checked = _checked(save(_filtered(stars, classes, rule), "pairs"), own, rule, levels)
+    tidy(spark)
     links, failed, keys = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b"), entries.select("key", "cls")
     labels, each = components(links), 1
     while True:
@@ -416,6 +417,7 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
         if not forest.head(1):
             break
         checked = _checked(save(forest.select("a", "b").distinct(), "pairs"), own, rule, levels)
+        tidy(spark)
         links = links.union(checked.filter("linked").select("a", "b"))
         labels = components(links)
         wrong = checked.filter("not linked").select("a", "b")
