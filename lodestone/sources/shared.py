@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The folder of each table that save() wrote.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where it is unset and all runs on this machine, as in tests."""
@@ -31,11 +36,27 @@ def folder(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
+    Spark deletes the shuffle files of the write when it is done.
     by: a column of few values, one folder each, so that a filter on it reads no other files.
     """
-    path = folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``save`` returned; nothing may read them, or what was made of them, any more."""
+    for table in tables:
+        path, context = _PLACES.pop(table), table.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def tidy(spark: SparkSession) -> None:
