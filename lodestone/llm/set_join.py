@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import column, flat, in_rows, lists, save
 from lodestone.llm.words import NOT_SPACE, bounds, chained, first_of_text, hashes, mix
 from lodestone.operators.components import components
-from lodestone.sources.shared import tidy
+from lodestone.sources.shared import drop
 
 #: Bits of the buckets whose loads tell rare from frequent shingles, and chunks in which their counts are summed.
 BUCKET_BITS, CHUNKS = 18, 64
@@ -239,7 +239,7 @@ def _scan(members: dict[str, np.ndarray], rule: Rule, each: int) -> list[tuple[i
 
 
 def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, failed: DataFrame | None, rule: Rule, each: int) -> DataFrame:
-    """(key, a, b): what the scans of all lists with classes that are apart leave to be checked."""
+    """(key, a, b), saved: what the scans of all lists with classes that are apart leave to be checked."""
     rows = entries
     if labels is not None:
         rows = rows.join(labels, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
@@ -248,7 +248,6 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
     apart = rows.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low <> high").select("k", "m")
     rows = rows.join(apart, F.col("key") == F.col("k")).drop("k").join(classes.select(F.col("cls").alias("c"), "n"), F.col("cls") == F.col("c")).drop("c")
     rows = save(rows, "apart")
-    tidy(rows.sparkSession)
     short = rows.filter(F.col("m") <= SHORT).drop("m")
     a, b = (short.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "label", "n"))) for s in "ab")
     similar = (F.least("a_n", "b_n") * rule.den >= F.greatest("a_n", "b_n") * rule.num) & (F.col("a_cls") < F.col("b_cls")) & (F.col("a_label") != F.col("b_label"))
@@ -257,7 +256,9 @@ def _forest(entries: DataFrame, classes: DataFrame, labels: DataFrame | None, fa
         pairs = pairs.join(failed, ["a", "b"], "left_anti")
     pairs = save(pairs, "pairs")  # at most SHORT / 2 a member
     kept = _filtered(pairs.select("a", "b").distinct(), classes, rule)
-    return pairs.join(kept, ["a", "b"], "left_semi").select("key", "a", "b").unionByName(_scanned(rows.filter(F.col("m") > SHORT), classes, failed, rule, each))
+    out = save(pairs.join(kept, ["a", "b"], "left_semi").select("key", "a", "b").unionByName(_scanned(rows.filter(F.col("m") > SHORT), classes, failed, rule, each)), "forest")
+    drop(rows, pairs)
+    return out
 
 
 def _scanned(rows: DataFrame, classes: DataFrame, failed: DataFrame | None, rule: Rule, each: int) -> DataFrame:
@@ -332,7 +333,7 @@ def _filtered(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """(a, b, linked): the pairs, compared on the sets themselves.
+    """(a, b, linked): the pairs, compared on the sets themselves. The saved table of pairs goes afterwards.
 
     Sets come from the texts again; a filter of fixed size keeps those that no pair needs from being moved. The set of a
     pair's first class moves once for up to GROUP second classes.
@@ -380,7 +381,9 @@ def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame
                 out.append((a[k], c[k], both * rule.den >= rule.num * (len(first) + len(x) - both)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], names=["a", "b", "linked"])
 
-    return save(rows.mapInArrow(compare, "a long, b long, linked boolean"), "checked")
+    out = save(rows.mapInArrow(compare, "a long, b long, linked boolean"), "checked")
+    drop(pairs)
+    return out
 
 
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -396,28 +399,28 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     levels = spark.sparkContext.broadcast(_levels(own, rule))
-    rows = save(_sets(own, rule, levels), "sets")
-    classes = save(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits")), "classes")
-    tidy(spark)
+    sets = save(_sets(own, rule, levels), "sets")
+    full = sets.filter("n > 0").groupBy("cls")
+    classes = save(full.agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    heads = save(full.agg(F.first("n").alias("n"), F.first("head").alias("head")), "heads")
+    rows = save(sets.select("doc_id", "h", "cls", "n"), "members")
+    drop(sets)
     sizes = {r["n"]: r["m"] for r in classes.filter(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("m")).collect()}
-    seen = classes.groupBy(F.col("head")[0]).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
-    entries = _keys(classes, rule, boundary(sizes, float(seen or 1), rule))
-    shared = entries.groupBy(F.col("key").alias("k")).agg(F.min("cls").alias("hub"), F.max("cls").alias("high")).filter("hub <> high").select("k", "hub")
-    entries = save(entries.join(shared, F.col("key") == F.col("k")).select("key", "cls", "hub"), "entries")
-    tidy(spark)
+    seen = heads.groupBy(F.col("head")[0]).count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
+    every = _keys(heads, rule, boundary(sizes, float(seen or 1), rule))
+    shared = every.groupBy(F.col("key").alias("k")).agg(F.min("cls").alias("hub"), F.max("cls").alias("high")).filter("hub <> high").select("k", "hub")
+    entries = save(every.join(shared, F.col("key") == F.col("k")).select("key", "cls", "hub"), "entries")
+    drop(heads)
 
     stars = entries.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     checked = _checked(save(_filtered(stars, classes, rule), "pairs"), own, rule, levels)
-    tidy(spark)
-    links, failed, keys = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b"), entries.select("key", "cls")
-    labels, each = components(links), 1
+    links, failed = checked.filter("linked").select("a", "b"), checked.filter("not linked").select("a", "b")
+    labels, keys, each = components(links), entries, 1
     while True:
-        forest = save(_forest(keys, classes, labels, failed, rule, each), "forest")
-        tidy(spark)
+        forest = _forest(keys.select("key", "cls"), classes, labels, failed, rule, each)
         if not forest.head(1):
             break
         checked = _checked(save(forest.select("a", "b").distinct(), "pairs"), own, rule, levels)
-        tidy(spark)
         links = links.union(checked.filter("linked").select("a", "b"))
         labels = components(links)
         wrong = checked.filter("not linked").select("a", "b")
@@ -425,7 +428,9 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10)
             break
         failed = failed.union(wrong)
         again = forest.join(wrong, ["a", "b"], "left_semi").select(F.col("key").alias("k")).distinct()
-        keys, each = save(keys.join(again, F.col("key") == F.col("k"), "left_semi"), "keys"), 8 * each
+        left = save(keys.select("key", "cls").join(again, F.col("key") == F.col("k"), "left_semi"), "keys")
+        drop(keys, forest)
+        keys, each = left, 8 * each
 
     of = classes.select("cls", "low").join(labels, F.col("cls") == F.col("v"), "left").select(F.col("cls").alias("c"), F.coalesce("label", "cls").alias("label"), "low")
     lows = of.groupBy(F.col("label").alias("l")).agg(F.min("low").alias("component_id"))
