@@ -57,8 +57,3 @@ def drop(*tables: DataFrame) -> None:
         path, context = _PLACES.pop(table), table.sparkSession.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are done; it does so when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
