@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, hmm, language, line_dedup, mixing, neighbours, pii, set_join, suffix_dedup, tokens
+from lodestone.llm import centroids, decontaminate, hmm, language, line_dedup, manifest, mixing, neighbours, pii, quality, set_join, suffix_dedup, tokens
 from lodestone.llm.common import table
 
 #: Words that DuckDB's patterns need: white space, and a line's ends.
@@ -80,6 +80,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.vectors(table(spark, sf_dir, "embeddings"), 64)
+    found = centroids.cluster(rows, 8, 10, 64, F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")).cast("binary"), 256))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    model = quality.learn(docs.filter(~held_out), table(spark, sf_dir, "labels"), "quality")
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = manifest.leaf([low if c == "text" else F.col(c) for c in columns])
+    found = manifest.manifest(table(spark, sf_dir, "documents"), columns, other=F.when(remainder(5) == 0, tampered))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root")).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -91,6 +113,9 @@ QUERIES = {
     "op8_hmm": op8_hmm,
     "op9_tokens": op9_tokens,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_quality": op12_quality,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE_SQL = {
