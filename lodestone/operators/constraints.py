@@ -123,14 +123,6 @@ def gold_record(df: DataFrame) -> DataFrame:
     return violations(df, "question_id", rules)
 
 
-def gold(df: DataFrame) -> DataFrame:
-    rules = required(["question_id", "question"]) | enums({"question_type": v.QUESTION_TYPES, "answerability": v.ANSWERABILITY, "split": v.SPLITS, "lock_status": v.SPLIT_LOCKS, "preferred_route": v.ROUTES})
-    rules["COMPARATOR"] = (F.col("comparator").isNotNull() & _outside("comparator", v.COMPARATORS), "comparator is not known")
-    rules["TOLERANCE"] = (F.col("comparator").isin("ABSOLUTE", "RELATIVE", "PERCENTAGE_POINT") & (F.col("tolerance").isNull() | (F.col("tolerance") < 0)), "this comparator needs a tolerance")
-    rules["HOLDOUT_LOCK"] = ((F.col("split") == "HOLDOUT") & (F.col("lock_status") == "PROVISIONAL_UNTIL_CHAIN_CLOSURE"), "a holdout question must be locked")
-    return violations(df, "question_id", rules)
-
-
 def fact_coverage(df: DataFrame) -> DataFrame:
     rules = required(["slot_key"]) | enums({"state": v.FACT_COVERAGE_STATES})
     rules["CONFLICT_NEEDS_TWO"] = ((F.col("state") == "CONFLICTING_VERIFIED_FACTS") & (F.size("fact_ids") < 2), "a conflict needs two facts")
@@ -222,6 +214,14 @@ CHECKS = {
     "parse_runs": {"CHARACTERS": "extracted_char_count >= 0", "WARNINGS": "warning_count >= 0", "ERRORS": "error_count >= 0"},
     "coverage": {"STATE": "state IN ('PARSE_FAILED', 'PARTIAL_PARSE_FAILURE', 'PRESENT') OR document_id IS NULL"},
     "sections": {"ORDINAL": "ordinal >= 0"},
+    "evaluation_usage_events": {
+        "KIND": "usage_kind IN ('SANDBOX', 'TUNING', 'CHECKPOINT', 'FINAL_HOLDOUT')",
+        "SPLIT": "executed_split IN ('SANDBOX', 'DEV_TUNE', 'DEV_CHECK', 'HOLDOUT')",
+        "LOCK": "split_lock_status_at_use IN ('PROVISIONAL_UNTIL_CHAIN_CLOSURE', 'LOCKED_BY_CHAIN', 'LOCKED_BY_COVERAGE')",
+        "CONFIGURATION": "configuration_sha256 RLIKE '^[0-9a-f]{64}$'",
+        "OFFICIAL_IS_LOCKED": "executed_split = 'SANDBOX' OR split_lock_status_at_use IN ('LOCKED_BY_CHAIN', 'LOCKED_BY_COVERAGE')",
+        "KIND_OF_SPLIT": "(usage_kind, executed_split) IN (('SANDBOX', 'SANDBOX'), ('TUNING', 'DEV_TUNE'), ('CHECKPOINT', 'DEV_CHECK'), ('FINAL_HOLDOUT', 'HOLDOUT'))",
+    },
     "chunks": {"ORDINAL": "ordinal >= 0", "TOKENS": "token_count > 0", "FINGERPRINT": "content_fingerprint RLIKE '^[0-9a-f]{64}$'"},
     "document_events": {"RELATION": "relation_type = 'DISCLOSES'", "CONFIDENCE": "confidence BETWEEN 0 AND 1"},
     "evidence": {"QUOTE_HASH": "quote_sha256 RLIKE '^[0-9a-f]{64}$'", "CONFIDENCE": "confidence BETWEEN 0 AND 1"},

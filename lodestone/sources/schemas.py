@@ -52,6 +52,7 @@ TABLES = {
     "evaluation_evidence_slots": Table("slot_id string not null, question_id string not null, slot_name string not null, description string not null, acceptable_sources string not null, expected_fact_ids array<string> not null, expected_event_ids array<string> not null", ("slot_id",), (("question_id", "slot_name"),), (("question_id", "evaluation_questions", "question_id"),)),
     "regression_cases": Table("regression_case_id string not null, question_payload string not null, bug_class string not null, introduced_by_run_id string, fixed_by_commit string, active boolean not null, created_at timestamp not null", ("regression_case_id",)),
     "experiment_runs": Table("run_id string not null, experiment_round_id string not null, corpus_snapshot_id string not null, git_commit string not null, parser_version string not null, chunker_version string not null, chunking_config_id string not null, embedding_model_id string not null, search_backend_id string not null, index_snapshot_id string not null, gold_revision string not null, fact_coverage_snapshot_id string not null, random_seed bigint not null, configuration string not null, metrics string not null, started_at timestamp not null, completed_at timestamp", ("run_id",), (), (_SNAPSHOT, ("fact_coverage_snapshot_id", "fact_coverage_snapshots", "fact_coverage_snapshot_id"))),
+    "evaluation_usage_events": Table("usage_event_id string not null, question_id string, assignment_id string not null, run_id string not null, usage_kind string not null, executed_split string not null, used_at timestamp not null, split_lock_status_at_use string not null, chain_ids_at_use array<string> not null, git_commit string, configuration_sha256 string, notes string", ("usage_event_id",), (), (("question_id", "evaluation_questions", "question_id"), ("run_id", "experiment_runs", "run_id"))),
 }
 
 
