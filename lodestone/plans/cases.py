@@ -544,32 +544,3 @@ def schema_problems(read):
     whole = given.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given.columns else F.lit(None if f.nullable else fixed.get(f.name, "x")).cast(f.dataType).alias(f.name) for f in schemas.schema("facts")))
     documents = spark.createDataFrame([("d1",)], "document_id string")
     return schemas.problems(whole, "facts", {"documents": documents}).select("rule", "key")
-
-
-_LOG = Cases(
-    "usage_event_id string, assignment_id string, run_id string, executed_split string, usage_kind string, run_purpose string, configuration_sha256 string, git_commit string, seq int",
-    [("u1", "a_tuned", "r1", "DEV_TUNE", "TUNING", "FLOW_SELECTION", "c" * 64, "g", 1), ("u2", "a_check", "r2", "DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK", "c" * 64, "g", 2), ("u3", "a_check", "r3", "DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK", "c" * 64, "g", 3), ("u4", "a_hold", "r4", "HOLDOUT", "FINAL_HOLDOUT", "FINAL_HOLDOUT_EVALUATION", "c" * 64, "g", 4)],
-)
-_LIFE = Cases(
-    "assignment_id string, assigned_split string, split_lock_status string, holdout_lifecycle_status string",
-    [("a_tuned", "DEV_CHECK", "LOCKED_BY_CHAIN", "SEALED"), ("a_check", "DEV_CHECK", "LOCKED_BY_CHAIN", "SEALED"), ("a_new", "DEV_TUNE", "LOCKED_BY_COVERAGE", "SEALED"), ("a_open", "HOLDOUT", "LOCKED_BY_CHAIN", "OPENED"), ("a_sealed", "HOLDOUT", "LOCKED_BY_CHAIN", "SEALED"), ("a_done", "HOLDOUT", "LOCKED_BY_CHAIN", "CONSUMED"), ("a_diag", "HOLDOUT", "LOCKED_BY_CHAIN", "DIAGNOSTIC_ONLY"), ("a_prov", "DEV_TUNE", "PROVISIONAL_UNTIL_CHAIN_CLOSURE", "SEALED"), ("a_hold", "DEV_TUNE", "LOCKED_BY_CHAIN", "SEALED")],
-)
-
-
-def _requests() -> list[tuple]:
-    check, final, tune = ("DEV_CHECK", "CHECKPOINT", "CRITICAL_REGRESSION_CHECK"), ("HOLDOUT", "FINAL_HOLDOUT", "FINAL_HOLDOUT_EVALUATION"), ("DEV_TUNE", "TUNING", "FLOW_SELECTION")
-    diagnostic, sha = ("HOLDOUT", "FINAL_HOLDOUT", "DIAGNOSTIC_ONLY"), "c" * 64
-    asked = [
-        ("a_new", "r9", tune, sha, "OK"), ("", "r9", tune, sha, "INVALID_USAGE_INPUT"), ("a_new", "r9", ("DEV_TUNE", "CHECKPOINT", "FLOW_SELECTION"), sha, "INVALID_USAGE_INPUT"), ("a_none", "r9", tune, sha, "INVALID_USAGE_INPUT"),
-        ("a_prov", "r9", tune, sha, "PROVISIONAL_SPLIT_FORBIDS_OFFICIAL_USE"), ("a_prov", "r9", ("SANDBOX", "SANDBOX", "SANDBOX_EXPLORATION"), sha, "OK"), ("a_new", "r9", check, sha, "ASSIGNED_SPLIT_MISMATCH"), ("a_tuned", "r9", check, sha, "TUNING_LOCKED_ASSIGNMENT_CANNOT_BE_PROMOTED"),
-        ("a_hold", "r9", tune, sha, "ASSIGNMENT_SPLIT_HISTORY_MISMATCH"), ("a_check", "r2", check, sha, "DUPLICATE_RUN_ASSIGNMENT"), ("a_new", "r1", tune, "d" * 64, "RUN_IDENTITY_MISMATCH"), ("a_check", "r9", (*check[:2], None), sha, "RUN_PURPOSE_REQUIRED"),
-        ("a_check", "r9", (*check[:2], "FLOW_SELECTION"), sha, "RUN_PURPOSE_SPLIT_MISMATCH"), ("a_check", "r9", check, "x", "CANDIDATE_HASH_REQUIRED"), ("a_check", "r9", check, sha, "DEV_CHECK_BUDGET_EXHAUSTED"), ("a_sealed", "r9", final, sha, "HOLDOUT_SEALED"),
-        ("a_done", "r9", final, sha, "HOLDOUT_ALREADY_CONSUMED"), ("a_open", "r9", final, sha, "HOLDOUT_FINAL_BUDGET_EXHAUSTED"), ("a_open", "r4", final, sha, "OK"), ("a_done", "r9", diagnostic, sha, "HOLDOUT_DIAGNOSTIC_REQUIRES_DIAGNOSTIC_ONLY_STATE"), ("a_diag", "r9", diagnostic, sha, "OK"),
-    ]
-    return [(k, a, r, *how, c, "g", want) for k, (a, r, how, c, want) in enumerate(asked)]
-
-
-@query(expected("request_id:INTEGER code:VARCHAR", [(r[0], r[-1]) for r in _requests()]))
-def usage_gate(read):
-    asked = Cases("request_id int, assignment_id string, run_id string, executed_split string, usage_kind string, run_purpose string, configuration_sha256 string, git_commit string", [r[:-1] for r in _requests()])
-    return ledger.gates(asked(read), _LOG(read), _LIFE(read))

@@ -540,13 +540,6 @@ def ledger_chain(read):
     return ledger.chain_breaks(rows, ["user_id"], ["ts", "event_id"], "previous", "own").select("event_id", "user_id")
 
 
-@query("""
-    SELECT user_id, event_type, count(DISTINCT CAST(ts AS DATE)) AS n_runs, CASE event_type WHEN 'click' THEN 12 ELSE 8 END AS budget FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL HAVING count(DISTINCT CAST(ts AS DATE)) > CASE event_type WHEN 'click' THEN 12 ELSE 8 END
-""")
-def ledger_budget(read):
-    return ledger.over_budget(read("events").withColumn("run", _day("ts")), "user_id", "event_type", "run", {"click": 12, "purchase": 8})
-
-
 @query("""
     WITH l AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
     SELECT event_id, before, event_type FROM l WHERE before IS NOT NULL AND NOT ((before, event_type) IN (('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('purchase', 'view')))

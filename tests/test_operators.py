@@ -271,22 +271,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_ledger(tmp_path, spark):
-    log = ledger.Ledger(str(tmp_path / "log.jsonl"))
-    life = {"assignment_id": "a", "lock_status": "LOCKED_BY_CHAIN", "assigned_split": "DEV_CHECK"}
-    event = {"usage_event_id": "e", "run_id": "r1", "assignment_id": "a", "split": "DEV_CHECK", "purpose": "CRITICAL_REGRESSION_CHECK", "config_sha256": "c"}
-    log.append(event, life)
-    for change, code in (({}, "DUPLICATE_RUN_ASSIGNMENT"), ({"split": "HOLDOUT"}, "ASSIGNED_SPLIT_MISMATCH"), ({"run_id": ""}, "INVALID_USAGE_INPUT"), ({"run_id": "r2", "purpose": "DIAGNOSTIC_ONLY"}, "RUN_PURPOSE_SPLIT_MISMATCH")):
-        with pytest.raises(PermissionError, match=code):
-            log.append(event | change, life)
-    log.append(event | {"run_id": "r2"}, life)
-    with pytest.raises(PermissionError, match="DEV_CHECK_BUDGET_EXHAUSTED"):
-        log.append(event | {"run_id": "r3"}, life)
-    df = spark.read.json(str(tmp_path / "log.jsonl"))
-    assert ledger.chain_breaks(df, [], ["run_id"], "previous_log_hash", "event_hash").count() == 0
-    assert ledger.over_budget(df, "assignment_id", "split", "run_id").count() == 0
-
-
 def test_retrieval_invariants(spark):
     r = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 2, 0.7), (2, 1, 1, 0.5), (2, 1, 3, 0.4)], "q int, c int, rank int, score double")
     assert rows(retrieval.invariants(r, "q", "c", 10), "q", "code") == [(1, "SCORE_NOT_SORTED"), (2, "DUPLICATE_CHUNK"), (2, "RANK_NOT_CONTIGUOUS")]
