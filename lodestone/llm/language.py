@@ -4,7 +4,9 @@ For each language a suffix automaton of labelled text knows every substring of i
 into the longest phrases that the automaton knows; the fewer phrases a symbol, times the bits of a place in the labelled
 text, the closer the text is to the language (the cross-entropy estimate of Ziv and Merhav). One numpy step moves many
 stretches of text by one symbol each; where a stretch began inside a phrase of the one before, its first phrases are
-parsed again from the state that the one before ended in, until both parses agree. The count is that of the whole text.
+parsed again from the state that the one before ended in, until both parses agree. In texts that repeat themselves they
+may never agree: stretches that are still due after a few turns are parsed in order, and such as were met before in the
+same state are looked up. The count is that of the whole text.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, flat, release
 
-#: Bound of the labelled sample: so many rows in all, dealt evenly to the languages, each whole and at most so long (in
-#: code points; longer rows are not sampled), at least one row a language.
-SAMPLE_ROWS, SAMPLE_LONGEST = 96, 4000
-#: Languages at most.
+#: Bound of the labelled sample: so many rows and code points in all, dealt evenly to the languages, at least one row each.
+#: Rows are whole; only where a language has no row within its share, one row gives a stretch of that length.
+SAMPLE_ROWS, SAMPLE_LONGEST = 96, 160_000
+#: Languages that are learned: those with the most rows.
 LABELS = 1024
+#: Turns in which stretches are parsed again side by side; stretches that are looked up.
+TURNS, MET = 3, 4096
 #: Symbols in one stretch, and stretches parsed together.
 STRETCH, TOGETHER = 256, 2048
 UNKNOWN = "und"
@@ -111,6 +115,30 @@ class Automaton:
             if not len(live):
                 break
 
+    def _in_order(self, grid: np.ndarray, due: np.ndarray, entry: np.ndarray, exits: np.ndarray, counts: np.ndarray, head: np.ndarray) -> None:
+        """Parse the due stretches one after another, each from the end of the one before, and those that this changes."""
+        table, met, waiting = memoryview(self.table), {}, set(due.tolist())
+        for i in range(int(due[0]), grid.shape[1]):
+            if i not in waiting or exits[i - 1] == entry[i]:
+                continue
+            entry[i] = state = int(exits[i - 1])
+            codes = grid[:, i].astype(np.uint16)
+            key = (state, codes.tobytes())
+            if key not in met:
+                if len(met) >= MET:
+                    met.clear()
+                n = 0
+                for c in codes.tolist():
+                    step = table[state + c]
+                    n += step & 1
+                    state = step >> 1
+                met[key] = state, n
+            state, counts[i] = met[key]
+            if state != exits[i]:
+                exits[i] = state
+                if i + 1 < grid.shape[1] and not head[i + 1]:
+                    waiting.add(i + 1)
+
     def phrases(self, symbols_: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text is cut into; texts one after another in ``symbols_``."""
         size = np.diff(offsets)
@@ -127,8 +155,8 @@ class Automaton:
             entry[0] = 0 if head[a] else ended
             trace = self._parse(grid, entry)
             # a text's next stretch is entered in the state that the one before ends in; few stretches then end in another
-            due = np.flatnonzero(~head[a + 1 : z]) + 1
-            while len(due):
+            due, turns = np.flatnonzero(~head[a + 1 : z]) + 1, 0
+            while len(due) and turns < TURNS:
                 now = (trace[-1, due - 1] >> 1).astype(np.intp)
                 due, now = due[now != entry[due]], now[now != entry[due]]
                 part, entry[due] = trace[:, due], now
@@ -137,8 +165,12 @@ class Automaton:
                 trace[:, due] = part
                 due = moved[moved < z - a]
                 due = due[~head[a + due]]
-            ended = int(trace[-1, -1]) >> 1
-            np.add.at(out, of[a:z], (trace & 1).sum(0))
+                turns += 1
+            counts, exits = (trace & 1).sum(0), (trace[-1] >> 1).astype(np.intp)
+            if len(due):
+                self._in_order(grid, due, entry, exits, counts, head[a:z])
+            ended = int(exits[-1])
+            np.add.at(out, of[a:z], counts)
         return out
 
 
@@ -153,19 +185,24 @@ _built: dict[int, tuple[list[str], list[Automaton]]] = {}
 def learn(docs: DataFrame, lang: str = "lang") -> dict[str, np.ndarray]:
     """The labelled sample: symbols of each language, from rows with text and label, by the order of a hash of doc_id.
 
-    Bounded by SAMPLE_ROWS and SAMPLE_LONGEST, whatever the size of ``docs``; more than LABELS labels are an error.
+    Bounded by SAMPLE_ROWS and SAMPLE_LONGEST, whatever the size of ``docs``. Of more than LABELS labels those with the most
+    rows are learned, ties to the smaller name.
     """
-    own = docs.select("doc_id", F.col(lang).alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_LONGEST))
+    own = docs.select("doc_id", F.col(lang).alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     own = own.select("label", F.xxhash64(F.lit("sample"), "doc_id").alias("order"), F.xxhash64("text").alias("h"), "text")
-    n = own.select("label").distinct().limit(LABELS + 1).count()
-    if n > LABELS:
-        raise ValueError(f"more than {LABELS} languages")
-    each = max(1, SAMPLE_ROWS // max(1, n))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "h"))
-    first = own.select("label", "order", "h").withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
+    most = [r["label"] for r in own.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(LABELS).collect()]
+    each, share = max(1, SAMPLE_ROWS // max(1, len(most))), max(1, SAMPLE_LONGEST // max(1, len(most)))
+    # rows within the share first, so that a long one only stands in where there is no other
+    length = F.length("text")
+    w = Window.partitionBy("label").orderBy("long", "order", "h")
+    first = own.filter(F.col("label").isin(most)).select("label", "order", "h", length.alias("n"), (length > share).cast("int").alias("long"))
+    first = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each)
+    # a few rows a language now
+    sum_before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", sum_before).filter((F.col("rank") == 1) | (F.col("before") + F.col("n") <= share)).select("label", "order", "h")
     # the texts of those rows alone; rows alike in doc_id and text are one
     rows = own.join(F.broadcast(first.distinct().withColumnsRenamed({"label": "l", "order": "o", "h": "g"})), (F.col("label") == F.col("l")) & (F.col("order") == F.col("o")) & (F.col("h") == F.col("g")))
-    rows = rows.select("label", "order", "h", "text").dropDuplicates(["label", "order", "h"])
+    rows = rows.select("label", "order", "h", F.substring("text", 1, share).alias("text")).dropDuplicates(["label", "order", "h"])
     texts: dict[str, list[tuple[int, int, str]]] = {}
     for r in rows.toLocalIterator():
         texts.setdefault(r["label"], []).append((r["order"], r["h"], r["text"]))

@@ -32,8 +32,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_SPACE)), F.lit(0)).cast("long")
 
 
-#: Sources at most: their sums and targets are one row each on the driver, and broadcast.
-SOURCES = 4096
+#: Up to so many sources, they are broadcast and stand in expressions; more are joined. Either way the driver has the sum and
+#: the target of each source, some hundred bytes.
+SOURCES = 1024
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: list[float] | None = None, most: float = MOST_REPEATS) -> list[float]:
@@ -78,20 +79,18 @@ def mix(docs: DataFrame, weights: list[float] | None = None, block_words: int =
 
     taken: the words that the schedule takes from the row, repeats counted; at most three times its size. A source's
     rows together take its target, rounded. h: a hash of doc_id and text, by which the documents are shuffled. Null text has no words; null is a source of its own, the last one. Rows
-    without words get taken 0. Repeated rows are rows of their own. An empty table gives an empty table. More than SOURCES
-    sources are an error.
+    without words get taken 0. Repeated rows are rows of their own. An empty table gives an empty table. There may be
+    any number of sources.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = save(docs.select("doc_id", "source", F.xxhash64(F.lit(seed), text, "doc_id").alias("h"), n_words(F.col("text")).alias("size")), "sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()
-    if len(sums) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
     per = sorted(((r["source"], r["n"]) for r in sums), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     exact = targets(per, weights)
     want = [round(x) for x in exact]
     info = spark.createDataFrame([(k, s, n, t, w) for k, ((s, n), t, w) in enumerate(zip(per, exact, want, strict=True))], "k int, name string, source_size long, target double, want long")
-    rows = rows.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = rows.join(_few(info, len(per)), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     if not sum(want):
         return rows.withColumn("taken", F.lit(0).cast("long")).select(*RESULT)
 
@@ -120,13 +119,31 @@ def schedule(spark, per: list[tuple[str | None, int]], want: list[int], block_wo
     edges[-1] = 2.0
     n = sum(-(-w // block_words) for w in want)
     point = (F.col("slot") % _ONE) * F.lit(_GOLDEN) % _ONE / F.lit(float(_ONE))
-    # the first edge above the point: as many edges as are not, of a literal array of one edge a source
-    cut = F.array(*(F.lit(e) for e in edges))
-    k = F.aggregate(cut, F.lit(0), lambda acc, e: acc + (e <= F.col("point")).cast("int"))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("k", k).withColumn("one", F.lit(1))
+    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("one", F.lit(1))
+    slots = _of_intervals(slots, edges)
     return _placed(slots.select("slot", "k", "one"), "k", F.floor(F.col("slot") / STRETCH), ["slot"], "one", "rank").drop("one")
 
 
+def _few(table: DataFrame, n: int) -> DataFrame:
+    """A table of one row a source, broadcast where they are few."""
+    return F.broadcast(table) if n <= SOURCES else table
+
+
+def _of_intervals(slots: DataFrame, edges: list[float]) -> DataFrame:
+    """``slots`` with k: how many edges are not above the point."""
+    if len(edges) <= SOURCES:
+        cut = F.array(*(F.lit(e) for e in edges))
+        return slots.withColumn("k", F.aggregate(cut, F.lit(0), lambda acc, e: acc + (e <= F.col("point")).cast("int")))
+    # each interval in the bins that it meets; a point's bin has its interval, and few others
+    n, bins, at = len(edges), [], 0.0
+    for k, edge in enumerate(edges):
+        bins += [(b, k, at, edge) for b in range(int(at * n), min(n - 1, int(edge * n)) + 1)] if edge > at else []
+        at = max(at, edge)
+    table = slots.sparkSession.createDataFrame(bins, "bin int, k int, low double, high double")
+    binned = slots.withColumn("bin", F.least(F.lit(n - 1), F.floor(F.col("point") * n)).cast("int"))
+    return binned.join(table, "bin").filter((F.col("low") <= F.col("point")) & (F.col("point") < F.col("high"))).drop("bin", "low", "high")
+
+
 def block_uses(spark, per: list[tuple[str | None, int]], want: list[int], block_words: int = BLOCK_WORDS) -> DataFrame:
     """(k, block, uses, rest): how often each block is taken whole, and the words of its last, shorter use.
 
@@ -144,7 +161,7 @@ def block_uses(spark, per: list[tuple[str | None, int]], want: list[int], block_
         ranks = ranks.unionByName(tail.select("k", F.explode(F.sequence("first", "last")).alias("rank")))
     n_blocks = F.ceil(F.col("words") / block_words)
     ranked = (
-        ranks.join(F.broadcast(shape), F.col("k") == F.col("s_k"))
+        ranks.join(_few(shape, len(per)), F.col("k") == F.col("s_k"))
         .withColumn("block", F.col("rank") % n_blocks)
         .withColumn("start", F.floor(F.col("rank") / n_blocks) * F.col("words") + F.col("block") * block_words)
         .withColumn("length", F.least(F.lit(block_words), F.col("words") - F.col("block") * block_words))

@@ -371,8 +371,43 @@ def test_language_sample_is_whole_rows(spark, monkeypatch):
     assert set(sizes) == {"x", "y"}  # two whole rows each, a separator between them
     assert all((n - 1) % 3 == 0 and n - 1 <= 2 * 120 for n in sizes.values())
     monkeypatch.setattr(language, "LABELS", 1)
-    with pytest.raises(ValueError):
-        language.learn(df)
+    assert set(language.learn(df)) == {"x"}  # that with the most rows
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    longest = language.SAMPLE_LONGEST
+    rows = [(i, "one two three four five " * 10, "aa") for i in range(20)] + [(100 + i, "eins zwei drei " * 100 * (1 + (i > 0) * longest // 1000), "bb") for i in range(20)] + [(200 + i, "uno due tre " * longest, "cc") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.learn(df)
+    assert set(sample) == {"aa", "bb", "cc"} and all(len(x) <= longest // 3 for x in sample.values())
+    got = language.predict(df, sample).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_many_languages(spark):
+    rows = [(i, f"words of language {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'xyz'[i // 676]}q " * 3, f"l{i:04d}") for i in range(2000)]
+    sample = language.learn(spark.createDataFrame([*rows, (5000, rows[1990][1], "l1990")], "doc_id long, text string, lang string"))
+    assert len(sample) == language.LABELS and "l1990" in sample and "l0000" in sample and "l1023" not in sample
+
+
+@pytest.mark.parametrize("unit", ["w ", "abc ab ", "w x w y ", "na " * 40 + "x "])
+def test_periodic_texts_are_parsed_at_once(unit):
+    import time
+
+    learned = np.frombuffer(b"the whole way of two women who know what na na na they want w x w y abc ab", np.uint8)
+    a = language.Automaton(language.symbols(learned, np.array([0, len(learned)]))[0])
+    text = np.frombuffer((unit * (1_000_000 // len(unit)) + "the end").encode(), np.uint8)
+    twice = np.concatenate([text, text[:5000]])
+    s, offsets = language.symbols(twice, np.array([0, len(text), len(twice)]))
+    began = time.perf_counter()
+    got = a.phrases(s, offsets)
+    assert time.perf_counter() - began < 5
+    for (x, y), n in zip(zip(offsets, offsets[1:], strict=False), got.tolist(), strict=True):
+        state = want = 0
+        for c in a.code[s[x:y]].tolist():
+            step = int(a.table[state + c])
+            want, state = want + (step & 1), step >> 1
+        assert n == want
 
 
 # 7. repeated bytes
@@ -715,10 +750,62 @@ def test_op1_is_the_plain_mix(spark, table):
     assert multiset(out) == multiset(QUERIES["op1_mixing"](spark, SF).collect())
 
 
-def test_too_many_sources(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "SOURCES", 2)
-    with pytest.raises(ValueError):
-        mixing.mix(docs)
+def plain_taken(rows, block):
+    """rows: (doc_id, h, source, size); words of each row that the schedule takes, from the description of the method."""
+    size = Counter()
+    for _, _, s, n in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = [round(t) for t in mixing.targets([(s, size[s]) for s in names])]
+    ends = np.cumsum(want) / sum(want)
+    place = []  # of each source its words in shuffled order: (row, word)
+    for s in names:
+        own = sorted((h, d, n, i) for i, (d, h, t, n) in enumerate(rows) if t == s and n)
+        n_buckets = max(1, len(rows) // mixing.BUCKET)
+        own.sort(key=lambda x: (x[0] % n_buckets, x[0], x[1], x[2]))
+        place.append([i for _, _, n, i in own for _ in range(n)])
+    taken, given, rank = Counter(), [0] * len(names), [0] * len(names)
+
+    def slot(k):
+        words, n = place[k], -(-len(place[k]) // block)
+        b = rank[k] % n
+        rank[k] += 1
+        part = words[b * block : (b + 1) * block]
+        for i in part[: want[k] - given[k]]:
+            taken[i] += 1
+        given[k] += min(len(part), want[k] - given[k])
+
+    for i in range(sum(-(-w // block) for w in want)):
+        point = (i * mixing._GOLDEN % mixing._ONE) / mixing._ONE
+        k = min(len(names) - 1, int(np.searchsorted(ends, point, side="right")))
+        if given[k] < want[k]:
+            slot(k)
+    for k in range(len(names)):  # what the schedule leaves short comes at the end
+        while given[k] < want[k]:
+            slot(k)
+    return [taken[i] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("sources", [1024, 2])
+def test_taken_words_are_those_of_the_plain_schedule(spark, docs, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "SOURCES", sources)
+    out = mixing.mix(docs).collect()
+    text = F.coalesce("text", F.lit(""))
+    rows = [(r["doc_id"], r["h"], r["source"], len(WORD.findall(r["t"]))) for r in docs.select("doc_id", F.xxhash64(F.lit(17), text, "doc_id").alias("h"), "source", text.alias("t")).collect()]
+    want = Counter()
+    for (d, h, _, n), t in zip(rows, plain_taken(rows, mixing.BLOCK_WORDS), strict=True):
+        want[d, h, n] += t  # equal rows are not told apart
+    got = Counter()
+    for r in out:
+        got[r["doc_id"], r["h"], r["size"]] += r["taken"]
+    assert got == want
+
+
+def test_thousands_of_sources(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat('word ', CAST(1 + id % 9 AS INT)) AS text", "concat('s', id % 5000) AS source")
+    out = mixing.mix(df.withColumn("lang", F.lit("x"))).join(df.select("doc_id", "source"), "doc_id")
+    per = out.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(per) == 5000 and all(r["n"] == round(r["t"]) for r in per)
 
 
 def test_op2_is_the_plain_search(spark, table):
