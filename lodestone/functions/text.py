@@ -104,6 +104,11 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(text)), r"(?U)[\s\p{P}\p{S}]+", "")
 
 
+def comparable_text(text: Column) -> Column:
+    """Without regard to width, case, white space, punctuation and symbols."""
+    return F.regexp_replace(F.lower(nfkc(text)), r"[\s\p{P}\p{S}]+", "")
+
+
 def normal_label(label: Column) -> Column:
     """A table label without its number and separators, in lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(nfc(F.coalesce(label, F.lit(""))), r"(?U)^\s*[-–—]?\s*\d+(?:\.\d+)*\.?\s*", ""), r"(?U)[\sㆍ·:：()（）]", ""))

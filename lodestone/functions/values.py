@@ -123,10 +123,15 @@ def same_members(a: Column, b: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A key that sorts texts without regard to case and accents, and runs of digits as numbers."""
-    plain = F.lower(F.regexp_replace(F.collate(text, "UTF8_BINARY"), r"\p{M}", ""))
-    parts = F.regexp_extract_all(plain, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+    """A key in Korean order without regard to case and accents, in which runs of digits count as numbers of any length.
+
+    A number stands as its length and its digits, so a longer one comes later. The key is a collated string: sorts, groups
+    and comparisons of it follow ICU's rules for Korean.
+    """
+    parts = F.regexp_extract_all(F.collate(text, "UTF8_BINARY"), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    whole = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p))
+    return F.collate(F.array_join(whole, ""), "ko_CI_AI")
 
 
 def bounded(n: Column, most: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import save
+
 
 def top_per(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group; Spark limits each group before it is moved."""
@@ -52,15 +54,57 @@ def quota(df: DataFrame, bucket: str, key: str, group: str, quotas: dict[str, in
     return rows.filter(F.col("position") <= most).drop("_h", "_one")
 
 
-def quota_unique_anchors(df: DataFrame, bucket: str, key: str, anchors: str, quotas: dict[str, int], salt: str) -> list[tuple[str, int]]:
-    """(bucket, key) chosen one after another so that no anchor serves twice. Sequential, for review queues of a few
-    thousand rows: at most that many rows of each bucket, in salted order, reach the driver."""
-    rows = top_per(df.withColumn("_h", hash_rank(salt, bucket, key)), [bucket], ["_h", key], 20 * max(quotas.values(), default=0)).select(bucket, key, anchors, "_h")
-    used: set = set()
-    out, left = [], dict(quotas)
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (list(quotas).index(r[bucket]) if r[bucket] in quotas else len(quotas), r["_h"], r[key])):
-        if left.get(r[bucket], 0) > 0 and not used & set(r[anchors] or ()):
-            used |= set(r[anchors] or ())
-            left[r[bucket]] -= 1
-            out.append((r[bucket], r[key]))
-    return out
+def independent(df: DataFrame, key: str, anchors: str, order: list[str]) -> tuple[DataFrame, int]:
+    """(key, round) of the rows that a walk in ``order`` takes if no two may share an anchor, and the number of rounds.
+
+    All rows are judged side by side: one that comes first at all its anchors is taken, those that share an anchor with it
+    leave, and the rest are judged again. With an order by hash there are about log n rounds. Each round is written to the
+    shared folder; an anchor that very many rows share is one row on one side of each join. Rows without anchors are taken.
+    """
+    rows = save(df.select(F.col(key).alias("_key"), F.coalesce(F.array_distinct(F.array_compact(anchors)), F.array().cast(dict(df.dtypes)[anchors])).alias("_anchors"), F.struct(*order, F.col(key)).alias("_rank")), "round")
+    taken, n = rows.filter(F.size("_anchors") == 0).select("_key", F.lit(0).alias("round")), 0
+    rows = rows.filter(F.size("_anchors") > 0)
+    while rows.head(1):
+        n += 1
+        at = rows.select("_key", "_rank", F.explode("_anchors").alias("_anchor"))
+        firsts = at.groupBy("_anchor").agg(F.min("_rank").alias("_first"))
+        beaten = at.join(firsts, "_anchor").filter(F.col("_rank") != F.col("_first")).select("_key").distinct()
+        won = save(rows.join(beaten, "_key", "left_anti"), "won")
+        used = won.select(F.explode("_anchors").alias("_anchor"))
+        out = at.join(used, "_anchor", "left_semi").select("_key").distinct()
+        rows = save(rows.join(out, "_key", "left_anti"), "round")
+        taken = taken.unionByName(won.select("_key", F.lit(n).alias("round")))
+    return taken.withColumnRenamed("_key", key), n
+
+
+def quota_unique_anchors(df: DataFrame, bucket: str, key: str, anchors: str, quotas: dict[str, int], salt: str) -> DataFrame:
+    """(bucket, key): ``quotas`` rows of each bucket, bucket after bucket in the order of ``quotas`` and in salted order
+    within, so that no anchor serves twice."""
+    rows = df.select(bucket, key, anchors, hash_rank(salt, bucket, key).alias("_h"))
+    out, used = None, None
+    for name, n in quotas.items():
+        free = rows.filter(F.col(bucket) == name)
+        if used is not None:
+            taken = free.select(key, F.explode(anchors).alias("_anchor")).join(used, "_anchor", "left_semi").select(key).distinct()
+            free = free.join(taken, key, "left_anti")
+        chosen, _ = independent(free, key, anchors, ["_h"])
+        # a quota's rows: the first n of those that a walk without end would take
+        first = save(free.join(chosen, key).orderBy("_h", key).limit(n).select(bucket, key, anchors), "chosen")
+        anchored = first.select(F.explode(anchors).alias("_anchor")).distinct()
+        used = anchored if used is None else used.unionByName(anchored)
+        out = first.select(bucket, key) if out is None else out.unionByName(first.select(bucket, key))
+    return out if out is not None else rows.select(bucket, key).limit(0)
+
+
+def earlier(df: DataFrame, same: list[str], fields: list[str], order: list[str], n: int, columns: list[str]) -> DataFrame:
+    """``df`` with ``earlier``: rows before it in ``order`` with the same ``same`` that can be among its n best.
+
+    For any score that does not fall when more of ``fields`` are equal or the row is later, with ties to the later row:
+    for every set of fields the last n rows that agree on them, at most n * 2**len(fields) in all. Rows move once; there is
+    no join, and a window holds n rows.
+    """
+    item, sets = F.struct(*columns), []
+    for bits in range(1 << len(fields)):
+        by = [*same, *(f for k, f in enumerate(fields) if bits >> k & 1)]
+        sets.append(F.collect_list(item).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)))
+    return df.withColumn("earlier", F.array_distinct(F.concat(*sets)))

@@ -6,22 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import components
-from lodestone.operators.ranking import top_per
+from lodestone.operators.ranking import earlier, top_per
 
 
-def amends_candidates(sources: DataFrame, documents: DataFrame, same: list[str], score: Column, n: int = 5) -> DataFrame:
+def amends_candidates(documents: DataFrame, source: Column, same: list[str], fields: list[str], score: Column, n: int = 5) -> DataFrame:
     """Earlier documents that a correction may amend, best first.
 
-    Both tables have doc_id, day and ``same``; ``score`` is over s_* (source) and d_* (document) columns. Candidates
-    share ``same``, are strictly earlier and score above 0; ties go to the later document.
+    documents has doc_id, day, ``same`` and ``fields``; ``source`` tells the corrections; ``score`` is over s_* (source) and
+    d_* (candidate) columns, and must not fall when more ``fields`` are equal or the candidate is later. Candidates share
+    ``same``, are strictly earlier and score above 0; ties go to the later document.
     """
-    s = sources.select(*(F.col(c).alias(f"s_{c}") for c in sources.columns))
-    d = documents.select(*(F.col(c).alias(f"d_{c}") for c in documents.columns))
-    on = (F.col("d_day") < F.col("s_day")) | ((F.col("d_day") == F.col("s_day")) & (F.col("d_doc_id") < F.col("s_doc_id")))
-    for c in same:
-        on = on & (F.col(f"s_{c}") == F.col(f"d_{c}"))
-    rows = s.join(d, on).withColumn("score", F.least(F.lit(1.0), score)).filter("score > 0")
-    return top_per(rows, ["s_doc_id"], [F.col("score").desc(), F.col("d_day").desc(), F.col("d_doc_id").desc()], n)
+    rows = earlier(documents.withColumn("_source", source), same, fields, ["day", "doc_id"], n, documents.columns).filter("_source")
+    pairs = rows.select(*(F.col(c).alias(f"s_{c}") for c in documents.columns), F.explode("earlier").alias("d")).select("*", *(F.col(f"d.{c}").alias(f"d_{c}") for c in documents.columns)).drop("d")
+    pairs = pairs.withColumn("score", F.least(F.lit(1.0), score)).filter("score > 0")
+    return top_per(pairs, ["s_doc_id"], [F.col("score").desc(), F.col("d_day").desc(), F.col("d_doc_id").desc()], n)
 
 
 def amends_score() -> Column:

@@ -224,9 +224,16 @@ def missing_components(method: Column, present: Column) -> Column:
     return F.array_except(needed, present)
 
 
-def overlaps(a: DataFrame, b: DataFrame, same: list[str]) -> DataFrame:
-    """Rows of a and b that share ``same`` and whose closed row ranges (a_start, a_end; b_start, b_end) overlap."""
-    return a.join(b, same).filter((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
+def overlaps(a: DataFrame, b: DataFrame, same: list[str], width: int = 1024) -> DataFrame:
+    """Rows of a and b that share ``same`` and whose closed row ranges (a_start, a_end; b_start, b_end) overlap.
+
+    Ranges meet in bins of ``width`` rows: each is in the bins that it touches, and a pair is made only in the bin where the
+    later of the two starts. So a document with very many ranges is spread over its bins, and ranges that are far apart
+    never meet. Ranges that are null or end before they start overlap nothing.
+    """
+    binned = lambda df, x: df.filter(F.col(f"{x}_start") <= F.col(f"{x}_end")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{x}_start") / width), F.floor(F.col(f"{x}_end") / width))))
+    meet = (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) & (F.floor(F.greatest("a_start", "b_start") / width) == F.col("_bin"))
+    return binned(a, "a").join(binned(b, "b"), [*same, "_bin"]).filter(meet).drop("_bin")
 
 
 def recall_mrr(results: DataFrame, relevant: DataFrame, query_key: str, key: str, cuts: tuple[int, ...] = (1, 5, 10), digits: int = 6) -> DataFrame:

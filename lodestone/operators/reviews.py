@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import comparable_text
 from lodestone.functions.vocabulary import IDENTITY_WEIGHTS
 from lodestone.operators.ranking import top_per
 
@@ -49,23 +50,27 @@ def gold_links(links: DataFrame, evidence: DataFrame, blocks: DataFrame) -> Data
     return rows.select("question_id", "slot_name", "evidence_id", code.alias("code"), F.when(F.col("b_doc").isNotNull(), shown).alias("block_type"), F.when(table, F.col("row")).alias("row"), F.when(table, F.col("column")).alias("column"), F.col("cell.text").alias("cell_text"), excerpt.alias("excerpt"), "n_quotes", flags.alias("flags"))
 
 
-def by_metric(facts: DataFrame, metrics: list[str]) -> DataFrame:
-    """(document_id and a column a metric) from facts (document_id, metric_code, value): a bounded pivot over given metrics."""
-    return facts.groupBy("document_id").pivot("metric_code", metrics).agg(F.first("value"))
-
-
 def field_matches(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(source_id, target_id, matches: map of metric to whether the facts agree, score) of pairs (source_id, target_id).
+    """(source_id, target_id, matches, score, n_compared, n_matches, n_contradictions) of pairs (source_id, target_id).
 
-    A metric that one side lacks does not agree. score: the weights of those that do, over all weights.
+    facts: (document_id, metric_code, value_status, value). matches: metric to whether the facts agree, null where a side has
+    no disclosed value, which is no contradiction. Amounts agree as numbers, other values as texts without regard to case,
+    width, white space, punctuation and symbols. score: the sum of the weights of the metrics that agree.
     """
     metrics = list(IDENTITY_WEIGHTS)
-    wide = by_metric(facts, metrics)
+    known = facts.filter((F.col("value_status") == "DISCLOSED") & F.col("value").isNotNull())
+    amount = F.col("metric_code") == "CONTRACT_AMOUNT"
+    # what agrees is equal in this form; a number that cannot be read agrees with nothing, but can be compared
+    number = F.regexp_replace("value", ",", "").try_cast("double")
+    form = F.when(amount, F.coalesce(number.cast("string"), F.concat(F.lit("?"), "document_id"))).otherwise(comparable_text(F.col("value")))
+    wide = known.select("document_id", "metric_code", form.alias("form")).groupBy("document_id").pivot("metric_code", metrics).agg(F.first("form"))
     side = lambda name: wide.select(F.col("document_id").alias(f"{name}_doc"), F.struct(*metrics).alias(name))
     rows = pairs.join(side("s"), F.col("source_id") == F.col("s_doc"), "left").join(side("t"), F.col("target_id") == F.col("t_doc"), "left")
-    agree = {m: F.coalesce(F.col(f"s.{m}") == F.col(f"t.{m}"), F.lit(False)) for m in metrics}
-    score = sum((F.when(ok, IDENTITY_WEIGHTS[m]).otherwise(0.0) for m, ok in agree.items()), F.lit(0.0)) / sum(IDENTITY_WEIGHTS.values())
-    return rows.select("source_id", "target_id", F.create_map(*(x for m, ok in agree.items() for x in (F.lit(m), ok))).alias("matches"), F.round(score, 6).alias("score"))
+    agree = {m: F.col(f"s.{m}") == F.col(f"t.{m}") for m in metrics}
+    count = lambda ok: sum((F.coalesce(ok(x), F.lit(False)).cast("int") for x in agree.values()), F.lit(0))
+    score = sum((F.when(ok, IDENTITY_WEIGHTS[m]).otherwise(0.0) for m, ok in agree.items()), F.lit(0.0))
+    matches = F.create_map(*(x for m, ok in agree.items() for x in (F.lit(m), ok)))
+    return rows.select("source_id", "target_id", matches.alias("matches"), F.round(score, 4).alias("score"), count(lambda x: x.isNotNull()).alias("n_compared"), count(lambda x: x).alias("n_matches"), count(lambda x: ~x).alias("n_contradictions"))
 
 
 def termination_packets(candidates: DataFrame, documents: DataFrame, evidence: DataFrame, amends: DataFrame) -> DataFrame:
@@ -106,14 +111,3 @@ def second_reviews(first: DataFrame, second: DataFrame) -> DataFrame:
     rows = first.select("review_id", F.col("decision").alias("first")).join(second.select("review_id", F.col("decision").alias("second")), "review_id", "full_outer")
     code = F.when(F.col("first").isNull(), "NO_FIRST_REVIEW").when(F.col("second").isNull(), "NO_SECOND_REVIEW").when(F.col("first") == F.col("second"), "AGREED").otherwise("DISAGREED")
     return rows.select("review_id", "first", "second", code.alias("code"))
-
-
-def same_split(events: DataFrame) -> DataFrame:
-    """(assignment_id, splits) of assignments that were officially used under more than one split."""
-    used = events.filter(F.col("split") != "SANDBOX").groupBy("assignment_id").agg(F.array_sort(F.collect_set("split")).alias("splits"))
-    return used.filter(F.size("splits") > 1)
-
-
-def latest_versions(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
-    """The rows that no later version replaces: the first of each key in ``order``."""
-    return rows.withColumn("_v", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_v = 1").drop("_v")

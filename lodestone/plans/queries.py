@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids, markup, policy, text, values
 from lodestone.operators import chunking, coverage, evaluation, ledger, profile, ranking, relations, retrieval, structured
+from lodestone.sources import readers
 from lodestone.sources.readers import parquet
+from lodestone.sources.shared import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,7 +117,7 @@ def _manifest(read):
 """)
 def amends_candidates_top5(read):
     m = _manifest(read)
-    found = relations.amends_candidates(m.filter("subtype = '1-URGENT'"), m, ["corp", "grp"], relations.amends_score())
+    found = relations.amends_candidates(m, F.col("subtype") == "1-URGENT", ["corp", "grp"], ["subtype", "name", "period"], relations.amends_score())
     return found.select(F.col("s_doc_id").alias("source_id"), F.col("d_doc_id").alias("target_id"), F.round("score", 4).alias("score"), "rank")
 
 
@@ -173,6 +175,19 @@ def quota_selection(read):
     return ranking.quota(read("orders"), "o_orderpriority", "o_orderkey", "o_custkey", quotas, "q1").select(F.col("o_orderpriority").alias("bucket"), "o_orderkey")
 
 
+@query("""
+    WITH e AS (SELECT o_orderpriority AS b, o_orderkey AS k, ['c' || o_custkey, 'd' || CAST(o_orderdate AS DATE)] AS used, sha256('anchors' || chr(0) || o_orderpriority || chr(0) || CAST(o_orderkey AS VARCHAR)) AS h FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
+    l AS (SELECT list({'k': [b || '/' || k], 'used': used} ORDER BY b, h, k) AS l FROM e),
+    g AS (SELECT list_reduce(l, lambda a, x: CASE WHEN list_has_any(a.used, x.used) OR len(list_filter(a.k, lambda y: split_part(y, '/', 1) = split_part(x.k[1], '/', 1))) >= 150 THEN a ELSE {'k': list_concat(a.k, x.k), 'used': list_concat(a.used, x.used)} END) AS g FROM l),
+    u AS (SELECT unnest(g.k) AS k FROM g)
+    SELECT split_part(k, '/', 1) AS bucket, CAST(split_part(k, '/', 2) AS BIGINT) AS o_orderkey FROM u
+""")
+def unique_anchors(read):
+    """Orders for review, 150 of a kind, no two with a customer or a day in common."""
+    rows = read("orders").withColumn("anchors", F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("d"), F.to_date("o_orderdate").cast("string"))))
+    return ranking.quota_unique_anchors(rows, "o_orderpriority", "o_orderkey", "anchors", {"1-URGENT": 150, "5-LOW": 150}, "anchors").withColumnRenamed("o_orderpriority", "bucket")
+
+
 _FACTS = """SELECT 'FACT' AS record_type, CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '/' || CAST(l_suppkey AS VARCHAR) AS record_id, l_suppkey AS corp, CASE l_returnflag WHEN 'A' THEN 'VERIFIED' ELSE 'CANDIDATE' END AS verification_status,
         l_shipdate AS known_at, CAST(l_shipdate AS DATE) AS period_start, CAST(l_shipdate AS DATE) + 30 AS period_end, l_extendedprice AS value FROM lineitem"""
 
@@ -332,9 +347,68 @@ def top_duplicates(read):
     return groups.filter("n > 1").orderBy(F.col("n").desc(), "content_sha256").limit(20)
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS n_exact, true AS within FROM events GROUP BY event_type")
 def approx_distinct(read):
-    return profile.approximate_distinct(read("events"), ["event_type"], "user_id")
+    """Distinct users by a sketch: whether each count is within 2 percent of the exact one."""
+    events = read("events")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n_exact"))
+    found = profile.approximate_distinct(events, ["event_type"], "user_id").join(exact, "event_type")
+    return found.select("event_type", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.col("n_exact") * profile.DISTINCT_BOUND).alias("within"))
+
+
+@query("""
+    SELECT l_returnflag, count(*) AS n, sum(l_orderkey)::BIGINT AS total, min(l_orderkey) AS low, max(l_orderkey) AS high, count(DISTINCT l_partkey) AS exact_distinct,
+           true AS distinct_within, true AS p50_within, true AS p90_within, true AS p99_within
+    FROM lineitem GROUP BY l_returnflag
+""")
+def sketch_profile(read):
+    """Sketches by supplier and flag, merged to flags, held against exact figures."""
+    qs = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    rows = read("lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_partkey")
+    fine = profile.sketches(rows, ["l_suppkey", "l_returnflag"], "l_orderkey", "l_partkey")
+    found = profile.estimates(profile.merged(fine, ["l_returnflag"]), ["l_returnflag"], qs)
+    held = profile.held_against(found, rows, ["l_returnflag"], "l_orderkey", "l_partkey", qs)
+    return found.select("l_returnflag", "n", "total", "low", "high").join(held, "l_returnflag")
+
+
+@query("""
+    SELECT source, count(*) FILTER (WHERE doc_id % 50 <> 7) AS n_rows, count(*) FILTER (WHERE doc_id % 50 = 7) AS n_rejects, coalesce(sum(length(text)) FILTER (WHERE doc_id % 50 <> 7), 0)::BIGINT AS n_chars FROM documents GROUP BY source
+""")
+def jsonl_roundtrip(read):
+    """All documents as JSON lines, every 50th cut short, written by source and read again with rejects."""
+    docs = read("documents")
+    line = F.to_json(F.struct("doc_id", "source", "text"))
+    broken = F.concat(F.lit('{"source":"'), "source", F.lit('","doc_id":'))
+    path = folder(docs.sparkSession, "lines")
+    docs.select(F.when(F.col("doc_id") % 50 == 7, broken).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.jsonl_with_rejects(docs.sparkSession, path, docs.select("doc_id", "source", "text").schema)
+    rows = good.select("source", F.length("text").alias("n"), F.lit(1).alias("ok")).unionByName(bad.select(F.regexp_extract("raw", '"source":"([^"]*)"', 1).alias("source"), F.lit(0).alias("n"), F.lit(0).alias("ok")))
+    return rows.groupBy("source").agg(F.sum("ok").cast("long").alias("n_rows"), F.count_if(F.col("ok") == 0).alias("n_rejects"), F.sum("n").cast("long").alias("n_chars"))
+
+
+@query("""
+    WITH d AS (SELECT source, sum(strlen(text) + 1)::BIGINT AS n_bytes, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY source)
+    SELECT source, n_bytes, n_lines FROM d
+""")
+def file_inventory(read):
+    """Texts as raw files, one folder a source: bytes and lines by source, from the files' own content."""
+    docs = read("documents")
+    path = folder(docs.sparkSession, "files")
+    docs.select("text", "source").write.partitionBy("source").text(path)
+    files = readers.inventory(readers.raw_tree(docs.sparkSession, path)).withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    return files.groupBy("source").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_lines").alias("n_lines"))
+
+
+@query("""
+    WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '사용자' WHEN 'assistant' THEN '도우미' ELSE 'System' END || conv_id * 7919 % 100003 || CASE WHEN conv_id % 2 = 0 THEN ' A' ELSE ' a' END || turn AS label, role FROM conversations)
+    SELECT conv_id, turn, label, CAST(rank() OVER (PARTITION BY turn ORDER BY CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id * 7919 % 100003) AS INTEGER) AS place FROM l
+""")
+def korean_order(read):
+    """Labels in Korean order: Hangul before Latin, numbers by size, case aside."""
+    head = F.when(F.col("role") == "user", "사용자").when(F.col("role") == "assistant", "도우미").otherwise("System")
+    label = F.concat(head, (F.col("conv_id") * 7919 % 100003).cast("string"), F.when(F.col("conv_id") % 2 == 0, " A").otherwise(" a"), F.col("turn").cast("string"))
+    rows = read("conversations").select("conv_id", "turn", label.alias("label"))
+    return rows.withColumn("place", F.rank().over(Window.partitionBy("turn").orderBy(values.natural_key(F.col("label")))))
 
 
 @query("""

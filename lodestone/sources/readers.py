@@ -37,13 +37,21 @@ def csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
-def jsonl_directory(spark: SparkSession, path: str, schema: StructType, per_file: int | None = None) -> DataFrame:
-    """All *.jsonl of a directory with their file's name; ``per_file`` keeps the first lines of each file."""
+def jsonl_directory(spark: SparkSession, path: str, schema: StructType, per_file: int | None = None, most: int | None = None) -> DataFrame:
+    """All *.jsonl of a directory with their file's name; ``per_file`` keeps the first lines of each file, ``most`` the first
+    lines of all files in the order of their names. Spark splits files at line ends."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(path).withColumn("file", F.input_file_name())
-    if per_file is None:
-        return rows
-    order = F.monotonically_increasing_id()
-    return rows.withColumn("_at", order).withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("_at"))).filter(F.col("_n") <= per_file).drop("_at", "_n")
+    if per_file is not None:
+        # a file's blocks are numbered from its start, so lines of an earlier block come first
+        rows = rows.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at"))).filter(F.col("_n") <= per_file).drop("_block", "_at", "_n")
+    if most is not None:
+        if per_file is None:
+            rows = rows.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+            rows = rows.orderBy("file", "_block", "_at").limit(most).drop("_block", "_at")
+        else:
+            rows = rows.orderBy("file").limit(most)
+    return rows
 
 
 def lookup(df: DataFrame, key: str, value: str, remap: dict[str, str] | None = None) -> DataFrame:
@@ -58,7 +66,8 @@ def raw_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory(files: DataFrame) -> DataFrame:
     """(path, n_bytes, n_lines, sha256) of each file of raw_tree()."""
-    lines = F.size(F.split(F.regexp_replace(F.hex("content"), "(..)", "$1 "), "0A ")) - 1
+    text = F.decode("content", "ISO-8859-1")  # a character a byte
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return files.select("path", F.length("content").cast("long").alias("n_bytes"), lines.cast("long").alias("n_lines"), F.sha2("content", 256).alias("sha256"))
 
 

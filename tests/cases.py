@@ -1,7 +1,6 @@
-"""Queries over small tables of cases, with the same question, or the rows it must give, in SQL.
+"""Operators over small tables of cases, with the same question, or the rows they must give, in SQL.
 
-The driver's tables have no filings, gold questions or usage events; these cases do. Each table stands in the query and, as
-VALUES, in its SQL.
+Each table stands in the case and, as VALUES, in its SQL; test_cases.py compares both.
 """
 
 from __future__ import annotations
@@ -14,10 +13,22 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids, markup, text, values
 from lodestone.operators import chunking, constraints, evaluation, ledger, retrieval, reviews
-from lodestone.plans.queries import query
 from lodestone.sources import schemas
 
 
+CASES: dict[str, tuple] = {}
+
+
+def query(sql: str):
+    """Note a function of (read) with its SQL; ``read`` gives a table of the smallest size."""
+
+    def note(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return note
+
+
 def _sql(x) -> str:
     """A value as a DuckDB literal."""
     if x is None:
@@ -252,10 +263,10 @@ def set_cases(read):
     return _SETS(read).select("id", values.ordered_intersection(F.col("a"), F.col("b")).alias("both"), values.same_members(F.col("a"), F.col("b")).alias("same"))
 
 
-_LABELS = Cases("label string", [("제10장",), ("제2장",), ("b2",), ("B10",), ("a",), ("가",), ("b02",)])
+_LABELS = Cases("label string", [("제100000000000000000000000장",), ("제100000000000000000000001장",), ("Á",), ("제10장",), ("제2장",), ("b2",), ("B10",), ("a",), ("가",), ("b02",)])
 
 
-@query("SELECT * FROM (VALUES ('a', 1), ('b2', 2), ('b02', 2), ('B10', 4), ('가', 5), ('제2장', 6), ('제10장', 7)) AS t(label, place)")
+@query("SELECT * FROM (VALUES ('가', 1), ('제2장', 2), ('제10장', 3), ('제100000000000000000000000장', 4), ('제100000000000000000000001장', 5), ('a', 6), ('Á', 6), ('b2', 8), ('b02', 8), ('B10', 10)) AS t(label, place)")
 def natural_sort(read):
     from pyspark.sql import Window
 
@@ -400,13 +411,21 @@ def termination_packets(read):
     return out.select("source_id", "target_id", F.array_join("evidence", ",").alias("evidence"), "amends_id", "machine_status", "problem")
 
 
-_FACTS = Cases("document_id string, metric_code string, value string", [("s", "CONTRACT_NAME", "x"), ("s", "CONTRACT_AMOUNT", "10"), ("t", "CONTRACT_NAME", "x"), ("t", "CONTRACT_AMOUNT", "11"), ("t", "CONTRACT_COUNTERPARTY", "y"), ("u", "CONTRACT_AMOUNT", "10")])
+_FACTS = Cases(
+    "document_id string, metric_code string, value_status string, value string",
+    [
+        ("s", "CONTRACT_NAME", "DISCLOSED", "ABC Co. (설비)"), ("s", "CONTRACT_AMOUNT", "DISCLOSED", "10"), ("s", "CONTRACT_COUNTERPARTY", "WITHHELD", "y"), ("s", "CONTRACT_START_DATE", "DISCLOSED", "2024-01-02"),
+        ("t", "CONTRACT_NAME", "DISCLOSED", "ＡＢＣ co 설비"), ("t", "CONTRACT_AMOUNT", "DISCLOSED", "10.0"), ("t", "CONTRACT_COUNTERPARTY", "DISCLOSED", "y"), ("t", "CONTRACT_START_DATE", "DISCLOSED", "2024-01-03"), ("t", "CONTRACT_END_DATE", "DISCLOSED", None),
+        ("u", "CONTRACT_AMOUNT", "DISCLOSED", "11"),
+    ],
+)
 
 
-@query("SELECT * FROM (VALUES ('s', 't', TRUE, FALSE, 0.35::DOUBLE), ('s', 'u', FALSE, TRUE, 0.2::DOUBLE), ('s', 'v', FALSE, FALSE, 0.0::DOUBLE)) AS t(source_id, target_id, same_name, same_amount, score)")
+@query("SELECT * FROM (VALUES ('s', 't', TRUE, TRUE, NULL, FALSE, NULL, 0.55::DOUBLE, 3, 2, 1), ('s', 'u', NULL, FALSE, NULL, NULL, NULL, 0.0::DOUBLE, 1, 0, 1), ('s', 'v', NULL, NULL, NULL, NULL, NULL, 0.0::DOUBLE, 0, 0, 0)) AS t(source_id, target_id, name, amount, party, first, last, score, n_compared, n_matches, n_contradictions)")
 def field_match_cases(read):
     pairs = read("region").sparkSession.createDataFrame([("s", "t"), ("s", "u"), ("s", "v")], "source_id string, target_id string")
-    return reviews.field_matches(pairs, _FACTS(read)).select("source_id", "target_id", F.col("matches")["CONTRACT_NAME"].alias("same_name"), F.col("matches")["CONTRACT_AMOUNT"].alias("same_amount"), "score")
+    names = {"name": "CONTRACT_NAME", "amount": "CONTRACT_AMOUNT", "party": "CONTRACT_COUNTERPARTY", "first": "CONTRACT_START_DATE", "last": "CONTRACT_END_DATE"}
+    return reviews.field_matches(pairs, _FACTS(read)).select("source_id", "target_id", *(F.col("matches")[m].alias(n) for n, m in names.items()), "score", "n_compared", "n_matches", "n_contradictions")
 
 
 _QUEUE = Cases("question_id string, anchors array<string>, tags array<string>, dependencies array<string>", [("q1", ["d2", "d1", "d3"], ["x"], []), ("q2", ["d4"], [], ["y"]), ("q3", [], [], [])])
