@@ -6,71 +6,166 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import n_tokens, tokens
+from lodestone.functions.text import tokens
 from lodestone.functions.vocabulary import METHOD_PARTS
+from lodestone.sources.shared import save
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors in one block of a dense search, and numbers in them, at most.
 BLOCK, BLOCK_NUMBERS = 2048, 1_000_000
 
 
-#: Rows of a small side that is broadcast at most; beyond it Spark joins by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Terms of queries that are looked for in one pass over the documents, rows of a table that is broadcast, and scores of
+#: documents by queries that a task holds at once, at most.
+BLOCK_TERMS, BROADCAST_ROWS, SCORES = 1_000_000, 1_000_000, 2_000_000
 
 
-def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``most`` rows, which is counted."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+class Asked:
+    """The terms of some queries: bounded, held by the driver and broadcast."""
 
+    def __init__(self, queries: DataFrame, key: str, terms: Column, part: int = 0, parts: int = 1) -> None:
+        rows = queries.select(F.col(key).alias("q"), terms.alias("terms")).filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part) if parts > 1 else queries.select(F.col(key).alias("q"), terms.alias("terms"))
+        found = [(r["q"], r["terms"] or []) for r in rows.toLocalIterator()]
+        self.keys = [q for q, _ in found]
+        self.terms = sorted({t for _, terms in found for t in terms})
+        to = {t: i for i, t in enumerate(self.terms, 1)}
+        #: queries of each term, terms from 1 on; 0 stands for the document itself
+        pairs = np.array([(to[t], i) for i, (_, terms) in enumerate(found) for t in terms], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.first, self.of = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 2)), pairs[:, 1]
 
-def postings(docs: DataFrame, key: str, text: str, asked: DataFrame) -> DataFrame:
-    """(key, term, tf, length) for the terms of ``asked`` (term, distinct) alone; others never move."""
-    terms = tokens(F.lower(F.coalesce(text, F.lit(""))))
-    rows = docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return rows.join(checked(asked), "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+def blocks_of(queries: DataFrame, terms: Column) -> int:
+    """In how many parts the queries are to be taken, from a count of their own terms."""
+    return -(-(queries.select(F.sum(F.size(terms))).first()[0] or 0) // BLOCK_TERMS)
+
+
+def index(docs: DataFrame, key: str, terms: Column, asked: Asked) -> DataFrame:
+    """(key, length, ids) of every document: its number of terms, and the ids of those that are asked for, with repeats.
+
+    One pass over the documents, written to the shared folder; of other terms nothing moves.
+    """
+    spark = docs.sparkSession
+    table = spark.createDataFrame([("", 0), *((t, i) for i, t in enumerate(asked.terms, 1))], "term string, id int")
+    rows = docs.select(F.col(key).alias("key"), terms.alias("terms"))
+    # the empty term stands for the document, so that none is lost; no real term is empty
+    each = rows.select("key", F.size("terms").alias("length"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    found = each.join(F.broadcast(table), "term").groupBy("key", "length").agg(F.collect_list(F.when(F.col("id") > 0, F.col("id"))).alias("ids"))
+    return save(found, "index")
+
+
+def _frequencies(indexed: DataFrame, asked: Asked) -> np.ndarray:
+    """In how many documents each term stands; a number a term."""
+    out = np.zeros(len(asked.terms) + 1)
+    for r in indexed.select(F.explode(F.array_distinct("ids")).alias("id")).groupBy("id").count().toLocalIterator():
+        out[r["id"]] = r["count"]
+    return out
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, digits: int = 6) -> DataFrame:
     """(query, key, rank, score) of the ``k`` best documents of each query by BM25 (k1 1.2, b 0.75).
 
-    Only terms that a query has are counted; their number of documents is one row a term, length and number of documents
-    one row in all. Scores of a document's terms are summed before ranks cut them.
+    The documents are read once for each BLOCK_TERMS terms of the queries: their index is saved, document frequencies and the
+    mean length come from it, and a task scores its documents against all queries and gives the k best of each. Equal
+    scores are ranked by key.
     """
-    length = docs.select(F.count("*").alias("n"), F.avg(n_tokens(F.lower(F.coalesce(text, F.lit(""))))).alias("mean"))
-    q = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(tokens(F.lower(F.coalesce(query_text, F.lit("")))))).alias("term"))
-    found = postings(docs, key, text, q.select("term").distinct())
-    df = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(length))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    asked = q.join(df, "term")
-    scores = found.join(checked(asked), "term").groupBy("q", key).agg(F.round(F.sum(weight), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), key))
-    return scores.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), key, "rank", "score")
+    lowered = lambda c: tokens(F.lower(F.coalesce(c, F.lit(""))))
+    distinct = F.array_distinct(lowered(query_text))
+    parts, out = max(1, blocks_of(queries, distinct)), None
+    for part in range(parts):
+        asked = Asked(queries, query_key, distinct, part, parts)
+        indexed = index(docs, key, lowered(text), asked)
+        n, mean = indexed.agg(F.count("*"), F.avg("length")).first()
+        found = _best(indexed, asked, _frequencies(indexed, asked), n, mean or 1.0, k, digits)
+        names = docs.sparkSession.createDataFrame(list(enumerate(asked.keys)), f"q int, query_key {queries.schema[query_key].dataType.simpleString()}")
+        found = found.join(F.broadcast(names), "q").select(F.col("query_key").alias(query_key), F.col("key").alias(key), "score")
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("score").desc(), key))
+    return out.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(query_key, key, "rank", "score")
+
+
+def _best(indexed: DataFrame, asked: Asked, df: np.ndarray, n: int, mean: float, k: int, digits: int) -> DataFrame:
+    """(q, key, score) of the k best documents of each query in each partition."""
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    first, of, n_queries, n_terms = asked.first, asked.of, len(asked.keys), len(asked.terms) + 1
+    held = indexed.sparkSession.sparkContext.broadcast((idf, first, of))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, first, of = held.value
+        floor, kept = np.full(n_queries, np.finfo(float).tiny), (np.zeros(0, np.int64), np.zeros(0), None)
+        step = max(1, SCORES // max(1, n_queries))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                ids, length = batch.column(2), batch.column(1).to_numpy().astype(float)
+                doc = np.repeat(np.arange(batch.num_rows), ids.value_lengths().to_numpy())
+                pair, tf = np.unique(doc * n_terms + ids.flatten().to_numpy(), return_counts=True)
+                d, t = pair // n_terms, pair % n_terms
+                w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
+                many = first[t + 1] - first[t]
+                q = of[np.repeat(first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                s = np.bincount(np.repeat(d, many) * n_queries + q, np.repeat(w, many), batch.num_rows * n_queries).reshape(-1, n_queries)
+                s = np.floor(s * 10**digits + 0.5) / 10**digits
+                r, c = np.nonzero(s >= floor)
+                keys = batch.column(0).take(pa.array(r))
+                kept = _kept(np.concatenate([kept[0], c]), np.concatenate([kept[1], s[r, c]]), keys if kept[2] is None else pa.concat_arrays([kept[2], keys]), k)
+                full = np.bincount(kept[0], minlength=n_queries) >= k
+                floor[full] = np.minimum.reduceat(kept[1], np.searchsorted(kept[0], np.flatnonzero(full))) if full.any() else 0
+        if kept[2] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int32()), kept[2], pa.array(kept[1])], names=["q", "key", "score"])
+
+    return indexed.mapInArrow(scored, f"q int, key {dict(indexed.dtypes)['key']}, score double")
+
+
+def _kept(q: np.ndarray, score: np.ndarray, keys: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each query the k rows of the largest scores, ties to the smaller key; by query."""
+    by_key = np.empty(len(q), np.int64)
+    by_key[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(q))
+    order = np.lexsort((by_key, -score, q))
+    place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    order = order[place < k]
+    return q[order], score[order], keys.take(pa.array(order))
 
 
 def containing(docs: DataFrame, key: str, text: str, quotes: DataFrame, quote_key: str, quote: str) -> DataFrame:
     """(quote key, key) of the documents that contain a quote as it stands, found by the quote's rarest inner token.
 
-    A quote of fewer than three tokens has none that must stand whole in the text, so it meets every document; such quotes
-    are few, or the join is by Spark's choice. Empty quotes stand in every text; null ones in none.
+    The documents are read once for an index of the quotes' inner tokens, and once for their texts, against the quotes that
+    their tokens allow. A quote of fewer than three tokens has none that must stand whole in the text, so it meets every
+    document. Empty quotes stand in every text; null ones in none.
     """
-    inner = quotes.select(F.col(quote_key).alias("q"), F.col(quote).alias("quote"), tokens(F.col(quote)).alias("t")).filter("quote is not null").withColumn("t", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.lit(0), F.size("t") - 2))))
-    terms = inner.filter(F.size("t") > 0).select("q", F.explode("t").alias("term"))
-    words = docs.select(F.col(key).alias("d"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    counts = words.join(checked(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
-    rarest = terms.join(counts, "term").withColumn("r", rank).filter("r = 1").select("q", "term")
-    pairs = words.join(checked(rarest), "term").select("d", "q")
+    inner = F.array_distinct(F.slice(tokens(F.col(quote)), F.lit(2), F.greatest(F.lit(0), F.size(tokens(F.col(quote))) - 2)))
+    quotes = quotes.filter(F.col(quote).isNotNull())
+    long, short = quotes.filter(F.size(inner) > 0), quotes.filter(F.size(inner) == 0)
+    spark, parts, pairs = docs.sparkSession, blocks_of(long, inner), None
+    for part in range(parts):
+        asked = Asked(long, quote_key, inner, part, parts)
+        indexed = index(docs, key, tokens(F.coalesce(F.col(text), F.lit(""))), asked)
+        df, rarest = _frequencies(indexed, asked), {}
+        for t in range(1, len(asked.terms) + 1):
+            for q in asked.of[asked.first[t] : asked.first[t + 1]].tolist():
+                if q not in rarest or df[t] < df[rarest[q]]:
+                    rarest[q] = t
+        table = spark.createDataFrame([(t, asked.keys[q]) for q, t in rarest.items()], f"id int, q {quotes.schema[quote_key].dataType.simpleString()}")
+        found = indexed.select("key", F.explode(F.array_distinct("ids")).alias("id")).join(F.broadcast(table), "id").select("key", "q")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    kinds = f"key {docs.schema[key].dataType.simpleString()}, q {quotes.schema[quote_key].dataType.simpleString()}"
+    pairs = save(pairs, "pairs") if pairs is not None else spark.createDataFrame([], kinds)
+    # texts stay where they are as long as the pairs are few
+    some = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    words = long.select(F.col(quote_key).alias("q"), F.col(quote).alias("quote"))
+    words = F.broadcast(words) if parts <= 1 else words
     held = docs.select(F.col(key).alias("own"), F.col(text).alias("whole"))
-    found = pairs.join(inner.select(F.col("q").alias("i_q"), "quote"), F.col("q") == F.col("i_q")).join(held, F.col("d") == F.col("own")).filter(F.col("whole").contains(F.col("quote"))).select("q", "d")
-    short = inner.filter(F.size("t") == 0).select("q", "quote")
+    hits = held.join(some, F.col("own") == F.col("key")).join(words, "q").filter(F.col("whole").contains(F.col("quote"))).select("q", "own")
     if short.head(1):
-        every = held.join(checked(short, 1000), F.col("whole").contains(F.col("quote"))).select("q", F.col("own").alias("d"))
-        found = found.unionByName(every)
-    return found.select(F.col("q").alias(quote_key), F.col("d").alias(key))
+        every = short.select(F.col(quote_key).alias("q"), F.col(quote).alias("quote"))
+        few = every.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        hits = hits.unionByName(held.join(F.broadcast(every) if few else every, F.col("whole").contains(F.col("quote"))).select("q", "own"))
+    return hits.select(F.col("q").alias(quote_key), F.col("own").alias(key))
 
 
 #: The most results that a request may ask for. Fixed value.
@@ -107,12 +202,6 @@ def retrieve(request: dict, pinned: dict, search) -> tuple[str, DataFrame | None
     return "OK", found
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
-
-
 def _packed(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Blocks of vectors of a bounded size, one a row, without a shuffle: (name_keys, name_sizes, name_data), numbers as bytes.
 
