@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import TOKEN, auxiliary_row, linear_row, n_tokens
+from lodestone.functions.text import TOKEN, auxiliary_row, canonical_text, linear_row, n_tokens
+from lodestone.functions.vocabulary import CHUNK_TYPES
+from lodestone.operators.constraints import chunk_parents, unique
+from lodestone.operators.coverage import all_of, violations
 from lodestone.sources.shared import save
 
 #: Parameters of the strategies: fixed values of the source format.
@@ -291,6 +294,33 @@ def corpus_profile(chunks_: DataFrame) -> DataFrame:
     return rows.withColumn("duplicate_rate", F.round(F.try_divide(F.col("n_retrieval") - F.col("n_texts"), F.col("n_retrieval")), 6))
 
 
+def duplicates(chunks_: DataFrame) -> DataFrame:
+    """(fingerprint, n_rows, n_unique, n_duplicates, duplicate_rate) of what may be found: by exact text, by canonical text
+    (white space and forms of characters aside), and by the text that is embedded; one pass, no group is collected."""
+    prints = {"exact": F.col("content_sha256"), "canonical": F.sha2(canonical_text(F.col("raw_text")), 256), "embed": F.col("embed_sha256")}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("fingerprint"), of.alias("of")) for name, of in prints.items())))
+    counts = chunks_.filter("retrieval_eligible").select(each.alias("e")).groupBy("e.fingerprint", "e.of").agg(F.count("*").alias("n"))
+    total = counts.groupBy("fingerprint").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_unique"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+    return total.withColumn("duplicate_rate", F.round(F.try_divide(F.col("n_duplicates"), F.col("n_rows")), 6))
+
+
+def problems(chunks_: DataFrame) -> DataFrame:
+    """(rule, key, message) of what breaks a batch of chunks before it goes out: closed types, counts, hashes of texts, repeated
+    ids and places, gaps in the places of a document, parents that are not in it."""
+    key = "chunk_id"
+    rules = {
+        "CHUNK_ID": (F.col(key).isNull() | (F.col(key) == ""), "chunk_id is missing"),
+        "DOCUMENT_ID": (F.col("document_id").isNull(), "document_id is missing"),
+        "CHUNK_TYPE": (~F.coalesce(F.col("chunk_type").isin(list(CHUNK_TYPES)), F.lit(False)), "chunk_type is not one of its values"),
+        "TOKENS": (F.col("n_tokens").isNull() | (F.col("n_tokens") <= 0), "a chunk has tokens"),
+        "CONTENT_HASH": (~F.col("content_sha256").eqNullSafe(F.sha2("raw_text", 256)), "content_sha256 is not that of the text"),
+        "EMBED_HASH": (~F.col("embed_sha256").eqNullSafe(F.sha2("embed_text", 256)), "embed_sha256 is not that of the text"),
+    }
+    places = chunks_.groupBy("document_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("d"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
+    gaps = places.filter("d <> n or low <> 0 or high <> n - 1").select(F.lit("PLACES").alias("rule"), F.col("document_id").alias("key"), F.lit("places must be 0 to n - 1, once each").alias("message"))
+    return all_of(violations(chunks_, key, rules), unique(chunks_, key), gaps, chunk_parents(chunks_))
+
+
 def per_document(chunks_: DataFrame) -> DataFrame:
     """One row: smallest, lower 50, 90 and 99 percent, and largest number of chunks that may be found of a document."""
     counts = chunks_.groupBy("document_id").agg(F.count_if("retrieval_eligible").alias("n"))

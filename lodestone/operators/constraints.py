@@ -170,10 +170,20 @@ def lifecycle(df: DataFrame) -> DataFrame:
 
 
 def relation(df: DataFrame) -> DataFrame:
-    rules = required(["relation_id", "source_id", "target_id"]) | enums({"relation_type": v.RELATION_TYPES})
-    rules["SELF"] = (F.col("source_id") == F.col("target_id"), "a document cannot relate to itself")
-    rules["PENDING_ONLY"] = (~F.col("review_status").eqNullSafe("PENDING"), "a recommendation is always pending")
-    rules["READY_NEEDS_TARGET"] = ((F.col("machine_status") == "READY_FOR_HUMAN_REVIEW") & _missing("target_id"), "a ready recommendation needs a target")
+    """What a recommendation must hold, whoever made it: (relation_id, relation_type, source_id, target_id, candidates, evidence,
+    coverage_state, machine_status, basis, review_status)."""
+    status, target, parsed = F.col("machine_status"), F.col("target_id"), F.col("coverage_state").eqNullSafe("PRESENT")
+    needs = status.isin("READY_FOR_HUMAN_REVIEW", "BLOCKED_UNTIL_TARGET_AMENDS_REVIEW")
+    explicit = _any(F.col("basis"), lambda x: x.startswith("EXPLICIT_REFERENCE_"))
+    rules = required(["relation_id", "source_id"]) | enums({"relation_type": v.RELATION_TYPES})
+    rules["SELF"] = (F.col("source_id") == target, "a document cannot relate to itself")
+    rules["TARGET_REQUIRED"] = (needs & target.isNull(), "this status needs a target")
+    rules["TARGET_FORBIDDEN"] = (~needs & target.isNotNull(), "this status must not have a target")
+    rules["BLOCKED_NEEDS_FAILURE"] = ((status == "PARSE_BLOCKED") & parsed, "a blocked parse is of a source that is not fully parsed")
+    rules["FAILURE_IS_BLOCKED"] = ((status != "PARSE_BLOCKED") & ~parsed, "a source that is not fully parsed is blocked")
+    rules["EVIDENCE"] = ((needs | (status == "TARGET_OUTSIDE_CORPUS_REVIEW") | (F.col("relation_type") == "TERMINATES") | explicit) & _empty(F.col("evidence")), "evidence of the source is needed")
+    rules["TARGET_IS_CANDIDATE"] = (target.isNotNull() & ~F.coalesce(F.array_contains("candidates", target), F.lit(False)), "the target must be one of the candidates")
+    rules["PENDING_ONLY"] = (~F.col("review_status").eqNullSafe("PENDING_HUMAN_REVIEW"), "a recommendation holds no human decision")
     return violations(df, "relation_id", rules)
 
 

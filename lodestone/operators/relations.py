@@ -107,11 +107,29 @@ def most_exposed(chained: DataFrame, split: str, exposure: tuple[str, ...] = ("D
     return chained.groupBy("chain_id").agg(F.min_by(F.col(split), F.when(rank > 0, rank)).alias("split"))
 
 
-def recommendations(candidates: DataFrame, documents: DataFrame, coverage: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row for each relation candidate with its source, coverage, target and status; always pending.
+#: Statuses that need a target, and those that must not have one. Fixed values.
+WITH_TARGET = ("READY_FOR_HUMAN_REVIEW", "BLOCKED_UNTIL_TARGET_AMENDS_REVIEW")
+PENDING = "PENDING_HUMAN_REVIEW"
 
-    candidates: (relation_id, relation_type, source_id, identity_status, candidates: array of ids). Sources must have a
-    document and a coverage row, or the query fails. A matched reference goes before the candidates.
+
+def basis(kind: Column, coverage: Column, reference: Column, identity: Column, n_candidates: Column, blocked: Column) -> Column:
+    """Why a recommendation has its status: an array of codes."""
+    of = lambda *codes: F.array(*(F.lit(c) for c in codes))
+    amends = F.when(reference == "MATCHED_IN_CORPUS", of("EXPLICIT_REFERENCE_UNIQUE_MATCH")).when(reference == "TARGET_NOT_IN_CORPUS", of("EXPLICIT_REFERENCE_TARGET_OUTSIDE_CORPUS")).when(reference == "AMBIGUOUS", of("EXPLICIT_REFERENCE_AMBIGUOUS"))
+    amends = amends.when(n_candidates > 0, of("MANIFEST_CANDIDATES_ONLY")).otherwise(of("NO_PRIOR_MANIFEST_CANDIDATE"))
+    word = "EXPLICIT_TERMINATION_WORDING"
+    ends = F.when(identity == "HIGH_CONFIDENCE_REVIEW", F.when(blocked, of("FACT_IDENTITY_HIGH_CONFIDENCE", word, "TARGET_AMENDS_REVIEW_PENDING")).otherwise(of("FACT_IDENTITY_HIGH_CONFIDENCE", word)))
+    ends = ends.when(identity == "NO_TARGET_IN_MANIFEST_CANDIDATES", of("NO_PRIOR_MANIFEST_CANDIDATE", word)).otherwise(of("FACT_IDENTITY_AMBIGUOUS", word))
+    return F.when(~coverage.eqNullSafe("PRESENT"), of("PARSE_NOT_FULLY_USABLE")).when(kind == "AMENDS", amends).otherwise(ends)
+
+
+def recommendations(candidates: DataFrame, documents: DataFrame, coverage: DataFrame, refs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One row for each relation candidate with its source, coverage, target, status, basis and evidence; always pending.
+
+    candidates: (relation_id, relation_type, source_id, identity_status, candidates: array of ids, best first). Sources must
+    have a document and a coverage row, or the query fails. A matched reference goes before the candidates. Only what is ready
+    or waits for its target has a target. evidence: (document_id, evidence_id) of the sources' bundles, reduced to one row a
+    document before it is joined.
     """
     d = documents.select(F.col("doc_id").alias("d_id"), F.col("report_name").alias("source_name"), F.col("is_correction").alias("d_correction"))
     c = coverage.select(F.col("document_id").alias("c_id"), "coverage_state", "reason")
@@ -119,13 +137,21 @@ def recommendations(candidates: DataFrame, documents: DataFrame, coverage: DataF
     amended = candidates.filter("relation_type = 'AMENDS'").select(F.col("source_id").alias("a_id")).distinct()
     rows = candidates.join(d, F.col("source_id") == F.col("d_id"), "left").join(c, F.col("source_id") == F.col("c_id"), "left").join(r, F.col("source_id") == F.col("r_id"), "left")
     rows = rows.withColumn("checked", F.when(F.col("d_id").isNull() | F.col("c_id").isNull(), F.raise_error(F.concat(F.col("source_id").cast("string"), F.lit(": source document or coverage missing")))).otherwise(F.lit(True))).filter("checked")
-    rows = rows.withColumn("candidates", merged_candidates(F.col("explicit"), F.col("candidates"))).withColumn("target_id", F.try_element_at("candidates", F.lit(1)))
-    t = documents.select(F.col("doc_id").alias("t_id"), F.col("report_name").alias("target_name"), F.col("is_correction").alias("t_correction"))
-    rows = rows.join(t, F.col("target_id") == F.col("t_id"), "left").join(amended, F.col("target_id") == F.col("a_id"), "left")
-    open_ = F.coalesce(F.col("t_correction") & F.col("a_id").isNotNull(), F.lit(False))
-    n = F.size("candidates")
-    status = F.when(F.col("relation_type") == "AMENDS", amends_status(F.col("coverage_state"), F.col("reference"), n)).otherwise(terminates_status(F.col("coverage_state"), F.col("identity_status"), open_))
-    return rows.select("relation_id", "relation_type", "source_id", "source_name", "coverage_state", "reason", F.when(~status.startswith("NO_TARGET"), F.col("target_id")).alias("target_id"), "target_name", n.alias("n_candidates"), F.slice("candidates", 1, 5).alias("first_candidates"), status.alias("machine_status"), F.lit("PENDING").alias("review_status"))
+    rows = rows.withColumn("candidates", F.when(F.col("relation_type") == "AMENDS", merged_candidates(F.col("explicit"), F.col("candidates"))).otherwise(F.col("candidates"))).withColumn("first_id", F.try_element_at("candidates", F.lit(1)))
+    t = documents.select(F.col("doc_id").alias("t_id"), F.col("report_name").alias("t_name"), F.col("is_correction").alias("t_correction"))
+    rows = rows.join(t, F.col("first_id") == F.col("t_id"), "left").join(amended, F.col("first_id") == F.col("a_id"), "left")
+    blocked, n, kind = F.coalesce(F.col("t_correction") & F.col("a_id").isNotNull(), F.lit(False)), F.size("candidates"), F.col("relation_type")
+    status = F.when(kind == "AMENDS", amends_status(F.col("coverage_state"), F.col("reference"), n)).otherwise(terminates_status(F.col("coverage_state"), F.col("identity_status"), blocked))
+    if evidence is None:
+        rows = rows.withColumn("evidence", F.array().cast("array<string>"))
+    else:
+        held = evidence.groupBy(F.col("document_id").alias("e_id")).agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence"))
+        rows = rows.join(held, F.col("source_id") == F.col("e_id"), "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    has = status.isin(*WITH_TARGET)
+    return rows.select(
+        "relation_id", "relation_type", "source_id", "source_name", "coverage_state", "reason", F.when(has, F.col("first_id")).alias("target_id"), F.when(has, F.col("t_name")).alias("target_name"), n.alias("n_candidates"), "candidates",
+        F.slice("candidates", 1, 5).alias("first_candidates"), "evidence", status.alias("machine_status"), basis(kind, F.col("coverage_state"), F.col("reference"), F.col("identity_status"), n, blocked).alias("basis"), F.lit(PENDING).alias("review_status"),
+    )
 
 
 def termination_evidence(rows: DataFrame, most: int = 10) -> DataFrame:

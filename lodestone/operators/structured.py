@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.values import effective
+from lodestone.operators.ranking import latest
 
 MOST = 1000
 
@@ -73,21 +74,58 @@ def answer(facts: DataFrame | None, q: StructuredQuery, snapshot: str) -> tuple[
     return ("OK", found) if found.head(1) else ("NOT_FOUND", None)
 
 
-PROVENANCE = ("value", "unit", "scope", "status", "period_start", "period_end", "as_of_date", "verification")
+#: Fields of a calculation's input that must be the stored fact's, with the code of each; checked in this order. Fixed values.
+PROVENANCE = (
+    ("value", "FACT_VALUE_MISMATCH"),
+    ("unit", "FACT_UNIT_MISMATCH"),
+    ("scope", "FACT_SCOPE_MISMATCH"),
+    ("value_status", "FACT_VALUE_STATUS_MISMATCH"),
+    ("known_at", "FACT_TEMPORAL_MISMATCH"),
+    ("valid_from", "FACT_TEMPORAL_MISMATCH"),
+    ("valid_to", "FACT_TEMPORAL_MISMATCH"),
+)
 
 
-def provenance_code(claimed: dict[str, Column], stored: dict[str, Column], exists: Column) -> Column:
-    """The first field in which a claimed fact differs from the stored one; null if none does."""
-    code = F.when(~exists, "FACT_NOT_FOUND")
-    for name in PROVENANCE:
-        if name == "verification":
-            code = code.when(~stored[name].eqNullSafe("VERIFIED"), "FACT_NOT_VERIFIED")
-        else:
-            code = code.when(~claimed[name].eqNullSafe(stored[name]), F.lit(f"{name.upper()}_MISMATCH"))
-    return code
+def resolved(inputs: DataFrame, facts: DataFrame | None, snapshot: str, coverage_snapshot: str) -> DataFrame:
+    """``inputs`` (with fact_id) and ``code``: why a fact of that id cannot be used, OK if it can; stored fields as s_*.
+
+    facts: fact_id, the fields of PROVENANCE, verification_status, corpus_snapshot_id, fact_coverage_snapshot_id; one row an
+    id, or the smallest. A fact must be of both snapshots that the request runs against. No store (None) is not the same as
+    no fact.
+    """
+    if facts is None:
+        return inputs.withColumn("code", F.lit("FACT_STORE_UNAVAILABLE"))
+    rest = [c for c in facts.columns if c != "fact_id"]
+    one = facts.groupBy(F.col("fact_id").alias("s_id")).agg(F.min(F.struct(*rest)).alias("s")).select("s_id", *(F.col(f"s.{c}").alias(f"s_{c}") for c in rest))
+    rows = inputs.join(one, F.col("fact_id") == F.col("s_id"), "left")
+    code = F.when(F.col("s_id").isNull(), "FACT_NOT_FOUND").when(~F.col("s_corpus_snapshot_id").eqNullSafe(F.lit(snapshot)), "FACT_SNAPSHOT_MISMATCH")
+    return rows.withColumn("code", code.when(~F.col("s_fact_coverage_snapshot_id").eqNullSafe(F.lit(coverage_snapshot)), "FACT_COVERAGE_SNAPSHOT_MISMATCH").otherwise("OK"))
 
 
-def conflicts(facts: DataFrame, slot: list[str], value: str) -> DataFrame:
-    """Slots of which the facts differ: (slot, n_facts, n_values)."""
+def provenance_codes(inputs: DataFrame, facts: DataFrame | None, snapshot: str, coverage_snapshot: str) -> DataFrame:
+    """(request_id, code, fact_id) of every request: OK, or the first of its inputs, by position, that is not a stored fact.
+
+    inputs: (request_id, position, fact_id and the fields of PROVENANCE). One input that fails fails its request.
+    """
+    rows = resolved(inputs, facts, snapshot, coverage_snapshot)
+    if facts is not None:
+        code = F.when(F.col("code") != "OK", F.col("code"))
+        for name, of in PROVENANCE:
+            code = code.when(~F.col(name).eqNullSafe(F.col(f"s_{name}")), of)
+        rows = rows.withColumn("code", code.when(~F.col("s_verification_status").eqNullSafe("VERIFIED"), "UNVERIFIED_DATA_FORBIDDEN").otherwise("OK"))
+    bad = F.when(F.col("code") != "OK", F.struct("position", "code", "fact_id"))
+    first = rows.groupBy("request_id").agg(F.min(bad).alias("bad"))
+    return first.select("request_id", F.coalesce("bad.code", F.lit("OK")).alias("code"), F.col("bad.fact_id").alias("fact_id"))
+
+
+def current(facts: DataFrame, version_of: list[str], order: str) -> DataFrame:
+    """The facts that no later version replaces: of each ``version_of`` the row with the largest ``order``."""
+    return latest(facts, version_of, order)
+
+
+def conflicts(facts: DataFrame, slot: list[str], value: str, version_of: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Slots of which the facts differ: (slot, n_facts, n_values). With ``version_of`` and ``order``, of current() facts alone."""
+    if version_of and order:
+        facts = current(facts, version_of, order)
     found = facts.groupBy(*slot).agg(F.count("*").alias("n_facts"), F.min(value).alias("low"), F.max(value).alias("high"), F.count_distinct(value).alias("n_values"))
     return found.filter("n_values > 1")

@@ -385,7 +385,10 @@ def test_recommendations(spark):
         [("r1", "AMENDS", 2, None, [3, 1]), ("r2", "TERMINATES", 1, "HIGH_CONFIDENCE_REVIEW", [2]), ("r3", "AMENDS", 3, None, []), ("r4", "TERMINATES", 1, "NO_TARGET_IN_MANIFEST_CANDIDATES", [])],
         "relation_id string, relation_type string, source_id int, identity_status string, candidates array<int>",
     )
-    out = relations.recommendations(cands, docs, cover, refs)
+    held = spark.createDataFrame([(2, "e2"), (2, "e1"), (1, "e3")], "document_id int, evidence_id string")
+    out = relations.recommendations(cands, docs, cover, refs, held)
+    assert rows(out, "relation_id", "evidence")[0] == ("r1", ["e1", "e2"])
+    assert {(r["rule"], r["key"]) for r in constraints.relation(relations.recommendations(cands, docs, cover, refs)).collect()} == {("EVIDENCE", k) for k in ("r1", "r2", "r4")} and constraints.relation(out).count() == 0
     assert rows(out, "relation_id", "target_id", "n_candidates", "machine_status") == [
         ("r1", 1, 2, "READY_FOR_HUMAN_REVIEW"),
         ("r2", 2, 1, "BLOCKED_UNTIL_TARGET_AMENDS_REVIEW"),
