@@ -250,11 +250,12 @@ def _scores(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], digits: int) -
 def dense(vectors: DataFrame, key: str, value: str, queries: DataFrame, query_key: str, query_value: str, k: int, digits: int = 6) -> DataFrame:
     """(query, key, rank, score) by cosine, exactly, for any number of queries; keys are whole numbers.
 
-    Every block of queries meets every block of vectors; a pair of blocks gives the k best of each query, which are ranked
-    together. No block is larger than a bound, and none is collected.
+    Every block of queries meets every block of vectors; a task keeps the k best of each query over the blocks that it meets,
+    and these are ranked together. No block is larger than a bound, and none is collected.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, np.ndarray, pa.Array] = np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.int64())
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(6)), strict=True):
                 x = [np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, (np.int64, np.int32, np.float64) * 2, strict=True)]
@@ -267,8 +268,10 @@ def dense(vectors: DataFrame, key: str, value: str, queries: DataFrame, query_ke
                     above, ties = s > least, s == least
                     keep &= above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
                 r, c = np.nonzero(keep)
-                found = np.where(s[r, c] == _NAN, np.nan, s[r, c])
-                yield pa.RecordBatch.from_arrays([pa.array(x[0][r]), pa.array(keys[c]), pa.array(found, mask=found == _NULL)], names=["q", "c", "score"])
+                # one list a query for all blocks that this task meets
+                kept = _kept(np.concatenate([kept[0], x[0][r]]), np.concatenate([kept[1], s[r, c]]), pa.concat_arrays([kept[2], pa.array(keys[c])]), k)
+        q, found, keys = kept
+        yield pa.RecordBatch.from_arrays([pa.array(q), keys, pa.array(np.where(found == _NAN, np.nan, found), mask=found == _NULL)], names=["q", "c", "score"])
 
     pairs = _packed(queries, query_key, query_value, "q").crossJoin(_packed(vectors, key, value, "c"))
     rows = pairs.mapInArrow(best, "q long, c long, score double")
