@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import column, flat, in_rows, lists, save
 from lodestone.llm.words import NOT_SPACE, bounds, first_of_text, hashes, mix
 
-#: A sweep counts every training text once, slice by slice.
-STATES, MOST_FREQUENT, CLASSES, SLICES, SWEEPS = 8, 1024, 1024, 4, 5
+#: A sweep counts every training text once, slice by slice. Training ends when a sweep adds less than GAIN to the log10
+#: likelihood of a token, whatever the size of the input, or after SWEEPS sweeps.
+STATES, MOST_FREQUENT, CLASSES, SLICES, SWEEPS, GAIN = 8, 1024, 1024, 4, 12, 1e-3
 #: Tokens' worth of class weights that each state's emissions are smoothed by.
 PRIOR = 1000
 #: Chance that a state stays, before training.
@@ -180,7 +181,7 @@ class Model:
         return cls(np.full(STATES, 1 / STATES), step, emit / emit.sum(1, keepdims=True))
 
     def expected(self, obs: np.ndarray, size: np.ndarray, pre: np.ndarray, core: np.ndarray) -> np.ndarray:
-        """Expected counts (start, steps, emissions, flat) of sequences: obs has a column each, sizes fall.
+        """Expected counts (start, steps, emissions, flat) and log10 likelihood of sequences: obs has a column each, sizes fall.
 
         Of each sequence the tokens pre to pre + core count, and the steps that lead to them; the others are context.
         """
@@ -206,11 +207,12 @@ class Model:
         seen, g = obs[inside], alpha[inside]
         for k in range(STATES):
             emitted[:, k] = np.bincount(seen, weights=g[:, k], minlength=N_CLASSES)
-        return np.concatenate([alpha[0][pre == 0].sum(0, dtype=float), (pairs * self.step).ravel(), emitted.T.ravel()])
+        fit = np.log10(scale[:, :, 0][inside], dtype=float).sum()
+        return np.concatenate([alpha[0][pre == 0].sum(0, dtype=float), (pairs * self.step).ravel(), emitted.T.ravel(), [fit]])
 
     def better(self, counts: np.ndarray, weights: np.ndarray) -> Model:
         """The model of the summed counts, smoothed by the class weights so that nothing is impossible."""
-        start, step, emit = np.split(counts, [STATES, STATES + STATES**2])
+        start, step, emit = np.split(counts[:-1], [STATES, STATES + STATES**2])
         start, step, emit = start + 1, step.reshape(STATES, STATES) + 1, emit.reshape(STATES, -1) + PRIOR * weights
         return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
@@ -243,7 +245,7 @@ def _expected(model: Model, raw: pa.Array) -> np.ndarray:
     pre = np.minimum(AROUND, begin - offsets[:-1][of])
     size = pre + core + np.minimum(AROUND, offsets[1:][of] - begin - core)
     order = np.argsort(-size, kind="stable")
-    total = np.zeros(STATES + STATES**2 + STATES * N_CLASSES)
+    total = np.zeros(STATES + STATES**2 + STATES * N_CLASSES + 1)
     for a in range(0, len(order), COLUMNS):
         at = order[a : a + COLUMNS]
         place = (begin - pre)[at] + np.arange(size[at[0]])[:, None]
@@ -254,8 +256,9 @@ def _expected(model: Model, raw: pa.Array) -> np.ndarray:
 def train(coded: DataFrame, weights: np.ndarray, sweeps: int = SWEEPS) -> Model:
     """Incremental Baum-Welch over all rows of ``coded`` whose slice is not negative; Spark sums a fixed number of counts."""
     spark, model = coded.sparkSession, Model.first(weights)
-    n = STATES + STATES**2 + STATES * N_CLASSES
+    n = STATES + STATES**2 + STATES * N_CLASSES + 1
     latest: dict[int, np.ndarray] = {}
+    before = -np.inf
     for step in range(sweeps * SLICES):
         held = spark.sparkContext.broadcast((model.start, model.step, model.emit))
 
@@ -275,6 +278,11 @@ def train(coded: DataFrame, weights: np.ndarray, sweeps: int = SWEEPS) -> Model:
         total = sum(latest.values())
         if total.any():
             model = model.better(total, weights)
+        if step % SLICES == SLICES - 1:  # the end of a sweep
+            n_tokens = total[STATES + STATES**2 : -1].sum()
+            if n_tokens == 0 or total[-1] - before < GAIN * n_tokens:
+                break
+            before = total[-1]
     return model
 
 

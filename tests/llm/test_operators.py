@@ -512,11 +512,11 @@ def test_scores_do_not_depend_on_partitions(docs):
 
 def plain_counts(model, seqs):
     """Expected counts of whole sequences, one after another, in double precision."""
-    start, pairs, emitted = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.N_CLASSES))
+    start, pairs, emitted, fit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.N_CLASSES)), 0.0
     for s in seqs:
         alpha = [model.start * model.emit[:, s[0]]]
-        alpha[0] = alpha[0] / alpha[0].sum()
-        scale = [1.0]
+        scale = [alpha[0].sum()]
+        alpha[0] = alpha[0] / scale[0]
         for x in s[1:]:
             a = alpha[-1] @ model.step * model.emit[:, x]
             scale.append(a.sum())
@@ -529,7 +529,8 @@ def plain_counts(model, seqs):
                 pairs += np.outer(alpha[t - 1], ahead) * model.step
                 beta = model.step @ ahead
         start += alpha[0] * beta
-    return np.concatenate([start, pairs.ravel(), emitted.ravel()])
+        fit += np.log10(scale).sum()
+    return np.concatenate([start, pairs.ravel(), emitted.ravel(), [fit]])
 
 
 def test_counts_of_stretches_are_those_of_whole_texts(monkeypatch):
@@ -539,8 +540,9 @@ def test_counts_of_stretches_are_those_of_whole_texts(monkeypatch):
     model = hmm.Model.first(rng.dirichlet(np.ones(hmm.N_CLASSES)))
     seqs = [rng.integers(0, hmm.N_CLASSES, n) for n in (1, 2, 39, 40, 41, 500, 90)]
     got = hmm._expected(model, pa.array([s.astype("<u2").tobytes() for s in seqs], pa.binary()))
-    assert got.sum() == pytest.approx(len(seqs) + sum(len(s) - 1 for s in seqs) + sum(map(len, seqs)), rel=1e-5)
-    assert np.abs(got - plain_counts(model, seqs)).max() < 1e-3
+    want = plain_counts(model, seqs)
+    assert got[:-1].sum() == pytest.approx(len(seqs) + sum(len(s) - 1 for s in seqs) + sum(map(len, seqs)), rel=1e-5)
+    assert np.abs(got - want)[:-1].max() < 1e-3 and got[-1] == pytest.approx(want[-1], rel=1e-4)
 
 
 def test_hmm_query_is_the_plain_model(spark):
@@ -563,11 +565,17 @@ def test_hmm_query_is_the_plain_model(spark):
     for x in top:
         total[number[x]] = counts[x] + 0.5
     weights = total / total.sum()
-    model, latest = hmm.Model.first(weights), {}
+    model, latest, before, sweeps = hmm.Model.first(weights), {}, -np.inf, 0
     for step in range(hmm.SWEEPS * hmm.SLICES):
         own = [[class_of(x) for x in words[r["doc_id"]]] for r in docs if r["slice"] == step % hmm.SLICES and zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
         latest[step % hmm.SLICES] = plain_counts(model, own)
         model = model.better(sum(latest.values()), weights)
+        if step % hmm.SLICES == hmm.SLICES - 1:
+            sweeps, fit = sweeps + 1, sum(x[-1] for x in latest.values())
+            if fit - before < hmm.GAIN * sum(counts.values()):
+                break
+            before = fit
+    assert 5 <= sweeps < hmm.SWEEPS
     got = {r["doc_id"]: r for r in QUERIES["op8_hmm"](spark, path).collect()}
     assert set(got) == set(words)
     for d, w in words.items():
