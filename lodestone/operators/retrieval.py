@@ -19,9 +19,9 @@ K1, B, RRF_K = 1.2, 0.75, 60
 BLOCK, BLOCK_NUMBERS = 2048, 1_000_000
 
 
-#: Terms of queries that are looked for in one pass over the documents, rows of a table that is broadcast, and scores of
-#: documents by queries that a task holds at once, at most.
-BLOCK_TERMS, BROADCAST_ROWS, SCORES = 1_000_000, 1_000_000, 2_000_000
+#: Terms of queries that are looked for in one pass over the documents, rows of a table that is broadcast, and numbers that a
+#: task holds at once to score documents (terms of theirs, times queries that have the term), at most.
+BLOCK_TERMS, BROADCAST_ROWS, SCORES = 1_000_000, 1_000_000, 1_000_000
 
 
 class Asked:
@@ -97,10 +97,13 @@ def _best(indexed: DataFrame, asked: Asked, df: np.ndarray, n: int, mean: float,
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, first, of = held.value
         floor, kept = np.full(n_queries, np.finfo(float).tiny), (np.zeros(0, np.int64), np.zeros(0), None)
-        step = max(1, SCORES // max(1, n_queries))
         for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
+            counts = whole.column(2).value_lengths().to_numpy()
+            work = np.cumsum(n_queries + np.add.reduceat(np.append((first[1:] - first[:-1])[whole.column(2).flatten().to_numpy()], 0), np.append(0, np.cumsum(counts)[:-1])) * (counts > 0))
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + SCORES, side="right")))
+                batch, at = whole.slice(at, to - at), to
                 ids, length = batch.column(2), batch.column(1).to_numpy().astype(float)
                 doc = np.repeat(np.arange(batch.num_rows), ids.value_lengths().to_numpy())
                 pair, tf = np.unique(doc * n_terms + ids.flatten().to_numpy(), return_counts=True)
@@ -114,7 +117,8 @@ def _best(indexed: DataFrame, asked: Asked, df: np.ndarray, n: int, mean: float,
                 keys = batch.column(0).take(pa.array(r))
                 kept = _kept(np.concatenate([kept[0], c]), np.concatenate([kept[1], s[r, c]]), keys if kept[2] is None else pa.concat_arrays([kept[2], keys]), k)
                 full = np.bincount(kept[0], minlength=n_queries) >= k
-                floor[full] = np.minimum.reduceat(kept[1], np.searchsorted(kept[0], np.flatnonzero(full))) if full.any() else 0
+                if full.any():
+                    floor[full] = np.minimum.reduceat(kept[1], np.searchsorted(kept[0], np.flatnonzero(full)))
         if kept[2] is not None:
             yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int32()), kept[2], pa.array(kept[1])], names=["q", "key", "score"])
 
