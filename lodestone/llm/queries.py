@@ -158,3 +158,63 @@ ORACLE_SQL = {
         FROM m GROUP BY doc_id
     """,
 }
+
+
+def _clusters_sql(k: int, rounds: int, width: int) -> str:
+    """op11 in SQL: a table of the centroids after each round, then the last assignment."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = lambda r: f"SELECT v.n, v.vec_id, v.x, min((({far})::BIGINT, c.z)) AS best FROM v, c{r} c GROUP BY ALL"
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * e::DOUBLE) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS z, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))""",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest(r)})")
+        parts.append(f"m{r} AS MATERIALIZED (SELECT best[2] AS z, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, {width + 1})) AS t(i) GROUP BY ALL)")
+        parts.append(f"u{r} AS MATERIALIZED (SELECT z, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{r} GROUP BY z)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.z, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN u{r} u USING (z))")
+    parts.append(f"a AS ({nearest(rounds)})")
+    return f"""WITH {', '.join(parts)}
+        SELECT a.vec_id, CAST(a.best[2] AS INTEGER) AS cluster, a.best[1] AS distance, CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a JOIN c{rounds} c ON c.z = a.best[2]"""
+
+
+def _manifest_sql(levels: int = 4) -> str:
+    """op13 in SQL, for trees of up to 16**levels nodes: each level from the one below, a tree's root as soon as one node is left;
+    then the siblings of every leaf, and what it folds to."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 by its bits: DuckDB has no function for it
+    byte = "(list_reduce(list_prepend(xor(acc, CAST(unicode(s[i]) AS BIGINT)), range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, source, {leaf('text')} AS leaf, {leaf(low)} AS other, CAST(doc_id AS VARCHAR) AS s FROM documents)",
+        f"""crc AS MATERIALIZED (WITH RECURSIVE r(n, s, i, acc) AS (SELECT n, s, 1::BIGINT, 4294967295::BIGINT FROM d WHERE s IS NOT NULL UNION ALL SELECT n, s, i + 1, {byte} FROM r WHERE i <= length(s)) SELECT n, xor(acc, 4294967295) % 5 = 0 AS hit FROM r WHERE i = length(s) + 1)""",
+        "l AS MATERIALIZED (SELECT d.n, doc_id, leaf, CASE WHEN hit THEN other ELSE leaf END AS x0, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, d.n) - 1 AS i FROM d LEFT JOIN crc USING (n))",
+        "s0 AS MATERIALIZED (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS width FROM l)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i, CASE WHEN below = 1 THEN first ELSE sha256(joined) END AS h, count(*) OVER (PARTITION BY tree) AS width FROM (SELECT tree, i // 16 AS i, max(width) AS below, min(h) AS first, string_agg(h, '' ORDER BY i) AS joined FROM {name}{k} GROUP BY tree, i // 16))")
+
+    climb("s")
+    parts.append(f"t0 AS MATERIALIZED (SELECT 0 AS tree, tree - 1 AS i, h, count(*) OVER () AS width FROM s{levels})")
+    climb("t")
+    rows, steps = "SELECT n, doc_id, leaf, tree, i, x0 AS x, '' AS proof FROM l", 0
+    for name, at in (("s", "q.tree"), ("t", "0")):
+        for k in range(levels):
+            place = "q.i" if name == "s" else "q.tree - 1"
+            own = f"({place}) // {16**k}"
+            # left and right siblings of the node on the path, none where the tree has one node
+            side = lambda op: f"coalesce((SELECT string_agg(w.h, '' ORDER BY w.i) FROM {name}{k} w WHERE w.tree = {at} AND w.i // 16 = ({own}) // 16 AND w.i {op} {own} AND w.width > 1), '')"  # noqa: B023, E731
+            parts.append(f"p{steps} AS MATERIALIZED (SELECT q.*, {side('<')} AS a, {side('>')} AS b, (SELECT max(w.width) FROM {name}{k} w WHERE w.tree = {at}) AS width FROM ({rows}) q)")
+            rows = f"SELECT n, doc_id, leaf, tree, i, CASE WHEN width > 1 THEN sha256(a || x || b) ELSE x END AS x, proof || a || b AS proof FROM p{steps}"
+            steps += 1
+    return f"""WITH {', '.join(parts)}
+        SELECT q.doc_id, q.leaf, s.h AS subroot, t.h AS root, sha256(q.proof) AS proof_sha256, q.x AS folded_root, q.x = t.h AS verified FROM ({rows}) q JOIN s{levels} s ON s.tree = q.tree, t{levels} t"""
+
+
+ORACLE_SQL |= {"op11_centroids": _clusters_sql(8, 10, 64), "op13_manifest": _manifest_sql()}
