@@ -218,3 +218,19 @@ def _manifest_sql(levels: int = 4) -> str:
 
 
 ORACLE_SQL |= {"op11_centroids": _clusters_sql(8, 10, 64), "op13_manifest": _manifest_sql()}
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL |= {
+    "op3_set_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_SPACES}') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, u.b FROM reach JOIN u ON reach.o = u.a),
+        m AS (SELECT reach.r, min(x.doc_id) AS component_id FROM reach JOIN d x ON x.r = reach.o GROUP BY reach.r)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN m USING (r)
+    """,
+}
