@@ -87,31 +87,27 @@ def n_tokens(text: Column) -> Column:
 
 def normal_alias(name: Column) -> Column:
     """A name for matching: NFC, lower case, without white space, dots, dashes, underscores, brackets and quotes."""
-    return F.regexp_replace(F.lower(F.trim(nfc(name))), r"[\s._\-()\[\]{}'\"“”‘’（）]", "")
+    return F.regexp_replace(F.lower(F.trim(nfc(name))), vocabulary.ALIAS_MARKS, "")
 
 
 def normal_report_name(name: Column) -> Column:
     """A report's name without its bracketed prefix and (YYYY.MM), white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(nfc(name), r"^\[[^\]]*\]\s*", ""), r"\(\d{4}\.\d{2}\)", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(nfc(name), vocabulary.REPORT_PREFIX, ""), vocabulary.REPORT_MONTH, ""), r"(?U)\s+", " "))
 
 
 def normal_report_family(name: Column) -> Column:
     """A report's family: NFKC, no prefix, no white space, punctuation or symbols, no closing 체결."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfkc(name), r"^\[[^\]]*\]\s*", ""), r"(?U)[\s\p{P}\p{S}]+", ""), "체결$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfkc(name), vocabulary.REPORT_PREFIX, ""), vocabulary.FAMILY_MARKS, ""), vocabulary.FAMILY_END, "")
 
 
 def normal_text(text: Column) -> Column:
-    return F.regexp_replace(F.lower(nfkc(text)), r"(?U)[\s\p{P}\p{S}]+", "")
-
-
-def comparable_text(text: Column) -> Column:
     """Without regard to width, case, white space, punctuation and symbols."""
-    return F.regexp_replace(F.lower(nfkc(text)), r"[\s\p{P}\p{S}]+", "")
+    return F.regexp_replace(F.lower(nfkc(text)), vocabulary.FAMILY_MARKS, "")
 
 
 def normal_label(label: Column) -> Column:
     """A table label without its number and separators, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(nfc(F.coalesce(label, F.lit(""))), r"(?U)^\s*[-–—]?\s*\d+(?:\.\d+)*\.?\s*", ""), r"(?U)[\sㆍ·:：()（）]", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(nfc(F.coalesce(label, F.lit(""))), vocabulary.LABEL_NUMBER, ""), vocabulary.LABEL_MARKS, ""))
 
 
 def canonical_text(text: Column) -> Column:
@@ -157,8 +153,8 @@ def snippet(text: Column, needle: Column, around: int = 160) -> Column:
 
 def redact(text: Column, most: int = 500) -> Column:
     """An error text without bearer tokens and keys, cut to ``most`` characters."""
-    safe = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    return F.left(F.regexp_replace(safe, r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*\S+", "$1=[REDACTED]"), F.lit(most))
+    safe = F.regexp_replace(text, vocabulary.BEARER, "Bearer [REDACTED]")
+    return F.left(F.regexp_replace(safe, vocabulary.SECRET, "$1=[REDACTED]"), F.lit(most))
 
 
 def source_locator(path: Column, node: Column, row_start: Column | None = None, row_end: Column | None = None, col_start: Column | None = None, col_end: Column | None = None) -> Column:

@@ -115,3 +115,13 @@ WARNING_POLICY = (
 AUXILIARY_PLACE = r"^☞\s*본문\s*위치로\s*이동$"
 AUXILIARY_UNIT = r"(?i)^(?:(?:전기말|전분기|당기말|당분기)\s*\|\s*)?\(?\s*(?:작성기준일|기준일|단위)\s*:"
 FIGURE = r"[가-힣A-Za-z]{3,}\s*\|\s*[-+]?\d[\d,.]*"
+
+#: What is dropped from names, report names, report families and labels before they are compared.
+ALIAS_MARKS = r"[\s._\-()\[\]{}'\"“”‘’（）]"
+REPORT_PREFIX, REPORT_MONTH = r"^\[[^\]]*\]\s*", r"\(\d{4}\.\d{2}\)"
+FAMILY_MARKS, FAMILY_END = r"(?U)[\s\p{P}\p{S}]+", "체결$"
+LABEL_NUMBER, LABEL_MARKS = r"(?U)^\s*[-–—]?\s*\d+(?:\.\d+)*\.?\s*", r"(?U)[\sㆍ·:：()（）]"
+#: Secrets in error texts.
+BEARER, SECRET = r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*\S+"
+#: Rows of a correction's table: the day, name and reason of what it corrects.
+CORRECTED_DAY, CORRECTED_NAME, CORRECTED_REASON = "정정.*제출일|정정대상.*일자|최초제출일", "정정대상.*서류|정정관련.*공시서류", "정정사유"

@@ -228,14 +228,15 @@ def mismatched_documents(documents: DataFrame, manifest: DataFrame) -> DataFrame
     return documents.select("document_id").join(manifest.select("document_id"), "document_id", "left_anti")
 
 
-def chunks(documents: DataFrame, config: dict = TREE) -> DataFrame:
+def chunks(documents: DataFrame, config: dict = TREE, rows: DataFrame | None = None) -> DataFrame:
     """All chunks of documents (document_id, doc_group, tier, nodes), by one strategy.
 
     Documents without nodes have none; documents of the fallback tier have audit chunks only, windows over the whole
     document. Chunk ids are made of the document, the strategy, the chunk's number and its text. Columns listed_name,
     corp_name, filer_name, report_name, warnings and source_files of ``documents`` are used if they are there.
+    rows: their segments(), if they were made before (for several strategies they need to be made once only).
     """
-    rows = segments(documents)
+    rows = segments(documents) if rows is None else rows
     audit = rows.filter("tier = 'fallback'").withColumn("all", F.lit(0))
     out = _assembled(windows(audit, ["all"], 512, 0), 0, 0, F.lit("DOCUMENT_FALLBACK"), F.lit("AUDIT_ONLY"))
     rows = rows.filter("tier is null or tier <> 'fallback'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.ids import stable_id
 from lodestone.functions.text import find_date, normal_label, normal_report_family
 from lodestone.functions.values import metric_unit, value_status
-from lodestone.functions.vocabulary import METRIC_RULES
+from lodestone.functions.vocabulary import CORRECTED_DAY, CORRECTED_NAME, CORRECTED_REASON, METRIC_RULES
 from lodestone.operators.ranking import top_per
 
 
@@ -55,7 +55,7 @@ def correction_references(documents: DataFrame) -> DataFrame:
     rows = table_rows(documents).withColumn("label", F.regexp_replace(F.array_join("labels", " "), r"(?U)\s+", ""))
     place = F.struct("table_at", "row_at")
     last = lambda ok, value: F.max_by(F.when(ok, value), F.when(ok, place))
-    is_day = F.col("label").rlike("정정.*제출일|정정대상.*일자|최초제출일")
-    is_name = ~is_day & F.col("label").rlike("정정대상.*서류|정정관련.*공시서류")
-    is_reason = ~is_day & ~is_name & F.col("label").rlike("정정사유")
+    is_day = F.col("label").rlike(CORRECTED_DAY)
+    is_name = ~is_day & F.col("label").rlike(CORRECTED_NAME)
+    is_reason = ~is_day & ~is_name & F.col("label").rlike(CORRECTED_REASON)
     return rows.groupBy("document_id").agg(last(is_day, find_date(F.col("value"))).alias("ref_day"), last(is_name, normal_report_family(F.col("value"))).alias("ref_family"), last(is_reason, F.col("value")).alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import comparable_text
+from lodestone.functions.text import normal_text
 from lodestone.functions.vocabulary import IDENTITY_WEIGHTS
 from lodestone.operators.ranking import top_per
 
@@ -62,7 +62,7 @@ def field_matches(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     amount = F.col("metric_code") == "CONTRACT_AMOUNT"
     # what agrees is equal in this form; a number that cannot be read agrees with nothing, but can be compared
     number = F.regexp_replace("value", ",", "").try_cast("double")
-    form = F.when(amount, F.coalesce(number.cast("string"), F.concat(F.lit("?"), "document_id"))).otherwise(comparable_text(F.col("value")))
+    form = F.when(amount, F.coalesce(number.cast("string"), F.concat(F.lit("?"), "document_id"))).otherwise(normal_text(F.col("value")))
     wide = known.select("document_id", "metric_code", form.alias("form")).groupBy("document_id").pivot("metric_code", metrics).agg(F.first("form"))
     side = lambda name: wide.select(F.col("document_id").alias(f"{name}_doc"), F.struct(*metrics).alias(name))
     rows = pairs.join(side("s"), F.col("source_id") == F.col("s_doc"), "left").join(side("t"), F.col("target_id") == F.col("t_doc"), "left")

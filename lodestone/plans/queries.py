@@ -17,7 +17,7 @@ from lodestone.functions import ids, markup, policy, text, values
 from lodestone.operators import chunking, coverage, evaluation, ledger, profile, ranking, relations, retrieval, structured
 from lodestone.sources import readers
 from lodestone.sources.readers import parquet
-from lodestone.sources.shared import folder
+from lodestone.sources.shared import folder, save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -750,8 +750,9 @@ def _filings(read):
 def chunk_profile(read):
     """Chunks and tokens of the three strategies, with the ratio to fixed windows."""
     filings, report = _filings(read), None
+    segments = save(chunking.segments(filings), "segments")
     for config in (chunking.FIXED, chunking.SECTIONS, chunking.TREE):
-        rows = chunking.chunks(filings, config).filter("retrieval_eligible")
+        rows = chunking.chunks(filings, config, segments).filter("retrieval_eligible")
         part = rows.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count_distinct("content_sha256").alias("n_distinct")).withColumn("strategy", F.lit(config["strategy"]))
         report = part if report is None else report.unionByName(part)
     return profile.ratio_to_baseline(report, "strategy", "n_chunks", "fixed-token")
@@ -768,6 +769,20 @@ def section_chunk_totals(read):
     return rows.agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("document_id").alias("n_documents")).select(F.lit("section-aware-flat").alias("strategy"), "n_chunks", "n_tokens", "n_documents")
 
 
+@query(rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_id % 11 <> 0),
+    g AS (SELECT doc_id, i // 8 AS sec, sum(len(regexp_extract_all(line, '{_TOKEN}'))) AS n, string_agg(line, chr(10) ORDER BY i) AS joined, min(i) AS first FROM l WHERE regexp_matches(line, '\S') GROUP BY ALL)
+    SELECT 'doc_' || doc_id AS document_id, 'S' || sec AS section, CASE WHEN n <= 512 THEN 1 ELSE CAST(ceil((n - 512) / 448.0) AS BIGINT) + 1 END AS n_chunks, CAST(CASE WHEN n <= 512 THEN n ELSE n + 64 * ceil((n - 512) / 448.0) END AS BIGINT) AS n_tokens,
+           CASE WHEN n <= 512 THEN sha256(joined) END AS content_sha256, CASE WHEN n <= 512 THEN 'n' || first END AS first_node FROM g WHERE n > 0
+""")
+def section_chunks(read):
+    """The chunks of every section of every document: how many, their tokens, and of a section in one chunk its text and first node."""
+    rows = chunking.chunks(_filings(read), chunking.SECTIONS).filter("retrieval_eligible")
+    per = rows.groupBy("document_id", F.array_join("section_path", ">").alias("section")).agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.min("content_sha256").alias("h"), F.min(F.col("source_spans")[0]["node_id"]).alias("node"))
+    whole = F.col("n_chunks") == 1
+    return per.select("document_id", "section", "n_chunks", "n_tokens", F.when(whole, F.col("h")).alias("content_sha256"), F.when(whole, F.col("node")).alias("first_node"))
+
+
 @query(f"""
     WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n FROM documents WHERE doc_id % 11 <> 0)
     SELECT 'fixed-token' AS strategy, CAST(sum(CASE WHEN n <= 0 THEN 0 WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 448.0) + 1 END) AS BIGINT) AS n_chunks, CAST(sum(CASE WHEN n <= 512 THEN n ELSE n + 64 * ceil((n - 512) / 448.0) END) AS BIGINT) AS n_tokens FROM t
