@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import policy, text
-from lodestone.operators import chunking, constraints, evaluation, facts, ir, relations, retrieval, structured
+from lodestone.operators import chunking, constraints, evaluation, facts, handoff, ir, relations, retrieval, structured
 from lodestone.plans.judged import Derived
 from lodestone.plans.queries import _filings, query
 from lodestone.sources import readers
@@ -363,3 +363,65 @@ def chunk_fingerprints(read):
 def chunk_batch_rules(read):
     """The chunks of all documents break no rule of a batch."""
     return chunking.problems(chunking.chunks(_filings(read), chunking.TREE)).groupBy("rule").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""
+    WITH q AS (SELECT o_orderkey AS k, 'a' || CASE WHEN o_orderkey % 41 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS id, o_orderkey % 4 = 0 AS free, o_orderkey % 4 = 1 AS chained, o_orderkey % 13 AS p, o_custkey AS c, 'd' || o_custkey % 700 AS anchor,
+               CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 2 = 0 THEN 'HOLDOUT' ELSE 'DEV_TUNE' END AS split FROM orders),
+    f AS (SELECT 'd' || c_custkey AS d, c_acctbal < 0 AS failed FROM customer WHERE c_custkey % 19 <> 3),
+    j AS (SELECT q.*, NOT free AND coalesce(f.failed, false) AS blocked, NOT free AND f.d IS NULL AS unknown FROM q LEFT JOIN f ON f.d = anchor),
+    r AS (
+        SELECT 'QUESTION' AS rule, id AS key FROM j WHERE p = 0 UNION ALL SELECT 'GOLD_STATUS', id FROM j WHERE p = 1 UNION ALL SELECT 'BLOCKED_STATUS', id FROM j WHERE blocked AND p = 2 UNION ALL SELECT 'BLOCKED_TAG', id FROM j WHERE blocked AND p = 3 UNION ALL SELECT 'BLOCKED_ANCHORS', id FROM j WHERE blocked AND p = 4
+        UNION ALL SELECT 'ANCHORED_IS_PROVISIONAL', id FROM j WHERE NOT free AND NOT chained AND p = 5 UNION ALL SELECT 'ANCHORED_WAITS', id FROM j WHERE NOT free AND p = 6 UNION ALL SELECT 'ANCHORLESS_LOCK', id FROM j WHERE free AND p = 5
+        UNION ALL SELECT 'CHAIN_LOCK', id FROM j WHERE chained AND p = 5 UNION ALL SELECT 'ASSIGNMENT_ID_UNIQUE', id FROM j GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'ANCHOR_UNKNOWN', id FROM j WHERE unknown
+        UNION ALL SELECT 'GROUP_LEAKS', 'g' || c FROM j GROUP BY c HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'ANCHOR_LEAKS', anchor FROM j WHERE NOT free GROUP BY anchor HAVING count(DISTINCT split) > 1
+        UNION ALL SELECT 'CHAIN_LEAKS', 'c' || c % 50 FROM j WHERE chained GROUP BY c % 50 HAVING count(DISTINCT split) > 1
+    )
+    SELECT rule, key, count(*) AS n FROM r GROUP BY ALL
+""")
+def queue_rules(read):
+    """Orders as a queue of questions with anchors (customers) and chains, against what a handed-over queue must hold."""
+    k, p, c = F.col(_K), F.col(_K) % 13, F.col("o_custkey")
+    free, chained = k % 4 == 0, k % 4 == 1
+    none = F.array().cast("array<string>")
+    anchor = F.concat(F.lit("d"), (c % 700).cast("string"))
+    cover = read("customer").filter("c_custkey % 19 <> 3").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("document_id"), F.when(F.col("c_acctbal") < 0, "PARSE_FAILED").otherwise("PRESENT").alias("state"))
+    failed = cover.filter("state = 'PARSE_FAILED'").select(F.col("document_id").alias("f_id"))
+    rows = read("orders").withColumn("anchor", anchor).join(failed, F.col("anchor") == F.col("f_id"), "left")
+    hit = ~free & F.col("f_id").isNotNull()
+    lock = F.when(free, "LOCKED_BY_COVERAGE").when(chained, "LOCKED_BY_CHAIN").otherwise("PROVISIONAL_UNTIL_CHAIN_CLOSURE")
+    wrong = F.when(free, "LOCKED_BY_CHAIN").when(chained, "PROVISIONAL_UNTIL_CHAIN_CLOSURE").otherwise("LOCKED_BY_COVERAGE")
+    rows = rows.select(
+        F.concat(F.lit("a"), F.when(k % 41 == 1, k - 1).otherwise(k).cast("string")).alias("assignment_id"), F.concat(F.lit("g"), c.cast("string")).alias("evaluation_group_id"), F.when(p != 0, "?").alias("question_draft"), F.when(p == 1, "GOLD").otherwise("NOT_STARTED").alias("gold_status"),
+        F.when((c % 10 == 0) & (k % 2 == 0), "HOLDOUT").otherwise("DEV_TUNE").alias("planned_split"), F.when(p == 5, wrong).otherwise(lock).alias("split_lock_status"), F.when(hit & (p != 2), "PARSE_BLOCKED").otherwise("OPEN").alias("authoring_status"),
+        F.when(free, none).otherwise(F.array("anchor")).alias("anchors"), F.when(chained, F.array(F.concat(F.lit("c"), (c % 50).cast("string")))).otherwise(none).alias("known_chain_ids"),
+        F.when(p == 6, none).otherwise(F.array(F.lit(handoff.CLOSURE))).alias("dependencies"), F.when(hit & (p != 3), F.array(F.lit("parse_blocked"))).otherwise(none).alias("tags"), F.when(hit & (p != 4), F.array("anchor")).otherwise(none).alias("blocked"),
+    )
+    # two rows of one id are blocked alike, as they differ in their anchors only
+    return handoff.queue(rows, cover, cover).groupBy("rule", "key").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH b AS (SELECT 'd' || o_orderkey AS d, o_orderkey % 11 = 1 AS moved, o_orderkey % 13 = 2 AS lost, o_orderkey % 17 = 3 AS sure, o_orderkey AS k FROM orders)
+    SELECT 'SNAPSHOT' AS rule, d AS key FROM b WHERE moved UNION ALL SELECT 'FACT_IS_CANDIDATE', 'f' || k FROM b WHERE sure UNION ALL SELECT 'EVIDENCE_IS_CANDIDATE', 'e' || k FROM b WHERE sure AND NOT lost
+    UNION ALL SELECT 'EVIDENCE_EXISTS', 'f' || k FROM b WHERE lost UNION ALL SELECT 'COUNT', 'bundle_count' FROM (SELECT count(*) AS n FROM b) WHERE n <> 15000 UNION ALL SELECT 'COUNT', 'fact_count' FROM (SELECT count(*) AS n FROM b) WHERE n <> 15000 UNION ALL SELECT 'COUNT', 'evidence_count' FROM (SELECT count(*) FILTER (WHERE NOT lost) AS n FROM b) WHERE n <> 15000
+""")
+def bundle_rules(read):
+    """Orders as bundles of one fact and its evidence, some of which are of another snapshot, verified, or without evidence."""
+    key = F.col(_K).cast("string")
+    status = F.when(F.col(_K) % 17 == 3, "VERIFIED").otherwise("CANDIDATE")
+    one = F.array(F.struct(F.concat(F.lit("e"), key).alias("evidence_id"), status.alias("verification_status")))
+    fact = F.array(F.struct(F.concat(F.lit("f"), key).alias("fact_id"), status.alias("verification_status"), F.array(F.concat(F.lit("e"), key)).alias("evidence_ids")))
+    rows = read("orders").select(F.concat(F.lit("d"), key).alias("document_id"), F.when(F.col(_K) % 11 == 1, "s0").otherwise("s1").alias("corpus_snapshot_id"), fact.alias("facts"), F.when(F.col(_K) % 13 == 2, F.slice(one, 1, 0)).otherwise(one).alias("evidence"))
+    return handoff.bundles(rows, "s1", {"bundle_count": 15000, "fact_count": 15000, "evidence_count": 15000}).select("rule", "key")
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    k AS (SELECT DISTINCT doc_id, i FROM l WHERE regexp_matches(line, '\\S') AND doc_id % 11 <> 0), s AS (SELECT doc_id, unnest([0, 1, 5]) AS i FROM documents)
+    SELECT s.doc_id AS query_id, count(*) AS n_required, count(k.i) AS n_found FROM s LEFT JOIN k ON k.doc_id = s.doc_id AND k.i = s.i GROUP BY s.doc_id
+""")
+def seed_coverage(read):
+    """Of three lines of every document, how many are in a chunk that may be found."""
+    seeds = read("documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.explode(F.array(F.lit("n0"), F.lit("n1"), F.lit("n5"))).alias("node_id"))
+    return handoff.evidence_coverage(chunking.chunks(_filings(read), chunking.FIXED), seeds)
