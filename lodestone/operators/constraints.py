@@ -280,15 +280,6 @@ def release_lock(lock: DataFrame, found: DataFrame) -> DataFrame:
     return all_of(sides, changed)
 
 
-def final_response(df: DataFrame) -> DataFrame:
-    """Responses (question, response: JSON) that are not closed, or do not echo the question."""
-    fields = ("question", "retrieved_context", "think_trace", "answer")
-    keys = F.json_object_keys("response")
-    rules = {"NOT_JSON": (keys.isNull(), "not a JSON object"), "CLOSED": (F.size(F.array_except(keys, F.array(*(F.lit(f) for f in fields)))) > 0, "unknown fields"), "COMPLETE": (F.size(F.array_except(F.array(*(F.lit(f) for f in fields)), keys)) > 0, "fields are missing")}
-    rules["ECHO"] = (keys.isNotNull() & ~F.get_json_object("response", "$.question").eqNullSafe(F.col("question")), "the question is not echoed")
-    return violations(df, "question", rules)
-
-
 def harness_config(config: dict) -> list[str]:
     """What is wrong with a harness configuration; a plain check of one small dictionary."""
     bad = [f"{k} is missing" for k in ("gold_path", "output_path", "ledger_path", "base_url") if not config.get(k)]

@@ -42,6 +42,16 @@ def checked(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_v", F.try_parse_json(text)).withColumn("problems", Schema(FINAL_RESPONSE).problems("_v")).drop("_v")
 
 
+def problems(df: DataFrame, question: str, text: str) -> DataFrame:
+    """(rule, key, message) of responses that break the closed schema at any depth (SCHEMA, each breach) or do not echo the
+    question that was asked (ECHO)."""
+    rows = checked(df, text)
+    schema = rows.select(F.lit("SCHEMA").alias("rule"), F.col(question).cast("string").alias("key"), F.explode("problems").alias("message"))
+    echoed = F.try_variant_get(F.try_parse_json(text), "$.question", "string")
+    silent = rows.filter(F.try_parse_json(text).isNotNull() & ~echoed.eqNullSafe(F.col(question))).select(F.lit("ECHO").alias("rule"), F.col(question).cast("string").alias("key"), F.lit("the question is not echoed").alias("message"))
+    return schema.unionByName(silent)
+
+
 def _string(x: str, otherwise: str) -> Column:
     return F.coalesce(F.expr(f"IF({kind(x)} = 'STRING', try_variant_get({x}, '$', 'string'), NULL)"), F.lit(otherwise))
 

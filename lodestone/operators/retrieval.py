@@ -304,7 +304,31 @@ def filtered(chunks: DataFrame, any_of: dict[str, list]) -> DataFrame:
     return chunks.filter(keep)
 
 
-def invariants(results: DataFrame, query_key: str, key: str, top_k: int) -> DataFrame:
+def envelopes(requests: DataFrame, results: DataFrame, pinned: dict[str, str]) -> DataFrame:
+    """(request_id, code) of every request: why it, or what was found for it, is refused, OK if neither is.
+
+    requests: (request_id, query_id, retrieval_method, top_k, the names of ``pinned``, available: whether there is a retriever
+    for it); results: (request_id, query_id, chunk_id, rank, score). A request is checked before its results; no retriever is
+    not the same as no results. Each table moves once.
+    """
+    missing = F.lit(False)
+    for name in ("request_id", "query_id", "retrieval_method", *pinned):
+        missing |= F.col(name).isNull() | (F.col(name).cast("string") == "")
+    invalid = missing | ~F.coalesce(F.col("retrieval_method").isin(list(METHOD_PARTS)), F.lit(False)) | ~F.coalesce(F.col("top_k").between(1, MOST_RESULTS), F.lit(False))
+    moved = F.lit(False)
+    for name, value in pinned.items():
+        moved |= F.col(name) != value
+    asked = requests.select("request_id", F.col("query_id").alias("asked_id"), "top_k")
+    found = results.join(asked, "request_id")
+    broken = invariants(found, "request_id", "chunk_id", F.col("top_k")).select(F.col("request_id").alias("r_id")).distinct().withColumn("broken", F.lit(True))
+    other = found.filter(~F.col("query_id").eqNullSafe(F.col("asked_id"))).select(F.col("request_id").alias("o_id")).distinct().withColumn("other", F.lit(True))
+    rows = requests.join(broken, F.col("request_id") == F.col("r_id"), "left").join(other, F.col("request_id") == F.col("o_id"), "left")
+    code = F.when(invalid, "RETRIEVER_INVALID_REQUEST").when(moved, "RETRIEVER_SNAPSHOT_MISMATCH").when(~F.coalesce("available", F.lit(False)), "RETRIEVER_UNAVAILABLE")
+    code = code.when(F.col("broken"), "RETRIEVER_INVALID_RESULT").when(F.col("other"), "RETRIEVER_REQUEST_RESULT_MISMATCH").otherwise("OK")
+    return rows.select("request_id", code.alias("code"))
+
+
+def invariants(results: DataFrame, query_key: str, key: str, top_k: int | Column) -> DataFrame:
     """(query, code) for ranked results that break a rule: ranks from 1 without gaps, falling scores, no repeats, at most top_k."""
     w = Window.partitionBy(query_key).orderBy("rank", key)
     rows = results.withColumn("before", F.lag("score").over(w)).withColumn("at", F.row_number().over(w)).withColumn("copies", F.count("*").over(Window.partitionBy(query_key, key)))

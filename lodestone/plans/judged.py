@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, markup, text, values
-from lodestone.operators import constraints, evaluation, reviews
+from lodestone.operators import constraints, evaluation, retrieval, reviews
 from lodestone.plans.queries import query
 from lodestone.sources import schemas
 
@@ -415,3 +415,57 @@ def schema_problems(read):
     whole = given.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in given.columns else F.lit(None if f.nullable else fixed.get(f.name, "x")).cast(f.dataType).alias(f.name) for f in schemas.schema("facts")))
     documents = read("customer").filter("c_acctbal >= 0").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("document_id"))
     return schemas.problems(whole, "facts", {"documents": documents}).select("rule", F.coalesce("key", F.lit("")).alias("key"))
+
+
+#: The form of a record (its number modulo 13) and the rule that the form breaks.
+_BROKEN = ((1, "split_ENUM"), (2, "DOC_GROUPS"), (3, "SLOT_NAMES"), (4, "AS_OF_DATE"), (5, "SCHEMA_VERSION"), (6, "ANSWER_AGREES"), (7, "AUTHORED_HASH"), (7, "AUTHORED_PARSER_NAME"), (8, "FACT_SLOTS_LOCK"), (8, "FACT_SLOTS_HASH"), (9, "ROUTES_COVER"), (10, "ROUTE_ALLOWED"), (11, "POINTS_UNIT"), (12, "SLOT_TEXTS"))
+
+
+@query(f"""
+    WITH f AS (SELECT * FROM (VALUES {', '.join(f"({p}, '{rule}')" for p, rule in _BROKEN)}) AS t(p, rule)), q AS (SELECT o_orderkey % 13 AS p, 'q' || o_orderkey AS key FROM orders)
+    SELECT rule, key FROM q JOIN f USING (p)
+""")
+def gold_record_rules(read):
+    """Orders as gold questions with slots, routes and scoring, twelve of thirteen of which break a rule."""
+    k, p = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 13
+    state = F.lit("ALL_REQUIRED_FACT_SLOTS_VERIFIED")
+    strings = lambda *x: F.array(*(F.lit(y) for y in x)) if x else F.array().cast("array<string>")
+    source = F.struct(F.concat(F.lit("d"), k).alias("document_id"), F.when(p == 12, "").otherwise("l").alias("source_locator"), F.col("o_orderpriority").alias("evidence_span"))
+    slot = F.struct(F.lit("a").alias("slot_name"), F.concat(F.lit("order "), k).alias("description"), F.array(source).alias("acceptable_sources"))
+    facts = F.array(F.struct(F.lit("a").alias("slot_name"), F.concat(F.lit("m"), k).alias("metric_code"), F.lit("p").alias("period_key"), F.lit("s").alias("scope")))
+    route = F.struct(state.alias("when"), F.lit("STRUCTURED").alias("preferred_route"), F.when(p == 10, strings("RETRIEVAL")).otherwise(strings("STRUCTURED")).alias("allowed_routes"), strings().alias("required_operations"), strings().alias("forbidden_operations"), F.lit("SUPPORTED").alias("expected_answerability"))
+    run = F.struct(
+        F.when(p == 9, F.array(state, F.lit("PARSE_BLOCKED"))).otherwise(F.array(state)).alias("states"), facts.alias("slots"), F.when(p == 8, F.lit("bad")).otherwise(constraints.slots_sha256(facts)).alias("slots_sha256"), F.when(p == 8, "OPEN").otherwise("GOLD_LOCKED").alias("lock_status"), F.array(route).alias("routes")
+    )
+    x = F.lit("x")
+    authored = F.struct(
+        x.alias("corpus_snapshot_id"), F.when(p == 7, "abc").otherwise(F.sha2(k, 256)).alias("manifest_sha256"), F.when(p == 7, "").otherwise("x").alias("parser_name"), x.alias("parser_version"), x.alias("document_ir_schema_version"), F.lit("0.2.0").alias("semantic_bundle_schema_version"), x.alias("gold_revision")
+    )
+    answer = F.struct(F.when(p == 6, "NOT_FOUND").otherwise("SUPPORTED").alias("status"), F.col("o_totalprice").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("reason_code"))
+    scoring = F.struct(F.when(p == 11, "PERCENTAGE_POINT").otherwise("EXACT").alias("comparator"), F.lit(None).cast("double").alias("tolerance"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("rounding"))
+    rows = read("orders").select(
+        F.concat(F.lit("q"), k).alias("question_id"), F.lit("g").alias("evaluation_group_id"), F.when(p == 1, "TRAIN").otherwise("DEV_TUNE").alias("split"), F.lit("?").alias("question"), F.lit("SIMPLE_LOOKUP").alias("question_type"), F.lit("EASY").alias("difficulty"), F.lit("CLOSED").alias("answer_mode"),
+        F.lit("SUPPORTED").alias("expected_answerability"), F.when(p == 2, strings("odd")).otherwise(strings("periodic")).alias("doc_groups"), F.when(p == 3, F.array(slot, slot)).otherwise(F.array(slot)).alias("required_evidence_slots"), strings().alias("gold_document_ids"), strings().alias("tags"),
+        F.when(p == 4, "2024").alias("as_of_date"), F.when(p == 5, "0.1.0").otherwise("0.2.0").alias("schema_version"), strings().alias("expected_fact_ids"), strings().alias("expected_event_ids"), answer.alias("expected_answer"), authored.alias("authored_against"), run.alias("execution"), scoring.alias("scoring"),
+    )
+    return constraints.gold_record(rows).select("rule", "key")
+
+
+_ASKS = Derived("orders", request_id="o_orderkey", query_id="CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat('q', o_custkey) END", retrieval_method="CASE o_orderpriority WHEN '1-URGENT' THEN 'BM25' WHEN '2-HIGH' THEN 'DENSE' WHEN '3-MEDIUM' THEN 'HYBRID_RRF' WHEN '4-NOT SPECIFIED' THEN 'HYBRID_RRF_RERANKER' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'ODD' ELSE 'BM25' END END",
+                top_k="CAST(o_custkey % 105 AS INT)", index_snapshot_id="CASE WHEN o_orderkey % 9 = 0 THEN 's0' ELSE 's1' END", available="o_orderkey % 10 <> 3", n="o_orderkey % 4", form="o_orderkey % 7")
+
+
+@query(f"""
+    SELECT request_id, CASE WHEN query_id IS NULL OR retrieval_method = 'ODD' OR top_k NOT BETWEEN 1 AND 100 THEN 'RETRIEVER_INVALID_REQUEST' WHEN index_snapshot_id <> 's1' THEN 'RETRIEVER_SNAPSHOT_MISMATCH' WHEN NOT available THEN 'RETRIEVER_UNAVAILABLE'
+        WHEN n > 0 AND (n > top_k OR form = 1 OR n > 1 AND form IN (2, 3)) THEN 'RETRIEVER_INVALID_RESULT' WHEN n > 0 AND form = 4 THEN 'RETRIEVER_REQUEST_RESULT_MISMATCH' ELSE 'OK' END AS code FROM {_ASKS}
+""")
+def retriever_envelope(read):
+    """Orders as requests, with results whose ranks, scores, chunks or queries may be wrong."""
+    asks = _ASKS(read)
+    at, form = F.col("i"), F.col("form")
+    found = asks.filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    rank = F.when((form == 1) & (at == F.col("n")), at + 1).otherwise(at)
+    score = F.when(form == 2, at.cast("double")).otherwise(1.0 / at)
+    chunk = F.when(form == 3, F.lit("c")).otherwise(F.concat(F.lit("c"), at.cast("string")))
+    results = found.select("request_id", F.when(form == 4, "other").otherwise(F.col("query_id")).alias("query_id"), chunk.alias("chunk_id"), rank.alias("rank"), score.alias("score"))
+    return retrieval.envelopes(asks.drop("n", "form"), results, {"index_snapshot_id": "s1"})

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestone.operators import chunking, constraints, coverage, evaluation, facts, ir, ledger, profile, ranking, relations, retrieval, structured
+from lodestone.operators import chunking, constraints, coverage, evaluation, facts, ir, ledger, profile, ranking, relations, responses, retrieval, structured
 from lodestone.operators.components import components
 from lodestone.plans import queries as plans
 from lodestone.sources import readers
@@ -336,7 +336,10 @@ def test_validators(spark):
     bad = constraints.manifest(m)
     assert bad.filter("key <> 'x'").count() == 0 and bad.count() == 7
     r = spark.createDataFrame([("q", '{"question":"q","retrieved_context":[],"think_trace":[],"answer":""}'), ("w", '{"question":"z","more":1}'), ("v", "no")], "question string, response string")
-    assert {(k, x) for x, k, _ in rows(constraints.final_response(r), "rule", "key", "message")} == {("w", "CLOSED"), ("w", "COMPLETE"), ("w", "ECHO"), ("v", "NOT_JSON")}
+    assert rows(responses.problems(r, "question", "response"), "rule", "key", "message") == sorted(
+        [("SCHEMA", "q", "/think_trace type"), ("SCHEMA", "v", "/ value"), ("SCHEMA", "w", "/more additionalProperties"), ("ECHO", "w", "the question is not echoed")]
+        + [("SCHEMA", "w", f"/ required {n}") for n in ("answer", "retrieved_context", "think_trace")], key=repr,
+    )
     lock = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "path string, n_bytes int, sha256 string")
     found = spark.createDataFrame([("a", 2, "x"), ("c", 1, "x")], "path string, n_bytes int, sha256 string")
     assert rows(constraints.release_lock(lock, found), "rule", "key") == [("FILE_LEFT_ONLY", "b"), ("FILE_RIGHT_ONLY", "c"), ("SIZE", "a")]
