@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import policy, text
+from lodestone.functions import policy, text, values
 from lodestone.operators import chunking, constraints, evaluation, facts, handoff, ir, relations, retrieval, structured
 from lodestone.plans.judged import Derived
 from lodestone.plans.queries import _filings, query
@@ -425,3 +425,100 @@ def seed_coverage(read):
     """Of three lines of every document, how many are in a chunk that may be found."""
     seeds = read("documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.explode(F.array(F.lit("n0"), F.lit("n1"), F.lit("n5"))).alias("node_id"))
     return handoff.evidence_coverage(chunking.chunks(_filings(read), chunking.FIXED), seeds)
+
+
+@query("""
+    SELECT conv_id, turn, sha256('say "' || text || '"' || chr(10) || 'end, ' || role) AS text_sha256 FROM conversations
+""")
+def csv_roundtrip(read):
+    """Texts with quotes, commas and line breaks as CSV and back."""
+    rows = read("conversations").select("conv_id", "turn", F.concat(F.lit('say "'), "text", F.lit('"\nend, '), "role").alias("text"))
+    path = folder(rows.sparkSession, "csv")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    return readers.csv(rows.sparkSession, path, rows.schema).select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '한글 é' WHEN 1 THEN '한글' ELSE '�' END || o_orderkey AS text FROM orders")
+def decoded_bytes(read):
+    """Bytes as UTF-8, else as EUC-KR, else as UTF-8 with what cannot be read replaced."""
+    k = F.col(_K)
+    head = F.when(k % 3 == 0, F.encode(F.lit("한글 é"), "UTF-8")).when(k % 3 == 1, F.unhex(F.lit("C7D1B1DB"))).otherwise(F.unhex(F.lit("FF")))
+    return read("orders").select(_K, text.decoded(F.concat(head, F.encode(k.cast("string"), "UTF-8"))).alias("text"))
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT k FROM a) ORDER BY o_totalprice DESC, o_orderkey LIMIT 1),
+    c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT k FROM a UNION ALL SELECT k FROM b) ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)
+    SELECT 'urgent' AS reason, k AS o_orderkey FROM a UNION ALL SELECT 'finished', k FROM b UNION ALL SELECT 'next urgent', k FROM c
+""")
+def representative_orders(read):
+    """One order for each reason, none twice."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    reasons = [("urgent", urgent), ("finished", F.col("o_orderstatus") == "F"), ("next urgent", urgent), ("none", F.lit(False))]
+    return readers.representatives(read("orders"), reasons, _K, [F.col("o_totalprice").desc(), _K]).select("reason", _K)
+
+
+@query("""
+    WITH t AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P')
+    SELECT c AS document_id, string_agg('해지 ' || k, ',' ORDER BY k) AS quotes FROM t WHERE n <= 10 GROUP BY c
+""")
+def termination_wording(read):
+    """The first ten rows of each customer that name a termination."""
+    words = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("해지 "), F.col(_K).cast("string"))).otherwise("계약")
+    rows = read("orders").select(F.col("o_custkey").alias("document_id"), F.col(_K).alias("position"), words.alias("text"))
+    return relations.termination_evidence(rows).select("document_id", F.array_join("quotes", ",").alias("quotes"))
+
+
+@query("""
+    WITH o AS (SELECT 'o' || o_orderkey AS d, o_custkey % 3 AS tier, o_orderkey % 5 AS w, o_orderkey % 7 = 0 AS empty FROM orders)
+    SELECT d AS document_id, tier <> 2 AND NOT empty AS may_find, tier <> 2 AND NOT empty AND w <> 2 AS may_fact, CASE w WHEN 1 THEN 'xml_repair' WHEN 2 THEN 'parse_failed' WHEN 3 THEN 'text_loss' WHEN 4 THEN 'decode_failed' ELSE '' END AS codes FROM o
+""")
+def chunk_eligibility(read):
+    """Which filings may be found, and which may give facts."""
+    return chunking.eligibility(_trees(read).withColumn("tier", F.col("parse_quality.tier"))).select("document_id", "may_find", "may_fact", F.array_join("warning_codes", ",").alias("codes"))
+
+
+@query(rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+    SELECT 'doc_' || doc_id AS document_id, CAST(i AS INTEGER) AS position, CASE WHEN i = 0 THEN 'section' ELSE 'paragraph' END AS kind, CAST(len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS INTEGER) AS n, 'S' || i // 8 AS path FROM l WHERE regexp_matches(line, '\S')
+""")
+def tree_segments(read):
+    """The segments of all documents in order: titles and paragraphs that are not blank, with their tokens."""
+    return chunking.segments(_filings(read)).select("document_id", "position", "kind", F.col("n").cast("int").alias("n"), F.array_join("path", ">").alias("path"))
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS t FROM documents), n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 0 WHEN t <= 512 THEN 1 ELSE CAST(ceil((t - 512) / 448.0) AS BIGINT) + 1 END AS n FROM t WHERE t > 0)
+    SELECT min(n) AS least, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.99) AS p99, max(n) AS most FROM n
+""")
+def chunks_per_document(read):
+    return chunking.per_document(chunking.chunks(_filings(read), chunking.FIXED))
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey AS k, o_orderkey % 6 AS op, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_totalprice END AS a, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE o_totalprice / 2 END AS b, o_custkey % 11 = 0 AS mixed, o_custkey % 13 = 0 AS one FROM orders),
+    e AS (SELECT *, CASE WHEN op > 3 THEN 'UNKNOWN_OPERATION' WHEN op <> 0 AND one THEN 'ARITY' WHEN a IS NULL THEN 'NOT_FINITE' WHEN mixed AND NOT one THEN 'UNIT_MISMATCH' WHEN op = 2 AND b = 0 THEN 'ZERO_DENOMINATOR' WHEN op = 3 AND a = 0 THEN 'ZERO_DENOMINATOR' END AS error FROM i)
+    SELECT k, error, round(CASE WHEN error IS NULL THEN CASE op WHEN 0 THEN CASE WHEN one THEN a ELSE a + b END WHEN 1 THEN a - b WHEN 2 THEN a / b ELSE (b - a) / abs(a) * 100 END END, 6) AS value FROM e
+""")
+def calculator_guards(read):
+    """Sums, differences, ratios and changes of two amounts, and why some cannot be made."""
+    k, c = F.col(_K), F.col("o_custkey")
+    op = F.when(k % 6 == 0, "SUM").when(k % 6 == 1, "DIFF").when(k % 6 == 2, "RATIO").when(k % 6 == 3, "PERCENTAGE_CHANGE").otherwise("MEDIAN")
+    a, b = F.when(c % 7 != 0, F.col("o_totalprice")), F.when(c % 5 == 0, 0.0).otherwise(F.col("o_totalprice") / 2)
+    one = c % 13 == 0
+    inputs = F.when(one, F.array(a)).otherwise(F.array(a, b))
+    units = F.when(one, F.array(F.lit("KRW"))).otherwise(F.array(F.lit("KRW"), F.when(c % 11 == 0, "%").otherwise("KRW")))
+    v = values.calculate(op, inputs, units)
+    return read("orders").select(k.alias("k"), v["error"].alias("error"), F.round(v["value"], 6).alias("value"))
+
+
+@query("""
+    WITH l AS (SELECT 'p' || o_orderkey AS p, o_orderkey % 9 AS f FROM orders)
+    SELECT 'FILE_LEFT_ONLY' AS rule, p AS key FROM l WHERE f = 1 UNION ALL SELECT 'FILE_RIGHT_ONLY', p FROM l WHERE f = 2 UNION ALL SELECT 'SIZE', p FROM l WHERE f = 3 UNION ALL SELECT 'HASH', p FROM l WHERE f IN (3, 4)
+""")
+def release_lock(read):
+    """A lock of files against the files that are there."""
+    k, f = F.concat(F.lit("p"), F.col(_K).cast("string")), F.col(_K) % 9
+    lock = read("orders").filter(f != 2).select(k.alias("path"), F.col("o_custkey").alias("n_bytes"), F.sha2(k, 256).alias("sha256"))
+    there = read("orders").filter(f != 1).select(k.alias("path"), (F.col("o_custkey") + (f == 3).cast("int")).alias("n_bytes"), F.sha2(F.when(f.isin(3, 4), "x").otherwise(k), 256).alias("sha256"))
+    return constraints.release_lock(lock, there).select("rule", "key")
