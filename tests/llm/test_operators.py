@@ -467,7 +467,8 @@ def test_places_in_the_filter_are_even():
 # 8. language model
 
 
-def test_hmm(docs, rows, empty):
+def test_hmm(docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(hmm, "GAIN", 1.0)  # two sweeps
     held = F.col("doc_id") % 5 == 1
     got = hmm.score(docs, held).collect()
     words = [(d, WORD.findall((t or "").translate(LOWER)) + [None]) for d, t, _, _ in rows]
@@ -483,6 +484,7 @@ def test_hmm(docs, rows, empty):
 
 @pytest.mark.parametrize("head", [0, 50, 700])
 def test_hmm_with_a_small_head(docs, monkeypatch, head):
+    monkeypatch.setattr(hmm, "GAIN", 1.0)  # two sweeps
     """Counts that are joined give what broadcast counts give, scores included."""
     key = lambda rows: sorted((str(r["doc_id"]), r["n_known"], r["base_score"], r["score"]) for r in rows)
     held = F.col("doc_id") % 5 == 1
@@ -502,7 +504,8 @@ def test_head_holds_the_commonest_words(docs, monkeypatch):
     assert min(counts.counts) >= every[320] and counts.table.filter(~counts.head).count() == len(every) - len(counts.words)
 
 
-def test_scores_do_not_depend_on_partitions(docs):
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(hmm, "GAIN", 1.0)  # two sweeps
     """Every sweep of the training counts all texts, whatever numbers their rows get."""
     key = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in hmm.score(df, F.col("doc_id") % 5 == 1).collect())
     one, other = key(docs.coalesce(1)), key(docs.repartition(5, "doc_id"))
