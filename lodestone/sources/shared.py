@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folder of each table that save() wrote.
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Threads that write in a session, and the setting before the first of them.
+_WRITERS: WeakKeyDictionary[SparkSession, tuple[int, str]] = WeakKeyDictionary()
+_LOCK = Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +39,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting by which a write deletes its shuffle files, as it was before once no thread of the session writes."""
+    with _LOCK:
+        writers, before = _WRITERS.get(spark, (0, spark.conf.get(_CLEANUP, "false")))
+        _WRITERS[spark] = writers + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            writers, before = _WRITERS.pop(spark)
+            if writers > 1:
+                _WRITERS[spark] = writers - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -40,12 +64,8 @@ def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     by: a column of few values, one folder each, so that a filter on it reads no other files.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
     return out
