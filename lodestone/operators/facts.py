@@ -10,6 +10,7 @@ from lodestone.functions.text import find_date, normal_label, normal_report_fami
 from lodestone.functions.values import metric_unit, value_status
 from lodestone.functions.vocabulary import CORRECTED_DAY, CORRECTED_NAME, CORRECTED_REASON, METRIC_RULES
 from lodestone.operators.ranking import top_per
+from lodestone.sources.shared import save
 
 
 def table_rows(documents: DataFrame) -> DataFrame:
@@ -22,12 +23,16 @@ def table_rows(documents: DataFrame) -> DataFrame:
 
 
 def matched_rows(rows: DataFrame) -> DataFrame:
-    """Rows with each metric whose rule their joined label, or one label alone, satisfies; the rules are eight literals."""
-    labelled = rows.withColumn("row_id", F.xxhash64("document_id", "node_id", "table_at", "row_at"))
-    one = labelled.select("row_id", F.explode(F.concat(F.array(F.array_join("labels", " ")), "labels")).alias("label")).select("row_id", normal_label(F.col("label")).alias("label"))
+    """Rows with each metric whose rule their joined label, or one label alone, satisfies; the rules are eight literals.
+
+    Labels repeat from table to table, so each different one is brought to its form and held against the rules once.
+    """
+    one = rows.withColumn("raw", F.explode(F.concat(F.array(F.array_join("labels", " ")), "labels")))
+    label = normal_label(F.col("raw"))
+    kinds = one.select("raw").distinct().select("raw", label.alias("label"))
     hits = F.array_compact(F.array(*(F.when(F.col("label").rlike(p), F.struct(F.lit(m).alias("metric_code"), F.lit(t).alias("value_type"))) for m, t, p in METRIC_RULES)))
-    found = one.select("row_id", F.explode(hits).alias("m")).select(F.col("row_id").alias("of"), "m.*").distinct()
-    return labelled.join(found, F.col("row_id") == F.col("of")).drop("row_id", "of")
+    kinds = kinds.select("raw", F.explode(hits).alias("m")).select("raw", "m.*")
+    return one.join(kinds, "raw").drop("raw").dropDuplicates(["document_id", "node_id", "table_at", "row_at", "metric_code"])
 
 
 def facts(documents: DataFrame, last: bool = True) -> DataFrame:
@@ -36,8 +41,8 @@ def facts(documents: DataFrame, last: bool = True) -> DataFrame:
     The best table matches most rules, then has most rows, then comes first. A metric's last matching row counts, or its
     first if ``last`` is false.
     """
-    rows = table_rows(documents)
-    hits = matched_rows(rows)
+    rows = save(table_rows(documents), "rows")
+    hits = save(matched_rows(rows), "hits")  # labels are brought to their form once
     size = rows.groupBy("document_id", "node_id", "table_at").agg(F.count("*").alias("n_rows"))
     score = hits.groupBy("document_id", "node_id", "table_at").agg(F.count_distinct("metric_code").alias("n_rules"))
     best = top_per(score.join(size, ["document_id", "node_id", "table_at"]), ["document_id"], [F.col("n_rules").desc(), F.col("n_rows").desc(), "table_at"], 1)
