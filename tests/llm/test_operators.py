@@ -890,6 +890,13 @@ def test_pipeline(spark, docs, rows):
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and multiset(r["doc_id"] for r in last.collect()) == multiset(r["doc_id"] for r in df.collect())
 
 
+def test_pipeline_of_no_documents(spark, empty):
+    import corpus_pipeline as c
+
+    for _, stage in c.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
 def test_pipeline_is_its_plain_stages(spark, table):
     """run() over a whole table against brute force: what is kept, how often, and the ids of the texts in order."""
     import corpus_pipeline as c
@@ -903,7 +910,8 @@ def test_pipeline_is_its_plain_stages(spark, table):
     hit = {x[0] for x in plain_contamination(kept, items) if x[2]}
     kept = {d: t for d, t in kept if d not in hit}
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.col("doc_id").isin(list(kept)))
-    uses = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix(docs).collect() if r["taken"]}
+    own = [(r["doc_id"], r["h"], r["source"], len(WORD.findall(r["text"]))) for r in docs.select("doc_id", F.xxhash64(F.lit(17), "text", "doc_id").alias("h"), "source", "text").collect()]
+    uses = {d: -(-t // n) for (d, _, _, n), t in zip(own, plain_taken(own, mixing.BLOCK_WORDS), strict=True) if t}
     plain, start, rows = Tokenizer.from_file(tokenizer_path()), 0, []
     for d in sorted(kept):
         ids = np.array([*plain.encode(kept[d], add_special_tokens=False).ids, 2], "<u4")
