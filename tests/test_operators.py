@@ -358,6 +358,9 @@ def test_sources(spark, tmp_path):
     assert good.count() == 1 and rows(bad, "raw") == [("not json",)]
     assert rows(readers.csv(spark, str(tmp_path / "c.csv"), schema), "code", "n") == [('0,"1\nx', 3)]
     assert readers.jsonl_directory(spark, str(tmp_path), schema, 1).count() == 1
+    (tmp_path / "b.jsonl").write_text('{"code":"003","n":1}\n{"code":"004","n":2}\n')
+    listed = lambda **limits: [r["code"] for r in readers.jsonl_directory(spark, str(tmp_path), schema, **limits).orderBy("code").collect()]
+    assert (listed(), listed(most=3), listed(per_file=1), listed(per_file=1, most=1)) == (["001", "002", "003", "004"], ["001", "002", "003"], ["001", "003"], ["001"])
     inv = {r["path"].rsplit("/", 1)[1]: r for r in readers.inventory(readers.raw_tree(spark, str(tmp_path))).collect()}
     assert (inv["a.jsonl"]["n_bytes"], inv["a.jsonl"]["n_lines"]) == (43, 3)
     readers.write_jsonl(readers.jsonl(spark, str(tmp_path / "a.jsonl"), schema), str(tmp_path / "out"))
