@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.shared import save
+from lodestone.sources.shared import dealt, save
 
 
 def top_per(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -96,15 +96,18 @@ def quota_unique_anchors(df: DataFrame, bucket: str, key: str, anchors: str, quo
     return out if out is not None else rows.select(bucket, key).limit(0)
 
 
-def earlier(df: DataFrame, same: list[str], fields: list[str], order: list[str], n: int, columns: list[str]) -> DataFrame:
-    """``df`` with ``earlier``: rows before it in ``order`` with the same ``same`` that can be among its n best.
+def earlier(df: DataFrame, same: list[str], fields: list[str], order: list[str], n: int, columns: list[str], of: Column | None = None) -> DataFrame:
+    """``df`` with ``earlier``: rows before it in ``order`` with the same ``same`` that can be among its n best; null where ``of`` does not hold.
 
     For any score that does not fall when more of ``fields`` are equal or the row is later, with ties to the later row:
     for every set of fields the last n rows that agree on them, at most n * 2**len(fields) in all. Rows move once; there is
-    no join, and a window holds n rows.
+    no join, and a window holds n rows. A row that is found again by another set is kept once, so that the rows that the next
+    window sorts stay short.
     """
-    item, sets = F.struct(*columns), []
+    item, (rows,) = F.struct(*columns), dealt((df, same))
     for bits in range(1 << len(fields)):
         by = [*same, *(f for k, f in enumerate(fields) if bits >> k & 1)]
-        sets.append(F.collect_list(item).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)))
-    return df.withColumn("earlier", F.array_distinct(F.concat(*sets)))
+        last = F.collect_list(item).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1))
+        last = last if of is None else F.when(of, last)
+        rows = rows.withColumn("earlier", F.array_distinct(F.concat("earlier", last)) if bits else last)
+    return rows

@@ -16,8 +16,10 @@ def amends_candidates(documents: DataFrame, source: Column, same: list[str], fie
     d_* (candidate) columns, and must not fall when more ``fields`` are equal or the candidate is later. Candidates share
     ``same``, are strictly earlier and score above 0; ties go to the later document.
     """
-    rows = earlier(documents.withColumn("_source", source), same, fields, ["day", "doc_id"], n, documents.columns).filter("_source")
-    pairs = rows.select(*(F.col(c).alias(f"s_{c}") for c in documents.columns), F.explode("earlier").alias("d")).select("*", *(F.col(f"d.{c}").alias(f"d_{c}") for c in documents.columns)).drop("d")
+    own = [c for c in documents.columns if c not in same]
+    rows = earlier(documents.withColumn("_source", source), same, fields, ["day", "doc_id"], n, own, F.col("_source")).filter("_source")
+    pairs = rows.select(*(F.col(c).alias(f"s_{c}") for c in documents.columns), F.explode("earlier").alias("d"))
+    pairs = pairs.select("*", *(F.col(f"d.{c}" if c in own else f"s_{c}").alias(f"d_{c}") for c in documents.columns)).drop("d")
     pairs = pairs.withColumn("score", F.least(F.lit(1.0), score)).filter("score > 0")
     return top_per(pairs, ["s_doc_id"], [F.col("score").desc(), F.col("d_day").desc(), F.col("d_doc_id").desc()], n)
 
