@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vocabulary as v
 from lodestone.functions.values import same_members
-from lodestone.operators.coverage import all_of, set_difference, violations
+from lodestone.operators.coverage import all_of, violations
+from lodestone.sources.shared import dealt
 
 SHA = "^[0-9a-f]{64}$"
 
@@ -272,11 +273,14 @@ def unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def release_lock(lock: DataFrame, found: DataFrame) -> DataFrame:
-    """Differences between a lock (path, n_bytes, sha256) and what is there."""
-    sides = set_difference(lock, found, "path").select(F.concat(F.lit("FILE_"), "side").alias("rule"), F.col("path").alias("key"), F.lit("stands on one side only").alias("message"))
+    """Differences between a lock (path, n_bytes, sha256) and what is there; a task holds bounded parts of both, by path."""
     here = found.select(F.col("path").alias("p"), F.col("n_bytes").alias("b"), F.col("sha256").alias("h"))
-    both = lock.join(here, F.col("path") == F.col("p"))
-    changed = violations(both, "path", {"SIZE": (F.col("n_bytes") != F.col("b"), "size differs"), "HASH": (F.col("sha256") != F.col("h"), "hash differs")})
+    lock, here = dealt((lock.select("path", "n_bytes", "sha256"), ["path"]), (here, ["p"]))
+    same = F.col("path") == F.col("p")
+    left = lock.join(here, same, "left_anti").select("path").distinct().select(F.lit("FILE_LEFT_ONLY").alias("rule"), F.col("path").alias("key"))
+    right = here.join(lock, same, "left_anti").select("p").distinct().select(F.lit("FILE_RIGHT_ONLY").alias("rule"), F.col("p").alias("key"))
+    sides = left.unionByName(right).withColumn("message", F.lit("stands on one side only"))
+    changed = violations(lock.join(here, same), "path", {"SIZE": (F.col("n_bytes") != F.col("b"), "size differs"), "HASH": (F.col("sha256") != F.col("h"), "hash differs")})
     return all_of(sides, changed)
 
 

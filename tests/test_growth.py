@@ -33,3 +33,11 @@ def test_earlier_rows_stand_once_and_only_where_asked(spark, small_parts):
     assert got.rdd.getNumPartitions() == 20  # as many as the rows need
     by = {r["k"]: r["earlier"] for r in got.collect()}
     assert by[1] is None and [x["k"] for x in by[9]] == [7, 8]
+
+
+def test_release_lock_joins_bounded_parts(spark, small_parts):
+    lock = spark.range(3000).selectExpr("concat('p', id) AS path", "id AS n_bytes", "'h' AS sha256")
+    there = spark.range(1, 3001).selectExpr("concat('p', id) AS path", "id + CAST(id = 5 AS long) AS n_bytes", "'h' AS sha256")
+    got = constraints.release_lock(lock, there)
+    assert moves(got) and all(", 30), REPARTITION_BY_NUM" in x for x in moves(got))
+    assert sorted((r["rule"], r["key"]) for r in got.collect()) == [("FILE_LEFT_ONLY", "p0"), ("FILE_RIGHT_ONLY", "p3000"), ("SIZE", "p5")]
