@@ -41,3 +41,9 @@ def test_release_lock_joins_bounded_parts(spark, small_parts):
     got = constraints.release_lock(lock, there)
     assert moves(got) and all(", 30), REPARTITION_BY_NUM" in x for x in moves(got))
     assert sorted((r["rule"], r["key"]) for r in got.collect()) == [("FILE_LEFT_ONLY", "p0"), ("FILE_RIGHT_ONLY", "p3000"), ("SIZE", "p5")]
+
+
+def test_facts_move_matched_rows_once(spark):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    got = facts.facts(filings._contracts(read))
+    assert len([x for x in moves(got) if "document_id" in x]) == len(moves(got)) == 1
