@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.constraints import unique
 from lodestone.operators.coverage import all_of, violations
 from lodestone.operators.evaluation import leakage
+from lodestone.sources.shared import dealt
 
 #: What an anchored question waits for. Fixed values.
 CLOSURE, PROVISIONAL = "RELATION_CHAIN_CLOSURE", "PROVISIONAL_UNTIL_CHAIN_CLOSURE"
@@ -22,22 +23,26 @@ def queue(rows: DataFrame, documents: DataFrame, coverage: DataFrame) -> DataFra
 
     rows: (assignment_id, evaluation_group_id, question_draft, gold_status, planned_split, split_lock_status, authoring_status,
     anchors, known_chain_ids, dependencies, tags, blocked: arrays); documents: (document_id); coverage: (document_id, state).
-    Groups, anchors and chains must not stand in several splits. Anchors and chains are looked up one by one, each row once.
+    Groups, anchors and chains must not stand in several splits. Anchors and chains are looked up one by one, each row once;
+    what an anchor decides is judged where the anchors of a row meet again, so that whole rows need not move.
     """
     anchored, chained, lock = F.size("anchors") > 0, F.size("known_chain_ids") > 0, F.col("split_lock_status")
-    # rows are known by their content, since ids may repeat
-    held = rows.withColumn("_row", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
     failed = coverage.filter(F.col("state") == "PARSE_FAILED").select("document_id").distinct()
-    hits = held.select("_row", F.posexplode("anchors").alias("at", "document_id")).join(failed, "document_id", "left_semi").groupBy(F.col("_row").alias("b_row"))
-    now = hits.agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "document_id"))), lambda x: x["document_id"]).alias("b_now"))
-    held = held.join(now, F.col("_row") == F.col("b_row"), "left")
-    is_blocked = F.col("b_now").isNotNull()
+    # rows are known by their content, since ids may repeat; copies of a row are counted
+    own = F.unhex(F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    held = rows.select(own.alias("_row"), "assignment_id", "authoring_status", F.array_contains("tags", "parse_blocked").alias("tagged"), "blocked", F.posexplode("anchors").alias("at", "document_id"))
+    (hits,) = dealt((held.join(failed, "document_id", "left_semi"), ["_row"]), rows=rows.count())
+    hits = hits.groupBy("_row", "assignment_id", "authoring_status", "tagged", "blocked").agg(F.array_sort(F.collect_set(F.struct("at", "document_id"))).alias("b_now"), F.count("*").alias("n"))
+    hits = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / F.size("b_now")).cast("int"))))
+    now = F.transform("b_now", lambda x: x["document_id"])
+    blocked = {
+        "BLOCKED_STATUS": (~F.col("authoring_status").eqNullSafe("PARSE_BLOCKED"), "an anchor's parse failed, so it is blocked"),
+        "BLOCKED_TAG": (~F.coalesce("tagged", F.lit(False)), "a blocked question has the tag"),
+        "BLOCKED_ANCHORS": (~F.col("blocked").eqNullSafe(now), "the blocked anchors are not those of now"),
+    }
     rules = {
         "QUESTION": (F.col("question_draft").isNull() | (F.col("question_draft") == "") | F.col("evaluation_group_id").isNull(), "a question and its group are needed"),
         "GOLD_STATUS": (~F.col("gold_status").eqNullSafe("NOT_STARTED"), "a queued question is not gold"),
-        "BLOCKED_STATUS": (is_blocked & ~F.col("authoring_status").eqNullSafe("PARSE_BLOCKED"), "an anchor's parse failed, so it is blocked"),
-        "BLOCKED_TAG": (is_blocked & ~F.coalesce(F.array_contains("tags", "parse_blocked"), F.lit(False)), "a blocked question has the tag"),
-        "BLOCKED_ANCHORS": (is_blocked & ~F.col("blocked").eqNullSafe(F.col("b_now")), "the blocked anchors are not those of now"),
         "ANCHORED_IS_PROVISIONAL": (anchored & ~chained & (lock != PROVISIONAL), "an anchored split stays provisional until its chain is closed"),
         "ANCHORED_WAITS": (anchored & ~F.coalesce(F.array_contains("dependencies", CLOSURE), F.lit(False)), "an anchored question waits for its chain"),
         "ANCHORLESS_LOCK": (~anchored & (lock != "LOCKED_BY_COVERAGE"), "a question without anchors is locked by coverage"),
@@ -49,7 +54,8 @@ def queue(rows: DataFrame, documents: DataFrame, coverage: DataFrame) -> DataFra
     for kind, column in (("ANCHOR", "anchors"), ("CHAIN", "known_chain_ids")):
         leaks = leaks.unionByName(leakage(rows.select("planned_split", F.explode(column).alias("of")), "planned_split", {kind: "of"}))
     return all_of(
-        violations(held, "assignment_id", rules),
+        violations(rows, "assignment_id", rules),
+        violations(hits, "assignment_id", blocked),
         unique(rows, "assignment_id"),
         _told(unknown, "ANCHOR_UNKNOWN", "assignment_id", "an anchor is not in the corpus"),
         leaks.select(F.concat(F.col("kind"), F.lit("_LEAKS")).alias("rule"), "key", F.array_join("splits", ",").alias("message")),

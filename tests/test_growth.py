@@ -47,3 +47,15 @@ def test_facts_move_matched_rows_once(spark):
     read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
     got = facts.facts(filings._contracts(read))
     assert len([x for x in moves(got) if "document_id" in x]) == len(moves(got)) == 1
+
+
+def test_copies_of_a_queued_row_count_and_whole_rows_stay(spark):
+    none = "CAST(array() AS array<string>)"
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "assignment_id string").selectExpr(
+        "*", "'g' AS evaluation_group_id", "'?' AS question_draft", "'NOT_STARTED' AS gold_status", "'DEV' AS planned_split", "'PROVISIONAL_UNTIL_CHAIN_CLOSURE' AS split_lock_status", "'OPEN' AS authoring_status",
+        "array('d1', 'd2') AS anchors", f"{none} AS known_chain_ids", "array('RELATION_CHAIN_CLOSURE') AS dependencies", f"{none} AS tags", "array('d1', 'd2') AS blocked",
+    )
+    docs = spark.createDataFrame([("d1", "PARSE_FAILED"), ("d2", "PARSE_FAILED")], "document_id string, state string")
+    got = handoff.queue(rows, docs, docs)
+    assert not re.search(r"Join \[_row", plan(got))
+    assert sorted((r["rule"], r["key"]) for r in got.collect()) == [("ASSIGNMENT_ID_UNIQUE", "a"), ("BLOCKED_STATUS", "a"), ("BLOCKED_STATUS", "a"), ("BLOCKED_STATUS", "b"), ("BLOCKED_TAG", "a"), ("BLOCKED_TAG", "a"), ("BLOCKED_TAG", "b")]
