@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.functions.vocabulary import METHOD_PARTS
-from lodestone.sources.shared import save
+from lodestone.sources.shared import dealt, save
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors in one block of a dense search, and numbers in them, at most.
@@ -309,8 +309,9 @@ def envelopes(requests: DataFrame, results: DataFrame, pinned: dict[str, str]) -
 
     requests: (request_id, query_id, retrieval_method, top_k, the names of ``pinned``, available: whether there is a retriever
     for it); results: (request_id, query_id, chunk_id, rank, score). A request is checked before its results; no retriever is
-    not the same as no results. Each table moves once.
+    not the same as no results. Each table moves once, by request, in parts of a bounded number of rows.
     """
+    requests, results = dealt((requests, ["request_id"]), (results, ["request_id"]))
     missing = F.lit(False)
     for name in ("request_id", "query_id", "retrieval_method", *pinned):
         missing |= F.col(name).isNull() | (F.col(name).cast("string") == "")

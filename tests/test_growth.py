@@ -59,3 +59,11 @@ def test_copies_of_a_queued_row_count_and_whole_rows_stay(spark):
     got = handoff.queue(rows, docs, docs)
     assert not re.search(r"Join \[_row", plan(got))
     assert sorted((r["rule"], r["key"]) for r in got.collect()) == [("ASSIGNMENT_ID_UNIQUE", "a"), ("BLOCKED_STATUS", "a"), ("BLOCKED_STATUS", "a"), ("BLOCKED_STATUS", "b"), ("BLOCKED_TAG", "a"), ("BLOCKED_TAG", "a"), ("BLOCKED_TAG", "b")]
+
+
+def test_envelopes_join_bounded_parts(spark, small_parts):
+    asks = spark.range(2000).selectExpr("id AS request_id", "'q' AS query_id", "'BM25' AS retrieval_method", "5 AS top_k", "'s' AS snapshot", "true AS available")
+    found = spark.range(2000).selectExpr("id AS request_id", "'q' AS query_id", "'c' AS chunk_id", "1 + CAST(id = 7 AS int) AS rank", "1.0D AS score")
+    got = retrieval.envelopes(asks, found, {"snapshot": "s"})
+    assert {x for x in moves(got) if ", 20), REPARTITION_BY_NUM" not in x} == set()
+    assert [r["request_id"] for r in got.filter("code <> 'OK'").collect()] == [7]
