@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ids import stable_id
 from lodestone.functions.vocabulary import WARNING_POLICY
+from lodestone.sources.shared import dealt
 
 
 def file_format(content_format: Column, path: Column) -> Column:
@@ -72,11 +73,15 @@ def blocks(documents: DataFrame) -> DataFrame:
 
 
 def section_parents(blocks_: DataFrame) -> DataFrame:
-    """Blocks with the section of their path; if a path names several, the last of the whole document."""
-    sections = blocks_.filter("kind = 'section'").groupBy("document_id", F.col("section_path").alias("path")).agg(F.max_by("node_id", "position").alias("parent_id"))
+    """Blocks with the section of their path; if a path names several, the last of the whole document.
+
+    All columns move and are sorted by document and path, in parts of a bounded number of rows; leave out what is not needed.
+    """
     path = F.when(F.col("kind") == "section", F.slice("section_path", F.lit(1), F.greatest(F.size("section_path") - 1, F.lit(0)))).otherwise(F.col("section_path"))
-    rows = blocks_.withColumn("of", path).withColumnRenamed("document_id", "doc")
-    return rows.join(sections, (F.col("doc") == F.col("document_id")) & (F.col("of") == F.col("path")), "left").drop("document_id", "path", "of").withColumnRenamed("doc", "document_id")
+    named = blocks_.filter("kind = 'section'").select(F.col("document_id").alias("of_doc"), F.col("section_path").alias("of_path"), "node_id", "position")
+    rows, named = dealt((blocks_.withColumn("of", path), ["document_id", "of"]), (named, ["of_doc", "of_path"]), rows=blocks_.count())
+    sections = named.groupBy("of_doc", "of_path").agg(F.max_by("node_id", "position").alias("parent_id"))
+    return rows.join(sections, (F.col("document_id") == F.col("of_doc")) & (F.col("of") == F.col("of_path")), "left").drop("of_doc", "of_path", "of")
 
 
 def coverage(documents: DataFrame) -> DataFrame:

@@ -124,8 +124,8 @@ def tree_files(read):
 """)
 def tree_blocks(read):
     """Nodes as blocks with header and body rows, each with the last section of its path."""
-    rows = ir.section_parents(ir.blocks(_trees(read)))
-    return rows.select("document_id", "position", "node_id", "kind", F.array_join("section_path", ">").alias("path"), F.size("header_rows").alias("n_header"), F.size("body_rows").alias("n_body"), "n_chars", "parent_id")
+    blocks = ir.blocks(_trees(read)).select("document_id", "position", "node_id", "kind", "section_path", F.size("header_rows").alias("n_header"), F.size("body_rows").alias("n_body"), "n_chars")
+    return ir.section_parents(blocks).select("document_id", "position", "node_id", "kind", F.array_join("section_path", ">").alias("path"), "n_header", "n_body", "n_chars", "parent_id")
 
 
 @query("""

@@ -67,3 +67,10 @@ def test_envelopes_join_bounded_parts(spark, small_parts):
     got = retrieval.envelopes(asks, found, {"snapshot": "s"})
     assert {x for x in moves(got) if ", 20), REPARTITION_BY_NUM" not in x} == set()
     assert [r["request_id"] for r in got.filter("code <> 'OK'").collect()] == [7]
+
+
+def test_tree_blocks_move_without_cells(spark, small_parts):
+    got = plans.QUERIES["tree_blocks"](spark, SF)
+    sorted_ = re.findall(r"Exchange hashpartitioning\(document_id\S+, of\S+, (\d+)\)", plan(got))
+    assert sorted_ and int(sorted_[0]) > 8  # as many as the blocks need
+    assert "body_rows" not in plan(ir.section_parents(ir.blocks(filings._trees(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))).select("document_id", "position", "node_id", "kind", "section_path")))
