@@ -19,7 +19,7 @@ from lodestone.functions.text import TOKEN, auxiliary_row, canonical_text, linea
 from lodestone.functions.vocabulary import CHUNK_TYPES
 from lodestone.operators.constraints import chunk_parents, unique
 from lodestone.operators.coverage import all_of, violations
-from lodestone.sources.shared import save
+from lodestone.sources.shared import parts, save
 
 #: Parameters of the strategies: fixed values of the source format.
 FIXED = {"id": "fixed-token-512-o64.v0.1.0", "strategy": "fixed-token", "max_tokens": 512, "overlap": 64}
@@ -42,14 +42,15 @@ def token_windows(df: DataFrame, key: str, text: str, most: int = 512, overlap:
     return rows.select(key, F.col("window").cast("int").alias("window"), start.cast("int").alias("token_start"), F.least(start + most, F.col("n")).cast("int").alias("token_end"))
 
 
-def pack(df: DataFrame, by: list[str], order: list[str], n: str, most: int, most_segments: int, name: str = "pack") -> DataFrame:
+def pack(df: DataFrame, by: list[str], order: list[str], n: str, most: int, most_segments: int, name: str = "pack", placed: bool = False) -> DataFrame:
     """``df`` with two more columns: the number of each row's pack in its group (``name``), and how many packs it takes (``name``_windows).
 
     Rows of a group, in order, fill packs of at most ``most`` tokens and ``most_segments`` rows. A row with more tokens
     closes the pack before it and becomes packs of its own, of which ``name`` is the first. One sorted pass: a task holds
-    a batch and the state of the open pack, however large a group is.
+    a batch and the state of the open pack, however large a group is. placed: no group has rows in two partitions of ``df``.
     """
-    rows = df.withColumn("_group", F.xxhash64(*by)).repartition("_group").sortWithinPartitions("_group", *order)
+    rows = df.withColumn("_group", F.xxhash64(*by))
+    rows = (rows if placed else rows.repartition("_group")).sortWithinPartitions("_group", *order)
     schema = rows.withColumns({name: F.lit(0).cast("long"), f"{name}_windows": F.lit(0).cast("long")}).schema
     names = schema.names
 
@@ -122,14 +123,18 @@ def _cut(rows: DataFrame, pieces: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("made", "text", "n")], F.explode("made").alias("m")).select("*", "m.no", "m.n", "m.text").drop("m")
 
 
-def windows(rows: DataFrame, by: list[str], most: int, overlap: int) -> DataFrame:
-    """The pieces of each group's token windows: rows with ``first``, ``no`` (the window's number), the piece's text and tokens."""
-    step = max(1, most - overlap)
+def windows(rows: DataFrame, by: list[str], most: Column, overlap: Column) -> DataFrame:
+    """The pieces of each group's token windows: rows with ``first``, ``no`` (the window's number), the piece's text and tokens.
+
+    most, overlap: the same for all rows of a group.
+    """
+    step = F.greatest(F.lit(1), most - overlap)
+    n_windows = lambda n: F.when(n <= 0, 0).when(n <= most, 1).otherwise(F.ceil((n - most) / step.cast("double")).cast("int") + 1)
     group = Window.partitionBy("document_id", *by)
     rows = _led(rows, by).withColumn("total", F.sum("n").over(group))
     rows = rows.withColumn("before", F.sum("n").over(group.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    low = F.greatest(F.lit(0), F.floor((F.col("before") - most) / F.lit(float(step))) + 1)
-    high = F.least(window_count(F.col("total"), most, overlap) - 1, F.floor((F.col("before") + F.col("n") - 1) / F.lit(float(step))))
+    low = F.greatest(F.lit(0), F.floor((F.col("before") - most) / step.cast("double")) + 1)
+    high = F.least(n_windows(F.col("total")) - 1, F.floor((F.col("before") + F.col("n") - 1) / step.cast("double")))
     place = lambda w: F.struct(w.alias("no"), F.greatest(F.lit(0), w * step - F.col("before")).cast("int").alias("a"), F.least(F.col("n"), w * step + most - F.col("before")).cast("int").alias("z"))
     return _cut(rows, F.transform(F.sequence(low.cast("long"), high.cast("long")), place)).drop("total", "before")
 
@@ -168,35 +173,41 @@ def _assembled(pieces: DataFrame, stage: int, half: int, kind: Column, role: Col
     return rows.select("document_id", "doc_group", "tier", F.lit(stage).alias("stage"), "first", F.lit(half).alias("half"), F.col("no").cast("long").alias("no"), kind.alias("chunk_type"), role.alias("index_role"), "raw_text", "n_tokens", "section_path", "source_spans", "parent")
 
 
-def _tree(rows: DataFrame, config: dict) -> DataFrame:
+def _tree(rows: DataFrame, config: dict, n: int) -> list[DataFrame]:
+    """Rows lie in n parts by document; packs are numbered there, and then the rows move to the same parts, since Spark does not
+    know where rows that come from Python are."""
+
+    def packed(rows: DataFrame, by: list[str], tokens: str, segments: str, name: str) -> DataFrame:
+        return pack(rows, ["document_id", *by], _PLACE, "n", config[tokens], config[segments], name, placed=True).repartition(n, "document_id")
+
     periodic = F.col("doc_group") == "periodic"
     prose = _led(rows.filter("kind <> 'row'").withColumn("within", F.when(periodic, F.col("path"))), ["file", "within"])
-    prose = pack(prose, ["document_id", "file", "within"], _PLACE, "n", config["parent_tokens"], config["parent_segments"], "top").withColumnRenamed("first", "top_first")
+    prose = packed(prose, ["file", "within"], "parent_tokens", "parent_segments", "top").withColumnRenamed("first", "top_first")
     kind = F.when(periodic, "SECTION_PARENT").when(F.col("doc_group") == "holding", "HOLDING_STATUS_PARENT").otherwise("EVENT_PARENT")
     tops = _assembled(pack_pieces(prose.withColumnRenamed("top_first", "first"), "top", config["parent_tokens"]), 0, 0, kind, F.lit("CONTEXT_ONLY"))
     paragraphs = _led(prose.filter("kind <> 'section'"), ["file", "path"])
-    paragraphs = pack(paragraphs, ["document_id", "file", "path"], _PLACE, "n", config["child_tokens"], config["child_segments"])
+    paragraphs = packed(paragraphs, ["file", "path"], "child_tokens", "child_segments", "pack")
     children = _assembled(pack_pieces(paragraphs, "pack", config["child_tokens"]), 1, 0, F.when(periodic, "PARAGRAPH_CHILD").otherwise("FIELD_GROUP_CHILD"), F.lit("RETRIEVAL"), _key(0, F.col("top_first"), 0, F.col("top")))
-    table = pack(_led(rows.filter("kind = 'row'"), ["node_id"]), ["document_id", "node_id"], _PLACE, "n", config["parent_tokens"], config["parent_segments"], "whole")
+    table = packed(_led(rows.filter("kind = 'row'"), ["node_id"]), ["node_id"], "parent_tokens", "parent_segments", "whole")
     wholes = _assembled(pack_pieces(table, "whole", config["parent_tokens"]), 2, 0, F.lit("TABLE_WHOLE"), F.lit("CONTEXT_ONLY"))
-    lines = pack_pieces(pack(table, ["document_id", "node_id"], _PLACE, "n", config["row_tokens"], config["rows"]), "pack", config["row_tokens"])
+    lines = pack_pieces(packed(table, ["node_id"], "row_tokens", "rows", "pack"), "pack", config["row_tokens"])
     lines = _assembled(lines, 2, 1, F.lit("TABLE_ROW"), F.when(auxiliary_row(F.col("raw_text")), "CONTEXT_ONLY").otherwise("RETRIEVAL"), _key(2, F.col("first"), 0, F.col("whole")))
-    return tops.unionByName(children).unionByName(wholes).unionByName(lines)
+    return [tops, children, wholes, lines]
 
 
 def _parents(made: DataFrame) -> DataFrame:
     """``made`` with parent_chunk_id: of the parent by segments, else of the first top chunk of the same section path, else of
-    the first one that shares a file. Only whole tables need the latter two."""
-    key = F.struct("stage", "first", "half", "no")
-    tops = made.filter("stage = 0").select("document_id", key.alias("key"), "section_path", F.array_distinct(F.transform("source_spans", lambda s: s["file"])).alias("files"))
-    by_path = tops.groupBy(F.col("document_id").alias("p_doc"), F.col("section_path").alias("p_path")).agg(F.min("key").alias("by_path"))
-    by_file = tops.select(F.col("document_id").alias("f_doc"), "key", F.explode("files").alias("f_file")).groupBy("f_doc", "f_file").agg(F.min("key").alias("by_file"))
-    lost = made.filter("stage = 2 and half = 0").select("document_id", "chunk_index", "section_path", F.get(F.transform("source_spans", lambda s: s["file"]), F.lit(0)).alias("file"))
-    lost = lost.join(by_path, (F.col("document_id") == F.col("p_doc")) & (F.col("section_path") == F.col("p_path")), "left").join(by_file, (F.col("document_id") == F.col("f_doc")) & (F.col("file") == F.col("f_file")), "left")
-    lost = lost.select(F.col("document_id").alias("l_doc"), F.col("chunk_index").alias("l_index"), F.coalesce("by_path", "by_file").alias("found"))
-    rows = made.join(lost, (F.col("document_id") == F.col("l_doc")) & (F.col("chunk_index") == F.col("l_index")), "left").withColumn("parent", F.coalesce("parent", "found"))
-    ids = made.filter("index_role = 'CONTEXT_ONLY'").select(F.col("document_id").alias("i_doc"), key.alias("i_key"), F.col("chunk_id").alias("parent_chunk_id"))
-    return rows.join(ids, (F.col("document_id") == F.col("i_doc")) & (F.col("parent") == F.col("i_key")), "left")
+    the first one that shares a file. Only whole tables need the latter two. All windows are within a document, where its
+    chunks lie, so that no text moves.
+    """
+    key, file = F.struct("stage", "first", "half", "no"), F.get("source_spans", F.lit(0))["file"]  # a top chunk has one file
+    top = F.when((F.col("stage") == 0) & (F.col("index_role") != "AUDIT_ONLY"), F.struct(key.alias("key"), "chunk_id"))
+    rows = made.withColumn("by_path", F.min(top).over(Window.partitionBy("document_id", "section_path"))).withColumn("file", file)
+    rows = rows.withColumn("by_file", F.when(F.col("file").isNotNull(), F.min(top).over(Window.partitionBy("document_id", "file"))))
+    rows = rows.withColumn("of", F.coalesce("parent", key))
+    own = F.max(F.when((F.col("index_role") == "CONTEXT_ONLY") & (key == F.col("of")), F.col("chunk_id"))).over(Window.partitionBy("document_id", "of"))
+    lost = F.when((F.col("stage") == 2) & (F.col("half") == 0), F.coalesce("by_path", "by_file")["chunk_id"])
+    return rows.withColumn("own", own).withColumn("parent_chunk_id", F.when(F.col("parent").isNotNull(), F.col("own")).otherwise(lost)).drop("by_path", "by_file", "file", "of", "own")
 
 
 def _optional(documents: DataFrame, name: str, kind: str = "string") -> Column:
@@ -234,30 +245,33 @@ def chunks(documents: DataFrame, config: dict = TREE, rows: DataFrame | None = N
     Documents without nodes have none; documents of the fallback tier have audit chunks only, windows over the whole
     document. Chunk ids are made of the document, the strategy, the chunk's number and its text. Columns listed_name,
     corp_name, filer_name, report_name, warnings and source_files of ``documents`` are used if they are there.
-    rows: their segments(), if they were made before (for several strategies they need to be made once only).
+    rows: their segments(), if they were made before (for several strategies they need to be made once only). Segments move
+    to the part of their document, where windows, chunks and their numbers are made without moving text again.
     """
-    rows = segments(documents) if rows is None else rows
-    audit = rows.filter("tier = 'fallback'").withColumn("all", F.lit(0))
-    out = _assembled(windows(audit, ["all"], 512, 0), 0, 0, F.lit("DOCUMENT_FALLBACK"), F.lit("AUDIT_ONLY"))
-    rows = rows.filter("tier is null or tier <> 'fallback'")
+    n = parts(documents.sparkSession, (documents.agg(F.sum(F.size("nodes"))) if rows is None else rows.agg(F.count("*"))).first()[0] or 0)
+    rows = (segments(documents) if rows is None else rows).repartition(n, "document_id")
+    audit = F.col("tier").eqNullSafe("fallback")
     if config["strategy"] == "hierarchical":
-        out = out.unionByName(_tree(rows, config))
+        whole = windows(rows.filter(audit).withColumn("all", F.lit(0)), ["all"], F.lit(512), F.lit(0))
+        made = [_assembled(whole, 0, 0, F.lit("DOCUMENT_FALLBACK"), F.lit("AUDIT_ONLY")), *_tree(rows.filter(~audit), config, n)]
+        out = all_of(*(x.coalesce(n) for x in made))  # by which Spark unites them as they are, in whatever parts they lie
     else:
         flat = config["strategy"] == "fixed-token"
-        made = windows(rows, ["file"] if flat else ["file", "path"], config["max_tokens"], config["overlap"])
-        out = out.unionByName(_assembled(made, 0, 0, F.lit("FIXED_WINDOW" if flat else "SECTION_FLAT"), F.lit("RETRIEVAL")))
+        rows = rows.withColumn("of_file", F.when(~audit, F.col("file"))).withColumn("of_path", F.when(~audit, F.lit(None).cast("array<string>") if flat else F.col("path")))
+        made = windows(rows, ["of_file", "of_path"], F.when(audit, 512).otherwise(config["max_tokens"]), F.when(audit, 0).otherwise(config["overlap"]))
+        out = _assembled(made, 0, 0, F.when(audit, "DOCUMENT_FALLBACK").otherwise("FIXED_WINDOW" if flat else "SECTION_FLAT"), F.when(audit, "AUDIT_ONLY").otherwise("RETRIEVAL"))
     index = F.row_number().over(Window.partitionBy("document_id").orderBy(*_ORDER)) - 1
     digest = F.sha2("raw_text", 256)
     out = out.withColumn("chunk_index", index.cast("int")).withColumn("content_sha256", digest)
     name = F.concat_ws("\0", "document_id", F.lit(config["id"]), F.col("chunk_index").cast("string"), "raw_text")
     out = out.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.left(F.sha2(name, 256), F.lit(24))))
     if config["strategy"] == "hierarchical":
-        out = _parents(save(out, "chunks"))
+        out = _parents(out)
     else:
         out = out.withColumn("parent_chunk_id", F.lit(None).cast("string"))
     company = F.coalesce(*(_optional(documents, c) for c in ("listed_name", "corp_name", "filer_name")))
     about = eligibility(documents).join(documents.select(F.col("document_id").alias("a_doc"), company.alias("company"), _optional(documents, "report_name").alias("report")), F.col("document_id") == F.col("a_doc"))
-    out = out.join(about.withColumnRenamed("document_id", "e_doc").drop("a_doc"), F.col("document_id") == F.col("e_doc"))
+    out = out.join(about.withColumnRenamed("document_id", "e_doc").drop("a_doc").repartition(n, "e_doc"), F.col("document_id") == F.col("e_doc"))
     embedded = embed_text(F.col("company"), F.col("report"), F.col("chunk_type"), F.col("section_path"), F.col("raw_text"))
     seen = F.col("index_role") != "CONTEXT_ONLY"
     out = out.withColumn("embed_text", embedded)
@@ -307,7 +321,8 @@ def duplicates(chunks_: DataFrame) -> DataFrame:
 
 def problems(chunks_: DataFrame) -> DataFrame:
     """(rule, key, message) of what breaks a batch of chunks before it goes out: closed types, counts, hashes of texts, repeated
-    ids and places, gaps in the places of a document, parents that are not in it."""
+    ids and places, gaps in the places of a document, parents that are not in it. Texts are judged in one pass; what is left of
+    the chunks without them is written once for all rules."""
     key = "chunk_id"
     rules = {
         "CHUNK_ID": (F.col(key).isNull() | (F.col(key) == ""), "chunk_id is missing"),
@@ -317,6 +332,8 @@ def problems(chunks_: DataFrame) -> DataFrame:
         "CONTENT_HASH": (~F.col("content_sha256").eqNullSafe(F.sha2("raw_text", 256)), "content_sha256 is not that of the text"),
         "EMBED_HASH": (~F.col("embed_sha256").eqNullSafe(F.sha2("embed_text", 256)), "embed_sha256 is not that of the text"),
     }
+    chunks_ = save(chunks_.select(key, "document_id", "chunk_index", "parent_chunk_id", *(bad.alias(f"breaks_{name}") for name, (bad, _) in rules.items())), "judged")
+    rules = {name: (F.col(f"breaks_{name}"), message) for name, (_, message) in rules.items()}
     places = chunks_.groupBy("document_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("d"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
     gaps = places.filter("d <> n or low <> 0 or high <> n - 1").select(F.lit("PLACES").alias("rule"), F.col("document_id").alias("key"), F.lit("places must be 0 to n - 1, once each").alias("message"))
     return all_of(violations(chunks_, key, rules), unique(chunks_, key), gaps, chunk_parents(chunks_))

@@ -74,3 +74,18 @@ def test_tree_blocks_move_without_cells(spark, small_parts):
     sorted_ = re.findall(r"Exchange hashpartitioning\(document_id\S+, of\S+, (\d+)\)", plan(got))
     assert sorted_ and int(sorted_[0]) > 8  # as many as the blocks need
     assert "body_rows" not in plan(ir.section_parents(ir.blocks(filings._trees(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))).select("document_id", "position", "node_id", "kind", "section_path")))
+
+
+def test_segments_move_once_for_windows(spark):
+    docs = plans._filings(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))
+    segments = shared.save(chunking.segments(docs), "segments")
+    text = [x for x in moves(chunking.chunks(docs, chunking.FIXED, segments)) if "e_doc" not in x and "a_doc" not in x]
+    assert len([x for x in text if "REPARTITION_BY_NUM" in x]) == 1 and len(text) <= 2  # the other one is of what is known of documents
+
+
+def test_problems_read_texts_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(chunking, "save", lambda df, name: kept.append(df.columns) or shared.save(df, name))
+    docs = plans._filings(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))
+    assert chunking.problems(chunking.chunks(docs, chunking.TREE)).count() == 0
+    assert len(kept) == 1 and "raw_text" not in kept[0] and "embed_text" not in kept[0]
