@@ -40,6 +40,8 @@ BUCKET_BITS, CHUNKS = 18, 64
 MOST_SMALL, SHORT, LIST, GROUP = 256, 16, 4096, 1000
 #: Members of a list that are compared with all others at once.
 AT_ONCE = 32
+#: Bytes of texts, and heads of sets, that a task works on at once: what it holds meanwhile is some sixty times the texts.
+TEXT_BYTES, HEADS = 500_000, 128
 #: Bits of the fixed-size filter of the classes whose sets a pass needs.
 FILTER_BITS = 1 << 24
 _LEVEL = 58
@@ -86,7 +88,7 @@ def _levels(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in in_rows(batches, "text", 4_000_000):
+        for batch in in_rows(batches, "text", TEXT_BYTES):
             g, _ = shingles(column(batch, "text"), rule.words)
             total += np.bincount((g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "load"])
@@ -134,7 +136,7 @@ def _sets(docs: DataFrame, rule: Rule, levels) -> DataFrame:
     """(doc_id, h, cls, n, head, bits) of each row; head: the first shingles, one more than a list key needs."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_rows(batches, "text", 4_000_000):
+        for batch in in_rows(batches, "text", TEXT_BYTES):
             v, first = _ordered(column(batch, "text"), rule, levels.value)
             n = np.diff(first)
             cls = _classes_of(v, first)
@@ -160,7 +162,7 @@ def _keys(classes: DataFrame, rule: Rule, most_small: int) -> DataFrame:
     """(key, cls): subset keys and list keys of each class."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, HEADS) for whole in batches for at in range(0, whole.num_rows, HEADS)):
             cls, n, head = column(batch, "cls").to_numpy(), column(batch, "n").to_numpy(), column(batch, "head")
             first, flat_head = head.offsets.to_numpy(), head.flatten().to_numpy().view(np.uint64)
             first = first - first[0]
@@ -348,7 +350,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame
     held = spark.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_rows(batches, "text", 4_000_000):
+        for batch in in_rows(batches, "text", TEXT_BYTES):
             v, first = _ordered(column(batch, "text"), rule, levels.value)
             cls = _classes_of(v, first)
             at = cls.view(np.uint64) >> np.uint64(shift)
