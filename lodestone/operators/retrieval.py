@@ -15,8 +15,9 @@ from lodestone.functions.vocabulary import METHOD_PARTS
 from lodestone.sources.shared import dealt, save
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Vectors in one block of a dense search, and numbers in them, at most.
-BLOCK, BLOCK_NUMBERS = 2048, 1_000_000
+#: Vectors in one block of a dense search, and numbers in them, scores that a task works on at once, results that it keeps, and
+#: bytes of blocks in one Arrow batch, at most.
+BLOCK, BLOCK_NUMBERS, AT_ONCE, RESULTS, BATCH_BYTES = 2048, 1_000_000, 250_000, 1_000_000, "4m"
 
 
 #: Terms of queries that are looked for in one pass over the documents, rows of a table that is broadcast, and numbers that a
@@ -251,32 +252,51 @@ def _scores(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], digits: int) -
     return out
 
 
+def _nearest(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, key) of the k best of block c for each query of block q, a few queries at once."""
+    ends = np.append(0, np.cumsum(q[1], dtype=np.int64))
+    order = np.argsort(c[0], kind="stable")  # so that the first of equal scores has the smaller key
+    step, found = max(1, AT_ONCE // max(1, len(order))), []
+    for a in range(0, len(q[0]), step):
+        z = min(a + step, len(q[0]))
+        s = _scores((q[0][a:z], q[1][a:z], q[2][ends[a] : ends[z]]), c, digits)[:, order]
+        keep = s > _SAME
+        if s.shape[1] > k:
+            least = np.partition(s, -k, axis=1)[:, -k, None]
+            above, ties = s > least, s == least
+            keep &= above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+        i, j = np.nonzero(keep)
+        found.append((q[0][a:z][i], s[i, j], c[0][order[j]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+
 def dense(vectors: DataFrame, key: str, value: str, queries: DataFrame, query_key: str, query_value: str, k: int, digits: int = 6) -> DataFrame:
     """(query, key, rank, score) by cosine, exactly, for any number of queries; keys are whole numbers.
 
     Every block of queries meets every block of vectors; a task keeps the k best of each query over the blocks that it meets,
-    and these are ranked together. No block is larger than a bound, and none is collected.
+    and these are ranked together. No block is larger than a bound, and none is collected. The session's Arrow batches are small
+    from then on.
     """
 
+    def results(kept: tuple[np.ndarray, np.ndarray, pa.Array]) -> pa.RecordBatch:
+        q, found, keys = kept
+        return pa.RecordBatch.from_arrays([pa.array(q), keys, pa.array(np.where(found == _NAN, np.nan, found), mask=found == _NULL)], names=["q", "c", "score"])
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray, pa.Array] = np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.int64())
+        kept = none = np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.int64())
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(6)), strict=True):
                 x = [np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, (np.int64, np.int32, np.float64) * 2, strict=True)]
-                s = _scores(tuple(x[:3]), tuple(x[3:]), digits)
-                order = np.argsort(x[3], kind="stable")  # so that the first of equal scores has the smaller key
-                s, keys = s[:, order], x[3][order]
-                keep = s > _SAME
-                if s.shape[1] > k:
-                    least = np.partition(s, -k, axis=1)[:, -k, None]
-                    above, ties = s > least, s == least
-                    keep &= above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
-                r, c = np.nonzero(keep)
                 # one list a query for all blocks that this task meets
-                kept = _kept(np.concatenate([kept[0], x[0][r]]), np.concatenate([kept[1], s[r, c]]), pa.concat_arrays([kept[2], pa.array(keys[c])]), k)
-        q, found, keys = kept
-        yield pa.RecordBatch.from_arrays([pa.array(q), keys, pa.array(np.where(found == _NAN, np.nan, found), mask=found == _NULL)], names=["q", "c", "score"])
-
+                q, score, keys = _nearest(tuple(x[:3]), tuple(x[3:]), k, digits)
+                kept = _kept(np.concatenate([kept[0], q]), np.concatenate([kept[1], score]), pa.concat_arrays([kept[2], pa.array(keys)]), k)
+                if len(kept[0]) > RESULTS:
+                    yield results(kept)
+                    kept = none
+        yield results(kept)
+
+    # else a batch has all blocks that a task meets
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     pairs = _packed(queries, query_key, query_value, "q").crossJoin(_packed(vectors, key, value, "c"))
     rows = pairs.mapInArrow(best, "q long, c long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc_nulls_last(), "c"))

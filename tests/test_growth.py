@@ -1,7 +1,9 @@
 """What a task holds and what moves: plans and parts of queries whose figures grew too fast."""
 
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,24 @@ def test_problems_read_texts_once(spark, monkeypatch):
     docs = plans._filings(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))
     assert chunking.problems(chunking.chunks(docs, chunking.TREE)).count() == 0
     assert len(kept) == 1 and "raw_text" not in kept[0] and "embed_text" not in kept[0]
+
+
+def test_dense_blocks_meet_a_few_queries_at_once(spark):
+    x = np.random.default_rng(1).normal(size=(2048, 50))
+    block = np.arange(2048), np.full(2048, 50, np.int32), x.ravel()
+    tracemalloc.start()
+    try:
+        q, score, c = retrieval._nearest(block, block, 5, 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40_000_000  # all scores of two blocks are 34 MB, and there are several such arrays
+    cosines = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    np.fill_diagonal(cosines, -3)
+    assert (c.reshape(-1, 5) == np.sort(np.argsort(-cosines, axis=1)[:, :5], axis=1)).all()
+
+
+def test_dense_batches_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    plans.QUERIES["dense_topk"](spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == retrieval.BATCH_BYTES
